@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import chat, fingerprints, media, mixing, pieces, secrets, warc
+from traceloom.llm import chat, fingerprints, media, mixing, neardup, pieces, secrets, warc
 from traceloom.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -27,6 +27,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe_texts(table(spark, sf_dir, "documents")).drop("tile")
 
@@ -50,7 +54,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_pieces, op3_warc, op5_mixing, op7_media, op8_secrets, op9_chat, op10_fingerprints)
+    found = (op2_pieces, op3_warc, op5_mixing, op6_neardup, op7_media, op8_secrets, op9_chat, op10_fingerprints)
     return {f.__name__: f for f in found}
 
 
