@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import chat, fingerprints, media, mixing, neardup, pieces, secrets, warc
-from traceloom.llm.common import table
+from traceloom.llm import chat, fingerprints, hmm, media, mixing, neardup, pieces, secrets, warc
+from traceloom.llm.common import id_crc, table
 
 PIECES = "piece_bpe_32k.model"
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return hmm.score_documents(docs, id_crc(docs["doc_id"]) % 7 == 2)
+
+
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -54,7 +59,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_pieces, op3_warc, op5_mixing, op6_neardup, op7_media, op8_secrets, op9_chat, op10_fingerprints)
+    found = (op1_hmm, op2_pieces, op3_warc, op5_mixing, op6_neardup, op7_media, op8_secrets, op9_chat, op10_fingerprints)
     return {f.__name__: f for f in found}
 
 
