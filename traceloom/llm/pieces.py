@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,15 +150,15 @@ class PieceModel:
 
 
 class SegmentStore(dict):
-    """Segment -> its ids as text with a space before each, their number, and their decoded text. Emptied when full."""
+    """Segment -> its ids as text with a space before each, as int32 bytes, and their decoded text. Emptied when full."""
 
     def __init__(self, model: PieceModel):
         super().__init__()
         self.model = model
 
-    def __missing__(self, segment: str) -> tuple[str, int, str]:
+    def __missing__(self, segment: str) -> tuple[str, bytes, str]:
         ids = self.model.ids(self.model.encode_segment(segment))
-        out = "".join(f" {i}" for i in ids), len(ids), self.model.decode_ids(ids)
+        out = "".join(f" {i}" for i in ids), array("i", ids).tobytes(), self.model.decode_ids(ids)
         if len(segment) <= 64:
             if len(self) >= STORED_SEGMENTS:
                 self.clear()
@@ -185,16 +187,17 @@ def encode_documents(docs: DataFrame, model_path: str, *, with_ids: bool = False
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         store = stored(model_path)
-        normalise, end = store.model.normalise, f" {store.model.eos}"
+        normalise, end, last = store.model.normalise, f" {store.model.eos}", array("i", [store.model.eos]).tobytes()
         numbers, digests, decoded, all_ids = [], [], [], []
         for text in batch.column("text").to_pylist():
             found = list(map(store.__getitem__, SEGMENT.findall(normalise(text or ""))))
             ids = ("".join([x[0] for x in found]) + end)[1:]
-            numbers.append(sum([x[1] for x in found]) + 1)
+            packed = b"".join([x[1] for x in found]) + last
+            numbers.append(len(packed) // 4)
             digests.append(hashlib.sha256(ids.encode()).hexdigest())
             decoded.append(hashlib.sha256("".join([x[2] for x in found]).removeprefix(" ").encode()).hexdigest())
             if with_ids:
-                all_ids.append([int(x) for x in ids.split(" ")])
+                all_ids.append(np.frombuffer(packed, np.int32))
         columns = [batch.column("doc_id"), pa.array(numbers, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:

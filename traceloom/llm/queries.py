@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import chat, fingerprints, hmm, media, mixing, neardup, pieces, secrets, warc
+from traceloom.llm import chat, fingerprints, hmm, langid, media, mixing, neardup, pieces, secrets, warc
 from traceloom.llm.common import id_crc, table
 
 PIECES = "piece_bpe_32k.model"
@@ -28,6 +28,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(table(spark, sf_dir, "pages"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, id_crc(docs["doc_id"]) % 3 == 1)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_hmm, op2_pieces, op3_warc, op5_mixing, op6_neardup, op7_media, op8_secrets, op9_chat, op10_fingerprints)
+    found = (op1_hmm, op2_pieces, op3_warc, op4_langid, op5_mixing, op6_neardup, op7_media, op8_secrets, op9_chat, op10_fingerprints)
     return {f.__name__: f for f in found}
 
 

@@ -152,7 +152,7 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
     """The documents with every found span replaced by a mark; spans that overlap become one. n_chars follows the text."""
     columns = docs.columns
-    scanned = scan(docs, rules)
+    scanned = scan(docs.select("doc_id", "text", F.struct("*").alias("row")), rules)
     spans = F.array_sort(F.concat(*[F.col(f"spans_{r.kind}") for r in rules]))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -161,7 +161,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text")))
-    cleaned = scanned.withColumn("all_spans", spans).withColumn("text", F.when(F.size("all_spans") > 0, F.aggregate("all_spans", start, step, rest)).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.size("all_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cleaned.select(*columns)
+    text = F.when(F.size("all_spans") > 0, F.aggregate("all_spans", start, step, rest)).otherwise(F.col("text"))
+    told = scanned.withColumn("all_spans", spans).select("row", "all_spans", text.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.size("all_spans") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in columns else None}
+    return told.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in columns])
