@@ -8,11 +8,16 @@ its rarest tokens, all but ``needed - 1``. Only prefixes are merged. The frequen
 tokens behind them are skipped, and counted by probing the two signatures.
 Pairs with enough matches are confirmed on the whole sets.
 
+A shingle that only one document of those posted holds is in no intersection. With n shingles of
+which s are shared, a document reaches at most min(s) / (n + n' - min(s)) with
+another, so most edited copies needn't meet. Between components, only shingles
+that stand in more than one of them count as shared.
+
 Equal sets are one node from the start. A list of many postings isn't expanded
 into all pairs: in each round a few of its documents, twice as many as in the round
-before, meet those of the list that aren't in their component yet. They have then met all, and
-leave the list; a list whose documents are one component is done. When few pairs
-are left, they are all tried. So every pair that shares a prefix token is tried
+before and the most central first, meet those of the list that aren't in their component yet.
+They have then met all, and leave the list; a list whose documents are one component
+is done. When few pairs are left, they are all tried. So every pair that shares a prefix token is tried
 or is already connected, and no component is lost.
 """
 
@@ -20,20 +25,23 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import map_batches, small_batches, stage
+from traceloom.llm.common import small_batches, stage
 
-COORDINATES = 48
+COORDINATES = 64
 MISS = 1e-6
 NO_ID = (1 << 63) - 1
 SALTS = 32
+#: Bits of the filter of wanted ids, 8 MB; the more ids it holds, the more others pass it.
+FILTER_BITS = 1 << 26
 U = np.uint64
 
 
@@ -80,41 +88,88 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, width: int, coordinates: int, with_set: bool) -> DataFrame:
+def id_filter(ids: DataFrame) -> bytes:
+    """A bitmap of hashed ids, packed in blocks by tasks. An id of the table is always found."""
+    spots = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("spot")).distinct()
+    block = spots.withColumn("block", F.shiftright("spot", 16)).groupBy("block").applyInPandas(packed, "block long, bits binary")
+    out = bytearray(FILTER_BITS // 8)
+    for r in block.collect():
+        out[r.block << 13 : (r.block + 1) << 13] = r.bits
+    return bytes(out)
+
+
+def packed(rows: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(1 << 16, np.uint8)
+    bits[rows["spot"].to_numpy() & 0xFFFF] = 1
+    return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
+def shingle_sets(texts: DataFrame, width: int, wanted: bytes | None, schema: str, told: Callable[[pa.Array, list[np.ndarray]], pa.RecordBatch]) -> DataFrame:
+    """Apply ``told`` to the ids and shingle sets of each batch of texts, of those that pass the filter if there is one."""
+    small_batches(texts.sparkSession)
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = None if shared.value is None else np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            if bitmap is not None:
+                spot = batch.column("spot").to_numpy()
+                batch = batch.filter(pa.array((bitmap[spot >> 3] >> (spot & 7)) & 1 == 1))
+            if batch.num_rows:
+                yield told(batch.column("id"), [shingle_set(t, width) for t in batch.column("text").to_pylist()])
+
+    return texts.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("spot")).mapInArrow(run, schema)
+
+
+def sketches(texts: DataFrame, width: int, coordinates: int, wanted: bytes | None = None, with_set: bool = False) -> DataFrame:
     """id, n (size of the shingle set), key (digest of the set), sig and, if asked for, grams (the set's bytes).
 
     A document without words has n 0 and neither key nor signature.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
+    def told(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [i for i, s in enumerate(sets) if len(s)]
         sig: list = [None] * len(sets)
         if full:
             for i, row in zip(full, signatures([sets[i] for i in full], coordinates).view(np.int32), strict=True):
                 sig[i] = row
         key = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        columns = [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int32()))]
+        columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int32()))]
         names = ["id", "n", "key", "sig"]
         if with_set:
             columns.append(pa.array([s.tobytes() for s in sets], pa.binary()))
             names.append("grams")
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return map_batches(docs, run, "id long, n long, key binary, sig array<int>" + ", grams binary" * with_set)
+    return shingle_sets(texts, width, wanted, "id long, n long, key binary, sig array<int>" + ", grams binary" * with_set, told)
+
+
+def own_shingles(texts: DataFrame, width: int, wanted: bytes) -> DataFrame:
+    """(rid, own): how many shingles of a wanted document no other wanted document holds, where there are any."""
+
+    def told(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        owner = np.repeat(ids.to_numpy(), [len(s) for s in sets])
+        return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(sets).view(np.int64), pa.int64())], ["rid", "gram"])
+
+    grams = shingle_sets(texts, width, wanted, "rid long, gram long", told)
+    once = grams.groupBy("gram").agg(F.count("*").alias("c"), F.min("rid").alias("rid")).where("c = 1")
+    return once.groupBy("rid").agg(F.count("*").alias("own"))
 
 
 def prefix_postings(nodes: DataFrame, needed: int) -> DataFrame:
-    """(rid, token) of each node's prefix, among the tokens that other nodes hold too.
+    """(rid, token, central) of each node's prefix, among the tokens that other nodes hold too.
 
     With m such tokens, and the others rarer, the prefix has m - needed + 1 of
-    them; a node with fewer than ``needed`` has no partner.
+    them; a node with fewer than ``needed`` has no partner. central: how often
+    the node's tokens are held in all; the original of many edited copies has the most.
     """
     token = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
     posted = nodes.select("rid", F.posexplode("sig").alias("pos", "value")).select("rid", token.alias("token"))
     often = posted.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
     held = posted.join(often, "token").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("held"))
-    return held.where(F.size("held") >= needed).select("rid", F.explode(F.slice("held", F.lit(1), F.size("held") - (needed - 1))).alias("p")).select("rid", F.col("p.token").alias("token"))
+    central = F.aggregate("held", F.lit(0).cast("long"), lambda s, h: s + h["often"])
+    prefix = F.explode(F.slice("held", F.lit(1), F.size("held") - (needed - 1)))
+    return held.where(F.size("held") >= needed).select("rid", central.alias("central"), prefix.alias("p")).select("rid", F.col("p.token").alias("token"), "central")
 
 
 class Sets:
@@ -138,8 +193,7 @@ class Sets:
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, p, ...) with enough matching coordinates whose sets are similar enough."""
         matches = F.aggregate(F.zip_with("x_sig", "p_sig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, v: s + v)
-        alike = 100 * F.least("x_n", "p_n") >= self.percent * F.greatest("x_n", "p_n")
-        close = stage(self.both(pairs, ["n", "sig"]).where(alike).where(matches >= self.needed).select(*pairs.columns), "neardup-close")
+        close = stage(self.both(pairs, ["sig"]).where(matches >= self.needed).select(*pairs.columns), "neardup-close")
         percent, names = self.percent, pairs.columns
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,36 +234,60 @@ def relabel(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(found, "label", "left").withColumn("label", F.coalesce("root", "label")).select(*rows.columns)
 
 
+def meeting(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, p, x_label, p_label) of postings under one token, of different components, that can reach the threshold."""
+    side = lambda df, name: df.select("token", F.col("rid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("label", "n", "shared")])
+    most = F.least("x_shared", "p_shared")
+    reach = 100 * most >= percent * (F.col("x_n") + F.col("p_n") - most)
+    return side(left, "x").join(side(right, "p"), "token").where("x != p AND x_label != p_label").where(reach).select("x", "p", "x_label", "p_label").distinct()
+
+
+def narrowed(state: DataFrame, sets: Sets) -> DataFrame:
+    """The postings with ``shared`` counted anew: shingles that documents of other components hold too.
+
+    Only those can be in the intersection of documents that aren't connected yet.
+    Documents left with too few of them can have no further link, and go.
+    """
+    docs = state.select("rid", "label").distinct().join(sets.table.select("rid", "grams"), "rid")
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [np.frombuffer(x, np.int64) for x in batch.column("grams").to_pylist()]
+            sizes = [len(x) for x in grams]
+            owner = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes), pa.int64()) for c in ("rid", "label")]
+            yield pa.RecordBatch.from_arrays([*owner, pa.array(np.concatenate(grams), pa.int64())], ["rid", "label", "gram"])
+
+    held = docs.mapInArrow(unpacked, "rid long, label long, gram long")
+    across = held.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
+    shared = held.join(across, "gram").groupBy("rid").agg(F.count("*").alias("shared"))
+    return state.drop("shared").join(shared, "rid").where(100 * F.col("shared") >= sets.percent * F.col("n")).select(*state.columns)
+
+
 def node_labels(posted: DataFrame, sets: Sets) -> DataFrame:
-    """(rid, label): the component of each node in the postings (rid, token)."""
+    """(rid, label): the component of each node in the postings (rid, token, central, n, shared)."""
     state = posted.withColumn("label", F.col("rid"))
     labels = stage(posted.select("rid").distinct().withColumn("label", F.col("rid")), "neardup-labels")
-    enough = 2 * state.count() + 100_000
-    pivots, last = 1, False
-    while True:
+    enough, pivots, last = posted.count() + 10_000, 1, False
+    while not last:
         sizes = state.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("labels"))
         open_lists = sizes.where("labels > 1")
         left = open_lists.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.lit(0.0))).first()[0]
-        if left == 0:
-            return labels
-        state = stage(state.join(open_lists.select("token"), "token", "left_semi").select("token", "rid", "label"), "neardup-state")
+        state = stage(state.join(open_lists.select("token"), "token", "left_semi").select(*state.columns), "neardup-state")
         last = left <= enough
         if last:
-            heads = state
+            pairs = meeting(state, state, sets.percent).where("x_label > p_label")
         else:
-            order = Window.partitionBy("token").orderBy(F.xxhash64("rid", F.lit(pivots)))
+            order = Window.partitionBy("token").orderBy(F.desc("central"), "rid")
             heads = stage(state.withColumn("at", F.row_number().over(order)).where(F.col("at") <= pivots).drop("at"), "neardup-heads")
-        meet = state.select("token", F.col("rid").alias("x"), F.col("label").alias("x_label"))
-        told = heads.select("token", F.col("rid").alias("p"), F.col("label").alias("p_label"))
-        pairs = meet.join(told, "token").where("x_label > p_label" if last else "x_label != p_label").select("x", "p", "x_label", "p_label").distinct()
+            pairs = meeting(state, heads, sets.percent)
         links = sets.confirm(stage(pairs, "neardup-pairs"))
         roots = components(links.select(F.col("x_label").alias("a"), F.col("p_label").alias("b")))
         labels = stage(relabel(labels, roots), "neardup-labels")
-        if last:
-            return labels
-        gone = heads.select("token", "rid")
-        state = stage(relabel(state.join(gone, ["token", "rid"], "left_anti"), roots), "neardup-state")
-        pivots *= 2
+        if not last:
+            state = stage(relabel(state.join(heads.select("token", "rid"), ["token", "rid"], "left_anti"), roots), "neardup-state")
+            state = stage(narrowed(state, sets), "neardup-state")
+            pivots *= 2
+    return labels
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, coordinates: int = COORDINATES) -> DataFrame:
@@ -226,12 +304,18 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, coord
     """
     needed = needed_matches(percent / 100, coordinates)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    known = stage(sketches(texts, width, coordinates, False), "neardup-sketches")
+    known = stage(sketches(texts, width, coordinates), "neardup-sketches")
     classes = stage(known.where("n > 0").groupBy("key").agg(F.min("id").alias("rid")), "neardup-classes")
     nodes = known.withColumnRenamed("id", "rid").join(classes, ["rid", "key"], "left_semi")
     posted = stage(prefix_postings(nodes, needed), "neardup-postings")
-    wanted = texts.join(posted.select(F.col("rid").alias("id")).distinct(), "id", "left_semi")
-    sets = Sets(sketches(wanted, width, coordinates, True).withColumnRenamed("id", "rid").drop("key"), needed, percent)
+    held = posted.select("rid").distinct()
+    own = own_shingles(texts, width, id_filter(held.select(F.col("rid").alias("id"))))
+    counted = nodes.join(held, "rid", "left_semi").groupBy("rid").agg(F.max("n").alias("n")).join(own, "rid", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+    counted = stage(counted.where(100 * F.col("shared") >= percent * F.col("n")).select("rid", "n", "shared"), "neardup-shared")
+    posted = stage(posted.join(counted, "rid"), "neardup-postings")
+    wanted = counted.select(F.col("rid").alias("id"))
+    features = sketches(texts, width, coordinates, id_filter(wanted), with_set=True).join(wanted, "id", "left_semi")
+    sets = Sets(features.withColumnRenamed("id", "rid").drop("key"), needed, percent)
     labels = node_labels(posted, sets)
     docs.sparkSession.sql(f"DROP TABLE {sets.name}")
     roots = classes.join(labels, "rid", "left").select("key", F.coalesce("label", "rid").alias("root"))
