@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,7 @@ def masked_tokens(tokens: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.
     return mask, covered
 
 
+@lru_cache(1)
 def load_tokenizer(path: str):
     """The tokenizer with offsets that keep white space; control strings in texts are plain text to it."""
     from tokenizers import Tokenizer, processors
@@ -111,14 +113,11 @@ def format_conversations(rows: DataFrame, tokenizer_path: str, learn: str = "ass
     turns = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 63))).alias("turn"), role, text)))
     grouped = rows.groupBy("conv_id").agg(turns.alias("turns"))
     kind = rows.schema["conv_id"].dataType.simpleString()
-    loaded: list = []
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not loaded:
-            loaded.append(load_tokenizer(tokenizer_path))
+        encode = load_tokenizer(tokenizer_path).encode_batch
         chats = [[(t["role"], t["text"]) for t in x] for x in batch.column("turns").to_pylist()]
         drawn = [render(x) for x in chats]
-        encoded = [e for i in range(0, len(drawn), 64) for e in loaded[0].encode_batch([x for x, _ in drawn[i : i + 64]], add_special_tokens=False)]
+        encoded = [e for i in range(0, len(drawn), 64) for e in encode([x for x, _ in drawn[i : i + 64]], add_special_tokens=False)]
         ids, masks, covered = [], [], []
         for turns, (_, spans), e in zip(chats, drawn, encoded, strict=True):
             mask, cover = masked_tokens(np.array(e.offsets, np.int64).reshape(-1, 2), [s for (r, _), s in zip(turns, spans, strict=True) if r == learn])
