@@ -6,16 +6,17 @@ cut greedily: the longest piece at each place, found by an Aho-Corasick automato
 is taken if it is compatible with the piece before; else the next shorter one. A
 place from which no way led on is marked in a bitfield and not tried again.
 
-No piece of the model holds a space mark behind another character, so texts fall
-apart at the marks into segments that are encoded once and remembered, in a
-store of bounded size.
+Where no piece of the model holds two neighbouring characters side by side, a text can
+be cut between them: before space marks, before signs behind letters, around
+characters that are in no piece. These cuts are found from the pieces. The segments between
+them are encoded once and remembered, in a store of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 
 import ahocorasick
@@ -27,9 +28,27 @@ from pyspark.sql import functions as F
 from traceloom.llm.common import map_batches
 
 SPACE = "▁"
-#: A run of space marks and what follows up to the next mark; or a start without a mark.
-SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-STORED_SEGMENTS = 150_000
+STORED_SEGMENTS = 160_000
+
+
+def cut_pattern(pieces: Iterable[str]) -> re.Pattern[str]:
+    """Segments of a text: space marks, signs, then what is neither; or a run of ASCII characters that no piece has.
+
+    signs: characters, no letters, that stand in pieces behind space marks and other signs only.
+    """
+    pieces = list(pieces)
+    known = {c for p in pieces for c in p}
+    joined = {(a, b) for p in pieces for a, b in zip(p, p[1:], strict=False)}
+    if any(b == SPACE and a != SPACE for a, b in joined):
+        raise ValueError("a piece holds a space mark behind another character")
+    signs = {c for c in known if not c.isalpha() and c != SPACE}
+    while wrong := {b for a, b in joined if b in signs and a not in signs and a != SPACE}:
+        signs -= wrong
+    sign = "".join(map(re.escape, sorted(signs)))
+    alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in known and c != 32)
+    rest = f"[^{SPACE}{sign}{alone}]"
+    options = [f"{SPACE}+[{sign}]*{rest}*", f"[{sign}]+{rest}*", f"{rest}+"] if sign else [f"{SPACE}+{rest}*", f"{rest}+"]
+    return re.compile("|".join([*options, *([f"[{alone}]+"] if alone else [])]))
 
 
 class PieceModel:
@@ -48,8 +67,7 @@ class PieceModel:
         self.byte_id = {b: i for i, b in self.byte_of.items()}
         self.score = {self.text[i]: processor.get_score(i) for i in range(n) if not special[i]}
         self.id = {self.text[i]: i for i in range(n) if not special[i]}
-        if any(SPACE in p.lstrip(SPACE) for p in self.id):
-            raise ValueError("a piece holds a space mark behind another character; texts can't be cut at the marks")
+        self.segment = cut_pattern(self.id)
         self.automaton = ahocorasick.Automaton()
         for piece in self.id:
             # a piece that merging never yields can't stand in any encoding
@@ -78,8 +96,15 @@ class PieceModel:
         return self.merge(left + right) == [left, right]
 
     def encode_segment(self, segment: str) -> list[str]:
-        """Pieces of a segment; a character that is no piece stands for itself."""
+        """Pieces of a segment; a character that is no piece stands for itself.
+
+        The longest pieces from left to right are tried as they are first: if all
+        neighbours are compatible, no place has to be given up.
+        """
         n = len(segment)
+        cut = [segment[end - size + 1 : end + 1] for end, size in self.automaton.iter_long(segment)]
+        if "".join(cut) == segment and all(map(self.compatible, cut, cut[1:])):
+            return cut
         longest = [0] * n
         for end, size in self.automaton.iter(segment):
             start = end - size + 1
@@ -127,7 +152,7 @@ class PieceModel:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text with the end id."""
-        return [i for s in SEGMENT.findall(self.normalise(text)) for i in self.ids(self.encode_segment(s))] + [self.eos]
+        return [i for s in self.segment.findall(self.normalise(text)) for i in self.ids(self.encode_segment(s))] + [self.eos]
 
     def decode_ids(self, ids: list[int]) -> str:
         """Text of ids, with the front space still there; control ids have none."""
@@ -150,20 +175,35 @@ class PieceModel:
 
 
 class SegmentStore(dict):
-    """Segment -> its ids as text with a space before each, as int32 bytes, and their decoded text. Emptied when full."""
+    """Segment -> its ids as text with a space before each, in two generations of bounded size.
+
+    When the young one is full it becomes the old one; what is asked for again moves back up.
+    odd: decoded text of the segments whose ids decode to another text than their own.
+    """
 
     def __init__(self, model: PieceModel):
         super().__init__()
-        self.model = model
-
-    def __missing__(self, segment: str) -> tuple[str, bytes, str]:
-        ids = self.model.ids(self.model.encode_segment(segment))
-        out = "".join(f" {i}" for i in ids), array("i", ids).tobytes(), self.model.decode_ids(ids)
+        self.model, self.old, self.odd = model, {}, {}
+
+    def __missing__(self, segment: str) -> str:
+        told = self.old.get(segment)
+        if told is None:
+            ids = self.model.ids(self.model.encode_segment(segment))
+            told = "".join(f" {i}" for i in ids)
+            if (decoded := self.model.decode_ids(ids)) != segment.replace(SPACE, " "):
+                self.odd[segment] = decoded
         if len(segment) <= 64:
             if len(self) >= STORED_SEGMENTS:
+                self.old = dict(self)
                 self.clear()
-            self[segment] = out
-        return out
+            self[segment] = told
+        return told
+
+    def decoded(self, segments: list[str]) -> str:
+        """The text that the segments' ids decode to."""
+        if self.odd:
+            segments = [self.odd.get(s, s) for s in segments]
+        return "".join(segments).replace(SPACE, " ").removeprefix(" ")
 
 
 @lru_cache(1)
@@ -187,17 +227,16 @@ def encode_documents(docs: DataFrame, model_path: str, *, with_ids: bool = False
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         store = stored(model_path)
-        normalise, end, last = store.model.normalise, f" {store.model.eos}", array("i", [store.model.eos]).tobytes()
+        normalise, split, end = store.model.normalise, store.model.segment.findall, f" {store.model.eos}"
         numbers, digests, decoded, all_ids = [], [], [], []
         for text in batch.column("text").to_pylist():
-            found = list(map(store.__getitem__, SEGMENT.findall(normalise(text or ""))))
-            ids = ("".join([x[0] for x in found]) + end)[1:]
-            packed = b"".join([x[1] for x in found]) + last
-            numbers.append(len(packed) // 4)
+            segments = split(normalise(text or ""))
+            ids = ("".join(map(store.__getitem__, segments)) + end)[1:]
+            numbers.append(ids.count(" ") + 1)
             digests.append(hashlib.sha256(ids.encode()).hexdigest())
-            decoded.append(hashlib.sha256("".join([x[2] for x in found]).removeprefix(" ").encode()).hexdigest())
+            decoded.append(hashlib.sha256(store.decoded(segments).encode()).hexdigest())
             if with_ids:
-                all_ids.append(np.frombuffer(packed, np.int32))
+                all_ids.append(np.fromstring(ids, np.int32, sep=" "))
         columns = [batch.column("doc_id"), pa.array(numbers, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
