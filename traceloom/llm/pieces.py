@@ -28,22 +28,27 @@ from pyspark.sql import functions as F
 from traceloom.llm.common import map_batches
 
 SPACE = "▁"
-STORED_SEGMENTS = 160_000
+STORED_SEGMENTS = 200_000
+#: Pairs of neighbours whose compatibility is remembered.
+KNOWN_PAIRS = 400_000
 
 
 def cut_pattern(pieces: Iterable[str]) -> re.Pattern[str]:
     """Segments of a text: space marks, signs, then what is neither; or a run of ASCII characters that no piece has.
 
-    signs: characters, no letters, that stand in pieces behind space marks and other signs only.
+    signs: ASCII characters, no letters, that stand in pieces behind space marks and other signs only, and those other signs.
     """
     pieces = list(pieces)
     known = {c for p in pieces for c in p}
     joined = {(a, b) for p in pieces for a, b in zip(p, p[1:], strict=False)}
     if any(b == SPACE and a != SPACE for a, b in joined):
         raise ValueError("a piece holds a space mark behind another character")
-    signs = {c for c in known if not c.isalpha() and c != SPACE}
-    while wrong := {b for a, b in joined if b in signs and a not in signs and a != SPACE}:
-        signs -= wrong
+    able = {c for c in known if not c.isalpha() and c != SPACE}
+    while wrong := {b for a, b in joined if b in able and a not in able and a != SPACE}:
+        able -= wrong
+    signs = {c for c in able if c.isascii()}
+    while more := {a for a, b in joined if b in signs and a not in signs and a != SPACE}:
+        signs |= more
     sign = "".join(map(re.escape, sorted(signs)))
     alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in known and c != 32)
     rest = f"[^{SPACE}{sign}{alone}]"
@@ -69,12 +74,17 @@ class PieceModel:
         self.id = {self.text[i]: i for i in range(n) if not special[i]}
         self.segment = cut_pattern(self.id)
         self.automaton = ahocorasick.Automaton()
-        for piece in self.id:
-            # a piece that merging never yields can't stand in any encoding
-            if len(piece) == 1 or self.merge(piece) == [piece]:
-                self.automaton.add_word(piece, len(piece))
+        self.size = [len(t) for t in self.text]
+        reachable = [p for p in self.id if len(p) == 1 or self.merge(p) == [p]]
+        for piece in reachable:  # a piece that merging never yields can't stand in any encoding
+            self.automaton.add_word(piece, self.id[piece])
         self.automaton.make_automaton()
-        self.compatible = lru_cache(1 << 17)(self._compatible)
+        #: The longest piece that is a proper prefix of each, or -1.
+        found = set(reachable)
+        self.shorter = [-1] * n
+        for piece in reachable:
+            self.shorter[self.id[piece]] = next((self.id[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in found), -1)
+        self.known_pairs: dict[int, bool] = {}
 
     def merge(self, text: str) -> list[str]:
         """Plain merging of a short string: the best-scored neighbours first, the left ones among equals."""
@@ -91,60 +101,58 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _compatible(self, left: str, right: str) -> bool:
-        """Do two neighbours come out the same when their text is merged anew?"""
-        return self.merge(left + right) == [left, right]
-
-    def encode_segment(self, segment: str) -> list[str]:
-        """Pieces of a segment; a character that is no piece stands for itself.
+    def compatible(self, left: int, right: int) -> bool:
+        """Do two neighbours come out the same when their text is merged anew? A character that is no piece never merges."""
+        pair = left << 24 | right
+        known = self.known_pairs.get(pair)
+        if known is None:
+            n = len(self.text)
+            known = left >= n or right >= n or self.merge(self.text[left] + self.text[right]) == [self.text[left], self.text[right]]
+            if len(self.known_pairs) >= KNOWN_PAIRS:
+                self.known_pairs.clear()
+            self.known_pairs[pair] = known
+        return known
+
+    def cut(self, segment: str) -> list[int]:
+        """Pieces of a segment, by id; a character that is no piece is the number of pieces plus its code point.
 
         The longest pieces from left to right are tried as they are first: if all
         neighbours are compatible, no place has to be given up.
         """
-        n = len(segment)
-        cut = [segment[end - size + 1 : end + 1] for end, size in self.automaton.iter_long(segment)]
-        if "".join(cut) == segment and all(map(self.compatible, cut, cut[1:])):
-            return cut
-        longest = [0] * n
-        for end, size in self.automaton.iter(segment):
-            start = end - size + 1
-            if size > longest[start]:
-                longest[start] = size
-        pieces, places, failed = self.id, [], bytearray(n // 8 + 1)
-        at, size = 0, longest[0] or 1
-        while at < n:
-            piece = segment[at : at + size]
-            end = at + size
-            known = size == 1 or (piece in pieces and self._reachable(piece))
-            if known and not failed[end >> 3] >> (end & 7) & 1 and (not places or self.compatible(segment[places[-1] : at], piece)):
-                places.append(at)
-                at = end
-                size = longest[at] or 1 if at < n else 0
-            elif size > 1:
-                size -= 1
-            else:  # nothing fits here: give up this place, and shorten the piece before
+        n, size, compatible = len(segment), self.size, self.compatible
+        out = [i for _, i in self.automaton.iter_long(segment)]
+        if sum([size[i] for i in out]) == n and all(map(compatible, out, out[1:])):
+            return out
+        longest, unknown = [-1] * n, len(size)
+        for end, i in self.automaton.iter(segment):  # by their ends, so the last one at a start is the longest
+            longest[end - size[i] + 1] = i
+        out, failed = [], bytearray(n // 8 + 1)
+        at, piece = 0, longest[0]
+        if piece < 0:
+            piece = unknown + ord(segment[0])
+        while True:
+            end = at + (size[piece] if piece < unknown else 1)
+            if not failed[end >> 3] >> (end & 7) & 1 and (not out or compatible(out[-1], piece)):
+                out.append(piece)
+                if end == n:
+                    return out
+                at, piece = end, longest[end]
+                if piece < 0:
+                    piece = unknown + ord(segment[end])
+                continue
+            piece = self.shorter[piece] if piece < unknown else -1
+            while piece < 0:  # nothing fits here: give up this place, and shorten the piece before
                 failed[at >> 3] |= 1 << (at & 7)
-                last = places.pop()
-                size, at = at - last - 1, last
-                while size == 0:
-                    failed[at >> 3] |= 1 << (at & 7)
-                    last = places.pop()
-                    size, at = at - last - 1, last
-        return [segment[a:b] for a, b in zip(places, [*places[1:], n], strict=True)]
-
-    def _reachable(self, piece: str) -> bool:
-        return piece in self.automaton
-
-    def ids(self, pieces: list[str]) -> list[int]:
-        """Ids; an unknown character falls back to the pieces of its UTF-8 bytes."""
-        out = []
-        for p in pieces:
-            i = self.id.get(p)
-            if i is not None:
-                out.append(i)
-            else:
-                out += [self.byte_id[b] for b in p.encode()]
-        return out
+                last = out.pop()
+                at -= size[last] if last < unknown else 1
+                piece = self.shorter[last] if last < unknown else -1
+
+    def encode_segment(self, segment: str) -> list[int]:
+        """Ids of a segment; a character that is no piece falls back to the pieces of its UTF-8 bytes."""
+        ids, unknown = self.cut(segment), len(self.size)
+        if max(ids) < unknown:
+            return ids
+        return [x for i in ids for x in ([i] if i < unknown else [self.byte_id[b] for b in chr(i - unknown).encode()])]
 
     def normalise(self, text: str) -> str:
         """The model's normaliser: a space in front of any text, and marks for spaces."""
@@ -152,7 +160,7 @@ class PieceModel:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text with the end id."""
-        return [i for s in self.segment.findall(self.normalise(text)) for i in self.ids(self.encode_segment(s))] + [self.eos]
+        return [i for s in self.segment.findall(self.normalise(text)) for i in self.encode_segment(s)] + [self.eos]
 
     def decode_ids(self, ids: list[int]) -> str:
         """Text of ids, with the front space still there; control ids have none."""
@@ -188,7 +196,7 @@ class SegmentStore(dict):
     def __missing__(self, segment: str) -> str:
         told = self.old.get(segment)
         if told is None:
-            ids = self.model.ids(self.model.encode_segment(segment))
+            ids = self.model.encode_segment(segment)
             told = "".join(f" {i}" for i in ids)
             if (decoded := self.model.decode_ids(ids)) != segment.replace(SPACE, " "):
                 self.odd[segment] = decoded
