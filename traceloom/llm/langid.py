@@ -26,7 +26,8 @@ WINDOW = 64
 HIDDEN = 8
 LANGUAGES = 64
 SAMPLE_DOCS, SAMPLE_CHARS = 300, 512
-EPOCHS, BATCH, RATE = 5, 256, 0.02
+#: At least so many passes over the sample, and so many steps.
+EPOCHS, STEPS, BATCH, RATE = 5, 400, 256, 0.02
 #: Windows that one numpy step holds.
 ROWS = 4096
 LETTER = re.compile(r"[^\W\d_]")
@@ -126,7 +127,9 @@ def train(network: Network, windows: np.ndarray, answers: np.ndarray, epochs: in
     rng = np.random.default_rng(seed)
     arrays = network.arrays()
     network.moments = [(np.zeros_like(a), np.zeros_like(a)) for a in arrays]
-    count, total = 0, epochs * -(-len(windows) // BATCH)
+    batches = -(-len(windows) // BATCH)
+    epochs = max(epochs, -(-STEPS // batches))
+    count, total = 0, epochs * batches
     for _ in range(epochs):
         order = rng.permutation(len(windows))
         for low in range(0, len(order), BATCH):
