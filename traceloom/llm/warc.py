@@ -168,7 +168,9 @@ class WarcReader(DataSourceReader):
         files = [x for x in system.get_file_info(pafs.FileSelector(root)) if x.base_name.endswith(".warc.gz") and x.base_name[0] not in "._"]
         return [WarcFile(x.path) for x in sorted(files, key=lambda x: x.path)]
 
-    def read(self, partition: WarcFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: WarcFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an archive without files
+            return
         schema = pa.schema([("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         system, _ = store(self.root)
         rows, held, at = [], 0, 0
