@@ -14,7 +14,7 @@ another, so most edited copies needn't meet. Between components, only shingles
 that stand in more than one of them count as shared.
 
 Equal sets are one node from the start. A list of many postings isn't expanded
-into all pairs: in each round a few of its documents, twice as many as in the round
+into all pairs: in each round a few of its documents, four times as many as in the round
 before and the most central first, meet those of the list that aren't in their component yet.
 They have then met all, and leave the list; a list whose documents are one component
 is done. When few pairs are left, they are all tried. So every pair that shares a prefix token is tried
@@ -267,7 +267,7 @@ def node_labels(posted: DataFrame, sets: Sets) -> DataFrame:
     """(rid, label): the component of each node in the postings (rid, token, central, n, shared)."""
     state = posted.withColumn("label", F.col("rid"))
     labels = stage(posted.select("rid").distinct().withColumn("label", F.col("rid")), "neardup-labels")
-    enough, pivots, last = posted.count() + 10_000, 1, False
+    enough, pivots, last = posted.count() + 10_000, 2, False
     while not last:
         sizes = state.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("labels"))
         open_lists = sizes.where("labels > 1")
@@ -281,12 +281,15 @@ def node_labels(posted: DataFrame, sets: Sets) -> DataFrame:
             heads = stage(state.withColumn("at", F.row_number().over(order)).where(F.col("at") <= pivots).drop("at"), "neardup-heads")
             pairs = meeting(state, heads, sets.percent)
         links = sets.confirm(stage(pairs, "neardup-pairs"))
-        roots = components(links.select(F.col("x_label").alias("a"), F.col("p_label").alias("b")))
-        labels = stage(relabel(labels, roots), "neardup-labels")
+        found = not links.isEmpty()
+        if found:
+            roots = components(links.select(F.col("x_label").alias("a"), F.col("p_label").alias("b")))
+            labels = stage(relabel(labels, roots), "neardup-labels")
         if not last:
-            state = stage(relabel(state.join(heads.select("token", "rid"), ["token", "rid"], "left_anti"), roots), "neardup-state")
-            state = stage(narrowed(state, sets), "neardup-state")
-            pivots *= 2
+            state = state.join(heads.select("token", "rid"), ["token", "rid"], "left_anti").select(*state.columns)
+            state = stage(relabel(state, roots) if found else state, "neardup-state")
+            state = stage(narrowed(state, sets), "neardup-state") if found else state
+            pivots *= 4
     return labels
 
 
