@@ -69,4 +69,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from traceloom.llm import oracles
+
+    return oracles.oracle_sql()
