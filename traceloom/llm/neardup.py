@@ -10,8 +10,7 @@ Pairs with enough matches are confirmed on the whole sets.
 
 A shingle that only one document of those posted holds is in no intersection. With n shingles of
 which s are shared, a document reaches at most min(s) / (n + n' - min(s)) with
-another, so most edited copies needn't meet. Between components, only shingles
-that stand in more than one of them count as shared.
+another, so many edited copies needn't meet.
 
 Equal sets are one node from the start. A list of many postings isn't expanded
 into all pairs: in each round a few of its documents, four times as many as in the round
@@ -242,27 +241,6 @@ def meeting(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     return side(left, "x").join(side(right, "p"), "token").where("x != p AND x_label != p_label").where(reach).select("x", "p", "x_label", "p_label").distinct()
 
 
-def narrowed(state: DataFrame, sets: Sets) -> DataFrame:
-    """The postings with ``shared`` counted anew: shingles that documents of other components hold too.
-
-    Only those can be in the intersection of documents that aren't connected yet.
-    Documents left with too few of them can have no further link, and go.
-    """
-    docs = state.select("rid", "label").distinct().join(sets.table.select("rid", "grams"), "rid")
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = [np.frombuffer(x, np.int64) for x in batch.column("grams").to_pylist()]
-            sizes = [len(x) for x in grams]
-            owner = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes), pa.int64()) for c in ("rid", "label")]
-            yield pa.RecordBatch.from_arrays([*owner, pa.array(np.concatenate(grams), pa.int64())], ["rid", "label", "gram"])
-
-    held = docs.mapInArrow(unpacked, "rid long, label long, gram long")
-    across = held.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
-    shared = held.join(across, "gram").groupBy("rid").agg(F.count("*").alias("shared"))
-    return state.drop("shared").join(shared, "rid").where(100 * F.col("shared") >= sets.percent * F.col("n")).select(*state.columns)
-
-
 def node_labels(posted: DataFrame, sets: Sets) -> DataFrame:
     """(rid, label): the component of each node in the postings (rid, token, central, n, shared)."""
     state = posted.withColumn("label", F.col("rid"))
@@ -288,7 +266,6 @@ def node_labels(posted: DataFrame, sets: Sets) -> DataFrame:
         if not last:
             state = state.join(heads.select("token", "rid"), ["token", "rid"], "left_anti").select(*state.columns)
             state = stage(relabel(state, roots) if found else state, "neardup-state")
-            state = stage(narrowed(state, sets), "neardup-state") if found else state
             pivots *= 4
     return labels
 
