@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.measures import clamp
@@ -184,3 +184,32 @@ def hybrid(static: DataFrame, dynamic: DataFrame, w_static: float = 0.4, w_dynam
     rows = dynamic.join(static.select("pair_id", F.col("distance").alias("static")), "pair_id", "left")
     mean = (w_static * F.col("static") + w_dynamic * F.col("distance")) / (w_static + w_dynamic)
     return rows.select("pair_id", clamp(F.coalesce(mean, F.col("distance"))).alias("distance"))
+
+
+def ablations(parts: DataFrame, weights: Mapping[str, float] = V3_WEIGHTS) -> DataFrame:
+    """pair_id, config, distance: the full distance, each part alone, and each part left out with the rest shared anew."""
+    configs = {"full": dict(weights)} | {f"only_{n}": {n: 1.0} for n in weights}
+    configs |= {f"without_{n}": {m: w / (1 - weights[n]) for m, w in weights.items() if m != n} for n in weights}
+    told = F.array(*[F.struct(F.lit(name).alias("config"), weighted(of(w), w).alias("distance")) for name, w in configs.items()])
+    return parts.select("pair_id", F.explode(told).alias("c")).select("pair_id", "c.*")
+
+
+SHORTCUT_WEIGHTS = {"wall_ms": 0.30, "n_calls": 0.30, "n_functions": 0.25, "exception_fraction": 0.15}
+
+
+def shortcut_similarity(volumes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair_id, one 1 / (1 + gap) a volume measure, and their weighted sum: what mere size tells."""
+    rows = both_rows(pairs, volumes.select(PROGRAM, *SHORTCUT_WEIGHTS))
+    alike = {n: 1 / (1 + gap(n)) for n in SHORTCUT_WEIGHTS}
+    return rows.select("pair_id", *[c.alias(n) for n, c in alike.items()], weighted(alike, SHORTCUT_WEIGHTS).alias("similarity"))
+
+
+def trace_similarity(events: DataFrame, traces: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair_id, similarity: mean of the similarities of named calls, lines, return types and exceptions. It looks at outputs."""
+    names = genomes.first_histograms(events, traces).where("family IN ('names', 'lines')")
+    types = genomes.output_types(traces)
+    types = types.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(PROGRAM)))
+    classes = genomes.call_histograms(events, traces).where("family = 'exceptions'")
+    told = names.union(genomes.histogram(types, "types", "type", "share")).union(classes)
+    rows = wide_kernels(told, pairs, {"names": ("names", "l1"), "lines": ("lines", "jaccard"), "types": ("types", "l1"), "classes": ("exceptions", "jaccard")})
+    return rows.select("pair_id", (1 - (F.col("names") + F.col("lines") + F.col("types") + F.col("classes")) / 4).alias("similarity"))

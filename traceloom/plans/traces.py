@@ -408,3 +408,39 @@ def noise_floor(spark, sf_dir):
     events = inputs(spark, sf_dir)[0]
     per_run = events.groupBy("program_id", "input_idx").agg(F.sum((F.col("event_type") == "call").cast("long")).alias("calls"))
     return genomes.noise_floor(per_run, ["program_id"], "calls")
+
+
+@query(BASE + SCALARS + """, w AS (SELECT unnest([{'p': 'coverage', 'w': 0.20}, {'p': 'bigrams', 'w': 0.25}, {'p': 'calls', 'w': 0.20}, {'p': 'exception', 'w': 0.10}, {'p': 'depth', 'w': 0.10}, {'p': 'consistency', 'w': 0.05}, {'p': 'sensitivity', 'w': 0.05}, {'p': 'causality', 'w': 0.05}], recursive := true)),
+u AS (UNPIVOT parts3 ON coverage, calls, bigrams, exception, depth, consistency, sensitivity, causality INTO NAME p VALUE v),
+f AS (SELECT pair_id, p, CAST(w AS DOUBLE) AS w, v, sum(CAST(w AS DOUBLE) * v) OVER (PARTITION BY pair_id) AS d FROM u JOIN w USING (p)),
+c AS (SELECT DISTINCT pair_id, 'full' AS config, d FROM f UNION ALL SELECT pair_id, 'only_' || p, v FROM f UNION ALL SELECT pair_id, 'without_' || p, (d - w * v) / (1 - w) FROM f)
+SELECT pair_id, config, round(greatest(0.0, least(1.0, d)), 5) AS distance FROM (SELECT pair_id, config, any_value(d) AS d FROM c GROUP BY ALL)""")
+def distance_ablations(spark, sf_dir):
+    rows = distances.ablations(distances.behaviour_parts(*inputs(spark, sf_dir)))
+    return rows.withColumn("distance", F.round("distance", 5))
+
+
+@query(BASE + """, v AS (SELECT program_id, count(*) FILTER (et = 'call') AS c, count(DISTINCT CASE WHEN et = 'call' THEN fn END) AS f, avg(CASE WHEN et = 'exception' THEN 1.0 ELSE 0.0 END) AS x FROM ev GROUP BY ALL), t AS (SELECT program_id, sum(ms) AS w FROM tr GROUP BY ALL), vv AS (SELECT * FROM v JOIN t USING (program_id)),
+s AS (SELECT pair_id, 1 / (1 + abs(a.w - b.w)) AS wall_ms, 1 / (1 + abs(a.c - b.c)) AS n_calls, 1 / (1 + abs(a.f - b.f)) AS n_functions, 1 / (1 + abs(a.x - b.x)) AS exception_fraction FROM vp JOIN vv a ON a.program_id = l JOIN vv b ON b.program_id = r)
+SELECT pair_id, round(wall_ms, 6) AS wall_ms, round(n_calls, 6) AS n_calls, round(n_functions, 6) AS n_functions, round(exception_fraction, 6) AS exception_fraction, round(0.30 * wall_ms + 0.30 * n_calls + 0.25 * n_functions + 0.15 * exception_fraction, 6) AS similarity FROM s""")
+def shortcut_similarity(spark, sf_dir):
+    events, traces, pairs = inputs(spark, sf_dir)
+    return distances.shortcut_similarity(genomes.volume(events, traces), pairs)
+
+
+@query(BASE + """, lns AS (SELECT program_id, k, count(*) AS n FROM ev WHERE k IS NOT NULL GROUP BY ALL), nms AS (SELECT *, n / sum(n) OVER (PARTITION BY program_id) AS share FROM (SELECT program_id, fn, count(*) AS n FROM ev WHERE et = 'call' GROUP BY ALL)),
+ty AS (SELECT *, n / sum(n) OVER (PARTITION BY program_id) AS share FROM (SELECT program_id, CASE WHEN return_repr = 'None' THEN 'N' ELSE 'f' END AS t, count(*) AS n FROM tr GROUP BY ALL)), cls AS (SELECT program_id, split_part(exception, ':', 1) AS c, count(*) AS n FROM tr WHERE exception IS NOT NULL GROUP BY ALL)"""
+       + met_sql("m1", "nms", "fn", "share") + met_sql("m2", "lns", "k", "n") + met_sql("m3", "ty", "t.t", "share") + met_sql("m4", "cls", "c", "n")
+       + f""", a1 AS (SELECT pair_id, {L1} AS x FROM m1 GROUP BY ALL), a2 AS (SELECT pair_id, {JACCARD} AS x FROM m2 GROUP BY ALL), a3 AS (SELECT pair_id, {L1} AS x FROM m3 GROUP BY ALL), a4 AS (SELECT pair_id, {JACCARD} AS x FROM m4 GROUP BY ALL)
+SELECT pair_id, round(1 - (coalesce(a1.x, 0) + coalesce(a2.x, 0) + coalesce(a3.x, 0) + coalesce(a4.x, 0)) / 4, 6) AS similarity FROM vp LEFT JOIN a1 USING (pair_id) LEFT JOIN a2 USING (pair_id) LEFT JOIN a3 USING (pair_id) LEFT JOIN a4 USING (pair_id)""")
+def trace_similarity(spark, sf_dir):
+    return distances.trace_similarity(*inputs(spark, sf_dir))
+
+
+@query(BASE + SCALARS + FIRST.replace(DEPTHS, "") + """, v2 AS (SELECT pair_id, greatest(0.0, least(1.0, 0.30 * coverage + 0.30 * calls + 0.15 * exception + 0.15 * depth + 0.10 * consistency)) AS d FROM parts3), vv1 AS (SELECT pair_id, (0.15 * STATE + 0.10 * RESOURCE + 0.10 * TEMPORAL + 0.10 * INTERACTION + 0.10 * EXECUTION) / 0.55 AS d FROM v1)
+SELECT pair_id, round(0.4 * vv1.d + 0.6 * v2.d, 6) AS distance FROM v2 JOIN vv1 USING (pair_id)""")
+def distance_hybrid(spark, sf_dir):
+    """The first distance stands for the static part."""
+    events, traces, pairs = inputs(spark, sf_dir)
+    first = distances.combined(distances.first_distances(events, traces, pairs))
+    return distances.hybrid(first, distances.distance_v2(distances.behaviour_parts(events, traces, pairs)))
