@@ -155,11 +155,11 @@ def trace_depth_stats(spark, sf_dir):
     return sequences.trace_depths(events).groupBy("program_id").agg(F.avg("max_depth").alias("depth_mean"), F.max("max_depth").alias("depth_max"), F.var_pop("max_depth").alias("depth_variance"))
 
 
-@query(BASE + "SELECT program_id, round(avg(n_events), 6) AS length_mean, round(stddev_pop(n_events), 6) AS length_std, min(n_events) AS length_min, max(n_events) AS length_max, round(avg(ms), 4) AS time_mean, round(stddev_pop(ms), 4) AS time_std FROM tr GROUP BY ALL")
+@query(BASE + "SELECT program_id, round(avg(n_events), 6) AS length_mean, round(stddev_pop(n_events), 6) AS length_std, min(n_events) AS length_min, max(n_events) AS length_max, round(avg(ms) / 1000, 3) AS time_mean, round(stddev_pop(ms) / 1000, 3) AS time_std FROM tr GROUP BY ALL")
 def trace_length_stats(spark, sf_dir):
     events, traces, _ = inputs(spark, sf_dir)
     rows = genomes.trace_scalars(events, traces)
-    return rows.select("program_id", "length_mean", "length_std", "length_min", "length_max", F.round("time_mean", 4).alias("time_mean"), F.round("time_std", 4).alias("time_std"))
+    return rows.select("program_id", "length_mean", "length_std", "length_min", "length_max", F.round(F.col("time_mean") / 1000, 3).alias("time_mean"), F.round(F.col("time_std") / 1000, 3).alias("time_std"))
 
 
 @query(BASE + SIGNATURES + " SELECT program_id, round(input_sensitivity, 6) AS input_sensitivity FROM (" + entropy_sql("sigs", "program_id", "input_sensitivity") + ")")
