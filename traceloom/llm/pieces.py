@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from traceloom.llm.common import map_batches
 
 SPACE = "▁"
-STORED_SEGMENTS = 200_000
+STORED_SEGMENTS = 100_000
 #: Pairs of neighbours whose compatibility is remembered.
-KNOWN_PAIRS = 400_000
+KNOWN_PAIRS = 200_000
 
 
 def cut_pattern(pieces: Iterable[str]) -> re.Pattern[str]:
