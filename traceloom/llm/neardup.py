@@ -27,7 +27,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -90,17 +89,17 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
 def id_filter(ids: DataFrame) -> bytes:
     """A bitmap of hashed ids, packed in blocks by tasks. An id of the table is always found."""
     spots = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("spot")).distinct()
-    block = spots.withColumn("block", F.shiftright("spot", 16)).groupBy("block").applyInPandas(packed, "block long, bits binary")
+    block = spots.withColumn("block", F.shiftright("spot", 16)).groupBy("block").applyInArrow(packed, "block long, bits binary")
     out = bytearray(FILTER_BITS // 8)
     for r in block.collect():
         out[r.block << 13 : (r.block + 1) << 13] = r.bits
     return bytes(out)
 
 
-def packed(rows: pd.DataFrame) -> pd.DataFrame:
+def packed(rows: pa.Table) -> pa.Table:
     bits = np.zeros(1 << 16, np.uint8)
-    bits[rows["spot"].to_numpy() & 0xFFFF] = 1
-    return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+    bits[rows.column("spot").to_numpy() & 0xFFFF] = 1
+    return pa.table({"block": pa.array([rows.column("block")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
 
 def shingle_sets(texts: DataFrame, width: int, wanted: bytes | None, schema: str, told: Callable[[pa.Array, list[np.ndarray]], pa.RecordBatch]) -> DataFrame:
