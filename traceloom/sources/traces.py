@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 
 START = "2024-01-01"
 SPLIT_DAY = 15
-EVENT_CAP = 10_000
 TRACE = ["program_id", "run_idx", "input_idx"]
 
 
-def event_traces(log: DataFrame, start: str = START, cap: int = EVENT_CAP) -> DataFrame:
+def event_traces(log: DataFrame, start: str = START, cap: int | None = None) -> DataFrame:
     """A user's events of a day are a trace; days before SPLIT_DAY belong to version A of the user, later ones to B.
 
-    Errors are exceptions, purchases returns, all others calls. Events beyond the cap are cut, as a tracer does.
+    Errors are exceptions, purchases returns, all others calls. All events are kept; with a cap those beyond it are cut,
+    as by a tracer that records live.
     """
     day = F.datediff(F.to_date("ts"), F.lit(start).cast("date"))
     k = F.nullif(F.regexp_extract("props", r'"k": *(-?[0-9]+)', 1), F.lit("")).cast("long")
@@ -37,19 +37,25 @@ def event_traces(log: DataFrame, start: str = START, cap: int = EVENT_CAP) -> Da
         lambda name, r: r.isNotNull(),
     )
     named = log.withColumn("input_idx", day).withColumn("k", k).withColumn("program_id", F.concat(F.col("user_id").cast("string"), F.when(day < SPLIT_DAY, ":A").otherwise(":B")))
-    ranked = named.withColumn("seq", F.row_number().over(order) - 1).where(F.col("seq") < cap)
+    ranked = named.withColumn("seq", F.row_number().over(order) - 1)
+    if cap is not None:
+        ranked = ranked.where(F.col("seq") < cap)
     return ranked.select("program_id", F.lit(0).alias("run_idx"), "input_idx", "seq", kind.alias("event_type"), F.col("event_type").alias("function_name"), snapshot.alias("snapshot"), "ts", "value", "k")
 
 
-def trace_table(events: DataFrame, cap: int = EVENT_CAP) -> DataFrame:
-    """One row a trace. Lines covered are the events' k; the exception and the return value are the last ones seen."""
+def trace_table(events: DataFrame, cap: int | None = None) -> DataFrame:
+    """One row a trace. Lines covered are the events' k; the exception and the return value are the last ones seen.
+
+    cap: the one that the events were cut to, if any; a trace that reaches it is truncated.
+    """
+    truncated = F.lit(False) if cap is None else F.max("seq") >= cap - 1
     last_exception = F.max(F.when(F.col("event_type") == "exception", F.struct("seq", F.concat(F.lit("E"), (F.col("k") % 3).cast("string"), F.lit(": "), F.col("value").cast("string")).alias("told"))))
     last_return = F.max(F.when(F.col("event_type") == "return", F.struct("seq", F.col("snapshot")["value"].alias("told"))))
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     span = F.max(micros) - F.min(micros)
     return events.groupBy(*TRACE).agg(
         F.count("*").alias("n_events"), F.array_sort(F.collect_set("k")).alias("coverage"), last_exception["told"].alias("exception"),
-        F.coalesce(last_return["told"], F.lit("None")).alias("return_repr"), (span / 1000).alias("execution_time_ms"), (F.max("seq") >= cap - 1).alias("truncated"),
+        F.coalesce(last_return["told"], F.lit("None")).alias("return_repr"), (span / 1000).alias("execution_time_ms"), truncated.alias("truncated"),
     )
 
 
