@@ -69,16 +69,34 @@ def dense_cosine(a: Column, b: Column) -> Column:
     return ratio(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def token_edit_similarity(a: Column, b: Column, cap: int = 500) -> Column:
-    """1 - edit distance / longer length of two token lists, cut to ``cap`` tokens.
-
-    Each distinct token becomes one character, so the built-in string distance counts tokens.
-    """
-    a, b = F.slice(a, 1, cap), F.slice(b, 1, cap)
-    known = F.array_distinct(F.concat(a, b))
-    spelled = lambda tokens: F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 0x4E00), 4, "0")), "UTF-16BE")), "")
+def edit_distance(a: list | None, b: list | None) -> int | None:
+    """Levenshtein distance of two lists of any length: rows of the table as bits of one number (Myers, Hyyrö)."""
+    if a is None or b is None:
+        return None
+    if not a:
+        return len(b)
+    places: dict = {}
+    for i, t in enumerate(a):
+        places[t] = places.get(t, 0) | 1 << i
+    every, last, told = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = every, 0  # where the table grows and falls by one from row to row
+    for t in b:
+        same = places.get(t, 0)
+        flat = same | down
+        across = (((same & up) + up) ^ up) | same
+        right, left = down | (every & ~(across | up)), up & across
+        told += bool(right & last) - bool(left & last)
+        right, left = (right << 1 | 1) & every, left << 1 & every
+        up, down = left | (every & ~(flat | right)), right & flat
+    return told
+
+
+def token_edit_similarity(a: Column, b: Column, cap: int | None = None) -> Column:
+    """1 - edit distance / longer length of two whole token lists; with a cap, of their first ``cap`` tokens."""
+    if cap is not None:
+        a, b = F.slice(a, 1, cap), F.slice(b, 1, cap)
     longest = F.greatest(F.size(a), F.size(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(spelled(a), spelled(b)) / longest)
+    return F.when(longest == 0, 1.0).otherwise(1 - F.udf(edit_distance, "long")(a, b) / longest)
 
 
 def near_duplicate_classes(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
