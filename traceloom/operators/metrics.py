@@ -18,6 +18,11 @@ from traceloom.functions.measures import chi2_sf_1df, ratio
 def levels(scores: DataFrame, by: list[str]) -> DataFrame:
     """by, score, pos, neg, and both below the score and in all."""
     grouped = scores.groupBy(*by, "score").agg(F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") == 0).cast("long")).alias("neg"))
+    return ranked_levels(grouped, by)
+
+
+def ranked_levels(grouped: DataFrame, by: list[str]) -> DataFrame:
+    """Levels of rows that are added up already: by, score, pos, neg."""
     order = Window.partitionBy(*by).orderBy("score")
     below, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
     zero = F.lit(0)
@@ -26,7 +31,11 @@ def levels(scores: DataFrame, by: list[str]) -> DataFrame:
 
 def auroc(scores: DataFrame, by: list[str], empty: float = 0.5) -> DataFrame:
     """by, auroc, n_positive, n_negative, tie_fraction: P(score of 1 < score of 0) with ties as halves; ``empty`` for a lone class."""
-    rows = levels(scores, by).groupBy(*by).agg(
+    return auroc_of_levels(levels(scores, by), by, empty)
+
+
+def auroc_of_levels(rows: DataFrame, by: list[str], empty: float = 0.5) -> DataFrame:
+    rows = rows.groupBy(*by).agg(
         F.sum(F.col("neg") * (F.col("pos_below") + F.col("pos") / 2)).alias("won"), F.sum(F.col("pos") * F.col("neg")).alias("tied"), F.max("pos_all").alias("n_positive"), F.max("neg_all").alias("n_negative")
     )
     pairs = (F.col("n_positive") * F.col("n_negative")).cast("double")
@@ -114,22 +123,24 @@ def hashed(*parts: Column) -> Column:
 
 
 def resampled(scores: DataFrame, rounds: int, seed: int, unit: str) -> DataFrame:
-    """Bootstrap: for each round as many draws of a unit, with replacement, as there are units. Adds ``round``.
+    """Bootstrap: for each round as many draws of a unit, with replacement, as there are units: round, score, pos, neg.
 
     unit: a column; rows of one unit are drawn together, so a program's pairs can be a cluster. Draw i of round b takes
-    the unit numbered hash(seed, b, i) mod n.
+    the unit numbered hash(seed, b, i) mod n. A unit's rows are added up by score before it is drawn.
     """
     spark = scores.sparkSession
     units = scores.select(unit).distinct().withColumn("no", F.row_number().over(Window.orderBy(unit)) - 1)
-    n = units.count()
-    draws = spark.range(rounds).select(F.col("id").alias("round")).select("round", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("i"))
-    picked = draws.select("round", (hashed(F.lit(seed), F.col("round"), F.col("i")) % max(n, 1)).alias("no")).groupBy("round", "no").agg(F.count("*").alias("times"))
-    return scores.join(units, unit).join(picked, "no").select("round", "score", "label", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).drop("time")
+    n = max(units.count(), 1)
+    held = scores.join(units, unit).groupBy("no", "score").agg(F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") == 0).cast("long")).alias("neg"))
+    draws = spark.range(rounds * n).select(F.floor(F.col("id") / n).alias("round"), (F.col("id") % n).alias("i"))
+    picked = draws.select("round", (hashed(F.lit(seed), F.col("round"), F.col("i")) % n).alias("no"))
+    return picked.join(held, "no").groupBy("round", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def bootstrap_ci(scores: DataFrame, rounds: int = 200, seed: int = 42, unit: str = "pair_id", alpha: float = 0.05) -> DataFrame:
     """low, high: percentile interval of the AUROC by rank of the rounds, rank floor(alpha/2 B) and ceil((1 - alpha/2) B) - 1 from 0."""
-    each = auroc(resampled(scores, rounds, seed, unit), ["round"]).withColumn("at", F.row_number().over(Window.orderBy("auroc", "round")) - 1)
+    drawn = ranked_levels(resampled(scores, rounds, seed, unit), ["round"])
+    each = auroc_of_levels(drawn, ["round"]).withColumn("at", F.row_number().over(Window.orderBy("auroc", "round")) - 1)
     low, high = math.floor(alpha / 2 * rounds), math.ceil((1 - alpha / 2) * rounds) - 1
     return each.agg(F.max(F.when(F.col("at") == low, F.col("auroc"))).alias("low"), F.max(F.when(F.col("at") == high, F.col("auroc"))).alias("high"))
 

@@ -10,7 +10,8 @@ from traceloom.operators import metrics
 from traceloom.plans.registry import query
 from traceloom.sources.tables import read_table
 
-ROUNDS = 20
+#: Resamples of the bootstraps and permutations.
+ROUNDS = 1000
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
