@@ -13,15 +13,20 @@ from pyspark.sql import functions as F
 from traceloom.llm import langid, mixing, neardup, pieces, secrets
 from traceloom.llm.common import stage, table
 
-#: A document goes if no language reaches this pooled probability; it has to be near a guess among the languages learned.
-LEAST_SCORE = 0.3
+#: A document goes if no language reaches this many times the pooled probability of a guess among the languages learned.
+LEAST_GAIN = 1.2
+
+
+def least_score(languages: int) -> float:
+    """The least score that is told from a guess; a lone language has score 1, but for rounding."""
+    return min(LEAST_GAIN / max(1, languages), 1 - 1e-6)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a letter, or of no language that the network makes out, go."""
     network = langid.fit(docs)
     told = langid.predict(docs.select(F.col("text").cast("string").alias("text"), F.struct("*").alias("row")), network)
-    return told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= least_score(len(network.languages)))).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

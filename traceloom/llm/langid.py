@@ -6,7 +6,8 @@ every position with probabilities of the languages. The probabilities of the pos
 that belong to letters are averaged over the whole text.
 
 The network is trained in numpy by backpropagation through time, on windows from
-at most ``SAMPLE_DOCS`` labelled documents of each of at most ``LANGUAGES`` languages.
+at most ``SAMPLE_DOCS`` labelled documents of each language. All languages are learned; where
+they are many, they share ``SAMPLE_ALL`` documents, and each has at least one.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from traceloom.llm.common import small_batches
 
 WINDOW = 64
 HIDDEN = 8
-LANGUAGES = 64
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 512
+#: Languages for which HIDDEN, BATCH and ROWS are meant; with more, states grow and numpy steps hold fewer windows.
+MANY = 64
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 300, 512, 64 * 300
 #: At least so many passes over the sample, and so many steps.
 EPOCHS, STEPS, BATCH, RATE = 5, 400, 256, 0.02
 #: Windows that one numpy step holds.
@@ -58,12 +60,18 @@ class Network:
         return [*(a for d in self.directions for a in (d.table, d.back, d.label)), self.bias]
 
 
-def new_network(languages: list[str], hidden: int = HIDDEN, seed: int = 5) -> Network:
+def new_network(languages: list[str], hidden: int | None = None, seed: int = 5) -> Network:
+    hidden = hidden or HIDDEN * -(-max(1, len(languages) - 1).bit_length() // (MANY - 1).bit_length())
     rng = np.random.default_rng(seed)
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(hidden), shape).astype(np.float32)
     return Network(languages, [Direction(draw(3 * hidden, 256), draw(3 * hidden, hidden), draw(len(languages), hidden)) for _ in range(2)], np.zeros(len(languages), np.float32))
 
 
+def fewer(rows: int, network: Network) -> int:
+    """Windows that one numpy step holds: probabilities take rows times languages."""
+    return max(16, rows * MANY // max(MANY, len(network.languages)))
+
+
 def step(d: Direction, taken: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The next state from the inputs (3H, R) and the state (H, R); also the gates (2H, R) and the new part."""
     k = len(h)
@@ -127,13 +135,14 @@ def train(network: Network, windows: np.ndarray, answers: np.ndarray, epochs: in
     rng = np.random.default_rng(seed)
     arrays = network.arrays()
     network.moments = [(np.zeros_like(a), np.zeros_like(a)) for a in arrays]
-    batches = -(-len(windows) // BATCH)
+    batch = fewer(BATCH, network)
+    batches = -(-len(windows) // batch)
     epochs = max(epochs, -(-STEPS // batches))
     count, total = 0, epochs * batches
     for _ in range(epochs):
         order = rng.permutation(len(windows))
-        for low in range(0, len(order), BATCH):
-            some = order[low : low + BATCH]
+        for low in range(0, len(order), batch):
+            some = order[low : low + batch]
             count += 1
             rate = RATE * (1 - 0.9 * count / total)
             for a, g, (m, v) in zip(arrays, gradients(network, windows[some], answers[some])[0], network.moments, strict=True):
@@ -189,18 +198,23 @@ def gradients(network: Network, windows: np.ndarray, answers: np.ndarray) -> tup
 
 
 def sample_windows(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The most frequent languages, and windows of a bounded sample of their documents. docs: doc_id, text, lang."""
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    """All languages, and windows of a bounded sample of their documents. docs: doc_id, text, lang."""
+    counts = docs.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64)
-    chance = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * SAMPLE_DOCS / r["count"])))])
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(languages)))
+    chance = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (2 * each + 20) / r["count"])))])
+    pick = F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")), F.lit(1 << 30))
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
-    near = docs.where(pick < chance[F.col("lang")] * float(1 << 30)).select("lang", pick.alias("pick"), F.col("text").substr(start, F.lit(SAMPLE_CHARS)).alias("text"))
+    shown = docs.select("lang", pick.alias("pick"), F.col("text").substr(start, F.lit(SAMPLE_CHARS)).alias("text"))
+    near = shown.where(F.col("pick") < chance[F.col("lang")] * float(1 << 30)).collect()
+    # a language whose documents share an id or a text can miss them all
+    if missed := sorted({*languages} - {r.lang for r in near}):
+        near += shown.where(F.col("lang").isin(missed)).groupBy("lang").agg(F.min(F.struct("pick", "text")).alias("m")).select("lang", "m.*").collect()
     texts: dict[str, list[bytes]] = {x: [] for x in languages}
-    for r in sorted(near.collect(), key=lambda r: (r.lang, r.pick, r.text)):
-        if len(texts[r.lang]) < SAMPLE_DOCS:
+    for r in sorted(near, key=lambda r: (r.lang, r.pick, r.text)):
+        if len(texts[r.lang]) < each:
             texts[r.lang].append(r.text.encode().lower())
     cuts = [cut(texts[x]) if texts[x] else (np.zeros((0, WINDOW), np.uint8), None) for x in languages]
     windows = np.concatenate([w for w, _ in cuts])
@@ -240,7 +254,8 @@ def predict(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
             due = np.flatnonzero(lettered)
             if len(due) and network.languages:
                 windows, counts = cut([texts[i].encode().lower() for i in due])
-                sums = [label_windows(network, windows[low : low + ROWS]) for low in range(0, len(windows), ROWS)]
+                rows = fewer(ROWS, network)
+                sums = [label_windows(network, windows[low : low + rows]) for low in range(0, len(windows), rows)]
                 first = np.cumsum(counts) - counts
                 chance, votes = (np.add.reduceat(np.concatenate([s[j] for s in sums]).astype(float), first) for j in range(2))
                 found = chance.argmax(1)
