@@ -7,9 +7,10 @@ its words by their corpus counts. So the tables that tasks hold are bounded by
 ``LEXICON`` and ``TAILS``, whatever the vocabulary, and the counts of rare words
 come by a join.
 
-Training starts from a bounded sample of documents and goes on with full passes of
-Baum-Welch: each partition of the whole training corpus adds up its expected counts of
-states, transitions and emissions, and the counts are summed across partitions.
+Training takes its first guess from a bounded sample of documents and goes on with full
+passes of Baum-Welch until the likelihood settles: each partition of the whole training
+corpus adds up its expected counts of states, transitions and emissions over whole texts,
+and the counts are summed across partitions.
 Scoring runs the scaled forward recursion over whole texts.
 """
 
@@ -34,15 +35,17 @@ LEXICON = 65_536
 #: Classes of the other words.
 TAILS = 512
 STATES = 6
-#: Documents of the sample that training starts from, and characters read of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
+#: Documents of the sample that gives the first guess, and bytes of them in all; texts are whole.
+SAMPLE_DOCS, SAMPLE_BYTES = 400, 8_000_000
 SAMPLE_ROUNDS = 20
-#: Baum-Welch passes over the whole training corpus.
-PASSES = 2
-#: Training cuts longer documents into segments of this many tokens.
+#: Baum-Welch passes over the whole training corpus end when one gains less than this share of the log likelihood.
+SETTLED = 1e-4
+#: Where expected counts are asked for by segments, these are of this many tokens.
 SEGMENT = 64
 #: Scoring cuts the recursion into blocks of this many tokens, without loss.
 BLOCK = 256
+#: Bytes of texts that a training task lays out at once.
+TRAINED = 1 << 22
 #: Tokens of training segments or scoring blocks that one numpy step holds.
 CHUNK = 1 << 18
 #: The end token's key among the words; no word holds a space.
@@ -176,53 +179,72 @@ def segments_of(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray,
     return start, np.minimum(size, lengths[doc] - within * size), doc
 
 
-def expected_counts(model: Model, ids: np.ndarray, lengths: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def expected_counts(model: Model, ids: np.ndarray, lengths: np.ndarray, classes: int, segment: int | None = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts of starts, transitions and emissions, and the log likelihood, of sequences laid end to end.
 
-    Longer sequences are cut into segments; a segment inside a document starts
-    from the states' shares of the tokens so far known, not from the start distribution.
+    segment: None for whole sequences, as training takes them. Else longer ones are cut, and a segment inside a
+    document starts from the stationary shares of the states, so the counts are approximate.
+
+    Sequences that are too long to hold are done in blocks without loss: the forward states at the
+    blocks' beginnings are kept, and a block's own are found again when the backward states reach it.
     """
     k = len(model.start)
     starts, steps, emits, told = np.zeros(k), np.zeros((k, k)), np.zeros((classes, k)), 0.0
-    at, size, doc = segments_of(lengths, SEGMENT)
+    if not len(lengths):
+        return starts, steps, emits, told
+    at, size, doc = segments_of(lengths, segment or int(lengths.max()))
     first = np.concatenate([[True], doc[1:] != doc[:-1]])
     stationary = np.linalg.matrix_power(model.step, 64)[0]
     order = np.argsort(-size, kind="stable")
-    rows = max(1, CHUNK // SEGMENT)
-    for low in range(0, len(order), rows):
-        some = order[low : low + rows]
+    low = 0
+    while low < len(order):
+        # as many as CHUNK tokens at the longest one's length
+        high = min(len(order), low + max(1, CHUNK // int(size[order[low]])))
+        some = order[low:high]
+        low = high
         s, n = at[some], size[some]
         longest, count = int(n[0]), len(some)
-        active = [int(np.searchsorted(-n, -t, "left")) for t in range(longest)]  # segments longer than t
-        tokens = ids[np.minimum(s[:, None] + np.arange(longest), len(ids) - 1)].T
-        alpha, scale = np.zeros((longest, count, k)), np.ones((longest, count))
-        emit = [model.emit[tokens[t, : active[t]]] for t in range(longest)]
-        now = np.where(first[some][:, None], model.start, stationary)
-        for t in range(longest):
-            m = active[t]
-            now = (now[:m] if t == 0 else now[:m] @ model.step) * emit[t]
-            total = now.sum(1)
-            now /= total[:, None]
-            alpha[t, :m], scale[t, :m] = now, total
-        told += float(np.log(scale).sum())
-        gamma = alpha
-        beta = np.ones((active[-1], k))
-        for t in range(longest - 1, -1, -1):
-            m = active[t]
-            if t < longest - 1:
-                after = active[t + 1]
-                weighed = emit[t + 1] * beta / scale[t + 1, :after, None]
-                steps += alpha[t, :after].T @ weighed
-                beta = np.concatenate([weighed @ model.step.T, np.ones((m - after, k))])
-            if t + 1 < longest:
-                gamma[t + 1, : active[t + 1]] = held
-            held = alpha[t, :m] * beta
-        gamma[0, :count] = held
-        starts += gamma[0][first[some]].sum(0)
-        seen = np.concatenate([tokens[t, : active[t]] for t in range(longest)])
-        flat = np.concatenate([gamma[t, : active[t]] for t in range(longest)])
-        for j in range(k):
-            emits[:, j] += np.bincount(seen, flat[:, j], classes)
+        active = np.searchsorted(-n, -np.arange(longest), "left").tolist()  # sequences longer than t
+        block = max(1, CHUNK // count)
+
+        def forward(begin: int, end: int, now: np.ndarray, keep: bool) -> tuple[list, list, list, list, np.ndarray]:
+            """Tokens, emissions, states and scales of the positions if they are to be kept, and the last states."""
+            tokens, emit, alpha, scale = [], [], [], []
+            for t in range(begin, end):
+                m = active[t]
+                x = ids[s[:m] + t]
+                e = model.emit[x]
+                now = (now[:m] if t == 0 else now[:m] @ model.step) * e
+                total = now.sum(1, keepdims=True)
+                now = now / total
+                if keep:
+                    tokens.append(x)
+                    emit.append(e)
+                    alpha.append(now)
+                    scale.append(total)
+            return tokens, emit, alpha, scale, now
+
+        entering = [np.where(first[some][:, None], model.start, stationary)]
+        for begin in range(0, longest - block, block):
+            entering.append(forward(begin, begin + block, entering[-1], False)[-1])
+        beta, weighed = np.ones((active[-1], k)), None
+        for begin in range((len(entering) - 1) * block, -1, -block):
+            end = min(longest, begin + block)
+            tokens, emit, alpha, scale, _ = forward(begin, end, entering[begin // block], True)
+            told += float(sum(np.log(x).sum() for x in scale))
+            gamma = [None] * len(alpha)
+            for i in range(len(alpha) - 1, -1, -1):
+                m = active[begin + i]
+                if weighed is not None:
+                    steps += alpha[i][: len(weighed)].T @ weighed
+                    beta = np.concatenate([weighed @ model.step.T, np.ones((m - len(weighed), k))])
+                gamma[i] = alpha[i] * beta
+                weighed = emit[i] * beta / scale[i]
+            if begin == 0:
+                starts += gamma[0][first[some]].sum(0)
+            seen, flat = np.concatenate(tokens), np.concatenate(gamma)
+            for j in range(k):
+                emits[:, j] += np.bincount(seen, flat[:, j], classes)
     return starts, steps * model.step, emits, told
 
 
@@ -310,8 +332,8 @@ def training_pass(texts: DataFrame, vocabulary: Vocabulary, model: Model) -> tup
         sums = [np.zeros(k), np.zeros((k, k)), np.zeros((classes, k)), 0.0]
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for low, high in slices(texts):
-                sums = [a + b for a, b in zip(sums, expected_counts(model, *laid_out(lexicon, texts[low:high]), classes), strict=True)]
+            for low, high in slices(texts, TRAINED):
+                sums = [a + b for a, b in zip(sums, expected_counts(model, *laid_out(lexicon, texts[low:high]), classes, None), strict=True)]
         emitted = np.flatnonzero(sums[2].any(1))
         # rows below 0: the starts, the transitions from each state, the log likelihood
         rows = np.concatenate([sums[2][emitted], sums[0][None], sums[1], np.full((1, k), sums[3])])
@@ -335,22 +357,37 @@ def training_pass(texts: DataFrame, vocabulary: Vocabulary, model: Model) -> tup
     return normalised(starts, steps, emits, (counts + 1) / (counts + 1).sum()), told
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, states: int = STATES, passes: int = PASSES, seed: int = 11) -> Model:
-    """Start on a sample of at most SAMPLE_DOCS texts, then pass over all of them. texts: pick, text."""
+def first_texts(texts: DataFrame, ends: int) -> list[bytes]:
+    """Whole texts in the order of ``pick``: at most SAMPLE_DOCS, and SAMPLE_BYTES in all; one beyond that is passed over."""
+    chance = min(1.0, 2 * SAMPLE_DOCS / ends)
+    near = texts.where(F.pmod(F.col("pick"), F.lit(1 << 20)) < math.ceil(chance * (1 << 20))).withColumn("bytes", F.length("text"))
+    held, picks = 0, []
+    for r in near.orderBy("pick", "bytes").select("pick", "bytes").limit(SAMPLE_DOCS).collect():
+        if held + r.bytes <= SAMPLE_BYTES:
+            held += r.bytes
+            picks.append(r.pick)
+    if not picks:
+        return []
+    rows = near.where(F.col("pick").isin(picks) & (F.col("bytes") <= SAMPLE_BYTES)).dropDuplicates(["pick"]).select("pick", "text").collect()
+    return [bytes(r.text) for r in sorted(rows, key=lambda r: r.pick)]
+
+
+def train(texts: DataFrame, vocabulary: Vocabulary, states: int = STATES, settled: float = SETTLED, seed: int = 11) -> Model:
+    """A first guess from some texts, then passes over all of them until the log likelihood settles. texts: pick, text."""
     counts = vocabulary.class_counts()
     background = (counts + 1) / (counts + 1).sum()
     model = first_model(background, states, seed)
     ends = max(1, int(vocabulary.counts[vocabulary.words.index(END)]) if END in vocabulary.words else 1)
-    chance = min(1.0, 2 * SAMPLE_DOCS / ends)
-    picked = texts.where(F.pmod(F.col("pick"), F.lit(1 << 20)) < math.ceil(chance * (1 << 20))).orderBy("pick").limit(SAMPLE_DOCS)
-    sample = [bytes(r.text) for r in picked.select("pick", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("pick", "text").collect()]
-    if sample:
+    if sample := first_texts(texts, ends):
         ids, lengths = laid_out(vocabulary.lexicon(), sample)
         for _ in range(SAMPLE_ROUNDS):
-            model = normalised(*expected_counts(model, ids, lengths, vocabulary.classes)[:3], background)
-    for _ in range(passes):
-        model, _ = training_pass(texts, vocabulary, model)
-    return model
+            model = normalised(*expected_counts(model, ids, lengths, vocabulary.classes, None)[:3], background)
+    before = -math.inf
+    while True:
+        better, told = training_pass(texts, vocabulary, model)
+        if told - before <= settled * abs(told):
+            return model
+        model, before = better, told
 
 
 def scored(texts: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFrame:
