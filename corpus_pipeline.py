@@ -30,9 +30,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup on five-word shingles: of each group the document of the least id stays."""
-    gone = stage(neardup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "pipeline-gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """MinHash near-dedup on five-word shingles: of each group the row of the least id stays."""
+    return neardup.drop_copies(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm.common import small_batches, stage
@@ -87,8 +87,8 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
 
 
 def id_filter(ids: DataFrame) -> bytes:
-    """A bitmap of hashed ids, packed in blocks by tasks. An id of the table is always found."""
-    spots = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("spot")).distinct()
+    """A bitmap of hashed ids and texts (id, h), packed in blocks by tasks. One of the table is always found."""
+    spots = ids.select(F.pmod(F.xxhash64("id", "h"), F.lit(FILTER_BITS)).alias("spot")).distinct()
     block = spots.withColumn("block", F.shiftright("spot", 16)).groupBy("block").applyInArrow(packed, "block long, bits binary")
     out = bytearray(FILTER_BITS // 8)
     for r in block.collect():
@@ -102,8 +102,8 @@ def packed(rows: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([rows.column("block")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
 
-def shingle_sets(texts: DataFrame, width: int, wanted: bytes | None, schema: str, told: Callable[[pa.Array, list[np.ndarray]], pa.RecordBatch]) -> DataFrame:
-    """Apply ``told`` to the ids and shingle sets of each batch of texts, of those that pass the filter if there is one."""
+def shingle_sets(texts: DataFrame, width: int, wanted: bytes | None, schema: str, told: Callable[[pa.RecordBatch, list[np.ndarray]], pa.RecordBatch]) -> DataFrame:
+    """Apply ``told`` to each batch of texts (id, h, text) and its shingle sets, of those that pass the filter if there is one."""
     small_batches(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
@@ -114,39 +114,39 @@ def shingle_sets(texts: DataFrame, width: int, wanted: bytes | None, schema: str
                 spot = batch.column("spot").to_numpy()
                 batch = batch.filter(pa.array((bitmap[spot >> 3] >> (spot & 7)) & 1 == 1))
             if batch.num_rows:
-                yield told(batch.column("id"), [shingle_set(t, width) for t in batch.column("text").to_pylist()])
+                yield told(batch, [shingle_set(t, width) for t in batch.column("text").to_pylist()])
 
-    return texts.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("spot")).mapInArrow(run, schema)
+    return texts.select("id", "h", "text", F.pmod(F.xxhash64("id", "h"), F.lit(FILTER_BITS)).alias("spot")).mapInArrow(run, schema)
 
 
 def sketches(texts: DataFrame, width: int, coordinates: int, wanted: bytes | None = None, with_set: bool = False) -> DataFrame:
-    """id, n (size of the shingle set), key (digest of the set), sig and, if asked for, grams (the set's bytes).
+    """id, h, n (size of the shingle set), key (digest of the set), sig and, if asked for, grams (the set's bytes).
 
     A document without words has n 0 and neither key nor signature.
     """
 
-    def told(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def told(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [i for i, s in enumerate(sets) if len(s)]
         sig: list = [None] * len(sets)
         if full:
             for i, row in zip(full, signatures([sets[i] for i in full], coordinates).view(np.int32), strict=True):
                 sig[i] = row
         key = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int32()))]
-        names = ["id", "n", "key", "sig"]
+        columns = [batch.column("id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int32()))]
+        names = ["id", "h", "n", "key", "sig"]
         if with_set:
             columns.append(pa.array([s.tobytes() for s in sets], pa.binary()))
             names.append("grams")
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return shingle_sets(texts, width, wanted, "id long, n long, key binary, sig array<int>" + ", grams binary" * with_set, told)
+    return shingle_sets(texts, width, wanted, "id long, h long, n long, key binary, sig array<int>" + ", grams binary" * with_set, told)
 
 
 def own_shingles(texts: DataFrame, width: int, wanted: bytes) -> DataFrame:
-    """(rid, own): how many shingles of a wanted document no other wanted document holds, where there are any."""
+    """(rid, own): how many shingles of a wanted text no other wanted text holds, where there are any."""
 
-    def told(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-        owner = np.repeat(ids.to_numpy(), [len(s) for s in sets])
+    def told(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        owner = np.repeat(batch.column("h").to_numpy(), [len(s) for s in sets])
         return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(sets).view(np.int64), pa.int64())], ["rid", "gram"])
 
     grams = shingle_sets(texts, width, wanted, "rid long, gram long", told)
@@ -269,6 +269,54 @@ def node_labels(posted: DataFrame, sets: Sets) -> DataFrame:
     return labels
 
 
+def text_components(docs: DataFrame, *, width: int = 5, percent: int = 80, coordinates: int = COORDINATES) -> DataFrame:
+    """One row of each id and text, with its copies: id (NO_ID if null), h (the text's hash), n, copies, first, component.
+
+    A node is a class of texts with equal shingle sets, named by the hash of one of them, so that an id with several
+    texts is several nodes. Links join classes; first: the text is the least, by id and hash, of those that links
+    reach. component: the least id that links reach if classes that share an id are linked too. A text without
+    words is in no class; its component is its id's, if that has other texts.
+    """
+    needed = needed_matches(percent / 100, coordinates)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
+    known = stage(sketches(texts, width, coordinates), "neardup-sketches")
+    each = known.groupBy("id", "h", "n", "key").agg(F.count("*").alias("copies"))
+    # equal keys are equal sets, so any of a class has its size and signature
+    classes = known.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "h")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = stage(classes.select("key", F.col("rep.id").alias("id"), F.col("rep.h").alias("rid"), "n", "sig"), "neardup-classes")
+    posted = stage(prefix_postings(classes, needed), "neardup-postings")
+    nodes = classes.select("rid", "id", "n").join(posted.select("rid").distinct(), "rid", "left_semi")
+    own = own_shingles(texts, width, id_filter(nodes.select("id", F.col("rid").alias("h"))))
+    counted = nodes.join(own, "rid", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+    counted = stage(counted.where(100 * F.col("shared") >= percent * F.col("n")).select("rid", "id", "n", "shared"), "neardup-shared")
+    posted = stage(posted.join(counted.drop("id"), "rid"), "neardup-postings")
+    wanted = counted.select("id", F.col("rid").alias("h"))
+    features = sketches(texts, width, coordinates, id_filter(wanted), with_set=True).join(wanted, ["id", "h"], "left_semi")
+    if not each.where("copies > 1 AND n > 0").isEmpty():
+        features = features.dropDuplicates(["id", "h"])
+    sets = Sets(features.withColumnRenamed("h", "rid").drop("id", "key"), needed, percent)
+    labels = node_labels(posted, sets)
+    docs.sparkSession.sql(f"DROP TABLE {sets.name}")
+    parts = classes.select("key", "id", "rid").join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    heads = parts.groupBy("label").agg(F.min(F.struct("id", "rid")).alias("head"))
+    parts = stage(parts.join(heads, "label").withColumn("part", F.col("label")), "neardup-parts")
+    several = known.where(F.col("key").isNotNull() & (F.col("id") != NO_ID)).groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    several = stage(several.where("low != high").select("id"), "neardup-several")
+    if not several.isEmpty():
+        held = each.join(several, "id", "left_semi").select("id", "key").join(parts.select("key", "label"), "key").select("id", "label").distinct()
+        edges = held.join(held.groupBy("id").agg(F.min("label").alias("a")), "id").where("a != label").select("a", F.col("label").alias("b"))
+        parts = relabel(parts, components(stage(edges, "neardup-shared-ids")))
+    least = parts.groupBy("label").agg(F.min("head.id").alias("component"))
+    parts = parts.join(least, "label").select("key", "head", "component")
+    rows = each.join(parts, "key", "left")
+    empty = rows.where("n = 0 AND id != " + str(NO_ID)).select("id").distinct()
+    beside = rows.where("n > 0").join(empty, "id", "left_semi").groupBy("id").agg(F.min("component").alias("beside"))
+    rows = rows.join(beside, "id", "left").withColumn("component", F.coalesce("component", "beside", "id"))
+    first = F.col("head").isNull() | ((F.col("head.id") == F.col("id")) & (F.col("head.rid") == F.col("h")))
+    return stage(rows.select("id", "h", "n", "copies", first.alias("first"), "component"), "neardup-rows")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, coordinates: int = COORDINATES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -277,27 +325,27 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, coord
     links reach, and that document is kept.
 
     Edge cases: a document without words (null, empty or white space) is linked
-    with nothing and kept; rows with one doc_id are one node, linked by any of
-    their texts; rows with a null doc_id are one node, last in order; an
+    with nothing and kept; rows with one doc_id are one document, linked by any of
+    their texts; each row with a null doc_id is a document of its own, last in order, and of a
+    component of such rows alone, whose id is null, one is kept; an
     empty table gives no rows; other columns are ignored.
     """
-    needed = needed_matches(percent / 100, coordinates)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    known = stage(sketches(texts, width, coordinates), "neardup-sketches")
-    classes = stage(known.where("n > 0").groupBy("key").agg(F.min("id").alias("rid")), "neardup-classes")
-    nodes = known.withColumnRenamed("id", "rid").join(classes, ["rid", "key"], "left_semi")
-    posted = stage(prefix_postings(nodes, needed), "neardup-postings")
-    held = posted.select("rid").distinct()
-    own = own_shingles(texts, width, id_filter(held.select(F.col("rid").alias("id"))))
-    counted = nodes.join(held, "rid", "left_semi").groupBy("rid").agg(F.max("n").alias("n")).join(own, "rid", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
-    counted = stage(counted.where(100 * F.col("shared") >= percent * F.col("n")).select("rid", "n", "shared"), "neardup-shared")
-    posted = stage(posted.join(counted, "rid"), "neardup-postings")
-    wanted = counted.select(F.col("rid").alias("id"))
-    features = sketches(texts, width, coordinates, id_filter(wanted), with_set=True).join(wanted, "id", "left_semi")
-    sets = Sets(features.withColumnRenamed("id", "rid").drop("key"), needed, percent)
-    labels = node_labels(posted, sets)
-    docs.sparkSession.sql(f"DROP TABLE {sets.name}")
-    roots = classes.join(labels, "rid", "left").select("key", F.coalesce("label", "rid").alias("root"))
-    found = known.select("id", "n", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "id"))
-    shown: Column = F.when(F.col("root") != NO_ID, F.col("root"))
-    return found.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown.alias("component_id"), (F.col("id") == F.col("root")).alias("kept"))
+    rows = text_components(docs, width=width, percent=percent, coordinates=coordinates)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    nameless = (F.col("component") == NO_ID) & ((F.col("n") == 0) | (F.col("first") & (F.col("copy") == 1)))
+    kept = F.when(F.col("id") == NO_ID, nameless).otherwise(F.col("id") == F.col("component"))
+    shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return rows.select(shown("id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("component").alias("component_id"), kept.alias("kept"))
+
+
+def drop_copies(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of documents, of each group of linked texts one: the least by doc_id, null ids last. Rows without words stay."""
+    rows = text_components(docs, width=width, percent=percent).where("n > 0 AND (copies > 1 OR NOT first)")
+    marks = rows.select(F.col("id").alias("marked_id"), F.col("h").alias("marked_h"), "first")
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("h"))
+    same = (F.col("id") == F.col("marked_id")) & (F.col("h") == F.col("marked_h"))
+    left = keyed.join(marks, same, "left_anti").select("row.*")
+    repeated = marks.where("first")
+    if repeated.isEmpty():
+        return left
+    return left.union(keyed.join(repeated, same, "left_semi").dropDuplicates(["id", "h"]).select("row.*"))
