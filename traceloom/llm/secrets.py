@@ -1,7 +1,7 @@
 """Secret scans by a trigram inverted index, in DataFrame operations only.
 
-From each rule's regex a Boolean query over trigrams follows: every match of
-``token`` holds ``tok``, ``oke`` and ``ken``. Documents are posted under the
+Each rule gives by hand, beside its regex, the literals of which every match holds one; from
+them a Boolean query over trigrams follows: every match of ``token`` holds ``tok``, ``oke`` and ``ken``. Documents are posted under the
 trigrams that the queries name, the postings of a document are intersected and
 united as its query asks, and the regex runs on the documents that are left.
 A rule without mandatory trigrams runs on every document.
