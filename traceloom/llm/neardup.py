@@ -25,11 +25,12 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm.common import small_batches, stage
@@ -38,6 +39,11 @@ COORDINATES = 64
 MISS = 1e-6
 NO_ID = (1 << 63) - 1
 SALTS = 32
+#: Heads of a list in the first round, and in the second; after that, times as many as the round before.
+FIRST_HEADS, MORE_HEADS = 2, 64
+#: The bitmap of a node's difference from its base.
+LONGS = 4
+BITS = [f"b{j}" for j in range(LONGS)]
 #: Bits of the filter of wanted ids, 8 MB; the more ids it holds, the more others pass it.
 FILTER_BITS = 1 << 26
 U = np.uint64
@@ -173,9 +179,9 @@ def prefix_postings(nodes: DataFrame, needed: int) -> DataFrame:
 class Sets:
     """Signatures and shingle sets of the posted nodes, in a table bucketed by node, so that joins don't move it."""
 
-    def __init__(self, features: DataFrame, needed: int, percent: int):
+    def __init__(self, features: DataFrame, percent: int):
         spark = features.sparkSession
-        self.needed, self.percent = needed, percent
+        self.percent = percent
         self.name = f"neardup_{uuid.uuid4().hex}"
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         features.repartition(buckets, "rid").write.format("parquet").bucketBy(buckets, "rid").saveAsTable(self.name)
@@ -188,11 +194,14 @@ class Sets:
         right = salted.select("p", "salt").distinct().join(side("p"), "p")
         return salted.join(side("x"), "x").join(right, ["p", "salt"]).drop("salt")
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (x, p, ...) with enough matching coordinates whose sets are similar enough."""
+    def matched(self, pairs: DataFrame, least: int) -> DataFrame:
+        """The pairs with at least so many matching coordinates, and how many these are."""
         matches = F.aggregate(F.zip_with("x_sig", "p_sig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, v: s + v)
-        close = stage(self.both(pairs, ["sig"]).where(matches >= self.needed).select(*pairs.columns), "neardup-close")
-        percent, names = self.percent, pairs.columns
+        return self.both(pairs, ["sig"]).select(*pairs.columns, matches.alias("matches")).where(F.col("matches") >= least)
+
+    def linked(self, close: DataFrame) -> DataFrame:
+        """The pairs whose sets are similar enough."""
+        percent, names = self.percent, close.columns
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -203,8 +212,28 @@ class Sets:
                     keep.append(100 * both >= percent * (len(a) + len(b) - both))
                 yield batch.filter(pa.array(keep, pa.bool_())).select(names)
 
-        small_batches(pairs.sparkSession)
-        return stage(self.both(close, ["grams"]).mapInArrow(check, close.schema), "neardup-links")
+        small_batches(close.sparkSession)
+        return self.both(close, ["grams"]).mapInArrow(check, close.schema)
+
+    def differences(self, based: DataFrame) -> DataFrame:
+        """(rid, base, apart, slack, b0 to b3) of pairs (x, p): by how many shingles node and base differ, and a bitmap of these.
+
+        slack: shingles less set bits.
+        """
+
+        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits, apart = np.zeros((batch.num_rows, 64 * LONGS), np.uint8), np.zeros(batch.num_rows, np.int64)
+                for i, (a, b) in enumerate(zip(batch.column("x_grams").to_pylist(), batch.column("p_grams").to_pylist(), strict=True)):
+                    either = np.setxor1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)
+                    bits[i, either % U(64 * LONGS)] = 1
+                    apart[i] = len(either)
+                longs = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+                columns = [batch.column("x"), batch.column("p"), pa.array(apart), pa.array(apart - bits.sum(1, dtype=np.int64)), *[pa.array(longs[:, j]) for j in range(LONGS)]]
+                yield pa.RecordBatch.from_arrays(columns, ["rid", "base", "apart", "slack", *BITS])
+
+        small_batches(based.sparkSession)
+        return self.both(based, ["grams"]).mapInArrow(told, "rid long, base long, apart long, slack long, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -232,40 +261,67 @@ def relabel(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(found, "label", "left").withColumn("label", F.coalesce("root", "label")).select(*rows.columns)
 
 
-def meeting(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, p, x_label, p_label) of postings under one token, of different components, that can reach the threshold."""
-    side = lambda df, name: df.select("token", F.col("rid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("label", "n", "shared")])
+def reachable(percent: int) -> Column:
+    """Can x and p of a pair be similar enough? By the sizes of their sets, by shingles that others hold, and by their differences from one base.
+
+    Sets that differ from the base by X and P differ from each other by all of X and P but what is in both, twice; what
+    is in both sets a bit in both bitmaps, but for the slack of the one that has less.
+    """
     most = F.least("x_shared", "p_shared")
-    reach = 100 * most >= percent * (F.col("x_n") + F.col("p_n") - most)
-    return side(left, "x").join(side(right, "p"), "token").where("x != p AND x_label != p_label").where(reach).select("x", "p", "x_label", "p_label").distinct()
+    total = F.col("x_n") + F.col("p_n")
+    common = reduce(Column.__add__, [F.bit_count(F.col(f"x_{b}").bitwiseAND(F.col(f"p_{b}"))) for b in BITS]) + F.least("x_slack", "p_slack")
+    apart = F.col("x_apart") + F.col("p_apart") - 2 * common
+    return (100 * most >= percent * (total - most)) & F.when(F.col("x_base") == F.col("p_base"), (100 + percent) * apart <= (100 - percent) * total).otherwise(True)
+
+
+def meeting(state: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, p, x_label, p_label) of a list's postings and its heads, of different components, that can reach the threshold."""
+    held = ("label", "n", "shared", "base", "apart", "slack", *BITS)
+    side = lambda df, name: df.select("token", F.col("rid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in held])
+    pairs = side(state, "x").join(side(heads, "p"), "token").where("x != p AND x_label != p_label").where(reachable(percent))
+    # two heads meet twice
+    return pairs.select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p"), F.when(F.col("x") > F.col("p"), F.struct("x_label", "p_label")).otherwise(F.struct(F.col("p_label").alias("x_label"), F.col("x_label").alias("p_label"))).alias("l")).distinct().select("x", "p", "l.*")
+
+
+def with_bases(state: DataFrame, met: DataFrame, sets: Sets) -> DataFrame:
+    """Give each node a base, of the heads that it met with many matches the one that most nodes met so, and its difference from it."""
+    ends = met.select(F.col("x").alias("rid"), F.col("p").alias("base")).union(met.select(F.col("p").alias("rid"), F.col("x").alias("base")))
+    often = ends.groupBy("base").agg(F.count("*").alias("often"))
+    best = ends.join(often, "base").groupBy("rid").agg(F.max(F.struct("often", "base")).alias("best"))
+    based = best.join(state.select("rid").distinct(), "rid", "left_semi").select(F.col("rid").alias("x"), F.col("best.base").alias("p"))
+    told = sets.differences(stage(based, "neardup-bases"))
+    return state.drop("base", "apart", "slack", *BITS).join(told, "rid", "left")
+
+
+def open_lists(state: DataFrame) -> DataFrame:
+    """The lists with nodes of several components; minor: the node isn't of the one that has most of the list's."""
+    sizes = state.groupBy("token", "label").agg(F.count("*").alias("c"))
+    major = sizes.groupBy("token").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    return state.drop("minor").join(major.select("token", F.col("most.label").alias("major")), "token").withColumn("minor", F.col("label") != F.col("major")).drop("major")
 
 
-def node_labels(posted: DataFrame, sets: Sets) -> DataFrame:
+def node_labels(posted: DataFrame, sets: Sets, needed: int) -> DataFrame:
     """(rid, label): the component of each node in the postings (rid, token, central, n, shared)."""
-    state = posted.withColumn("label", F.col("rid"))
-    labels = stage(posted.select("rid").distinct().withColumn("label", F.col("rid")), "neardup-labels")
-    enough, pivots, last = posted.count() + 10_000, 2, False
-    while not last:
-        sizes = state.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("labels"))
-        open_lists = sizes.where("labels > 1")
-        left = open_lists.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.lit(0.0))).first()[0]
-        state = stage(state.join(open_lists.select("token"), "token", "left_semi").select(*state.columns), "neardup-state")
-        last = left <= enough
-        if last:
-            pairs = meeting(state, state, sets.percent).where("x_label > p_label")
-        else:
-            order = Window.partitionBy("token").orderBy(F.desc("central"), "rid")
-            heads = stage(state.withColumn("at", F.row_number().over(order)).where(F.col("at") <= pivots).drop("at"), "neardup-heads")
-            pairs = meeting(state, heads, sets.percent)
-        links = sets.confirm(stage(pairs, "neardup-pairs"))
-        found = not links.isEmpty()
-        if found:
+    none = [F.lit(None).cast("long").alias(c) for c in ("base", "apart", "slack", *BITS)]
+    state = stage(posted.select("*", F.col("rid").alias("label"), *none, F.lit(True).alias("minor")), "neardup-state")
+    labels = state.select("rid", "label").distinct()
+    order = Window.partitionBy("token").orderBy(F.desc("central"), "rid")
+    heads_each, first = FIRST_HEADS, True
+    while not state.isEmpty():
+        heads = state.where("minor").withColumn("at", F.row_number().over(order)).where(F.col("at") <= heads_each).drop("at")
+        heads = stage(heads, "neardup-heads")
+        pairs = stage(meeting(state, heads, sets.percent), "neardup-pairs")
+        met = stage(sets.matched(pairs, needed // 2 if first else needed), "neardup-met")
+        links = stage(sets.linked(met.where(F.col("matches") >= needed)), "neardup-links")
+        state = state.join(heads.select("token", "rid"), ["token", "rid"], "left_anti")
+        if not links.isEmpty():
             roots = components(links.select(F.col("x_label").alias("a"), F.col("p_label").alias("b")))
             labels = stage(relabel(labels, roots), "neardup-labels")
-        if not last:
-            state = state.join(heads.select("token", "rid"), ["token", "rid"], "left_anti").select(*state.columns)
-            state = stage(relabel(state, roots) if found else state, "neardup-state")
-            pivots *= 4
+            state = relabel(state, roots)
+        state = stage(open_lists(state), "neardup-state")
+        if first and not state.isEmpty():
+            state = stage(with_bases(state, met, sets), "neardup-state")
+        heads_each, first = (MORE_HEADS if first else heads_each * MORE_HEADS), False
     return labels
 
 
@@ -295,8 +351,8 @@ def text_components(docs: DataFrame, *, width: int = 5, percent: int = 80, coord
     features = sketches(texts, width, coordinates, id_filter(wanted), with_set=True).join(wanted, ["id", "h"], "left_semi")
     if not each.where("copies > 1 AND n > 0").isEmpty():
         features = features.dropDuplicates(["id", "h"])
-    sets = Sets(features.withColumnRenamed("h", "rid").drop("id", "key"), needed, percent)
-    labels = node_labels(posted, sets)
+    sets = Sets(features.withColumnRenamed("h", "rid").drop("id", "key"), percent)
+    labels = node_labels(posted, sets, needed)
     docs.sparkSession.sql(f"DROP TABLE {sets.name}")
     parts = classes.select("key", "id", "rid").join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     heads = parts.groupBy("label").agg(F.min(F.struct("id", "rid")).alias("head"))
