@@ -1,23 +1,22 @@
 """MinHash near-duplicates by an inverted join on signature coordinates.
 
-A document is the set of its word shingles, as 64-bit hashes. Each of its
-signature's coordinates, with its value, is a token under which the document is
+A document is the set of its word shingles, as 64-bit hashes. A coordinate of its signature is
+two minima; with its value it is a token under which the document is
 posted. Two documents of the wanted similarity share at least ``needed`` tokens,
 but for a chance below ``MISS``; so each must share a token of the other's prefix:
 its rarest tokens, all but ``needed - 1``. Only prefixes are merged. The frequent
-tokens behind them are skipped, and counted by probing the two signatures.
+tokens behind them are skipped, and counted by probing the two signatures, minimum by minimum.
 Pairs with enough matches are confirmed on the whole sets.
 
-A shingle that only one document of those posted holds is in no intersection. With n shingles of
-which s are shared, a document reaches at most min(s) / (n + n' - min(s)) with
-another, so many edited copies needn't meet.
-
 Equal sets are one node from the start. A list of many postings isn't expanded
-into all pairs: in each round a few of its documents, four times as many as in the round
-before and the most central first, meet those of the list that aren't in their component yet.
-They have then met all, and leave the list; a list whose documents are one component
-is done. When few pairs are left, they are all tried. So every pair that shares a prefix token is tried
-or is already connected, and no component is lost.
+into all pairs: in each round a few of its documents, the heads, meet those of the list that aren't in their
+component yet. They have then met all, and leave the list. The first heads are the most central documents; after
+them only documents outside the list's largest component are heads, and a list whose documents are one component
+is done. So every pair that shares a prefix token is tried or is already connected, and no component is lost.
+
+After the first round each document has a base, a head that many met, and a bitmap of the shingles by which
+it differs from it. Two documents of one base whose differences have too little in common are
+too far apart, and the join drops the pair. So edited copies that resemble each other too little needn't be tried.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import small_batches, stage
+from traceloom.llm.common import Workspace, small_batches
 
 COORDINATES = 64
 MISS = 1e-6
@@ -148,32 +147,21 @@ def sketches(texts: DataFrame, width: int, coordinates: int, wanted: bytes | Non
     return shingle_sets(texts, width, wanted, "id long, h long, n long, key binary, sig array<int>" + ", grams binary" * with_set, told)
 
 
-def own_shingles(texts: DataFrame, width: int, wanted: bytes) -> DataFrame:
-    """(rid, own): how many shingles of a wanted text no other wanted text holds, where there are any."""
-
-    def told(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-        owner = np.repeat(batch.column("h").to_numpy(), [len(s) for s in sets])
-        return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(sets).view(np.int64), pa.int64())], ["rid", "gram"])
-
-    grams = shingle_sets(texts, width, wanted, "rid long, gram long", told)
-    once = grams.groupBy("gram").agg(F.count("*").alias("c"), F.min("rid").alias("rid")).where("c = 1")
-    return once.groupBy("rid").agg(F.count("*").alias("own"))
-
-
 def prefix_postings(nodes: DataFrame, needed: int) -> DataFrame:
-    """(rid, token, central) of each node's prefix, among the tokens that other nodes hold too.
+    """(rid, n, token, central) of each node's prefix, among the tokens that other nodes hold too.
 
     With m such tokens, and the others rarer, the prefix has m - needed + 1 of
     them; a node with fewer than ``needed`` has no partner. central: how often
     the node's tokens are held in all; the original of many edited copies has the most.
     """
-    token = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
-    posted = nodes.select("rid", F.posexplode("sig").alias("pos", "value")).select("rid", token.alias("token"))
+    coordinate = lambda i: F.xxhash64(i, F.get("sig", 2 * i), F.get("sig", 2 * i + 1))
+    tokens = F.transform(F.sequence(F.lit(0), (F.size("sig") / 2).cast("int") - 1), coordinate)
+    posted = nodes.select("rid", "n", F.explode(tokens).alias("token"))
     often = posted.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    held = posted.join(often, "token").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("held"))
+    held = posted.join(often, "token").groupBy("rid", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("held"))
     central = F.aggregate("held", F.lit(0).cast("long"), lambda s, h: s + h["often"])
     prefix = F.explode(F.slice("held", F.lit(1), F.size("held") - (needed - 1)))
-    return held.where(F.size("held") >= needed).select("rid", central.alias("central"), prefix.alias("p")).select("rid", F.col("p.token").alias("token"), "central")
+    return held.where(F.size("held") >= needed).select("rid", "n", central.alias("central"), prefix.alias("p")).select("rid", "n", F.col("p.token").alias("token"), "central")
 
 
 class Sets:
@@ -187,6 +175,9 @@ class Sets:
         features.repartition(buckets, "rid").write.format("parquet").bucketBy(buckets, "rid").saveAsTable(self.name)
         self.table = spark.table(self.name)
 
+    def drop(self) -> None:
+        self.table.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def both(self, pairs: DataFrame, columns: list[str]) -> DataFrame:
         """The columns of x and p beside each pair. A p with many partners is salted."""
         side = lambda name: self.table.select(F.col("rid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
@@ -236,20 +227,20 @@ class Sets:
         return self.both(based, ["grams"]).mapInArrow(told, "rid long, base long, apart long, slack long, " + ", ".join(f"{b} long" for b in BITS))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """(node, root) of an edge list (a, b): the least node that each node reaches.
 
     Every node takes the least label of its neighbours, then the label of its
     label, until nothing changes.
     """
-    both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "cc-edges")
-    labels = stage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "cc-labels")
+    both = work.stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "cc-edges")
+    labels = work.stage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "cc-labels")
     while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
         lower = labels.join(seen, labels["node"] == seen["a"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        lower = stage(lower, "cc-lower")
+        lower = work.stage(lower, "cc-lower")
         jump = lower.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = stage(lower.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "cc-labels")
+        new = work.stage(lower.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "cc-labels")
         labels = new.select("node", "root")
         if new.where("old != root").limit(1).count() == 0:
             return labels
@@ -262,34 +253,36 @@ def relabel(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def reachable(percent: int) -> Column:
-    """Can x and p of a pair be similar enough? By the sizes of their sets, by shingles that others hold, and by their differences from one base.
+    """Can x and p of a pair be similar enough? By the sizes of their sets, and by their differences from one base.
 
     Sets that differ from the base by X and P differ from each other by all of X and P but what is in both, twice; what
     is in both sets a bit in both bitmaps, but for the slack of the one that has less.
     """
-    most = F.least("x_shared", "p_shared")
     total = F.col("x_n") + F.col("p_n")
+    sizes = 100 * F.least("x_n", "p_n") >= percent * F.greatest("x_n", "p_n")
     common = reduce(Column.__add__, [F.bit_count(F.col(f"x_{b}").bitwiseAND(F.col(f"p_{b}"))) for b in BITS]) + F.least("x_slack", "p_slack")
     apart = F.col("x_apart") + F.col("p_apart") - 2 * common
-    return (100 * most >= percent * (total - most)) & F.when(F.col("x_base") == F.col("p_base"), (100 + percent) * apart <= (100 - percent) * total).otherwise(True)
+    return sizes & F.when(F.col("x_base") == F.col("p_base"), (100 + percent) * apart <= (100 - percent) * total).otherwise(True)
 
 
 def meeting(state: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, p, x_label, p_label) of a list's postings and its heads, of different components, that can reach the threshold."""
-    held = ("label", "n", "shared", "base", "apart", "slack", *BITS)
+    held = ("label", "n", "base", "apart", "slack", *BITS)
     side = lambda df, name: df.select("token", F.col("rid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in held])
     pairs = side(state, "x").join(side(heads, "p"), "token").where("x != p AND x_label != p_label").where(reachable(percent))
     # two heads meet twice
-    return pairs.select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p"), F.when(F.col("x") > F.col("p"), F.struct("x_label", "p_label")).otherwise(F.struct(F.col("p_label").alias("x_label"), F.col("x_label").alias("p_label"))).alias("l")).distinct().select("x", "p", "l.*")
+    turned = F.col("x") < F.col("p")
+    one = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a)
+    return pairs.select(one("x", "p"), one("p", "x"), one("x_label", "p_label"), one("p_label", "x_label")).distinct()
 
 
-def with_bases(state: DataFrame, met: DataFrame, sets: Sets) -> DataFrame:
+def with_bases(state: DataFrame, met: DataFrame, sets: Sets, work: Workspace) -> DataFrame:
     """Give each node a base, of the heads that it met with many matches the one that most nodes met so, and its difference from it."""
     ends = met.select(F.col("x").alias("rid"), F.col("p").alias("base")).union(met.select(F.col("p").alias("rid"), F.col("x").alias("base")))
     often = ends.groupBy("base").agg(F.count("*").alias("often"))
     best = ends.join(often, "base").groupBy("rid").agg(F.max(F.struct("often", "base")).alias("best"))
     based = best.join(state.select("rid").distinct(), "rid", "left_semi").select(F.col("rid").alias("x"), F.col("best.base").alias("p"))
-    told = sets.differences(stage(based, "neardup-bases"))
+    told = sets.differences(work.stage(based, "bases"))
     return state.drop("base", "apart", "slack", *BITS).join(told, "rid", "left")
 
 
@@ -300,27 +293,27 @@ def open_lists(state: DataFrame) -> DataFrame:
     return state.drop("minor").join(major.select("token", F.col("most.label").alias("major")), "token").withColumn("minor", F.col("label") != F.col("major")).drop("major")
 
 
-def node_labels(posted: DataFrame, sets: Sets, needed: int) -> DataFrame:
-    """(rid, label): the component of each node in the postings (rid, token, central, n, shared)."""
+def node_labels(posted: DataFrame, sets: Sets, needed: int, work: Workspace) -> DataFrame:
+    """(rid, label): the component of each node in the postings (rid, n, token, central)."""
     none = [F.lit(None).cast("long").alias(c) for c in ("base", "apart", "slack", *BITS)]
-    state = stage(posted.select("*", F.col("rid").alias("label"), *none, F.lit(True).alias("minor")), "neardup-state")
+    state = work.stage(posted.select("*", F.col("rid").alias("label"), *none, F.lit(True).alias("minor")), "state")
     labels = state.select("rid", "label").distinct()
     order = Window.partitionBy("token").orderBy(F.desc("central"), "rid")
     heads_each, first = FIRST_HEADS, True
     while not state.isEmpty():
         heads = state.where("minor").withColumn("at", F.row_number().over(order)).where(F.col("at") <= heads_each).drop("at")
-        heads = stage(heads, "neardup-heads")
-        pairs = stage(meeting(state, heads, sets.percent), "neardup-pairs")
-        met = stage(sets.matched(pairs, needed // 2 if first else needed), "neardup-met")
-        links = stage(sets.linked(met.where(F.col("matches") >= needed)), "neardup-links")
+        heads = work.stage(heads, "heads")
+        pairs = work.stage(meeting(state, heads, sets.percent), "pairs")
+        met = work.stage(sets.matched(pairs, needed // 2 if first else needed), "met")
+        links = work.stage(sets.linked(met.where(F.col("matches") >= needed)), "links")
         state = state.join(heads.select("token", "rid"), ["token", "rid"], "left_anti")
         if not links.isEmpty():
-            roots = components(links.select(F.col("x_label").alias("a"), F.col("p_label").alias("b")))
-            labels = stage(relabel(labels, roots), "neardup-labels")
+            roots = components(links.select(F.col("x_label").alias("a"), F.col("p_label").alias("b")), work)
+            labels = work.stage(relabel(labels, roots), "labels")
             state = relabel(state, roots)
-        state = stage(open_lists(state), "neardup-state")
+        state = work.stage(open_lists(state), "state")
         if first and not state.isEmpty():
-            state = stage(with_bases(state, met, sets), "neardup-state")
+            state = work.stage(with_bases(state, met, sets, work), "state")
         heads_each, first = (MORE_HEADS if first else heads_each * MORE_HEADS), False
     return labels
 
@@ -333,36 +326,38 @@ def text_components(docs: DataFrame, *, width: int = 5, percent: int = 80, coord
     reach. component: the least id that links reach if classes that share an id are linked too. A text without
     words is in no class; its component is its id's, if that has other texts.
     """
-    needed = needed_matches(percent / 100, coordinates)
+    with Workspace(docs.sparkSession, "neardup") as work:
+        return work.keep(component_rows(docs, width, percent, coordinates, work), "rows")
+
+
+def component_rows(docs: DataFrame, width: int, percent: int, coordinates: int, work: Workspace) -> DataFrame:
+    """The rows of ``text_components``, not yet kept."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
-    known = stage(sketches(texts, width, coordinates), "neardup-sketches")
+    known = work.stage(sketches(texts, width, coordinates), "sketches")
     each = known.groupBy("id", "h", "n", "key").agg(F.count("*").alias("copies"))
     # equal keys are equal sets, so any of a class has its size and signature
     classes = known.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "h")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = stage(classes.select("key", F.col("rep.id").alias("id"), F.col("rep.h").alias("rid"), "n", "sig"), "neardup-classes")
-    posted = stage(prefix_postings(classes, needed), "neardup-postings")
-    nodes = classes.select("rid", "id", "n").join(posted.select("rid").distinct(), "rid", "left_semi")
-    own = own_shingles(texts, width, id_filter(nodes.select("id", F.col("rid").alias("h"))))
-    counted = nodes.join(own, "rid", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
-    counted = stage(counted.where(100 * F.col("shared") >= percent * F.col("n")).select("rid", "id", "n", "shared"), "neardup-shared")
-    posted = stage(posted.join(counted.drop("id"), "rid"), "neardup-postings")
-    wanted = counted.select("id", F.col("rid").alias("h"))
+    classes = work.stage(classes.select("key", F.col("rep.id").alias("id"), F.col("rep.h").alias("rid"), "n", "sig"), "classes")
+    posted = work.stage(prefix_postings(classes, needed_matches((percent / 100) ** 2, coordinates // 2)), "postings")
+    wanted = work.stage(classes.select("id", F.col("rid").alias("h")).join(posted.select(F.col("rid").alias("h")).distinct(), "h", "left_semi"), "wanted")
     features = sketches(texts, width, coordinates, id_filter(wanted), with_set=True).join(wanted, ["id", "h"], "left_semi")
     if not each.where("copies > 1 AND n > 0").isEmpty():
         features = features.dropDuplicates(["id", "h"])
     sets = Sets(features.withColumnRenamed("h", "rid").drop("id", "key"), percent)
-    labels = node_labels(posted, sets, needed)
-    docs.sparkSession.sql(f"DROP TABLE {sets.name}")
+    try:
+        labels = node_labels(posted, sets, needed_matches(percent / 100, coordinates), work)
+    finally:
+        sets.drop()
     parts = classes.select("key", "id", "rid").join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     heads = parts.groupBy("label").agg(F.min(F.struct("id", "rid")).alias("head"))
-    parts = stage(parts.join(heads, "label").withColumn("part", F.col("label")), "neardup-parts")
+    parts = work.stage(parts.join(heads, "label").withColumn("part", F.col("label")), "parts")
     several = known.where(F.col("key").isNotNull() & (F.col("id") != NO_ID)).groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    several = stage(several.where("low != high").select("id"), "neardup-several")
+    several = work.stage(several.where("low != high").select("id"), "several")
     if not several.isEmpty():
         held = each.join(several, "id", "left_semi").select("id", "key").join(parts.select("key", "label"), "key").select("id", "label").distinct()
         edges = held.join(held.groupBy("id").agg(F.min("label").alias("a")), "id").where("a != label").select("a", F.col("label").alias("b"))
-        parts = relabel(parts, components(stage(edges, "neardup-shared-ids")))
+        parts = relabel(parts, components(work.stage(edges, "shared-ids"), work))
     least = parts.groupBy("label").agg(F.min("head.id").alias("component"))
     parts = parts.join(least, "label").select("key", "head", "component")
     rows = each.join(parts, "key", "left")
@@ -370,7 +365,7 @@ def text_components(docs: DataFrame, *, width: int = 5, percent: int = 80, coord
     beside = rows.where("n > 0").join(empty, "id", "left_semi").groupBy("id").agg(F.min("component").alias("beside"))
     rows = rows.join(beside, "id", "left").withColumn("component", F.coalesce("component", "beside", "id"))
     first = F.col("head").isNull() | ((F.col("head.id") == F.col("id")) & (F.col("head.rid") == F.col("h")))
-    return stage(rows.select("id", "h", "n", "copies", first.alias("first"), "component"), "neardup-rows")
+    return rows.select("id", "h", "n", "copies", first.alias("first"), "component")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, coordinates: int = COORDINATES) -> DataFrame:
@@ -380,7 +375,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, coord
     ``percent`` per cent of the union; component_id is the least doc_id that
     links reach, and that document is kept.
 
-    Edge cases: a document without words (null, empty or white space) is linked
+    doc_id is a number, or text that is one. Edge cases: a document without words (null, empty or white space) is linked
     with nothing and kept; rows with one doc_id are one document, linked by any of
     their texts; each row with a null doc_id is a document of its own, last in order, and of a
     component of such rows alone, whose id is null, one is kept; an
