@@ -7,8 +7,8 @@ its words by their corpus counts. So the tables that tasks hold are bounded by
 ``LEXICON`` and ``TAILS``, whatever the vocabulary, and the counts of rare words
 come by a join.
 
-Training takes its first guess from a bounded sample of documents and goes on with full
-passes of Baum-Welch until the likelihood settles: each partition of the whole training
+Training takes its first guess from a bounded sample of documents and goes on with a few full
+passes of Baum-Welch: each partition of the whole training
 corpus adds up its expected counts of states, transitions and emissions over whole texts,
 and the counts are summed across partitions.
 Scoring runs the scaled forward recursion over whole texts.
@@ -38,15 +38,13 @@ STATES = 6
 #: Documents of the sample that gives the first guess, and bytes of them in all; texts are whole.
 SAMPLE_DOCS, SAMPLE_BYTES = 400, 8_000_000
 SAMPLE_ROUNDS = 20
-#: Baum-Welch passes over the whole training corpus end when one gains less than this share of the log likelihood.
-SETTLED = 1e-4
-#: Where expected counts are asked for by segments, these are of this many tokens.
-SEGMENT = 64
+#: Baum-Welch passes over the whole training corpus: at most so many, and none after one that gains less than this share of the log likelihood.
+PASSES, SETTLED = 3, 1e-4
 #: Scoring cuts the recursion into blocks of this many tokens, without loss.
 BLOCK = 256
 #: Bytes of texts that a training task lays out at once.
-TRAINED = 1 << 22
-#: Tokens of training segments or scoring blocks that one numpy step holds.
+TRAINED = 1 << 23
+#: Tokens of training sequences or scoring blocks that one numpy step holds.
 CHUNK = 1 << 18
 #: The end token's key among the words; no word holds a space.
 END = b" end"
@@ -179,22 +177,15 @@ def segments_of(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray,
     return start, np.minimum(size, lengths[doc] - within * size), doc
 
 
-def expected_counts(model: Model, ids: np.ndarray, lengths: np.ndarray, classes: int, segment: int | None = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def expected_counts(model: Model, ids: np.ndarray, lengths: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts of starts, transitions and emissions, and the log likelihood, of sequences laid end to end.
 
-    segment: None for whole sequences, as training takes them. Else longer ones are cut, and a segment inside a
-    document starts from the stationary shares of the states, so the counts are approximate.
-
     Sequences that are too long to hold are done in blocks without loss: the forward states at the
     blocks' beginnings are kept, and a block's own are found again when the backward states reach it.
     """
     k = len(model.start)
     starts, steps, emits, told = np.zeros(k), np.zeros((k, k)), np.zeros((classes, k)), 0.0
-    if not len(lengths):
-        return starts, steps, emits, told
-    at, size, doc = segments_of(lengths, segment or int(lengths.max()))
-    first = np.concatenate([[True], doc[1:] != doc[:-1]])
-    stationary = np.linalg.matrix_power(model.step, 64)[0]
+    at, size = np.cumsum(lengths) - lengths, lengths
     order = np.argsort(-size, kind="stable")
     low = 0
     while low < len(order):
@@ -224,7 +215,7 @@ def expected_counts(model: Model, ids: np.ndarray, lengths: np.ndarray, classes:
                     scale.append(total)
             return tokens, emit, alpha, scale, now
 
-        entering = [np.where(first[some][:, None], model.start, stationary)]
+        entering = [np.tile(model.start, (count, 1))]
         for begin in range(0, longest - block, block):
             entering.append(forward(begin, begin + block, entering[-1], False)[-1])
         beta, weighed = np.ones((active[-1], k)), None
@@ -241,7 +232,7 @@ def expected_counts(model: Model, ids: np.ndarray, lengths: np.ndarray, classes:
                 gamma[i] = alpha[i] * beta
                 weighed = emit[i] * beta / scale[i]
             if begin == 0:
-                starts += gamma[0][first[some]].sum(0)
+                starts += gamma[0].sum(0)
             seen, flat = np.concatenate(tokens), np.concatenate(gamma)
             for j in range(k):
                 emits[:, j] += np.bincount(seen, flat[:, j], classes)
@@ -333,7 +324,7 @@ def training_pass(texts: DataFrame, vocabulary: Vocabulary, model: Model) -> tup
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for low, high in slices(texts, TRAINED):
-                sums = [a + b for a, b in zip(sums, expected_counts(model, *laid_out(lexicon, texts[low:high]), classes, None), strict=True)]
+                sums = [a + b for a, b in zip(sums, expected_counts(model, *laid_out(lexicon, texts[low:high]), classes), strict=True)]
         emitted = np.flatnonzero(sums[2].any(1))
         # rows below 0: the starts, the transitions from each state, the log likelihood
         rows = np.concatenate([sums[2][emitted], sums[0][None], sums[1], np.full((1, k), sums[3])])
@@ -372,8 +363,8 @@ def first_texts(texts: DataFrame, ends: int) -> list[bytes]:
     return [bytes(r.text) for r in sorted(rows, key=lambda r: r.pick)]
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, states: int = STATES, settled: float = SETTLED, seed: int = 11) -> Model:
-    """A first guess from some texts, then passes over all of them until the log likelihood settles. texts: pick, text."""
+def train(texts: DataFrame, vocabulary: Vocabulary, states: int = STATES, passes: int = PASSES, settled: float = SETTLED, seed: int = 11) -> Model:
+    """A first guess from some texts, then passes over all of them, fewer if the log likelihood settles. texts: pick, text."""
     counts = vocabulary.class_counts()
     background = (counts + 1) / (counts + 1).sum()
     model = first_model(background, states, seed)
@@ -381,13 +372,14 @@ def train(texts: DataFrame, vocabulary: Vocabulary, states: int = STATES, settle
     if sample := first_texts(texts, ends):
         ids, lengths = laid_out(vocabulary.lexicon(), sample)
         for _ in range(SAMPLE_ROUNDS):
-            model = normalised(*expected_counts(model, ids, lengths, vocabulary.classes, None)[:3], background)
+            model = normalised(*expected_counts(model, ids, lengths, vocabulary.classes)[:3], background)
     before = -math.inf
-    while True:
+    for _ in range(passes):
         better, told = training_pass(texts, vocabulary, model)
         if told - before <= settled * abs(told):
-            return model
+            break
         model, before = better, told
+    return model
 
 
 def scored(texts: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFrame:
