@@ -1,7 +1,7 @@
 """Secret scans by a trigram inverted index, in DataFrame operations only.
 
-Each rule gives by hand, beside its regex, the literals of which every match holds one; from
-them a Boolean query over trigrams follows: every match of ``token`` holds ``tok``, ``oke`` and ``ken``. Documents are posted under the
+From each rule's regex follows a Boolean query over trigrams (see ``trigrams``): every match of
+``token`` holds ``tok``, ``oke`` and ``ken``. Documents are posted under the
 trigrams that the queries name, the postings of a document are intersected and
 united as its query asks, and the regex runs on the documents that are left.
 A rule without mandatory trigrams runs on every document.
@@ -13,51 +13,47 @@ match costs time, and never a result.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import stage
+from traceloom.llm.trigrams import trigram_query
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A secret's pattern in Java's and RE2's common syntax.
+    """A secret's pattern in the common syntax of Java, RE2 and Python.
 
-    literals: strings, one of which every match holds, in lower case; from them
-    the trigrams follow. least: the fewest characters of ``group`` in a match
-    that counts. A match too short is dropped, and its text stays consumed.
+    least: the fewest characters of ``group`` in a match that counts. A match too short is dropped, and its text stays consumed.
     """
 
     kind: str
     pattern: str
     group: int
     least: int
-    literals: tuple[str, ...] = ()
     base: bool = True
 
 
 RULES = (
-    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, ("password", "passwd", "secret", "token", "api_key", "apikey")),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, ("akia",)),
+    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]+", 0, 32),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, ("private key-----",), base=False),
-    Rule("repo_token", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), base=False),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, (".eyj",), base=False),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, base=False),
+    Rule("repo_token", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, base=False),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, base=False),
 )
+#: Bits of one mask of trigrams; more trigrams take more masks.
+MASK_BITS = 63
+#: Spans or pieces that are appended one by one before they join the others.
+RUN = 128
+SPANS = "array<struct<start:int,end:int>>"
 
 
-def trigram_query(rule: Rule) -> list[list[str]]:
-    """Alternatives, each the trigrams of one literal: any alternative, all of its trigrams. Empty: scan fully."""
-    if any(len(x) < 3 for x in rule.literals):
-        return []
-    return [sorted({x[i : i + 3] for i in range(len(x) - 2)}) for x in rule.literals]
-
-
+@lru_cache
 def alphabet(rules: tuple[Rule, ...]) -> list[str]:
     """All trigrams that some query names."""
-    return sorted({t for r in rules for alternative in trigram_query(r) for t in alternative})
+    return sorted({t for r in rules for alternative in trigram_query(r.pattern) for t in alternative})
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -66,29 +62,35 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(trigram, row_key) for each trigram of the queries that a document's lower-cased text holds."""
+    """(row_key, trigram) for each trigram of the queries that a document's lower-cased text holds, by its number in the alphabet."""
     low = F.lower("text")
-    held = F.filter(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in alphabet(rules)]), lambda x: x.isNotNull())
+    held = F.filter(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(i)) for i, t in enumerate(alphabet(rules))]), lambda x: x.isNotNull())
     return docs.select(row_key(docs).alias("row_key"), low.alias("low")).select("row_key", F.explode(held).alias("trigram"))
 
 
 def candidates(posted: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Intersect the postings: row_key and the kinds whose trigram query the document meets."""
-    bit = {t: 1 << i for i, t in enumerate(alphabet(rules))}
-    mask = F.lit(0).cast("long")
-    for t, b in bit.items():
-        mask = F.when(F.col("trigram") == t, F.lit(b).cast("long")).otherwise(mask)
-    held = posted.select("row_key", mask.alias("bit")).groupBy("row_key").agg(F.bit_or("bit").alias("held"))
-    meets = []
-    for rule in rules:
-        if query := trigram_query(rule):
-            wants = [sum(bit[t] for t in alternative) for alternative in query]
-            any_of = reduce(Column.__or__, [F.col("held").bitwiseAND(F.lit(w).cast("long")) == F.lit(w).cast("long") for w in wants])
-            meets.append(F.when(any_of, F.lit(rule.kind)))
-    kinds = F.filter(F.array(*meets), lambda x: x.isNotNull())
+    place = {t: divmod(i, MASK_BITS) for i, t in enumerate(alphabet(rules))}
+    masks = range(-(-len(place) // MASK_BITS))
+    bit = F.expr(f"shiftleft(1L, trigram % {MASK_BITS})")
+    held = posted.groupBy("row_key").agg(*[F.bit_or(F.when(F.expr(f"trigram DIV {MASK_BITS}") == m, bit).otherwise(F.lit(0).cast("long"))).alias(f"held{m}") for m in masks])
+
+    def met(alternative: list[str]) -> Column:
+        wants = {m: sum(1 << b for n, b in map(place.get, alternative) if n == m) for m in masks}
+        return reduce(Column.__and__, [F.col(f"held{m}").bitwiseAND(F.lit(w).cast("long")) == F.lit(w).cast("long") for m, w in wants.items() if w])
+
+    meets = [F.when(reduce(Column.__or__, map(met, query)), F.lit(rule.kind)) for rule in rules if (query := trigram_query(rule.pattern))]
+    kinds = F.filter(F.array(*meets), lambda x: x.isNotNull()) if meets else F.array().cast("array<string>")
     return held.select("row_key", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
+def appended(acc: Column, item: Column) -> list[Column]:
+    """An accumulator's next ``run`` and ``found``: items go to a short run, and full runs to what is found, so appending n takes n * n / RUN steps and not n * n."""
+    full = F.size(acc["run"]) >= RUN
+    one = F.array(item)
+    return [F.when(full, one).otherwise(F.concat(acc["run"], one)).alias("run"), F.when(full, F.concat(acc["found"], acc["run"])).otherwise(acc["found"]).alias("found")]
+
+
 def find_spans(text: Column, rule: Rule) -> Column:
     """Spans (start, end in code points) of a rule's matches, leftmost and non-overlapping, without those too short.
 
@@ -99,14 +101,16 @@ def find_spans(text: Column, rule: Rule) -> Column:
     value = matches if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     # one step a match: its gap before, its own length, and the length that counts
     steps = F.zip_with(F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("n"))), value, lambda s, v: F.struct(s["gap"].alias("gap"), s["n"].alias("n"), F.length(v).alias("counts")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
+    none = F.array().cast(SPANS)
+    start = F.struct(F.lit(0).alias("at"), none.alias("run"), none.alias("found"))
 
     def step(acc: Column, s: Column) -> Column:
         begin = acc["at"] + s["gap"]
-        hit = F.array(F.struct(begin.alias("start"), (begin + s["n"]).alias("end")))
-        return F.struct((begin + s["n"]).alias("at"), F.when(s["counts"] >= rule.least, F.concat(acc["found"], hit)).otherwise(acc["found"]).alias("found"))
+        end = (begin + s["n"]).alias("at")
+        hit = F.struct(begin.alias("start"), (begin + s["n"]).alias("end"))
+        return F.when(s["counts"] >= rule.least, F.struct(end, *appended(acc, hit))).otherwise(F.struct(end, acc["run"].alias("run"), acc["found"].alias("found")))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["found"])
+    return F.aggregate(steps, start, step, lambda acc: F.concat(acc["found"], acc["run"]))
 
 
 def prefilter(rule: Rule) -> str:
@@ -118,15 +122,16 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with one more column a rule, ``spans_<kind>``: an array of (start, end).
 
     Edge cases: a null text is empty and has no spans; repeated rows are scanned
-    each; spans of different kinds may overlap; an empty table gives no rows.
+    each; spans of different kinds may overlap; very long texts are scanned whole; columns named like
+    new ones are replaced; an empty table gives no rows.
     """
-    found = stage(candidates(postings(docs, rules), rules), "secret-candidates").withColumnRenamed("row_key", "found_key").withColumnRenamed("kinds", "found_kinds")
+    found = candidates(postings(docs, rules), rules).withColumnRenamed("row_key", "found_key").withColumnRenamed("kinds", "found_kinds")
     kept = docs.withColumn("scan_key", row_key(docs))
     joined = kept.join(found, F.col("scan_key") == F.col("found_key"), "left")
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    none = F.array().cast(SPANS)
     text = F.coalesce(F.col("text"), F.lit(""))
     for rule in rules:
-        due = F.array_contains("found_kinds", rule.kind) & text.rlike(rule.pattern) if trigram_query(rule) else text.rlike(prefilter(rule))
+        due = F.array_contains("found_kinds", rule.kind) & text.rlike(rule.pattern) if trigram_query(rule.pattern) else text.rlike(prefilter(rule))
         joined = joined.withColumn(f"spans_{rule.kind}", F.when(due, find_spans(text, rule)).otherwise(none))
     return joined.drop("scan_key", "found_key", "found_kinds")
 
@@ -154,13 +159,15 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
     columns = docs.columns
     scanned = scan(docs.select("doc_id", "text", F.struct("*").alias("row")), rules)
     spans = F.array_sort(F.concat(*[F.col(f"spans_{r.kind}") for r in rules]))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("run"), none.alias("found"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+        end = F.greatest(acc["at"], s["end"]).alias("at")
+        piece = F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        return F.when(s["start"] >= acc["at"], F.struct(end, *appended(acc, piece))).otherwise(F.struct(end, acc["run"].alias("run"), acc["found"].alias("found")))
 
-    rest = lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text")))
+    rest = lambda acc: F.concat(F.array_join(acc["found"], ""), F.array_join(acc["run"], ""), F.col("text").substr(acc["at"] + 1, F.length("text")))
     text = F.when(F.size("all_spans") > 0, F.aggregate("all_spans", start, step, rest)).otherwise(F.col("text"))
     told = scanned.withColumn("all_spans", spans).select("row", "all_spans", text.alias("text"))
     new = {"text": F.col("text"), "n_chars": F.when(F.size("all_spans") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in columns else None}
