@@ -5,20 +5,19 @@ each window one recurrence runs forwards and one backwards, and both states labe
 every position with probabilities of the languages. The probabilities of the positions
 that belong to letters are averaged over the whole text.
 
-The network is trained in numpy by backpropagation through time, on windows from
-at most ``SAMPLE_DOCS`` labelled documents of each language. All languages are learned; where
-they are many, they share ``SAMPLE_ALL`` documents, and each has at least one.
+The network is trained in numpy by backpropagation through time, on all windows of the whole texts of
+at most ``SAMPLE_DOCS`` labelled documents of each language, ``SAMPLE_BYTES`` in all. All languages are
+learned; where they are many, they share ``SAMPLE_ALL`` documents, and each has at least one.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm.common import small_batches
@@ -27,12 +26,13 @@ WINDOW = 64
 HIDDEN = 8
 #: Languages for which HIDDEN, BATCH and ROWS are meant; with more, states grow and numpy steps hold fewer windows.
 MANY = 64
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 300, 512, 64 * 300
+#: Bounds of the sample: documents of a language, documents and bytes of all. The bytes are shared evenly by the languages; a text
+#: beyond its language's share is passed over, unless the language has no other.
+SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_BYTES = 300, 64 * 300, 4 << 20
 #: At least so many passes over the sample, and so many steps.
-EPOCHS, STEPS, BATCH, RATE = 5, 400, 256, 0.02
+EPOCHS, STEPS, BATCH, RATE = 2, 400, 256, 0.02
 #: Windows that one numpy step holds.
 ROWS = 4096
-LETTER = re.compile(r"[^\W\d_]")
 IS_LETTER = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
 UNDETERMINED = "und"
 
@@ -197,30 +197,51 @@ def gradients(network: Network, windows: np.ndarray, answers: np.ndarray) -> tup
     return [*found, wrong.sum((0, 2))], loss
 
 
-def sample_windows(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """All languages, and windows of a bounded sample of their documents. docs: doc_id, text, lang."""
+def sample_texts(docs: DataFrame) -> dict[str, list[bytes]]:
+    """Whole texts of every language, within the sample's bounds. docs: doc_id, text, lang, none of the last two null.
+
+    A text is picked by a hash of id and text, so equal rows count once.
+    """
+    spark = docs.sparkSession
     counts = docs.groupBy("lang").count().collect()
-    languages = sorted(r["lang"] for r in counts)
-    if not languages:
-        return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64)
-    each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(languages)))
+    if not counts:
+        return {}
+    each, room = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(counts))), SAMPLE_BYTES // len(counts)
     chance = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (2 * each + 20) / r["count"])))])
-    pick = F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")), F.lit(1 << 30))
-    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
-    shown = docs.select("lang", pick.alias("pick"), F.col("text").substr(start, F.lit(SAMPLE_CHARS)).alias("text"))
-    near = shown.where(F.col("pick") < chance[F.col("lang")] * float(1 << 30)).collect()
-    # a language whose documents share an id or a text can miss them all
-    if missed := sorted({*languages} - {r.lang for r in near}):
-        near += shown.where(F.col("lang").isin(missed)).groupBy("lang").agg(F.min(F.struct("pick", "text")).alias("m")).select("lang", "m.*").collect()
-    texts: dict[str, list[bytes]] = {x: [] for x in languages}
-    for r in sorted(near, key=lambda r: (r.lang, r.pick, r.text)):
-        if len(texts[r.lang]) < each:
-            texts[r.lang].append(r.text.encode().lower())
-    cuts = [cut(texts[x]) if texts[x] else (np.zeros((0, WINDOW), np.uint8), None) for x in languages]
-    windows = np.concatenate([w for w, _ in cuts])
-    answers = np.repeat(np.arange(len(languages)), [len(w) for w, _ in cuts])
+    keyed = docs.select("lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("pick"), F.octet_length("text").alias("bytes"), "text")
+    order = Window.partitionBy("lang").orderBy("pick")
+    first = lambda rows, n: rows.select("lang", "pick", "bytes").withColumn("at", F.row_number().over(order)).where(F.col("at") <= n).collect()
+    near = first(keyed.where(F.col("pick") < chance[F.col("lang")] * float(1 << 40)), each)
+    # a language whose rows are mostly equal can miss them all
+    if missed := sorted({r["lang"] for r in counts} - {r.lang for r in near}):
+        near += first(keyed.where(F.col("lang").isin(missed)), 1)
+    chosen: dict[tuple[str, int], int] = {}
+    held: dict[str, int] = {}
+    for r in sorted(near, key=lambda r: (r.lang, r.pick)):
+        if (r.lang, r.pick) not in chosen and held.get(r.lang, 0) + r.bytes <= room:
+            chosen[r.lang, r.pick] = r.bytes
+            held[r.lang] = held.get(r.lang, 0) + r.bytes
+    for r in sorted(near, key=lambda r: r.bytes, reverse=True):
+        if r.lang not in held:  # only long texts: the shortest
+            chosen = {k: n for k, n in chosen.items() if k[0] != r.lang} | {(r.lang, r.pick): r.bytes}
+    wanted = spark.createDataFrame(list(chosen), "lang string, pick long")
+    rows = keyed.join(wanted, ["lang", "pick"], "left_semi").dropDuplicates(["lang", "pick"]).select("lang", "pick", "text").collect()
+    found: dict[str, list[bytes]] = {r["lang"]: [] for r in sorted(counts, key=lambda r: r["lang"])}
+    for r in sorted(rows, key=lambda r: (r.lang, r.pick)):
+        found[r.lang].append(r.text.encode().lower())
+    return found
+
+
+def sample_windows(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All languages, and the windows of their sampled texts that hold a letter."""
+    texts = sample_texts(docs)
+    if not texts:
+        return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64)
+    cuts = [cut(x)[0] for x in texts.values()]
+    windows = np.concatenate(cuts)
+    answers = np.repeat(np.arange(len(cuts)), [len(w) for w in cuts])
     lettered = IS_LETTER[windows].any(1)
-    return languages, windows[lettered], answers[lettered]
+    return list(texts), windows[lettered], answers[lettered]
 
 
 def fit(docs: DataFrame) -> Network:
@@ -249,7 +270,7 @@ def predict(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
         languages = np.array([*network.languages, UNDETERMINED], object)
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            lettered = np.array([t is not None and bool(LETTER.search(t)) for t in texts], bool)
+            lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
             best, score, agreed = np.full(len(texts), len(languages) - 1), np.zeros(len(texts)), np.zeros(len(texts))
             due = np.flatnonzero(lettered)
             if len(due) and network.languages:
