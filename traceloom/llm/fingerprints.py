@@ -2,66 +2,79 @@
 
 A document is a bag of words; a word's weight is its count. For each coordinate,
 a word draws r and c from Gamma(2, 1) and b from a uniform, all by hashes of the
-word and the coordinate alone. With weight w it offers t = floor(ln w / r + b) at
+word and the coordinate. With weight w it offers t = floor(ln w / r + b) at
 the price ln c - r (t - b) - r; the word of the lowest price is the document's
 sample, with its t. Two documents share a coordinate's sample with a probability
 equal to their generalised Jaccard similarity, sum of min over sum of max.
 
-A price and a sample's identity are packed into one long, so the lowest price is
-the least long: the samples of a document are plain minima.
+A price and a sample's identity are packed into one long, so the lowest price is the least long:
+the samples of a document are plain minima.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import stage
+from traceloom.llm.common import Workspace
 
-COORDINATES = 16
+COORDINATES = 64
 SPACE = r"[\x20\x09-\x0D]"
 LEAST = -(1 << 63)
 
 
-def uniform(bits: Column, at: int) -> Column:
-    """A number in (0, 1) from 21 bits of a hash."""
-    return (F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << 21) - 1)).cast("double") + 0.5) / float(1 << 21)
+def uniform(h: Column, at: int, bits: int) -> Column:
+    """A number in (0, 1) from some bits of a hash."""
+    return (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) / float(1 << bits)
 
 
-def sample(term: Column, weight: Column, coordinate: int) -> Column:
-    """Price (high half) and identity (low half) of a term's offer; null where the weight is 0."""
-    one = F.xxhash64(term, F.lit(coordinate))
-    two = F.xxhash64(one, F.lit(coordinate))
-    r = -F.log(uniform(one, 0) * uniform(one, 21))
-    log_c = F.log(-F.log(uniform(one, 42) * uniform(two, 0)))
-    b = uniform(two, 21)
-    t = F.floor(F.log(weight) / r + b)
-    price = log_c - r * (t - b) - r
-    high = F.shiftleft(((price + 128.0) * float(1 << 22)).cast("long"), 32)
-    low = F.xxhash64(term, t).bitwiseAND(F.lit((1 << 32) - 1))
-    return F.when(weight > 0, high.bitwiseOR(low))
+def offers(term: Column, logs: list[Column], coordinates: int) -> list[list[Column]]:
+    """For each log weight, the term's offers: price (high half) and identity (low half); null where the log is null.
 
-
-def likeness(left: list[Column], right: list[Column], left_empty: Column, right_empty: Column) -> Column:
-    """Share of equal coordinates; two empty documents are alike, an empty one is like no other."""
-    same = reduce(Column.__add__, [F.when(a == b, 1).otherwise(0) for a, b in zip(left, right, strict=True)])
-    return F.when(left_empty & right_empty, 1.0).when(left_empty | right_empty, 0.0).otherwise(same / float(len(left)))
-
-
-def hexed(samples: list[Column], empty: Column) -> Column:
+    What doesn't depend on the weight stands once in the expressions of all weights, so Spark computes it once.
+    """
+    rng = random.Random(20)
+    found: list[list[Column]] = [[] for _ in logs]
+    for _ in range(coordinates):
+        h = F.xxhash64(term.bitwiseXOR(F.lit(rng.getrandbits(63))))
+        g = F.xxhash64(h)
+        r = -F.log(uniform(g, 0, 21) * uniform(g, 21, 21))
+        b = uniform(g, 42, 21)
+        log_c = F.log(-F.log(uniform(h, 0, 32) * uniform(h, 32, 32)))
+        for out, log_weight in zip(found, logs, strict=True):
+            t = F.floor(log_weight / r + b)
+            price = log_c - r * (t - b + 1)
+            high = F.shiftleft(((price + 128.0) * float(1 << 22)).cast("long"), 32)
+            out.append(high.bitwiseOR(h.bitwiseXOR(t * 0x9E3779B1).bitwiseAND(F.lit((1 << 32) - 1))))
+    return found
+
+
+def identities(samples: list[Column]) -> Column:
+    """The samples' identities as an array of int."""
+    return F.array(*[F.shiftright(F.shiftleft(s, 32), 32).cast("int") for s in samples])
+
+
+def likeness(left: Column, right: Column) -> Column:
+    """Share of equal coordinates; two empty documents (null) are alike, an empty one is like no other."""
+    same = F.aggregate(F.zip_with(left, right, lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, v: s + v)
+    return F.when(left.isNull() & right.isNull(), 1.0).when(left.isNull() | right.isNull(), 0.0).otherwise(same / F.size(left).cast("double"))
+
+
+def hexed(samples: Column) -> Column:
     """The identities as hexadecimal digits, 8 a coordinate; an empty document has none."""
-    return F.when(empty, "").otherwise(F.concat(*[F.lower(F.lpad(F.hex(s.bitwiseAND(F.lit((1 << 32) - 1))), 8, "0")) for s in samples]))
+    digits = F.transform(samples, lambda s: F.lower(F.lpad(F.hex(s.cast("long").bitwiseAND(F.lit((1 << 32) - 1))), 8, "0")))
+    return F.coalesce(F.array_join(digits, ""), F.lit(""))
 
 
-def followers(rows: DataFrame) -> DataFrame:
+def followers(rows: DataFrame, work: Workspace) -> DataFrame:
     """Each (id, h) row with the row that follows in descending id, h order, around the end.
 
     Only ids, text hashes and lengths are ordered: by ranges, a window in each,
     and the ranges' first rows joined to the ranges before.
     """
-    ranged = stage(rows.repartitionByRange(F.col("id").desc(), F.col("h").desc()).withColumn("range", F.spark_partition_id()), "fingerprint-order")
+    ranged = work.stage(rows.repartitionByRange(F.col("id").desc(), F.col("h").desc()).withColumn("range", F.spark_partition_id()), "fingerprint-order")
     down = Window.partitionBy("range").orderBy(F.col("id").desc(), F.col("h").desc())
     told = F.struct("id", "h", "n")
     inner = ranged.withColumn("next", F.lead(told).over(down)).withColumn("prev", F.lag(told).over(down))
@@ -73,21 +86,20 @@ def followers(rows: DataFrame) -> DataFrame:
     return joined.select("id", "h", "n", "copies", F.coalesce("next", "after").alias("next"), F.coalesce("prev", "before").alias("prev"))
 
 
-def edited_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The order of the documents, and each one's text with its edited text.
+def edited_texts(docs: DataFrame, work: Workspace) -> DataFrame:
+    """Each document's text with its edited text, its copies and the document before it.
 
     A text is dealt by its own key once; to the document before it goes only
     the part that the edit takes over.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     narrow = keyed.select("id", "h", F.length("text").alias("n")).groupBy("id", "h", "n").agg(F.count("*").alias("copies"))
-    order = stage(followers(narrow), "fingerprint-next")
-    texts = keyed.dropDuplicates(["id", "h"]).join(order.drop("n"), ["id", "h"]).withColumn("n", F.length("text"))
+    order = work.stage(followers(narrow, work).select("id", "h", "copies", "prev"), "order")
+    texts = keyed.dropDuplicates(["id", "h"]).join(order, ["id", "h"]).withColumn("n", F.length("text"))
     donors = texts.select(F.col("prev.id").alias("id"), F.col("prev.h").alias("h"), F.col("text").substr(F.lit(1), F.floor(F.col("prev.n") / 3).cast("int")).alias("donor"))
     cut = F.floor(F.col("n") / 3).cast("int")
-    kept = F.col("text").substr(F.lit(1), F.col("n") - cut)
-    both = texts.select("id", "h", "n", "text").join(donors, ["id", "h"]).withColumn("kept", kept).withColumn("edited", F.concat("kept", "donor"))
-    return order, both
+    both = texts.join(donors, ["id", "h"]).withColumn("kept", F.col("text").substr(F.lit(1), F.col("n") - cut))
+    return both.withColumn("edited", F.concat("kept", "donor"))
 
 
 def weights(both: DataFrame) -> DataFrame:
@@ -118,22 +130,19 @@ def fingerprint(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
     their text; rows equal in both count as one document and come out as often
     as they went in; an only document is its own next; an empty table gives no rows.
     """
-    order, both = edited_texts(docs)
-    js = range(coordinates)
-    told = weights(both).groupBy("id", "h").agg(
-        *[F.min(sample(F.col("term"), F.col("own").cast("double"), j)).alias(f"o{j}") for j in js],
-        *[F.min(sample(F.col("term"), F.col("edited").cast("double"), j)).alias(f"e{j}") for j in js],
-    )
-    own, edited, following = ([F.col(f"{c}{j}") for j in js] for c in "oen")
-    rows = both.select("id", "h", "n", F.sha2("edited", 256).alias("edited_sha256")).join(told, ["id", "h"], "left")
-    rows = stage(rows, "fingerprints")
-    nexts = rows.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), *[F.col(f"o{j}").alias(f"n{j}") for j in js])
-    turn = order.select("id", "h", "copies", F.col("next.id").alias("next_id"), F.col("next.h").alias("next_h"))
-    joined = rows.join(turn, ["id", "h"]).join(nexts, ["next_id", "next_h"])
-    o, e, f = own[0].isNull(), edited[0].isNull(), following[0].isNull()
-    return joined.select(
-        F.when(F.col("id") != LEAST, F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256",
-        hexed(own, o).alias("fingerprint"), hexed(edited, e).alias("edited_fingerprint"),
-        likeness(own, edited, o, e).alias("near_edited"), likeness(own, following, o, f).alias("near_next"),
-        F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    ).drop("copy")
+    with Workspace(docs.sparkSession, "fingerprints") as work:
+        both = edited_texts(docs, work)
+        counts = weights(both).select("id", "h", "term", F.log("own").alias("own"), F.log("edited").alias("edited"))
+        own, edited = offers(F.col("term"), [F.col("own"), F.col("edited")], coordinates)
+        minima = counts.groupBy("id", "h").agg(*[F.min(s).alias(f"o{j}") for j, s in enumerate(own)], *[F.min(s).alias(f"e{j}") for j, s in enumerate(edited)])
+        told = minima.select("id", "h", *[F.when(F.col(f"{c}0").isNotNull(), identities([F.col(f"{c}{j}") for j in range(coordinates)])).alias(name) for c, name in (("o", "own"), ("e", "edited"))])
+        shown = both.select("id", "h", "n", "copies", "prev", F.unhex(F.sha2("edited", 256)).alias("sha"))
+        rows = work.stage(shown.join(told, ["id", "h"], "left"), "samples")
+        following = rows.select(F.col("prev.id").alias("id"), F.col("prev.h").alias("h"), F.col("own").alias("following"))
+        joined = rows.drop("prev").join(following, ["id", "h"])
+        return work.keep(joined.select(
+            F.when(F.col("id") != LEAST, F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"),
+            hexed(F.col("own")).alias("fingerprint"), hexed(F.col("edited")).alias("edited_fingerprint"),
+            likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
+            F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
+        ).drop("copy"), "fingerprints")
