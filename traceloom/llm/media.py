@@ -47,6 +47,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         head.append(int(found[1]))
         at = found.end()
     width, height, top = [*head, 1][:3]
+    if width < 1 or height < 1:
+        raise ValueError("an image without pixels")
     if not 0 < top < 256:
         raise ValueError("only samples of one byte are read")
     depth = 3 if kind in (b"P3", b"P6") else 1
@@ -72,6 +74,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if data[:2] != b"BM":
         raise ValueError("not a BMP image")
     start, size, width, height, _, bits, packed = struct.unpack_from("<I I i i H H I", data, 10)
+    if width < 1 or height == 0:
+        raise ValueError("an image without pixels")
     if packed or bits not in (8, 24, 32):
         raise ValueError("only uncompressed 8, 24 and 32 bit images are read")
     stride = (width * bits // 8 + 3) // 4 * 4
@@ -129,39 +133,55 @@ def padded(data: bytes) -> bytes:
     return data + b" " * (-len(data) % ROW_BYTES or (0 if data else ROW_BYTES))
 
 
-def encode_texts(docs: DataFrame, form: str = "ppm") -> DataFrame:
-    """doc_id, n_bytes and media: each text's padded UTF-8 as a lossless image (ppm or bmp)."""
-    encode = {"ppm": encode_ppm, "bmp": encode_bmp}[form]
+def encode_texts(docs: DataFrame, form: str = "both") -> DataFrame:
+    """doc_id, n_bytes and media: each text's padded UTF-8 as a lossless image. form: ppm, bmp, or both, as a checksum of the text is even or odd."""
+
+    def encode(data: bytes) -> bytes:
+        as_bmp = form == "bmp" or form == "both" and zlib.crc32(data) % 2 == 1
+        return (encode_bmp if as_bmp else encode_ppm)(text_image(padded(data)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("data").to_pylist()
-        media = [encode(text_image(padded(x))) for x in texts]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array(map(encode, texts), pa.binary())], ["doc_id", "n_bytes", "media"])
 
     source = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     return map_batches(source, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
+def described(data: bytes | None) -> tuple:
+    """What ``media_features`` tells of one image; of none, or of bytes that aren't one, only the fault and the bytes themselves."""
+    if data is None:
+        return (None,) * 7 + ("null",)
+    stored = (len(data), hashlib.sha256(data).hexdigest())
+    try:
+        pixels = decode_image(data)
+    except (ValueError, IndexError, OverflowError, struct.error) as error:
+        return (None, None, None, *stored, None, None, str(error))
+    payload = pixels.tobytes()
+    # whole thousandths: cells that are equal but for rounding compare as equal
+    tile = np.rint(area_resize(luma(pixels), 8, 9))
+    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored, difference_hash(tile), npy(np.rint(tile / 1000).astype(np.uint8)), None)
+
+
 def media_features(media: DataFrame) -> DataFrame:
-    """Read each stored image back: the payload's and the media's digests, an 8 x 9 NPY tile and its difference hash."""
+    """Read each stored image back: the payload's and the media's digests, an 8 x 9 NPY tile and its difference hash, and the fault if there is one.
+
+    Edge cases: a null image has nulls and the fault ``null``; bytes that are no whole image of a known form have
+    their own length and digest, nulls, and the fault; an empty table gives no rows.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for data in batch.column("media").to_pylist():
-            pixels = decode_image(data)
-            payload = pixels.tobytes()
-            tile = area_resize(luma(pixels), 8, 9)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(tile), npy(np.round(tile / 1000).astype(np.uint8))))
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+        rows = [described(data) for data in batch.column("media").to_pylist()]
+        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile", "fault"]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], ["doc_id", "n_bytes", *names])
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return map_batches(media, run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary")
+    return map_batches(media, run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary, fault string")
 
 
-def describe_texts(docs: DataFrame, form: str = "ppm") -> DataFrame:
+def describe_texts(docs: DataFrame, form: str = "both") -> DataFrame:
     """Store every text as an image, read the images back, and describe them.
 
     Edge cases: null and empty texts become one row of 192 spaces; equal texts

@@ -42,7 +42,8 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.describe_texts(table(spark, sf_dir, "documents")).drop("tile")
+    rows = media.describe_texts(table(spark, sf_dir, "documents"))
+    return rows.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile", "fault")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
