@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -394,6 +395,55 @@ def test_media_payloads(spark, form):
     assert rows[5][1:] == rows[6][1:] and rows[0][1:] == rows[1][1:]
 
 
+def plain_media(text):
+    """Stored bytes, tile and hash of a text, with fractions for the areas."""
+    data = (text or "").encode()
+    full = data + b" " * (192 - len(data) if not data else -len(data) % 192)
+    height = len(full) // 192
+    rows = [[tuple(full[y * 192 + x * 3 : y * 192 + x * 3 + 3]) for x in range(64)] for y in range(height)]
+    if zlib.crc32(data) % 2:
+        body = b"".join(bytes(c for p in r for c in p[::-1]) for r in reversed(rows))
+        stored = b"BM" + (54 + len(body)).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + (64).to_bytes(4, "little") + height.to_bytes(4, "little")
+        stored += b"\x01\0\x18\0" + bytes(4) + len(body).to_bytes(4, "little") + (2835).to_bytes(4, "little") * 2 + bytes(8) + body
+    else:
+        stored = f"P6\n64 {height}\n255\n".encode() + full
+    grey = [[299 * r + 587 * g + 114 * b for r, g, b in row] for row in rows]
+    share = lambda n, cells, i, k: max(Fraction(0), min(Fraction(n * (i + 1), cells), k + 1) - max(Fraction(n * i, cells), k))
+    tile = []
+    for i in range(8):
+        ys = [(y, w) for y in range(height) if (w := share(height, 8, i, y))]
+        tile.append([])
+        for j in range(9):
+            xs = [(x, w) for x in range(64) if (w := share(64, 9, j, x))]
+            tile[-1].append(round(sum(grey[y][x] * a * b for y, a in ys for x, b in xs) / (Fraction(height, 8) * Fraction(64, 9))))
+    bits = "".join(str(int(a < b)) for row in tile for a, b in zip(row, row[1:]))
+    return stored, [[round(v / 1000) for v in row] for row in tile], f"{int(bits, 2):016x}"
+
+
+def test_media_equals_plain_form(spark):
+    rng = random.Random(5)
+    texts = [None, "", "é ü", "x" * 192, "".join(chr(rng.randint(32, 126)) for _ in range(5000)), "".join(chr(rng.randint(32, 1000)) for _ in range(900)), "word " * 400]
+    rows = media.describe_texts(make(spark, texts)).orderBy("doc_id").collect()
+    forms = set()
+    for t, r in zip(texts, rows, strict=True):
+        stored, tile, feature = plain_media(t)
+        forms.add(stored[:2])
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), feature)
+        assert np.load(__import__("io").BytesIO(bytes(r.tile))).tolist() == tile
+    assert forms == {b"BM", b"P6"}
+
+
+def test_images_that_are_none(spark):
+    whole = media.encode_bmp(np.zeros((2, 2, 3), np.uint8))
+    images = [None, b"", b"GIF", whole[:60], whole, b"P6\n0 2\n255\n", b"BM" + bytes(60), b"P5\n99999999 99999999\n255\nx"]
+    rows = spark.createDataFrame([(i, 1, None if x is None else bytearray(x)) for i, x in enumerate(images)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.media_features(rows).collect()}
+    assert got[0].fault == "null" and got[0].media_bytes is None
+    for i in (1, 2, 3, 5, 6, 7):
+        assert got[i].fault and got[i].feature is None and got[i].payload_bytes is None and got[i].media_bytes == len(images[i])
+    assert got[4].fault is None and got[4].payload_bytes == 12
+
+
 # 8 secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -464,11 +514,28 @@ def test_chat_trap_is_there(spark, sf_dir):
     assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(queries.TRAP), hashlib.sha256(queries.TRAP.encode()).hexdigest())
 
 
+def test_wrong_masks_show(spark):
+    rows = [(1, 0, "user", "ask me", ""), (1, 1, "assistant", "an answer <s> of\\ words", ""), (None, 0, "assistant", None, ""), (None, 1, "assistant", "x", "")]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, TALK), public_tokenizers.path("byte_bpe_50k.json"))
+    right = {r.conv_id: r for r in chat.read_back(formatted).collect()}
+    assert right[None].n_turns == 2 and right[None].loss_sha256 == hashlib.sha256(b"x").hexdigest()
+    assert right[1].loss_sha256 == hashlib.sha256(b"an answer <s> of\\ words").hexdigest()
+    for wrong in (F.transform("loss_mask", lambda m: F.lit(False)), F.transform("loss_mask", lambda m: F.lit(True)), F.transform("loss_mask", lambda m, i: m & (i % 2 == 0))):
+        got = {r.conv_id: r for r in chat.read_back(formatted.withColumn("loss_mask", wrong)).collect()}
+        assert got[1].loss_sha256 != right[1].loss_sha256 and got[1].turns_sha256 == right[1].turns_sha256
+    none = spark.createDataFrame([], TALK)
+    assert chat.read_back(chat.format_conversations(none, public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
+
+
 def test_masks_by_binary_search():
     tokens = np.array([(0, 3), (3, 5), (5, 5), (5, 9), (9, 12)])
     mask, covered = chat.masked_tokens(tokens, [(4, 6), (9, 12)])
     assert mask.tolist() == [False, True, False, True, True] or mask.tolist() == [False, True, True, True, True]
     assert covered == [(4, 6), (9, 12)]
+    # characters 5 to 7 belong to no token
+    mask, covered = chat.masked_tokens(np.array([(0, 3), (3, 5), (8, 9), (9, 12)]), [(1, 10)])
+    assert mask.all() and covered == [(1, 5), (8, 10)]
+    assert chat.masked_tokens(np.zeros((0, 2), int), [(0, 1)])[1] == []
 
 
 # 10 fingerprints
