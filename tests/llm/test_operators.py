@@ -5,8 +5,8 @@ import math
 import random
 import re
 import zlib
-from fractions import Fraction
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from traceloom.llm import chat, fingerprints, hmm, langid, media, mixing, neardup, pieces, queries, secrets, warc
+from traceloom.llm.common import Workspace
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -265,18 +266,82 @@ def plain_sainte_lague(votes, caps, seats):
     return got
 
 
-def test_sainte_lague_equals_seat_by_seat():
+def test_sainte_lague_equals_seat_by_seat(spark):
     rng = np.random.default_rng(3)
-    for _ in range(200):
+    parties, seats, want = [], [], {}
+    for g in range(200):
         n = int(rng.integers(1, 8))
         votes, caps = rng.integers(0, 50, n).tolist(), rng.integers(0, 20, n).tolist()
-        seats = int(rng.integers(0, 60))
-        assert mixing.sainte_lague(votes, caps, seats).tolist() == plain_sainte_lague(votes, caps, seats)
-
-
-def test_capped_targets():
-    assert mixing.capped_targets([10, 100, 100], [5, 2, 1], 315) == pytest.approx([20, 590 / 3, 295 / 3])
-    assert mixing.capped_targets([1, 1], [5, 2], 30) == pytest.approx([2, 2])
+        seats.append((g, int(rng.integers(0, 60))))
+        parties += [(g, i, float(v), c) for i, (v, c) in enumerate(zip(votes, caps, strict=True))]
+        want |= {(g, i): x for i, x in enumerate(plain_sainte_lague(votes, caps, seats[-1][1]))}
+    with Workspace(spark, "test") as work:
+        found = mixing.apportion(spark.createDataFrame(parties, "grp int, party int, votes double, cap long"), spark.createDataFrame(seats, "grp int, seats long"), work)
+        assert {(r.grp, r.party): r.quota for r in found.collect()} == want
+
+
+def capped_targets(sizes, weights, total):
+    """Share a total by weight, at most twice a size each, the excess again by weight."""
+    target, free = [0.0] * len(sizes), set(range(len(sizes)))
+    while free:
+        unit = (total - sum(target)) / sum(weights[i] for i in free)
+        full = {i for i in free if unit * weights[i] > 2 * sizes[i]}
+        for i in full or free:
+            target[i] = 2.0 * sizes[i] if full else unit * weights[i]
+        free -= full or free
+    return target
+
+
+@pytest.mark.parametrize("sizes", [[10, 100, 100], [1, 1], [0, 0, 5], [3, 1000, 1, 400, 7, 7]])
+def test_water_level(spark, sizes):
+    weights = [mixing.CYCLE[i % 3] for i in range(len(sizes))]
+    level = mixing.water_level(spark.createDataFrame(list(zip(sizes, weights, strict=True)), "source_size long, weight double"), 1.5)
+    assert [min(level * w, 2.0 * s) for s, w in zip(sizes, weights, strict=True)] == pytest.approx(capped_targets(sizes, weights, 1.5 * sum(sizes)))
+
+
+def plain_taken(rows, shard_tokens):
+    """doc -> (size, source_size, target, taken), written from the description with seats dealt one by one. rows: doc_id, text, source."""
+    hashed = lambda seed, x: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(x.encode(), seed=xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), seed=42)))
+    size = {i: len(SPLIT.findall(t or "")) for i, t, _ in rows}
+    of = {i: s for i, _, s in rows}
+    sources = sorted({*of.values()}, key=lambda s: (s is None, s or ""))
+    held = {s: sum(size[i] for i in of if of[i] == s) for s in sources}
+    targets = dict(zip(sources, capped_targets([held[s] for s in sources], [mixing.CYCLE[i % 3] for i in range(len(sources))], 1.5 * sum(held.values())), strict=True))
+    block = max(1, min(64, int(min(t for t in targets.values() if t > 0) // 200)))
+    quota = dict(zip(sources, plain_sainte_lague([targets[s] for s in sources], [2 * math.ceil(held[s] / block) for s in sources], round(1.5 * sum(held.values()) / block)), strict=True))
+    found = {}
+    for no, s in enumerate(sources):
+        count = max(1, math.ceil(held[s] / shard_tokens))
+        shards = defaultdict(list)
+        for i in of:
+            if of[i] == s:
+                shards[hashed(8, str(i)) % count].append(i)
+        shard_size = {k: sum(size[i] for i in x) for k, x in shards.items()}
+        blocks = {k: max(1, (n + block // 2) // block) if n else 0 for k, n in shard_size.items()}
+        keys = sorted(shards)
+        seats = dict(zip(keys, plain_sainte_lague([shard_size[k] for k in keys], [2 * blocks[k] for k in keys], quota[s]), strict=True))
+        for k, docs in shards.items():
+            n, at, words = blocks[k], 0, {}
+            if n:
+                times = [seats[k] // n] * n
+                seed = xxhash.xxh64_intdigest(k.to_bytes(8, "little"), seed=xxhash.xxh64_intdigest(no.to_bytes(8, "little"), seed=xxhash.xxh64_intdigest((9).to_bytes(4, "little"), seed=42)))
+                begin = (seed - (1 << 64) if seed >> 63 else seed) % n
+                for b in range(seats[k] % n):
+                    times[(begin + b) % n] += 1
+                words = {w: times[b] for b in range(n) for w in range(b * shard_size[k] // n, (b + 1) * shard_size[k] // n)}
+            for i in sorted(docs, key=lambda i: (hashed(7, str(i)), i)):
+                found[i] = (size[i], held[s], pytest.approx(targets[s]), sum(words[w] for w in range(at, at + size[i])))
+                at += size[i]
+    return found
+
+
+@pytest.mark.parametrize("shard_tokens", [400, 10**6])
+def test_taken_equals_plain_form(spark, monkeypatch, shard_tokens):
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", shard_tokens)
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i % 17 == 0 else "w " * int(rng.integers(0, 90)), [None, "b", "a", "\uffff", "\U00010000", "b", "b"][int(rng.integers(0, 7))]) for i in range(150)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == plain_taken(rows, shard_tokens)
 
 
 def test_mixture_meets_its_targets(spark, sf_dir, monkeypatch):
@@ -291,7 +356,7 @@ def test_mixture_meets_its_targets(spark, sf_dir, monkeypatch):
     total = sum(r["size"] for r in rows)
     sizes = {s: sum(r["size"] for r in x) for s, x in by.items()}
     order = sorted(by, key=lambda s: (s is None, s or ""))
-    want = mixing.capped_targets([sizes[s] for s in order], [mixing.CYCLE[i % 3] for i in range(len(order))], 1.5 * total)
+    want = capped_targets([sizes[s] for s in order], [mixing.CYCLE[i % 3] for i in range(len(order))], 1.5 * total)
     for s, t in zip(order, want, strict=True):
         assert all((r["source_size"], r["target"]) == (sizes[s], pytest.approx(t)) for r in by[s])
         assert sum(r["taken"] for r in by[s]) == pytest.approx(t, rel=0.02, abs=2)
