@@ -16,6 +16,7 @@ from traceloom.functions.measures import clamp
 from traceloom.operators import genomes, states
 from traceloom.operators.sequences import PROGRAM
 
+#: Weights of the parts of each distance.
 V2_WEIGHTS = {"coverage": 0.30, "calls": 0.30, "exception": 0.15, "depth": 0.15, "consistency": 0.10}
 V3_WEIGHTS = {"coverage": 0.20, "bigrams": 0.25, "calls": 0.20, "exception": 0.10, "depth": 0.10, "consistency": 0.05, "sensitivity": 0.05, "causality": 0.05}
 TEMPORAL_WEIGHTS = {"trigrams": 0.20, "entropy": 0.10, "triples": 0.10, "recovery": 0.15, "causal": 0.15, "phases": 0.10, "loops": 0.20}
@@ -35,11 +36,11 @@ def met(histograms: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def kernels(histograms: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pair_id, family, l1, l2, jaccard, weighted, cosine, jsd of each family that a side has.
+    """pair_id, family, l1, l2, jaccard, weighted, cosine, jsd, scaled of each family that a side has.
 
     l1: half the L1 distance, at most 1. l2: L2 distance over the root of 2. jaccard: of the keys.
     weighted: 1 - sum of min over sum of max. cosine: similarity, 0 with an empty side.
-    jsd: divergence of the shares over ln 2, an empty side counting as zeros.
+    jsd: divergence of the shares over ln 2, an empty side counting as zeros. scaled: half the L1 distance over the greatest weight, or 1.
     """
     rows = met(histograms, pairs)
     total = rows.groupBy("pair_id", "family").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
@@ -54,6 +55,7 @@ def kernels(histograms: DataFrame, pairs: DataFrame) -> DataFrame:
         (F.sqrt(F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b")))) / F.sqrt(F.lit(2.0))).alias("l2"),
         (1 - both / either).alias("jaccard"), (1 - F.sum(F.least("a", "b")) / F.sum(F.greatest("a", "b"))).alias("weighted"),
         F.when(norms == 0, 0.0).otherwise(F.sum(F.col("a") * F.col("b")) / norms).alias("cosine"), F.least(F.lit(1.0), jsd).alias("jsd"),
+        (F.sum(F.abs(F.col("a") - F.col("b"))) / F.greatest(F.max("a"), F.max("b"), F.lit(1.0)) / 2).alias("scaled"),
     )
 
 
@@ -95,9 +97,9 @@ def weighted(parts: Mapping[str, Column], weights: Mapping[str, float]) -> Colum
     return clamp(total)
 
 
-def behaviour_parts(events: DataFrame, traces: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pair_id and the parts of the second and third distance, before weights."""
-    told = wide_kernels(genomes.call_histograms(events, traces), pairs, {"calls": ("calls", "l1"), "bigrams": ("bigrams", "l1"), "classes": ("exceptions", "jaccard")})
+def behaviour_parts(events: DataFrame, traces: DataFrame, pairs: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """pair_id and the parts of the second and third distance, before weights. counted: ``genomes.occurrences`` that are there already."""
+    told = wide_kernels(genomes.call_histograms(events, traces, counted), pairs, {"calls": ("calls", "l1"), "bigrams": ("bigrams", "l1"), "classes": ("exceptions", "jaccard")})
     scalars = genomes.joined([genomes.trace_scalars(events, traces), genomes.ordered_scalars(events, traces)])
     rows = both_rows(pairs, scalars).join(told, "pair_id")
     return rows.select(
@@ -120,16 +122,14 @@ def distance_v3(parts: DataFrame, weights: Mapping[str, float] = V3_WEIGHTS) ->
     return parts.select("pair_id", weighted(of(weights), weights).alias("distance"))
 
 
-def temporal_parts(events: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pair_id and the parts of the temporal distance."""
-    histograms = genomes.temporal_histograms(events)
-    told = wide_kernels(histograms, pairs, {"trigrams": ("trigrams", "l1"), "triples": ("triples", "jaccard"), "causal": ("causal", "jaccard")})
-    runs = met(histograms.where("family = 'runs'"), pairs).groupBy("pair_id").agg((F.sum(F.abs(F.col("a") - F.col("b"))) / F.greatest(F.max("a"), F.max("b"), F.lit(1.0)) / 2).alias("run_gap"))
-    rows = both_rows(pairs, genomes.temporal_scalars(events)).join(told, "pair_id").join(runs, "pair_id", "left")
+def temporal_parts(events: DataFrame, pairs: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """pair_id and the parts of the temporal distance. counted: ``genomes.occurrences`` that are there already."""
+    told = wide_kernels(genomes.temporal_histograms(events, counted), pairs, {"trigrams": ("trigrams", "l1"), "triples": ("triples", "jaccard"), "causal": ("causal", "jaccard"), "run_gap": ("runs", "scaled")})
+    rows = both_rows(pairs, genomes.temporal_scalars(events, counted)).join(told, "pair_id")
     phases = gap("phase0") + gap("phase1") + gap("phase2")
     return rows.select(
         "pair_id", "trigrams", (0.5 * gap("bigram_entropy") + 0.5 * gap("trigram_entropy")).alias("entropy"), "triples", gap("recovery_rate").alias("recovery"), "causal",
-        F.least(F.lit(1.0), phases / 2).alias("phases"), F.least(F.lit(1.0), 0.5 * F.least(F.lit(1.0), F.coalesce("run_gap", F.lit(0.0))) + 0.5 * relative_gap("loop_score")).alias("loops"),
+        F.least(F.lit(1.0), phases / 2).alias("phases"), F.least(F.lit(1.0), 0.5 * F.least(F.lit(1.0), F.col("run_gap")) + 0.5 * relative_gap("loop_score")).alias("loops"),
     )
 
 
@@ -142,9 +142,9 @@ def distance_state(events: DataFrame, pairs: DataFrame) -> DataFrame:
     return wide_kernels(genomes.state_histograms(events), pairs, {"distance": ("transitions", "weighted")})
 
 
-def distance_v5(events: DataFrame, traces: DataFrame, pairs: DataFrame, failed: float = 1.0) -> DataFrame:
+def distance_v5(events: DataFrame, traces: DataFrame, pairs: DataFrame, failed: float = 1.0, counted: DataFrame | None = None) -> DataFrame:
     """pair_id, v3, temporal, state, distance. A pair whose extraction failed has the distance ``failed``; the library form has 0.5."""
-    frames = {"v3": distance_v3(behaviour_parts(events, traces, pairs)), "temporal": distance_temporal(temporal_parts(events, pairs)), "state": distance_state(events, pairs)}
+    frames = {"v3": distance_v3(behaviour_parts(events, traces, pairs, counted)), "temporal": distance_temporal(temporal_parts(events, pairs, counted)), "state": distance_state(events, pairs)}
     rows = pairs.select("pair_id")
     for name, frame in frames.items():
         rows = rows.join(frame.withColumnRenamed("distance", name), "pair_id", "left")
@@ -152,9 +152,9 @@ def distance_v5(events: DataFrame, traces: DataFrame, pairs: DataFrame, failed:
     return rows.withColumn("distance", F.when(F.col("v3").isNull(), failed).otherwise(whole))
 
 
-def first_distances(events: DataFrame, traces: DataFrame, pairs: DataFrame) -> DataFrame:
+def first_distances(events: DataFrame, traces: DataFrame, pairs: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """pair_id and the first distances of the five dynamic dimensions: EXECUTION, STATE, RESOURCE, TEMPORAL, INTERACTION."""
-    told = wide_kernels(genomes.first_histograms(events, traces), pairs, {
+    told = wide_kernels(genomes.first_histograms(events, traces, counted), pairs, {
         "lines": ("lines", "jaccard"), "names": ("names", "l1"), "grams": ("event_bigrams", "jaccard"), "timing": ("timing", "l1"), "depths": ("depths", "l2"),
         "types": ("types", "jaccard"), "outputs": ("outputs", "jsd"), "patterns": ("patterns", "jaccard"),
     })
@@ -206,10 +206,10 @@ def shortcut_similarity(volumes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def trace_similarity(events: DataFrame, traces: DataFrame, pairs: DataFrame) -> DataFrame:
     """pair_id, similarity: mean of the similarities of named calls, lines, return types and exceptions. It looks at outputs."""
-    names = genomes.first_histograms(events, traces).where("family IN ('names', 'lines')")
+    names = genomes.weighted_occurrences(genomes.occurrences(events, ["names"])).union(genomes.histogram(genomes.coverage_lines(traces), "lines", "line", "n"))
     types = genomes.output_types(traces)
     types = types.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(PROGRAM)))
-    classes = genomes.call_histograms(events, traces).where("family = 'exceptions'")
+    classes = genomes.histogram(genomes.exception_classes(traces), "exceptions", "class", "n")
     told = names.union(genomes.histogram(types, "types", "type", "share")).union(classes)
     rows = wide_kernels(told, pairs, {"names": ("names", "l1"), "lines": ("lines", "jaccard"), "types": ("types", "l1"), "classes": ("exceptions", "jaccard")})
     return rows.select("pair_id", (1 - (F.col("names") + F.col("lines") + F.col("types") + F.col("classes")) / 4).alias("similarity"))

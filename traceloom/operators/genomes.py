@@ -5,12 +5,13 @@ A histogram row is (program_id, family, key, weight). Distances need nothing els
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.functions.measures import entropy_parts, normalised_entropy
+from traceloom.functions.measures import entropy_parts, normalised_entropy, ratio
 from traceloom.functions.reprs import exception_class, output_category, type_name
 from traceloom.operators import sequences, states
 from traceloom.operators.sequences import PROGRAM
@@ -34,25 +35,28 @@ def coverage_consistency(traces: DataFrame) -> DataFrame:
     return traces.select(PROGRAM).distinct().join(means, PROGRAM, "left").select(PROGRAM, F.coalesce("mean", F.lit(1.0)).alias("coverage_consistency"))
 
 
+def ordered_traces(events: DataFrame, traces: DataFrame) -> DataFrame:
+    """The traces with what ``sequences.trace_order`` tells of them."""
+    return traces if "n_calls" in traces.columns else traces.join(sequences.trace_order(events), TRACE)
+
+
 def trace_signatures(events: DataFrame, traces: DataFrame) -> DataFrame:
     """program_id, signature, n: hashes of a trace's lines, number of calls and exception class."""
-    calls = events.groupBy(*TRACE).agg(F.sum((F.col("event_type") == "call").cast("long")).alias("calls"))
-    told = F.concat_ws("|", F.array_join(F.col("coverage").cast("array<string>"), ","), F.col("calls").cast("string"), F.coalesce(exception_class(F.col("exception")), F.lit("")))
-    return traces.join(calls, TRACE).groupBy(PROGRAM, F.substring(F.md5(told), 1, 8).alias("signature")).agg(F.count("*").alias("n"))
+    told = F.concat_ws("|", F.array_join(F.col("coverage").cast("array<string>"), ","), F.col("n_calls").cast("string"), F.coalesce(exception_class(F.col("exception")), F.lit("")))
+    return ordered_traces(events, traces).groupBy(PROGRAM, F.substring(F.md5(told), 1, 8).alias("signature")).agg(F.count("*").alias("n"))
 
 
-def hot_path_stability(events: DataFrame) -> DataFrame:
-    """Share of the traces that begin with the most common first three calls; a trace without a call counts."""
-    calls = sequences.call_sequence(events).where("pos < 3").groupBy(*TRACE).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("idx").cast("string").alias("told")))).alias("calls"))
-    paths = events.select(*TRACE).distinct().join(calls, TRACE, "left").select(PROGRAM, F.coalesce(F.array_join(F.transform("calls", lambda c: c["told"]), "|"), F.lit("")).alias("path"))
+def hot_path_stability(events: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """Share of the traces that begin with the most common first three calls; a trace without a call counts. order: of ``sequences.trace_order``."""
+    paths = sequences.trace_order(events) if order is None else order
     return paths.groupBy(PROGRAM, "path").agg(F.count("*").alias("n")).groupBy(PROGRAM).agg((F.max("n") / F.sum("n")).alias("hot_path_stability"))
 
 
 def exception_causality(events: DataFrame, traces: DataFrame) -> DataFrame:
     """program_id, causality_hash: of the sorted (function, exception class, depth) of all exception events."""
-    told = sequences.depths(events).where("event_type = 'exception'").join(sequences.anonymise(events), [PROGRAM, "function_name"], "left")
+    told = sequences.in_traces(events).where("event_type = 'exception'").select(*TRACE, F.coalesce("idx", F.lit(-1)).alias("fn"), "depth")
     told = told.join(traces.where("exception IS NOT NULL").select(*TRACE, exception_class(F.col("exception")).alias("class")), TRACE)
-    tuples = F.array_sort(F.collect_list(F.struct(F.coalesce("idx", F.lit(-1)).alias("fn"), "class", "depth")))
+    tuples = F.array_sort(F.collect_list(F.struct("fn", "class", "depth")))
     joined = F.array_join(F.transform(tuples, lambda t: F.concat_ws(":", t["fn"].cast("string"), t["class"], t["depth"].cast("string"))), "|")
     hashes = told.groupBy(PROGRAM).agg(F.substring(F.sha2(joined, 256), 1, 16).alias("hash"))
     none = F.substring(F.sha2(F.lit("no_exceptions"), 256), 1, 16)
@@ -72,7 +76,8 @@ def trace_scalars(events: DataFrame, traces: DataFrame) -> DataFrame:
         F.avg("execution_time_ms").alias("time_mean"), std("execution_time_ms").alias("time_std"), F.min("execution_time_ms").alias("time_min"), F.max("execution_time_ms").alias("time_max"),
     )
     lines = coverage_lines(traces).groupBy(PROGRAM).agg(F.count("*").alias("coverage_size"))
-    deep = sequences.trace_depths(events).groupBy(PROGRAM).agg(F.avg("max_depth").alias("depth_mean"), F.max("max_depth").alias("depth_max"), F.var_pop("max_depth").alias("depth_variance"))
+    depths = traces if "max_depth" in traces.columns else sequences.trace_depths(events)
+    deep = depths.groupBy(PROGRAM).agg(F.avg("max_depth").alias("depth_mean"), F.max("max_depth").alias("depth_max"), F.var_pop("max_depth").alias("depth_variance"))
     found = joined([sums, lines, deep, coverage_consistency(traces)])
     return found.withColumn("coverage_size", F.coalesce("coverage_size", F.lit(0)))
 
@@ -80,37 +85,100 @@ def trace_scalars(events: DataFrame, traces: DataFrame) -> DataFrame:
 def ordered_scalars(events: DataFrame, traces: DataFrame) -> DataFrame:
     """The scalars that the third genome adds: input sensitivity, stability, causality."""
     sensitivity = sequences.diversity(trace_signatures(events, traces), [PROGRAM], "input_sensitivity")
-    return joined([sensitivity, hot_path_stability(events), exception_causality(events, traces)])
+    return joined([sensitivity, hot_path_stability(events, traces if "path" in traces.columns else None), exception_causality(events, traces)])
+
 
+#: Families of histograms that follow from an event and what stands around it.
+COUNTED = ("calls", "bigrams", "flat2", "trigrams", "triples", "runs", "phases", "names", "event_bigrams", "depths")
+#: Families whose weights are shares of the program's total; others keep their counts.
+SHARED = ("calls", "bigrams", "flat2", "trigrams", "phase0", "phase1", "phase2", "names", "depths")
 
-def temporal_scalars(events: DataFrame) -> DataFrame:
+
+def occurrences(events: DataFrame, families: Iterable[str] = COUNTED) -> DataFrame:
+    """program_id, family, key, n, total: every key of the families, how often it occurs, and the sum of what occurrences weigh, in one pass.
+
+    calls, bigrams: of a trace; flat2, trigrams: across traces; phases: families phase0 to phase2, of the calls in each third; runs: of calls, weighing their lengths.
+    """
+    wanted = set(families)
+    rows = (sequences.in_programs if wanted & {"flat2", "trigrams", "triples", "runs", "phases"} else sequences.in_traces)(events)
+    if "triples" in wanted:
+        rows = rows.withColumn("post", sequences.post()).withColumn("raised", F.col("function_name"))
+    call = sequences.is_call()
+    keys: dict[str, tuple[Column, Column]] = {}
+    add = lambda family, key, name=None: keys.update({family: (F.lit(family) if name is None else name, key)}) if family in wanted else None
+    add("calls", F.when(call, F.col("idx")))
+    for family, n, by_trace in (("bigrams", 2, True), ("flat2", 2, False), ("trigrams", 3, False)):
+        if family in wanted:
+            add(family, F.when(call, sequences.gram(n, by_trace)))
+    if "triples" in wanted:
+        add("triples", F.when(F.col("event_type") == "exception", sequences.bracketed("pre", "raised", "post")))
+    if "runs" in wanted:
+        add("runs", F.when(F.col("run_length").isNotNull(), F.col("idx")))
+    if "phases" in wanted:
+        add("phases", F.when(call, F.col("idx")), F.concat(F.lit("phase"), sequences.phase().cast("string")))
+    add("names", F.when(call, F.col("function_name")))
+    add("event_bigrams", sequences.event_gram())
+    add("depths", F.col("depth"))
+    weight = lambda family: F.col("run_length") if family == "runs" else F.lit(1).cast("long")
+    told = [F.when(key.isNotNull(), F.struct(name.alias("family"), key.cast("string").alias("key"), weight(family).alias("weight"))) for family, (name, key) in keys.items()]
+    rows = rows.select(PROGRAM, F.explode(F.array_compact(F.array(*told))).alias("o")).select(PROGRAM, "o.*")
+    return rows.groupBy(PROGRAM, "family", "key").agg(F.count("*").alias("n"), F.sum("weight").alias("total"))
+
+
+def weighted_occurrences(counted: DataFrame) -> DataFrame:
+    """Histogram rows of ``occurrences``: shares, mean lengths of runs, or counts."""
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(PROGRAM, "family"))
+    weight = F.when(F.col("family").isin(*SHARED), share).when(F.col("family") == "runs", F.col("total") / F.col("n")).otherwise(F.col("n").cast("double"))
+    return counted.select(PROGRAM, "family", "key", weight.alias("weight"))
+
+
+def family_entropies(counted: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """program_id and the normalised entropy of each named family; null where a program lacks it."""
+    rows = sequences.diversity(counted.where(F.col("family").isin(*names)), [PROGRAM, "family"], "h")
+    return rows.groupBy(PROGRAM).agg(*[F.max(F.when(F.col("family") == f, F.col("h"))).alias(name) for f, name in names.items()])
+
+
+def run_scalars(events: DataFrame) -> DataFrame:
+    """program_id, recovery_rate (null without an exception), loop_score: in one pass."""
+    rows = sequences.in_programs(events)
+    raised = F.when(F.col("event_type") == "exception", sequences.recovered().cast("int"))
+    spread = F.when(F.count("run_length") < 2, 0.0).otherwise(ratio(F.stddev_pop("run_length"), F.avg("run_length")))
+    return rows.groupBy(PROGRAM).agg(F.avg(raised).alias("recovery_rate"), spread.alias("loop_score"))
+
+
+TEMPORAL_ENTROPIES = {"flat2": "bigram_entropy", "trigrams": "trigram_entropy", "phase0": "phase0", "phase1": "phase1", "phase2": "phase2"}
+
+
+def temporal_scalars(events: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """The scalars of the fifth, temporal genome: gram entropies, recovery, phases, loops."""
-    programs = events.select(PROGRAM).distinct()
-    grams = [sequences.diversity(sequences.call_ngrams(events, n, by_trace=False), [PROGRAM], name) for n, name in ((2, "bigram_entropy"), (3, "trigram_entropy"))]
-    phases = sequences.phase_diversity(events).groupBy(PROGRAM).agg(*[F.coalesce(F.max(F.when(F.col("phase") == i, F.col("diversity"))), F.lit(0.0)).alias(f"phase{i}") for i in range(3)])
-    runs = sequences.run_lengths(events)
-    frames = [programs, *grams, sequences.recovery_rate(events), sequences.causal_entropy(sequences.precedence(events)), phases, sequences.loop_score(runs)]
-    return joined(frames).na.fill(0.0)
+    counted = occurrences(events, ("flat2", "trigrams", "phases")) if counted is None else counted
+    return joined([run_scalars(events), family_entropies(counted, TEMPORAL_ENTROPIES)]).na.fill(0.0)
 
 
 def histogram(rows: DataFrame, family: str, key: str, weight: str) -> DataFrame:
     return rows.select(PROGRAM, F.lit(family).alias("family"), F.col(key).cast("string").alias("key"), F.col(weight).cast("double").alias("weight"))
 
 
-def call_histograms(events: DataFrame, traces: DataFrame) -> DataFrame:
-    """Families calls, bigrams and exceptions (of the output-free genomes)."""
-    classes = traces.where("exception IS NOT NULL").groupBy(PROGRAM, exception_class(F.col("exception")).alias("class")).agg(F.count("*").alias("n"))
-    return histogram(sequences.call_frequency(events), "calls", "idx", "share").union(histogram(sequences.call_ngrams(events, 2), "bigrams", "gram", "share")).union(histogram(classes, "exceptions", "class", "n"))
+def exception_classes(traces: DataFrame) -> DataFrame:
+    """program_id, class, n of the traces that end in an exception."""
+    return traces.where("exception IS NOT NULL").groupBy(PROGRAM, exception_class(F.col("exception")).alias("class")).agg(F.count("*").alias("n"))
 
 
-def temporal_histograms(events: DataFrame) -> DataFrame:
+def of_families(counted: DataFrame, *families: str) -> DataFrame:
+    return counted.where(F.col("family").isin(*families))
+
+
+def call_histograms(events: DataFrame, traces: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Families calls, bigrams and exceptions (of the output-free genomes). counted: ``occurrences`` that are there already."""
+    counted = occurrences(events, ("calls", "bigrams")) if counted is None else of_families(counted, "calls", "bigrams")
+    return weighted_occurrences(counted).union(histogram(exception_classes(traces), "exceptions", "class", "n"))
+
+
+def temporal_histograms(events: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Families trigrams, triples, causal and runs of the temporal genome."""
-    causal = sequences.precedence(events).where("p > 0.5").select(PROGRAM, F.concat(F.lit("("), F.concat_ws(",", F.col("i").cast("string"), F.col("j").cast("string")), F.lit(")")).alias("pair"), F.lit(1).alias("n"))
-    runs = sequences.run_lengths(events).groupBy(PROGRAM, "idx").agg(F.avg("length").alias("mean"))
-    return (
-        histogram(sequences.call_ngrams(events, 3, by_trace=False), "trigrams", "gram", "share").union(histogram(sequences.exception_triples(events), "triples", "triple", "n"))
-        .union(histogram(causal, "causal", "pair", "n")).union(histogram(runs, "runs", "idx", "mean"))
-    )
+    counted = occurrences(events, ("trigrams", "triples", "runs")) if counted is None else of_families(counted, "trigrams", "triples", "runs")
+    causal = sequences.precedence(events).where("p > 0.5").select(PROGRAM, sequences.bracketed("i", "j").alias("pair"), F.lit(1).alias("n"))
+    return weighted_occurrences(counted).union(histogram(causal, "causal", "pair", "n"))
 
 
 def state_histograms(events: DataFrame) -> DataFrame:
@@ -119,16 +187,13 @@ def state_histograms(events: DataFrame) -> DataFrame:
     return histogram(states.state_transitions(events).withColumn("key", key), "transitions", "key", "n")
 
 
-def first_histograms(events: DataFrame, traces: DataFrame) -> DataFrame:
-    """Families of the first genomes: lines, names, grams, timing, depths, types, outputs, patterns."""
-    names = events.where("event_type = 'call'").groupBy(PROGRAM, "function_name").agg(F.count("*").alias("n"))
-    names = names.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(PROGRAM)))
-    deep = states.depth_profile(events).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(PROGRAM)))
-    outputs = output_histogram(traces)
+def first_histograms(events: DataFrame, traces: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Families of the first genomes: lines, names, event_bigrams, timing, depths, types, outputs, patterns."""
+    own = ("names", "event_bigrams", "depths")
+    counted = occurrences(events, own) if counted is None else of_families(counted, *own)
     return reduce(DataFrame.union, [
-        histogram(coverage_lines(traces), "lines", "line", "n"), histogram(names, "names", "function_name", "share"), histogram(sequences.event_bigrams(events), "event_bigrams", "gram", "n"),
-        histogram(sequences.phase_timing(events), "timing", "function_name", "share"), histogram(deep, "depths", "depth", "share"), histogram(states.heap_types(events), "types", "type", "n"),
-        histogram(outputs, "outputs", "category", "n"), histogram(call_patterns(events), "patterns", "pattern", "n"),
+        weighted_occurrences(counted), histogram(coverage_lines(traces), "lines", "line", "n"), histogram(sequences.phase_timing(events), "timing", "function_name", "share"),
+        histogram(states.heap_types(events), "types", "type", "n"), histogram(output_histogram(traces), "outputs", "category", "n"), histogram(call_patterns(events), "patterns", "pattern", "n"),
     ])
 
 

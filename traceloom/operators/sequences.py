@@ -1,8 +1,14 @@
-"""Order-aware features of traces: anonymous calls, n-grams, depth, runs, phases, precedence, exceptions."""
+"""Order-aware features of traces: anonymous calls, n-grams, depth, runs, phases, precedence, exceptions.
+
+What depends on order is found once, in two steps. ``in_traces`` looks along each trace. ``trace_order`` looks along the
+traces of each program, one row a trace, and ``in_programs`` brings that to the events; so a program of any size is
+spread over tasks by its traces. Tables that have these columns already are taken as they are: staged once, they
+serve all features by plain grouping.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.measures import binary_entropy, entropy_parts, normalised_entropy, ratio
@@ -11,43 +17,142 @@ from traceloom.sources.traces import TRACE
 PROGRAM = "program_id"
 
 
+def is_call() -> Column:
+    return F.col("event_type") == "call"
+
+
 def anonymise(events: DataFrame) -> DataFrame:
     """program_id, function_name, idx: functions numbered in the order of their first call, run by run, input by input."""
+    if "idx" in events.columns:
+        return events.where("event_type = 'call'").select(PROGRAM, "function_name", "idx").distinct()
     first = events.where("event_type = 'call'").groupBy(PROGRAM, "function_name").agg(F.min(F.struct("run_idx", "input_idx", "seq")).alias("at"))
     return first.withColumn("idx", F.row_number().over(Window.partitionBy(PROGRAM).orderBy("at")) - 1).drop("at")
 
 
+def with_index(events: DataFrame) -> DataFrame:
+    """The events with the anonymous index of their function; null if it is never called."""
+    return events if "idx" in events.columns else events.join(anonymise(events), [PROGRAM, "function_name"], "left")
+
+
+def in_traces(events: DataFrame) -> DataFrame:
+    """The events with what stands around them in their trace.
+
+    pos: number of the call in the trace, from 0. prior: index of the call before. run_pos: where the run of calls of one function
+    began that the last call so far belongs to. depth: see ``depths``. next_type, next_name: of the event after; after: its snapshot. next1, next2: indices
+    of the next two calls. next_seen: type and index of the next call or exception.
+    """
+    if "pos" in events.columns:
+        return events
+    rows = with_index(events)
+    up = Window.partitionBy(*TRACE).orderBy("seq")
+    below = up.rowsBetween(Window.unboundedPreceding, -1)
+    # looking ahead is looking back in descending order
+    ahead = Window.partitionBy(*TRACE).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    called = F.when(is_call(), F.col("idx"))
+    rows = depths(rows).withColumn("pos", F.when(is_call(), F.sum(is_call().cast("long")).over(up) - 1)).withColumn("prior", F.last(called, ignorenulls=True).over(below))
+    fresh = F.when(is_call() & (F.col("prior").isNull() | (F.col("prior") != F.col("idx"))), F.col("pos"))
+    rows = rows.withColumn("run_pos", F.last(fresh, ignorenulls=True).over(up)).withColumn("next_type", F.lead("event_type").over(up)).withColumn("next_name", F.lead("function_name").over(up))
+    if "snapshot" in events.columns:
+        rows = rows.withColumn("after", F.lead("snapshot").over(up))
+    seen = F.when(F.col("event_type").isin("call", "exception"), F.struct(F.col("event_type").alias("type"), called.alias("idx")))
+    rows = rows.withColumn("next1", F.last(called, ignorenulls=True).over(ahead)).withColumn("next_seen", F.last(seen, ignorenulls=True).over(ahead))
+    return rows.withColumn("next2", F.last(F.when(is_call(), F.struct("next1")), ignorenulls=True).over(ahead)["next1"])
+
+
+def trace_order(events: DataFrame) -> DataFrame:
+    """One row a trace: n_calls, max_depth, path (its first three calls), and what stands before and after it in its program.
+
+    calls_before, calls: calls of the program before the trace, and in all. prior_call: the last call before. after1, after2: the next two calls
+    after the trace. after_seen: type and index of the next call or exception. open_start: the number of the program's call with which
+    the run began that the trace's first call belongs to.
+    """
+    own = in_traces(events)
+    at = lambda n: F.max(F.when(F.col("pos") == n, F.col("idx")))
+    seen = F.when(F.col("event_type").isin("call", "exception"), F.struct("seq", F.struct(F.col("event_type").alias("type"), F.when(is_call(), F.col("idx")).alias("idx")).alias("seen")))
+    ends = own.groupBy(*TRACE).agg(
+        F.sum(is_call().cast("long")).alias("n_calls"), F.max(F.when(is_call(), F.col("depth")).otherwise(0)).alias("max_depth"), at(0).alias("first1"), at(1).alias("first2"), at(2).alias("first3"),
+        F.max(F.when(is_call(), F.struct("pos", "idx")))["idx"].alias("last1"), F.max("run_pos").alias("last_run"), F.min(seen)["seen"].alias("opening"),
+    )
+    up = Window.partitionBy(PROGRAM).orderBy("run_idx", "input_idx")
+    below = up.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(PROGRAM).orderBy(F.desc("run_idx"), F.desc("input_idx")).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.last(c, ignorenulls=True).over(below)
+    after = lambda c: F.last(c, ignorenulls=True).over(ahead)
+    some = F.col("n_calls") > 0
+    rows = ends.withColumn("calls_before", F.coalesce(F.sum("n_calls").over(below), F.lit(0))).withColumn("calls", F.sum("n_calls").over(Window.partitionBy(PROGRAM)))
+    rows = rows.withColumn("prior_call", before("last1")).withColumn("after1", after("first1")).withColumn("after_seen", after("opening"))
+    rows = rows.withColumn("after2", after(F.when(some, F.struct(F.coalesce("first2", "after1").alias("i"))))["i"])
+    fresh = some & (F.col("prior_call").isNull() | (F.col("first1") != F.col("prior_call")))
+    rows = rows.withColumn("fresh", fresh).withColumn("last_start", F.when(some & (F.col("fresh") | (F.col("last_run") > 0)), F.col("calls_before") + F.col("last_run")))
+    rows = rows.withColumn("open_start", F.when(F.col("fresh"), F.col("calls_before")).otherwise(before("last_start")))
+    path = F.concat_ws("|", *[F.col(f"first{i}").cast("string") for i in (1, 2, 3)])
+    return rows.select(*TRACE, "n_calls", "max_depth", path.alias("path"), "calls_before", "calls", "prior_call", "after1", "after2", "after_seen", "open_start")
+
+
+def in_programs(events: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """The events with what stands around them in their program, across its traces. order: from ``trace_order``.
+
+    gpos: number of the call in the program. flat1, flat2: the next two calls. pre: the last call before, or -1. upcoming: type and index of
+    the next call or exception. run_length: at the last call of a run, how many calls it has. calls: of the program.
+    """
+    if "gpos" in events.columns:
+        return events
+    placed = in_traces(events)
+    ends = (trace_order(placed) if order is None else order).select(*TRACE, "calls_before", "calls", "prior_call", "after1", "after2", "after_seen", "open_start")
+    rows = placed.join(ends, TRACE)
+    rows = rows.withColumn("gpos", F.col("calls_before") + F.col("pos")).withColumn("flat1", F.coalesce("next1", "after1"))
+    rows = rows.withColumn("flat2", F.when(F.col("next1").isNotNull(), F.coalesce("next2", "after1")).otherwise(F.col("after2")))
+    rows = rows.withColumn("pre", F.coalesce("prior", "prior_call", F.lit(-1))).withColumn("upcoming", F.coalesce("next_seen", "after_seen"))
+    start = F.when(F.col("run_pos") > 0, F.col("calls_before") + F.col("run_pos")).otherwise(F.col("open_start"))
+    last = is_call() & (F.col("flat1").isNull() | (F.col("flat1") != F.col("idx")))
+    return rows.withColumn("run_length", F.when(last, F.col("gpos") - start + 1)).drop("calls_before", "prior_call", "after1", "after2", "after_seen", "open_start")
+
+
 def call_sequence(events: DataFrame) -> DataFrame:
     """The calls with their anonymous index, their place in the trace (pos) and in the whole program (gpos)."""
-    calls = events.where("event_type = 'call'").join(anonymise(events), [PROGRAM, "function_name"])
-    in_trace = Window.partitionBy(*TRACE).orderBy("seq")
-    in_program = Window.partitionBy(PROGRAM).orderBy("run_idx", "input_idx", "seq")
-    return calls.select(*TRACE, "seq", "idx", (F.row_number().over(in_trace) - 1).alias("pos"), (F.row_number().over(in_program) - 1).alias("gpos"))
+    return in_programs(events).where("event_type = 'call'").select(*TRACE, "seq", "idx", "pos", "gpos")
+
+
+def shares(counts: DataFrame, *keys: str) -> DataFrame:
+    """Adds share: the part of the counts ``n`` of a program, or of more keys."""
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*(keys or [PROGRAM]))))
 
 
 def call_frequency(events: DataFrame) -> DataFrame:
     """program_id, idx, n, share."""
-    counts = events.where("event_type = 'call'").groupBy(PROGRAM, "function_name").agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(PROGRAM))
-    return counts.join(anonymise(events), [PROGRAM, "function_name"]).select(PROGRAM, "idx", "n", share.alias("share"))
+    calls = with_index(events).where("event_type = 'call'")
+    return shares(calls.groupBy(PROGRAM, "idx").agg(F.count("*").alias("n")))
+
+
+def bracketed(*parts: str) -> Column:
+    """(a,b,...); null if a part is."""
+    known = F.lit(True)
+    for p in parts:
+        known = known & F.col(p).isNotNull()
+    return F.when(known, F.concat(F.lit("("), F.concat_ws(",", *[F.col(p).cast("string") for p in parts]), F.lit(")")))
+
+
+def gram(n: int, by_trace: bool = True) -> Column:
+    """The n-gram that begins with a call; null where there aren't enough calls."""
+    return bracketed("idx", *[f"{'next' if by_trace else 'flat'}{i}" for i in range(1, n)])
 
 
 def call_ngrams(events: DataFrame, n: int, by_trace: bool = True) -> DataFrame:
-    """program_id, gram ``(a,b,...)``, n, share. by_trace False lets grams run across the traces of a program."""
-    order = Window.partitionBy(*TRACE).orderBy("seq") if by_trace else Window.partitionBy(PROGRAM).orderBy("run_idx", "input_idx", "seq")
-    calls = events.where("event_type = 'call'").join(anonymise(events), [PROGRAM, "function_name"])
-    parts = [F.lead("idx", i).over(order).alias(f"i{i}") for i in range(n)]
-    grams = calls.select(PROGRAM, *parts).where(F.col(f"i{n - 1}").isNotNull())
-    gram = F.concat(F.lit("("), F.concat_ws(",", *[F.col(f"i{i}").cast("string") for i in range(n)]), F.lit(")"))
-    counts = grams.groupBy(PROGRAM, gram.alias("gram")).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(PROGRAM)))
+    """program_id, gram ``(a,b,...)``, n, share, for n of 1 to 3. by_trace False lets grams run across the traces of a program."""
+    rows = (in_traces if by_trace else in_programs)(events).where("event_type = 'call'")
+    grams = rows.select(PROGRAM, gram(n, by_trace).alias("gram")).where("gram IS NOT NULL")
+    return shares(grams.groupBy(PROGRAM, "gram").agg(F.count("*").alias("n")))
+
+
+def event_gram() -> Column:
+    """``type/function→type/function`` of an event and the one after; null at the end of a trace."""
+    return F.when(F.col("next_type").isNotNull(), F.concat_ws("→", F.concat_ws("/", "event_type", "function_name"), F.concat_ws("/", "next_type", "next_name")))
 
 
 def event_bigrams(events: DataFrame) -> DataFrame:
-    """program_id, gram ``type/function→type/function``, n, within traces."""
-    told = F.concat_ws("/", "event_type", "function_name")
-    pairs = events.withColumn("told", told).withColumn("next", F.lead("told").over(Window.partitionBy(*TRACE).orderBy("seq"))).where("next IS NOT NULL")
-    return pairs.groupBy(PROGRAM, F.concat_ws("→", "told", "next").alias("gram")).agg(F.count("*").alias("n"))
+    """program_id, gram, n, within traces."""
+    pairs = in_traces(events).select(PROGRAM, event_gram().alias("gram")).where("gram IS NOT NULL")
+    return pairs.groupBy(PROGRAM, "gram").agg(F.count("*").alias("n"))
 
 
 def depths(events: DataFrame) -> DataFrame:
@@ -55,6 +160,8 @@ def depths(events: DataFrame) -> DataFrame:
 
     With S the running sum, the clamped depth is S minus the running minimum of 0 and S.
     """
+    if {"pos", "depth"} <= {*events.columns}:
+        return events
     order = Window.partitionBy(*TRACE).orderBy("seq")
     step = F.when(F.col("event_type") == "call", 1).when(F.col("event_type") == "return", -1).otherwise(0)
     summed = events.withColumn("s", F.sum(step).over(order))
@@ -68,18 +175,19 @@ def trace_depths(events: DataFrame) -> DataFrame:
 
 def run_lengths(events: DataFrame) -> DataFrame:
     """program_id, idx, length: each run of calls of one function, over the whole program."""
-    calls = call_sequence(events)
-    order = Window.partitionBy(PROGRAM).orderBy("gpos")
-    fresh = F.when(F.col("idx") == F.lag("idx").over(order), 0).otherwise(1)
-    return calls.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order)).groupBy(PROGRAM, "run", "idx").agg(F.count("*").alias("length")).drop("run")
+    return in_programs(events).where("run_length IS NOT NULL").select(PROGRAM, "idx", F.col("run_length").alias("length"))
+
+
+def phase() -> Column:
+    """The third of the program's calls that a call stands in, 0 to 2; the last takes the rest."""
+    third = F.greatest(F.lit(1), F.floor(F.col("calls") / 3))
+    return F.least(F.lit(2), F.floor(F.col("gpos") / third)).cast("int")
 
 
 def phase_diversity(events: DataFrame) -> DataFrame:
     """program_id, phase (0 to 2), diversity: normalised entropy of the calls in each third; the last third takes the rest."""
-    calls = call_sequence(events).withColumn("calls", F.count("*").over(Window.partitionBy(PROGRAM)))
-    third = F.greatest(F.lit(1), F.floor(F.col("calls") / 3))
-    phase = F.least(F.lit(2), F.floor(F.col("gpos") / third)).cast("int")
-    counts = calls.groupBy(PROGRAM, phase.alias("phase"), "idx").agg(F.count("*").alias("n"))
+    calls = in_programs(events).where("event_type = 'call'")
+    counts = calls.groupBy(PROGRAM, phase().alias("phase"), "idx").agg(F.count("*").alias("n"))
     return diversity(counts, [PROGRAM, "phase"], "diversity")
 
 
@@ -93,16 +201,22 @@ def diversity(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
 def precedence(events: DataFrame) -> DataFrame:
     """program_id, i, j (i < j), n_ij, n_ji, p: how often i is called before j and after, and the share of before.
 
-    At each call of j, the calls of i so far are counted: work grows with calls times functions, not with pairs of calls.
+    Within a trace, at each call the calls of the trace's other functions so far are counted. Across traces, a trace's calls of one function
+    meet the sum of another's calls in earlier traces. Work grows with calls times functions, not with pairs of calls.
     """
-    calls = call_sequence(events).select(PROGRAM, "gpos", F.col("idx").alias("at"))
-    functions = anonymise(events).select(PROGRAM, F.col("idx").alias("other"))
-    order = Window.partitionBy(PROGRAM, "other").orderBy("gpos")
-    so_far = F.sum((F.col("at") == F.col("other")).cast("long")).over(order)
-    counted = calls.join(functions, PROGRAM).withColumn("so_far", so_far).where("at != other")
-    low, high = F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j")
-    sums = counted.groupBy(PROGRAM, low, high).agg(F.sum(F.when(F.col("other") < F.col("at"), F.col("so_far")).otherwise(0)).alias("n_ij"), F.sum(F.when(F.col("other") > F.col("at"), F.col("so_far")).otherwise(0)).alias("n_ji"))
-    return sums.withColumn("p", F.col("n_ij") / (F.col("n_ij") + F.col("n_ji")))
+    calls = in_traces(events).where("event_type = 'call'").select(*TRACE, "pos", "idx")
+    counts = calls.groupBy(*TRACE, "idx").agg(F.count("*").alias("n"))
+    so_far = F.sum((F.col("idx") == F.col("first")).cast("long")).over(Window.partitionBy(*TRACE, "first").orderBy("pos"))
+    within = calls.join(counts.select(*TRACE, F.col("idx").alias("first")), TRACE).withColumn("n", so_far).where("idx != first").select(PROGRAM, "first", F.col("idx").alias("second"), "n")
+    functions = counts.select(PROGRAM, "idx").distinct()
+    grid = counts.select(*TRACE).distinct().join(functions, PROGRAM).join(counts, [*TRACE, "idx"], "left")
+    earlier = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(PROGRAM, "idx").orderBy("run_idx", "input_idx").rowsBetween(Window.unboundedPreceding, -1))
+    sums = grid.select(*TRACE, F.col("idx").alias("first"), earlier.alias("earlier")).where("earlier > 0")
+    across = sums.join(counts.withColumnRenamed("idx", "second"), TRACE).where("first != second").select(PROGRAM, "first", "second", (F.col("earlier") * F.col("n")).alias("n"))
+    low, high = F.least("first", "second").alias("i"), F.greatest("first", "second").alias("j")
+    side = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    pairs = within.union(across).groupBy(PROGRAM, low, high).agg(side(F.col("first") < F.col("second")).alias("n_ij"), side(F.col("first") > F.col("second")).alias("n_ji"))
+    return pairs.withColumn("p", F.col("n_ij") / (F.col("n_ij") + F.col("n_ji")))
 
 
 def causal_entropy(pairs: DataFrame) -> DataFrame:
@@ -110,28 +224,31 @@ def causal_entropy(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(PROGRAM).agg(F.avg(binary_entropy(F.col("p"))).alias("causal_entropy"))
 
 
+def post() -> Column:
+    """The function called next after an exception, unless another exception comes first; -1 stands for none."""
+    return F.when(F.col("upcoming.type") == "call", F.col("upcoming.idx")).otherwise(-1)
+
+
+def recovered() -> Column:
+    return F.coalesce(F.col("upcoming.type") == "call", F.lit(False))
+
+
 def exception_contexts(events: DataFrame, type_column: str = "function_name") -> DataFrame:
     """Each exception with the function called last before it, its type, and the one called next, unless another exception comes first.
 
     Over the whole program; -1 stands for none. The type is the raw function name, as in the evaluated form; name
     another column to take types from.
     """
-    order = Window.partitionBy(PROGRAM).orderBy("run_idx", "input_idx", "seq")
-    told = events.where("event_type IN ('call', 'exception')").join(anonymise(events), [PROGRAM, "function_name"], "left")
-    called = F.when(F.col("event_type") == "call", F.coalesce("idx", F.lit(-1)))
-    seen = told.withColumn("pre", F.last(called, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    seen = seen.withColumn("next_type", F.lead("event_type").over(order)).withColumn("next_idx", F.lead(called).over(order)).where("event_type = 'exception'")
-    post = F.when(F.col("next_type") == "call", F.col("next_idx")).otherwise(-1)
-    return seen.select(PROGRAM, F.coalesce("pre", F.lit(-1)).alias("pre"), F.col(type_column).alias("type"), post.alias("post"), (F.col("next_type") == "call").alias("recovered"))
+    seen = in_programs(events).where("event_type = 'exception'")
+    return seen.select(PROGRAM, "pre", F.col(type_column).alias("type"), post().alias("post"), recovered().alias("recovered"))
 
 
 def exception_triples(events: DataFrame) -> DataFrame:
-    triple = F.concat(F.lit("("), F.concat_ws(",", F.col("pre").cast("string"), "type", F.col("post").cast("string")), F.lit(")"))
-    return exception_contexts(events).groupBy(PROGRAM, triple.alias("triple")).agg(F.count("*").alias("n"))
+    return exception_contexts(events).groupBy(PROGRAM, bracketed("pre", "type", "post").alias("triple")).agg(F.count("*").alias("n"))
 
 
 def recovery_rate(events: DataFrame) -> DataFrame:
-    return exception_contexts(events).groupBy(PROGRAM).agg(F.avg(F.coalesce("recovered", F.lit(False)).cast("int")).alias("recovery_rate"))
+    return exception_contexts(events).groupBy(PROGRAM).agg(F.avg(F.col("recovered").cast("int")).alias("recovery_rate"))
 
 
 def phase_timing(events: DataFrame) -> DataFrame:
@@ -164,7 +281,7 @@ def call_latency(events: DataFrame) -> DataFrame:
 
 def hot_path(events: DataFrame, top: int = 5, named: bool = False) -> DataFrame:
     """program_id, path, path_hash: the most called functions, by anonymous index or by name."""
-    counts = call_frequency(events) if not named else events.where("event_type = 'call'").groupBy(PROGRAM, F.col("function_name").alias("idx")).agg(F.count("*").alias("n"))
+    counts = call_frequency(events).drop("share") if not named else events.where("event_type = 'call'").groupBy(PROGRAM, F.col("function_name").alias("idx")).agg(F.count("*").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(PROGRAM).orderBy(F.desc("n"), "idx"))).where(F.col("rank") <= top)
     paths = ranked.groupBy(PROGRAM).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("idx").cast("string").alias("told")))).alias("ranked"))
     path = F.array_join(F.transform("ranked", lambda r: r["told"]), "|")

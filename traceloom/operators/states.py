@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.reprs import ABSENT, EXCEPTION, NORMAL, NULL, abstract_value, is_resource, type_name
-from traceloom.operators.sequences import PROGRAM, anonymise, depths
-from traceloom.sources.traces import TRACE
+from traceloom.operators.sequences import PROGRAM, depths, in_traces
 
 
 def event_kind(var: Column, pre: Column, post: Column, pre_exc: Column, post_exc: Column) -> Column:
@@ -31,9 +30,7 @@ def state_transitions(events: DataFrame) -> DataFrame:
     A variable whose abstract value stays emits nothing; crossing into or out of an
     exception emits one row more. A function that is never called has index 0.
     """
-    order = Window.partitionBy(*TRACE).orderBy("seq")
-    nexts = events.select(*TRACE, "seq", "function_name", "event_type", "snapshot", F.lead("snapshot").over(order).alias("after"), F.lead("event_type").over(order).alias("next_type")).where("next_type IS NOT NULL")
-    known = nexts.join(anonymise(events), [PROGRAM, "function_name"], "left").withColumn("func_idx", F.coalesce("idx", F.lit(0)))
+    known = in_traces(events).where("next_type IS NOT NULL").withColumn("func_idx", F.coalesce("idx", F.lit(0)))
     pre_exc, post_exc = F.col("event_type") == "exception", F.col("next_type") == "exception"
     names = F.array_union(F.map_keys("snapshot"), F.map_keys("after"))
     moves = known.select(PROGRAM, "func_idx", pre_exc.alias("pre_exc"), post_exc.alias("post_exc"), F.explode(names).alias("var"), "snapshot", "after")
@@ -48,9 +45,9 @@ def state_transitions(events: DataFrame) -> DataFrame:
 
 def snapshot_changes(events: DataFrame) -> DataFrame:
     """program_id, pairs, changed_pairs, changes: consecutive snapshots of a trace, those that differ, and variables that differ."""
-    before = events.withColumn("before", F.lag("snapshot").over(Window.partitionBy(*TRACE).orderBy("seq"))).where("before IS NOT NULL")
-    changed = F.size(F.filter(F.map_values(F.map_zip_with("before", "snapshot", lambda k, a, b: ~a.eqNullSafe(b))), lambda x: x))
-    return before.withColumn("changed", changed).groupBy(PROGRAM).agg(F.count("*").alias("pairs"), F.sum((F.col("changed") > 0).cast("long")).alias("changed_pairs"), F.sum("changed").alias("changes"))
+    pairs = in_traces(events).where("snapshot IS NOT NULL AND next_type IS NOT NULL")
+    changed = F.size(F.filter(F.map_values(F.map_zip_with("snapshot", "after", lambda k, a, b: ~a.eqNullSafe(b))), lambda x: x))
+    return pairs.withColumn("changed", changed).groupBy(PROGRAM).agg(F.count("*").alias("pairs"), F.sum((F.col("changed") > 0).cast("long")).alias("changed_pairs"), F.sum("changed").alias("changes"))
 
 
 def state_summary(events: DataFrame) -> DataFrame:

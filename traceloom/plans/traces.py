@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.operators import distances, genomes, sequences, states
 from traceloom.plans.registry import query
 from traceloom.sources import traces as sources
+from traceloom.sources.staging import Workspace
 from traceloom.sources.tables import read_table
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """events, traces and the pairs of versions."""
+    """events, traces and the pairs of versions, for queries that read them once."""
     events = sources.event_traces(read_table(spark, sf_dir, "events"))
     traces = sources.trace_table(events)
     return events, traces, sources.version_pairs(events)
 
 
+def staged(*families: str):
+    """Turn a function of (events, traces, pairs, counted) into a query that reads ``events`` once.
+
+    The canonical events with all that order tells of them, the traces and, of the families named, the occurrences are staged tables.
+    The result is staged too, and the others are deleted.
+    """
+
+    def register(function):
+        @wraps(function)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with Workspace(spark, function.__name__) as work:
+                placed = work.stage(sequences.in_traces(sources.event_traces(read_table(spark, sf_dir, "events"))), "placed")
+                traces = work.stage(sources.trace_table(placed).join(sequences.trace_order(placed), sources.TRACE), "traces")
+                events = work.stage(sequences.in_programs(placed, traces), "events")
+                counted = work.stage(genomes.occurrences(events, families), "occurrences") if families else None
+                return work.keep(function(events, traces, sources.version_pairs(traces), counted), "result")
+
+        return run
+
+    return register
+
+
 #: The canonical tables in SQL. Every query below continues this WITH list.
 BASE = """
 WITH days AS (
@@ -280,18 +305,16 @@ def volume_stats(spark, sf_dir):
 
 
 @query(BASE + GRAMS2 + met_sql("m", "big", "gram", "share") + f" SELECT pair_id, round({L1}, 6) AS distance FROM m GROUP BY ALL")
-def version_l1_distance(spark, sf_dir):
+@staged("bigrams")
+def version_l1_distance(events, traces, pairs, counted):
     """Flagship: half the L1 distance of the call bigrams of both versions of a user."""
-    events, _, pairs = inputs(spark, sf_dir)
-    grams = genomes.histogram(sequences.call_ngrams(events, 2), "bigrams", "gram", "share")
-    return distances.kernels(grams, pairs).select("pair_id", F.col("l1").alias("distance"))
+    return distances.kernels(genomes.weighted_occurrences(counted), pairs).select("pair_id", F.col("l1").alias("distance"))
 
 
 @query(BASE + ", g AS (SELECT program_id, et || '/' || fn || '→' || lead(et || '/' || fn) OVER (PARTITION BY program_id, input_idx ORDER BY seq) AS gram FROM ev), gg AS (SELECT program_id, gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY ALL)" + met_sql("m", "gg", "gram", "n") + f" SELECT pair_id, round({JACCARD}, 6) AS distance FROM m GROUP BY ALL")
-def version_jaccard(spark, sf_dir):
-    events, _, pairs = inputs(spark, sf_dir)
-    grams = genomes.histogram(sequences.event_bigrams(events), "event_bigrams", "gram", "n")
-    return distances.kernels(grams, pairs).select("pair_id", F.col("jaccard").alias("distance"))
+@staged("event_bigrams")
+def version_jaccard(events, traces, pairs, counted):
+    return distances.kernels(genomes.weighted_occurrences(counted), pairs).select("pair_id", F.col("jaccard").alias("distance"))
 
 
 JSD_ROWS = ", sh AS (SELECT pair_id, a / sum(a) OVER w AS p, b / sum(b) OVER w AS q FROM m WINDOW w AS (PARTITION BY pair_id)), kl AS (SELECT pair_id, CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END AS z FROM sh)"
@@ -307,8 +330,8 @@ def version_jsd(spark, sf_dir):
 
 
 @query(BASE + STATES + met_sql("m", "trans", "func_idx || '|' || pre || '|' || kind || '|' || post", "n") + f" SELECT pair_id, round(coalesce(d, 0.0), 6) AS distance FROM vp LEFT JOIN (SELECT pair_id, {WEIGHTED} AS d FROM m GROUP BY ALL) USING (pair_id)")
-def weighted_jaccard(spark, sf_dir):
-    events, _, pairs = inputs(spark, sf_dir)
+@staged()
+def weighted_jaccard(events, traces, pairs, counted):
     return distances.distance_state(events, pairs)
 
 
@@ -329,13 +352,15 @@ d3 AS (SELECT pair_id, greatest(0.0, least(1.0, 0.20 * coverage + 0.25 * bigrams
 
 
 @query(BASE + SCALARS + " SELECT pair_id, round(greatest(0.0, least(1.0, 0.30 * coverage + 0.30 * calls + 0.15 * exception + 0.15 * depth + 0.10 * consistency)), 6) AS distance FROM parts3")
-def distance_v2(spark, sf_dir):
-    return distances.distance_v2(distances.behaviour_parts(*inputs(spark, sf_dir)))
+@staged("calls", "bigrams")
+def distance_v2(events, traces, pairs, counted):
+    return distances.distance_v2(distances.behaviour_parts(events, traces, pairs, counted))
 
 
 @query(BASE + SCALARS + " SELECT pair_id, round(distance, 6) AS distance FROM d3")
-def distance_v3(spark, sf_dir):
-    return distances.distance_v3(distances.behaviour_parts(*inputs(spark, sf_dir)))
+@staged("calls", "bigrams")
+def distance_v3(events, traces, pairs, counted):
+    return distances.distance_v3(distances.behaviour_parts(events, traces, pairs, counted))
 
 
 TEMPORAL = (
@@ -357,15 +382,16 @@ d5t AS (SELECT vp.pair_id, greatest(0.0, least(1.0, 0.20 * coalesce(dt.x, 0) + 0
 
 
 @query(BASE + TEMPORAL + " SELECT pair_id, round(distance, 6) AS distance FROM d5t")
-def distance_temporal(spark, sf_dir):
-    events, _, pairs = inputs(spark, sf_dir)
-    return distances.distance_temporal(distances.temporal_parts(events, pairs))
+@staged("flat2", "trigrams", "triples", "runs", "phases")
+def distance_temporal(events, traces, pairs, counted):
+    return distances.distance_temporal(distances.temporal_parts(events, pairs, counted))
 
 
 @query(BASE + SCALARS + TEMPORAL + STATES + met_sql("ms", "trans", "func_idx || '|' || pre || '|' || kind || '|' || post", "n") + f""", d5s AS (SELECT pair_id, {WEIGHTED} AS distance FROM ms GROUP BY ALL)
 SELECT pair_id, round(d3.distance, 6) AS v3, round(d5t.distance, 6) AS temporal, round(coalesce(d5s.distance, 0), 6) AS state, round(0.5 * d3.distance + 0.25 * d5t.distance + 0.25 * coalesce(d5s.distance, 0), 6) AS distance FROM d3 JOIN d5t USING (pair_id) LEFT JOIN d5s USING (pair_id)""")
-def distance_v5(spark, sf_dir):
-    return distances.distance_v5(*inputs(spark, sf_dir))
+@staged("calls", "bigrams", "flat2", "trigrams", "triples", "runs", "phases")
+def distance_v5(events, traces, pairs, counted):
+    return distances.distance_v5(events, traces, pairs, counted=counted)
 
 
 FIRST = (
@@ -388,13 +414,15 @@ v1 AS (SELECT vp.pair_id, 0.5 * coalesce(e1.x, 0) + 0.5 * coalesce(e2.x, 0) AS E
 
 
 @query(BASE + FIRST + " SELECT pair_id, round(EXECUTION, 6) AS EXECUTION, round(STATE, 6) AS STATE, round(RESOURCE, 6) AS RESOURCE, round(TEMPORAL, 6) AS TEMPORAL, round(INTERACTION, 6) AS INTERACTION FROM v1")
-def distance_dimensions(spark, sf_dir):
-    return distances.first_distances(*inputs(spark, sf_dir))
+@staged("names", "event_bigrams", "depths")
+def distance_dimensions(events, traces, pairs, counted):
+    return distances.first_distances(events, traces, pairs, counted)
 
 
 @query(BASE + FIRST + " SELECT pair_id, round((0.15 * STATE + 0.10 * RESOURCE + 0.10 * TEMPORAL + 0.10 * INTERACTION + 0.10 * EXECUTION) / 0.55, 6) AS distance FROM v1")
-def distance_v1(spark, sf_dir):
-    return distances.combined(distances.first_distances(*inputs(spark, sf_dir)))
+@staged("names", "event_bigrams", "depths")
+def distance_v1(events, traces, pairs, counted):
+    return distances.combined(distances.first_distances(events, traces, pairs, counted))
 
 
 @query("WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS program_id, coalesce(role, '') AS fn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS s FROM conversations), f AS (SELECT program_id, fn, min(s) AS p FROM c GROUP BY ALL), a AS (SELECT *, row_number() OVER (PARTITION BY program_id ORDER BY p) - 1 AS idx FROM f), g AS (SELECT c.program_id, '(' || idx || ',' || lead(idx) OVER (PARTITION BY c.program_id ORDER BY s) || ')' AS gram FROM c JOIN a USING (program_id, fn)) SELECT program_id, gram, n, round(n / sum(n) OVER (PARTITION BY program_id), 6) AS share FROM (SELECT program_id, gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY ALL)")
@@ -415,8 +443,9 @@ u AS (UNPIVOT parts3 ON coverage, calls, bigrams, exception, depth, consistency,
 f AS (SELECT pair_id, p, CAST(w AS DOUBLE) AS w, v, sum(CAST(w AS DOUBLE) * v) OVER (PARTITION BY pair_id) AS d FROM u JOIN w USING (p)),
 c AS (SELECT DISTINCT pair_id, 'full' AS config, d FROM f UNION ALL SELECT pair_id, 'only_' || p, v FROM f UNION ALL SELECT pair_id, 'without_' || p, (d - w * v) / (1 - w) FROM f)
 SELECT pair_id, config, round(greatest(0.0, least(1.0, d)), 5) AS distance FROM (SELECT pair_id, config, any_value(d) AS d FROM c GROUP BY ALL)""")
-def distance_ablations(spark, sf_dir):
-    rows = distances.ablations(distances.behaviour_parts(*inputs(spark, sf_dir)))
+@staged("calls", "bigrams")
+def distance_ablations(events, traces, pairs, counted):
+    rows = distances.ablations(distances.behaviour_parts(events, traces, pairs, counted))
     return rows.withColumn("distance", F.round("distance", 5))
 
 
@@ -433,14 +462,15 @@ ty AS (SELECT *, n / sum(n) OVER (PARTITION BY program_id) AS share FROM (SELECT
        + met_sql("m1", "nms", "fn", "share") + met_sql("m2", "lns", "k", "n") + met_sql("m3", "ty", "t.t", "share") + met_sql("m4", "cls", "c", "n")
        + f""", a1 AS (SELECT pair_id, {L1} AS x FROM m1 GROUP BY ALL), a2 AS (SELECT pair_id, {JACCARD} AS x FROM m2 GROUP BY ALL), a3 AS (SELECT pair_id, {L1} AS x FROM m3 GROUP BY ALL), a4 AS (SELECT pair_id, {JACCARD} AS x FROM m4 GROUP BY ALL)
 SELECT pair_id, round(1 - (coalesce(a1.x, 0) + coalesce(a2.x, 0) + coalesce(a3.x, 0) + coalesce(a4.x, 0)) / 4, 6) AS similarity FROM vp LEFT JOIN a1 USING (pair_id) LEFT JOIN a2 USING (pair_id) LEFT JOIN a3 USING (pair_id) LEFT JOIN a4 USING (pair_id)""")
-def trace_similarity(spark, sf_dir):
-    return distances.trace_similarity(*inputs(spark, sf_dir))
+@staged()
+def trace_similarity(events, traces, pairs, counted):
+    return distances.trace_similarity(events, traces, pairs)
 
 
 @query(BASE + SCALARS + FIRST.replace(DEPTHS, "") + """, v2 AS (SELECT pair_id, greatest(0.0, least(1.0, 0.30 * coverage + 0.30 * calls + 0.15 * exception + 0.15 * depth + 0.10 * consistency)) AS d FROM parts3), vv1 AS (SELECT pair_id, (0.15 * STATE + 0.10 * RESOURCE + 0.10 * TEMPORAL + 0.10 * INTERACTION + 0.10 * EXECUTION) / 0.55 AS d FROM v1)
 SELECT pair_id, round(0.4 * vv1.d + 0.6 * v2.d, 6) AS distance FROM v2 JOIN vv1 USING (pair_id)""")
-def distance_hybrid(spark, sf_dir):
+@staged("calls", "bigrams", "names", "event_bigrams", "depths")
+def distance_hybrid(events, traces, pairs, counted):
     """The first distance stands for the static part."""
-    events, traces, pairs = inputs(spark, sf_dir)
-    first = distances.combined(distances.first_distances(events, traces, pairs))
-    return distances.hybrid(first, distances.distance_v2(distances.behaviour_parts(events, traces, pairs)))
+    first = distances.combined(distances.first_distances(events, traces, pairs, counted))
+    return distances.hybrid(first, distances.distance_v2(distances.behaviour_parts(events, traces, pairs, counted)))
