@@ -186,6 +186,7 @@ def expected_counts(model: Model, ids: np.ndarray, lengths: np.ndarray, classes:
     k = len(model.start)
     starts, steps, emits, told = np.zeros(k), np.zeros((k, k)), np.zeros((classes, k)), 0.0
     at, size = np.cumsum(lengths) - lengths, lengths
+    ones, back = np.ones((k, 1)), np.ascontiguousarray(model.step.T)
     order = np.argsort(-size, kind="stable")
     low = 0
     while low < len(order):
@@ -195,47 +196,55 @@ def expected_counts(model: Model, ids: np.ndarray, lengths: np.ndarray, classes:
         low = high
         s, n = at[some], size[some]
         longest, count = int(n[0]), len(some)
-        active = np.searchsorted(-n, -np.arange(longest), "left").tolist()  # sequences longer than t
+        active = np.searchsorted(-n, -np.arange(longest), "left")  # sequences longer than t
         block = max(1, CHUNK // count)
 
-        def forward(begin: int, end: int, now: np.ndarray, keep: bool) -> tuple[list, list, list, list, np.ndarray]:
-            """Tokens, emissions, states and scales of the positions if they are to be kept, and the last states."""
-            tokens, emit, alpha, scale = [], [], [], []
-            for t in range(begin, end):
-                m = active[t]
-                x = ids[s[:m] + t]
-                e = model.emit[x]
-                now = (now[:m] if t == 0 else now[:m] @ model.step) * e
-                total = now.sum(1, keepdims=True)
-                now = now / total
-                if keep:
-                    tokens.append(x)
-                    emit.append(e)
-                    alpha.append(now)
-                    scale.append(total)
-            return tokens, emit, alpha, scale, now
+        def forward(begin: int, end: int, now: np.ndarray) -> tuple[np.ndarray, ...]:
+            """Of all tokens of the positions, position after position: where each position begins, the sequence's rank, token, emissions, states and scales."""
+            m = active[begin:end]
+            first = np.cumsum(m) - m
+            rank = np.arange(int(m.sum())) - np.repeat(first, m)
+            tokens = ids[s[rank] + np.repeat(np.arange(begin, end), m)]
+            emit = model.emit[tokens]
+            alpha, scale = np.empty_like(emit), np.empty((len(tokens), 1))
+            for t, (place, live) in enumerate(zip(first.tolist(), m.tolist(), strict=True), begin):
+                here, sums = alpha[place : place + live], scale[place : place + live]
+                if t:
+                    np.matmul(now[:live], model.step, out=here)
+                    here *= emit[place : place + live]
+                else:
+                    np.multiply(now, emit[:live], out=here)
+                np.matmul(here, ones, out=sums)
+                here /= sums
+                now = here
+            return first, rank, tokens, emit, alpha, scale
 
         entering = [np.tile(model.start, (count, 1))]
         for begin in range(0, longest - block, block):
-            entering.append(forward(begin, begin + block, entering[-1], False)[-1])
-        beta, weighed = np.ones((active[-1], k)), None
+            first, *_, alpha, _ = forward(begin, begin + block, entering[-1])
+            entering.append(alpha[first[-1] :].copy())
+        later = None
         for begin in range((len(entering) - 1) * block, -1, -block):
             end = min(longest, begin + block)
-            tokens, emit, alpha, scale, _ = forward(begin, end, entering[begin // block], True)
-            told += float(sum(np.log(x).sum() for x in scale))
-            gamma = [None] * len(alpha)
-            for i in range(len(alpha) - 1, -1, -1):
-                m = active[begin + i]
-                if weighed is not None:
-                    steps += alpha[i][: len(weighed)].T @ weighed
-                    beta = np.concatenate([weighed @ model.step.T, np.ones((m - len(weighed), k))])
-                gamma[i] = alpha[i] * beta
-                weighed = emit[i] * beta / scale[i]
+            first, rank, tokens, emit, alpha, scale = forward(begin, end, entering[begin // block])
+            told += float(np.log(scale).sum())
+            m, places = active[begin:end], first.tolist()
+            beta, weighed = np.ones_like(emit), emit
+            weighed /= scale
+            if later is not None:
+                steps += alpha[places[-1] : places[-1] + len(later)].T @ later
+            for place, live in zip(reversed(places), reversed(m.tolist()), strict=True):
+                if later is not None:
+                    np.matmul(later, back, out=beta[place : place + len(later)])
+                later = weighed[place : place + live]
+                later *= beta[place : place + live]
+            if end - begin > 1:
+                steps += alpha[np.repeat(first[:-1], m[1:]) + rank[first[1] :]].T @ weighed[first[1] :]
+            alpha *= beta
             if begin == 0:
-                starts += gamma[0].sum(0)
-            seen, flat = np.concatenate(tokens), np.concatenate(gamma)
+                starts += alpha[:count].sum(0)
             for j in range(k):
-                emits[:, j] += np.bincount(seen, flat[:, j], classes)
+                emits[:, j] += np.bincount(tokens, alpha[:, j], classes)
     return starts, steps * model.step, emits, told
 
 
