@@ -70,19 +70,56 @@ def normal_ppf(p: float) -> float:
     return (low + high) / 2
 
 
-def mcnemar_power(n: int, p_discordant: float, odds: float, alpha: float = 0.05) -> float:
-    """Power of McNemar's test by the normal approximation; odds: of the two discordant cells."""
-    p10 = p_discordant * odds / (1 + odds)
-    p01 = p_discordant - p10
-    shift = abs(p10 - p01) * math.sqrt(n)
-    spread = math.sqrt(max(1e-12, p_discordant - (p10 - p01) ** 2))
-    return normal_cdf((shift - normal_ppf(1 - alpha / 2) * math.sqrt(p_discordant)) / spread)
-
-
-def mann_whitney_power(n1: int, n2: int, auroc: float, alpha: float = 0.05) -> float:
-    """Power of the rank-sum test for a given AUROC by the normal approximation."""
-    null = math.sqrt((n1 + n2 + 1) / (12 * n1 * n2))
-    return normal_cdf(abs(auroc - 0.5) / null - normal_ppf(1 - alpha / 2))
+def both_tails(shift: float, alpha: float) -> float:
+    """Power of a two-sided normal test whose statistic is shifted."""
+    critical = normal_ppf(1 - alpha / 2)
+    return min(1.0, normal_cdf(shift - critical) + normal_cdf(-shift - critical))
+
+
+#: Of the discordant pairs two thirds lie on one side; the rank-sum test's efficiency against the t-test is pi / 3.
+SIDE, EFFICIENCY = 2 / 3, math.pi / 3
+
+
+def mcnemar_power(n: int, discordant: float, alpha: float = 0.05) -> float:
+    """Power of McNemar's test on n pairs; discordant: the share of pairs on which the methods differ."""
+    return 0.0 if n * discordant < 1 else both_tails(math.sqrt(n * discordant) * (2 * SIDE - 1), alpha)
+
+
+def mann_whitney_power(n: int, effect: float, alpha: float = 0.05) -> float:
+    """Power of the rank-sum test with n in each group, for an effect in standard deviations."""
+    return both_tails(effect * math.sqrt(EFFICIENCY) * math.sqrt(n / 2), alpha)
+
+
+def least_discordance(n: int, alpha: float = 0.05, power: float = 0.8) -> float:
+    """The least share of discordant pairs that n pairs detect with a power."""
+    return round(smallest(lambda p: mcnemar_power(n, p, alpha) >= power, 0.001, 0.999), 4)
+
+
+def least_effect(n: int, alpha: float = 0.05, power: float = 0.8) -> float:
+    """The least effect that n in each group detect with a power."""
+    return round(smallest(lambda d: mann_whitney_power(n, d, alpha) >= power, 0.01, 5.0), 4)
+
+
+def least_pairs(power: float, discordant: float, alpha: float = 0.05) -> int:
+    """The least number of pairs, from 10 to 20,000, that reach a power."""
+    return next((n for n in range(10, 20_001) if mcnemar_power(n, discordant, alpha) >= power), 20_000)
+
+
+def normal_cdf_of(x: Column) -> Column:
+    return F.when(x >= 0, 1 - normal_sf(x)).otherwise(normal_sf(-x))
+
+
+def both_tails_of(shift: Column, alpha: float) -> Column:
+    critical = normal_ppf(1 - alpha / 2)
+    return clamp(normal_cdf_of(shift - critical) + normal_cdf_of(-shift - critical))
+
+
+def mcnemar_power_of(n: Column, discordant: float, alpha: float = 0.05) -> Column:
+    return F.when(n * discordant < 1, 0.0).otherwise(both_tails_of(F.sqrt(n * discordant) * (2 * SIDE - 1), alpha))
+
+
+def mann_whitney_power_of(n: Column, effect: float, alpha: float = 0.05) -> Column:
+    return both_tails_of(effect * math.sqrt(EFFICIENCY) * F.sqrt(n / 2), alpha)
 
 
 def smallest(reaches, low: float, high: float) -> float:

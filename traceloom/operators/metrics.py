@@ -42,6 +42,26 @@ def auroc_of_levels(rows: DataFrame, by: list[str], empty: float = 0.5) -> DataF
     return rows.select(*by, ratio(F.col("won"), pairs, empty).alias("auroc"), "n_positive", "n_negative", ratio(F.col("tied"), pairs).alias("tie_fraction"))
 
 
+def auroc_of_types(scores: DataFrame, kind: str) -> DataFrame:
+    """kind, auroc, n_positive, n_negative, tie_fraction: the label 0 of each kind against the label 1 of all kinds.
+
+    The 1s are ranked once, by distinct scores; each kind's 0s look up how many are below.
+    """
+    ranked = levels(scores.withColumn("all", F.lit(0)), ["all"]).select("score", "pos", "pos_below", "pos_all")
+    kept = scores.where("label = 0").groupBy(kind, "score").agg(F.count("*").alias("n")).join(ranked, "score")
+    sums = kept.groupBy(kind).agg(F.sum(F.col("n") * (F.col("pos_below") + F.col("pos") / 2)).alias("won"), F.sum(F.col("n") * F.col("pos")).alias("tied"), F.max("pos_all").alias("n_positive"), F.sum("n").alias("n_negative"))
+    pairs = (F.col("n_positive") * F.col("n_negative")).cast("double")
+    return sums.select(kind, ratio(F.col("won"), pairs, 0.5).alias("auroc"), "n_positive", "n_negative", ratio(F.col("tied"), pairs).alias("tie_fraction"))
+
+
+def ranked_methods(scores: DataFrame) -> DataFrame:
+    """method, f1, auroc, rank, behind: methods by the F1 at their best threshold, and how far each is behind the best. scores: method, score, label."""
+    best = best_threshold(scores, ["method"]).select("method", "f1")
+    rows = best.join(auroc(scores, ["method"]).select("method", "auroc"), "method").select("method", F.round("f1", 6).alias("f1"), F.round("auroc", 6).alias("auroc"))
+    # as many rows as there are methods
+    return rows.select("*", F.row_number().over(Window.orderBy(F.desc("f1"), "method")).alias("rank"), (F.col("f1") - F.max("f1").over(Window.partitionBy(F.lit(0)))).alias("behind"))
+
+
 def confusion(scores: DataFrame, threshold: Column | float, by: list[str]) -> DataFrame:
     """by, tp, fp, fn, tn, precision, recall, f1, accuracy; a score below the threshold predicts 1."""
     hit, one = F.col("score") < threshold, F.col("label") == 1
