@@ -4,35 +4,91 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.functions.measures import entropy_parts
-from traceloom.operators.distances import kernels
+from traceloom.functions.measures import clamp, entropy_parts, ratio
+from traceloom.operators.distances import both_rows, gap, kernels, relative_gap, rooted_jsd
 from traceloom.operators.genomes import histogram
 
 PROGRAM = "program_id"
-NODES = "program_id string, node_id int, parent_id int, kind string, name string, function string, control_depth int, extra int"
+NODES = (
+    "program_id string, node_id int, parent_id int, kind string, name string, function string, control_depth int, extra int, "
+    "detail string, path string, top int, in_body boolean, nested int, loops int, in_handler int"
+)
 LOOPS = ("For", "AsyncFor", "While")
 BRANCHES = (*LOOPS, "If", "Try", "TryStar")
+FUNCTIONS = ("FunctionDef", "AsyncFunctionDef")
+#: What counts as control in a function's fingerprint.
+CONTROL = ("If", "For", "While", "Try", "ExceptHandler", "With", "AsyncFor", "AsyncWith")
+COMPREHENSIONS = ("ListComp", "SetComp", "DictComp", "GeneratorExp")
 
 
-def describe(node: ast.AST) -> tuple[str | None, int]:
-    """A node's name (function, called name, identifier, exception) and a count: operands beyond the first, or filters."""
-    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-        return node.name, 0
+def exception_name(node: ast.AST) -> str:
+    """The name of an exception in a raise or a handler: the last part of a dotted one, the called one, several joined; empty if it has none."""
+    if isinstance(node, ast.Tuple):
+        return ", ".join(filter(None, map(exception_name, node.elts)))
     if isinstance(node, ast.Call):
-        f = node.func
-        return (f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else "<expr>"), 0
-    if isinstance(node, ast.BoolOp):
-        return type(node.op).__name__, len(node.values) - 1
-    if isinstance(node, ast.comprehension):
-        return None, len(node.ifs)
-    if isinstance(node, ast.ExceptHandler):
-        return (ast.unparse(node.type) if node.type else None), 0
-    return getattr(node, "id", None), 0
+        return exception_name(node.func)
+    return getattr(node, "id", None) or getattr(node, "attr", None) or ""
+
+
+def describe(node: ast.AST) -> tuple[str | None, int, str | None]:
+    """A node's name (function, called name, identifier, exception), a count (operands beyond the first, filters, whether there is a value or a finally) and a detail (type of a constant, operators, form of a call, return or signature)."""
+    match node:
+        case ast.FunctionDef() | ast.AsyncFunctionDef():
+            a = node.args
+            told = (len(a.args) + len(a.posonlyargs) + len(a.kwonlyargs), int(bool(a.defaults or a.kw_defaults)), int(a.vararg is not None or a.kwarg is not None))
+            return node.name, 0, ",".join(map(str, told))
+        case ast.ClassDef():
+            return node.name, 0, None
+        case ast.Call(func=ast.Name(id=name)):
+            return name, 0, "name"
+        case ast.Call(func=ast.Attribute(attr=name)):
+            return name, 0, "attribute"
+        case ast.Call():
+            return "<expr>", 0, "expression"
+        case ast.BoolOp():
+            return type(node.op).__name__, len(node.values) - 1, None
+        case ast.comprehension():
+            return None, len(node.ifs), None
+        case ast.ExceptHandler():
+            return (exception_name(node.type) if node.type else None), 0, None
+        case ast.Raise():
+            return (exception_name(node.exc) if node.exc else "<re-raise>"), 0, None
+        case ast.Constant():
+            return None, 0, type(node.value).__name__
+        case ast.BinOp() | ast.AugAssign():
+            return None, 0, type(node.op).__name__
+        case ast.Compare():
+            return None, 0, ",".join(type(op).__name__ for op in node.ops)
+        case ast.Return(value=None):
+            return None, 0, "bare"
+        case ast.Return():
+            return None, 0, "none" if isinstance(node.value, ast.Constant) and node.value.value is None else "value"
+        case ast.AnnAssign():
+            return None, int(node.value is not None), None
+        case ast.Try():
+            return None, int(bool(node.finalbody)), None
+    return getattr(node, "id", None), 0, None
+
+
+@dataclass(frozen=True)
+class Around:
+    """What encloses a node: its parent, function and path of functions, top-level function and whether in its body, depths of control, loops and handlers."""
+
+    parent: int = -1
+    function: str = "<module>"
+    path: str = ""
+    top: int | None = None
+    in_body: bool = False
+    control: int = 0
+    nested: int = 0
+    loops: int = 0
+    handlers: int = 0
 
 
 def node_rows(program_id: str, source: str | None) -> list[tuple]:
@@ -41,14 +97,23 @@ def node_rows(program_id: str, source: str | None) -> list[tuple]:
         tree = ast.parse(source or "")
     except (SyntaxError, ValueError):
         return []
-    rows, todo = [], [(tree, -1, "<module>", 0)]
+    rows, todo, tops = [], [(tree, Around())], 0
     while todo:
-        node, parent, function, depth = todo.pop()
-        kind, (name, extra) = type(node).__name__, describe(node)
-        rows.append((program_id, len(rows), parent, kind, name, function, depth, extra))
-        inside = name if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else function
-        at = len(rows) - 1
-        todo += [(c, at, inside, depth + (kind in BRANCHES)) for c in reversed(list(ast.iter_child_nodes(node)))]
+        node, at = todo.pop()
+        kind, (name, extra, detail) = type(node).__name__, describe(node)
+        if kind in FUNCTIONS and at.parent == 0:
+            at, tops = replace(at, top=tops, nested=0, loops=0), tops + 1
+        nested, loops = at.nested + (kind in CONTROL), at.loops + (kind in LOOPS)
+        rows.append((program_id, len(rows), at.parent, kind, name, at.function, at.control, extra, detail, at.path, at.top, at.in_body, nested, loops, at.handlers))
+        inner = replace(at, parent=len(rows) - 1, control=at.control + (kind in BRANCHES), nested=nested, loops=loops)
+        if kind in FUNCTIONS:
+            inner = replace(inner, function=name, path=f"{at.path}/{name}")
+        own_body = kind in FUNCTIONS and at.parent == 0
+        children = []
+        for field, value in ast.iter_fields(node):
+            into = replace(inner, in_body=at.in_body or own_body and field == "body", handlers=at.handlers + (kind == "ExceptHandler" and field == "body"))
+            children += [(c, into) for c in (value if isinstance(value, list) else [value]) if isinstance(c, ast.AST)]
+        todo += reversed(children)
     return rows
 
 
@@ -60,7 +125,7 @@ def nodes(sources: DataFrame) -> DataFrame:
         for batch in batches:
             for program_id, source in zip(batch["program_id"], batch["source"], strict=True):
                 if rows := node_rows(program_id, source):
-                    yield pd.DataFrame(rows, columns=names)
+                    yield pd.DataFrame(rows, columns=names).astype({"top": "Int32"})
 
     return sources.select("program_id", "source").mapInPandas(run, NODES)
 
@@ -89,13 +154,94 @@ def control_summary(tree: DataFrame) -> DataFrame:
     return sums.join(bits, PROGRAM, "left").select(PROGRAM, "complexity", F.coalesce("bits", F.lit(0.0)).alias("branch_entropy"))
 
 
-def error_summary(tree: DataFrame) -> DataFrame:
-    """program_id and counts of try statements, handlers, bare handlers and raises."""
+#: The keys of the histograms of data; an operator's name in the tree, if it is another.
+VALUE_TYPES = {"int": "int", "str": "str", "float": "float", "bool": "bool", "None": "NoneType"}
+ARITHMETIC = {"Add": "Add", "Sub": "Sub", "Mul": "Mult", "Div": "Div", "Mod": "Mod", "FloorDiv": "FloorDiv", "Pow": "Pow"}
+COMPARISONS = ("Eq", "NotEq", "Lt", "LtE", "Gt", "GtE", "In", "NotIn")
+CONTAINERS = {"list": ("List", "ListComp"), "dict": ("Dict", "DictComp"), "set": ("Set", "SetComp"), "tuple": ("Tuple",)}
+ASSIGNMENTS = ("Assign", "AugAssign")
+STATEMENTS = (
+    *ASSIGNMENTS, "AnnAssign", "Expr", "Return", "Delete", "Pass", "Break", "Continue", "Raise", "Assert", "Import", "ImportFrom", "If", "For", "While", "With", "Try", "FunctionDef", "AsyncFunctionDef", "ClassDef",
+    "Global", "Nonlocal",
+)
+
+
+def data_features(tree: DataFrame) -> DataFrame:
+    """program_id, flow (share of assignments among the statements) and a count for each key of the data histograms, ``<family>:<key>``."""
+    kind, detail = F.col("kind"), F.col("detail")
     count = lambda c: F.sum(c.cast("long"))
-    kind = F.col("kind")
+    compared = lambda op: F.size(F.filter(F.split("detail", ","), lambda x: x == op))
+    assigned = kind.isin(*ASSIGNMENTS) | ((kind == "AnnAssign") & (F.col("extra") == 1))
     return tree.groupBy(PROGRAM).agg(
-        count(kind.isin("Try", "TryStar")).alias("tries"), count(kind == "ExceptHandler").alias("handlers"), count((kind == "ExceptHandler") & F.col("name").isNull()).alias("bare_handlers"), count(kind == "Raise").alias("raises")
-    )
+        ratio(count(assigned), count(kind.isin(*STATEMENTS))).alias("flow"),
+        *[count((kind == "Constant") & (detail == t)).alias(f"types:{key}") for key, t in VALUE_TYPES.items()],
+        *[count(kind.isin("BinOp", "AugAssign") & (detail == op)).alias(f"arithmetic:{key}") for key, op in ARITHMETIC.items()],
+        *[F.sum(F.when(kind == "Compare", compared(op)).otherwise(0)).cast("long").alias(f"comparisons:{op}") for op in COMPARISONS],
+        *[count(kind.isin(*kinds)).alias(f"containers:{key}") for key, kinds in CONTAINERS.items()],
+    )
+
+
+def data_histograms(features: DataFrame) -> DataFrame:
+    """Families types, arithmetic, comparisons, containers, with zeros, and constants: the shares of the scalar types, without None."""
+    keys = [c for c in features.columns if ":" in c]
+    scalars = [c for c in keys if c.startswith("types:") and c != "types:None"]
+    total = sum((F.col(f"`{c}`") for c in scalars), F.lit(0))
+    rows = [F.struct(F.lit(c.split(":")[0]).alias("family"), F.lit(c.split(":")[1]).alias("key"), F.col(f"`{c}`").cast("double").alias("weight")) for c in keys]
+    rows += [F.struct(F.lit("constants").alias("family"), F.lit(c.split(":")[1]).alias("key"), ratio(F.col(f"`{c}`"), total).cast("double").alias("weight")) for c in scalars]
+    return features.select(PROGRAM, F.explode(F.array(*rows)).alias("h")).select(PROGRAM, "h.*")
+
+
+def data_distance(tree: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair_id, distance: mean of the root divergences of types, arithmetic, comparisons and containers, of half the L1 of the constants' shares, and of the gap of flow."""
+    features = data_features(tree)
+    rows = data_histograms(features)
+    roots = rooted_jsd(rows.where("family != 'constants'"), pairs).groupBy("pair_id").agg(F.sum("jsd_root").alias("roots"))
+    l1 = kernels(rows.where("family = 'constants'"), pairs).select("pair_id", "l1")
+    flow = both_rows(pairs, features.select(PROGRAM, "flow")).select("pair_id", gap("flow").alias("flow"))
+    return flow.join(roots, "pair_id").join(l1, "pair_id").select("pair_id", ((F.col("roots") + F.col("l1") + F.col("flow")) / 6).alias("distance"))
+
+
+def error_summary(tree: DataFrame) -> DataFrame:
+    """program_id, counts of try statements, handlers, bare handlers, raises, finally clauses and assertions; the sets raised and caught; the pattern by which handlers go on; the share of functions with a try.
+
+    pattern: raise, return_none, return_sentinel, mixed, or none. Functions are told apart by their path of names.
+    """
+    kind, name = F.col("kind"), F.col("name")
+    count = lambda c: F.sum(c.cast("long"))
+    any_of = lambda c: F.coalesce(F.max((c & (F.col("in_handler") > 0)).cast("int")), F.lit(0))
+    names = lambda c: F.array_sort(F.collect_set(F.when(c & (name != ""), name)))
+    tried = kind.isin("Try", "TryStar")
+    rows = tree.groupBy(PROGRAM).agg(
+        count(tried).alias("tries"), count(kind == "ExceptHandler").alias("handlers"), count((kind == "ExceptHandler") & name.isNull()).alias("bare_handlers"), count(kind == "Raise").alias("raises"),
+        count((kind == "Try") & (F.col("extra") == 1)).alias("finals"), count(kind == "Assert").alias("assertions"), names(kind == "Raise").alias("raised"), names(kind == "ExceptHandler").alias("caught"),
+        any_of(kind == "Raise").alias("r"), any_of((kind == "Return") & F.col("detail").isin("bare", "none")).alias("n"), any_of((kind == "Return") & (F.col("detail") == "value")).alias("s"),
+        count(kind.isin(*FUNCTIONS)).alias("functions"), F.count_distinct(F.when(tried & (F.col("path") != ""), F.col("path"))).alias("covered"),
+    )
+    pattern = F.when(F.col("r") + F.col("n") + F.col("s") > 1, "mixed").when(F.col("r") == 1, "raise").when(F.col("n") == 1, "return_none").when(F.col("s") == 1, "return_sentinel").otherwise("none")
+    return rows.withColumn("pattern", pattern).withColumn("coverage", ratio(F.col("covered"), F.col("functions"))).drop("r", "n", "s", "functions", "covered")
+
+
+def error_distance(tree: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair_id, distance: 0.4 of the Jaccard distance of all exceptions named, 0.3 of the mean relative gap of six counts, 0.3 if the patterns differ."""
+    features = error_summary(tree).withColumn("named", F.array_union("raised", "caught")).withColumn("n_raised", F.size("raised")).withColumn("n_caught", F.size("caught"))
+    rows = both_rows(pairs, features)
+    union = F.size(F.array_union("a_named", "b_named"))
+    jaccard = F.when(union == 0, 0.0).otherwise(1 - F.size(F.array_intersect("a_named", "b_named")) / union)
+    counts = sum((relative_gap(c) for c in ("bare_handlers", "tries", "finals", "assertions", "n_raised", "n_caught")), F.lit(0.0)) / 6
+    return rows.select("pair_id", clamp(0.4 * jaccard + 0.3 * counts + 0.3 * (F.col("a_pattern") != F.col("b_pattern")).cast("int")).alias("distance"))
+
+
+def canonical_data(features: DataFrame) -> DataFrame:
+    """Data features in canonical form: counts not below 0, flow between 0 and 1 with four digits, columns by name."""
+    counts = sorted(c for c in features.columns if ":" in c)
+    return features.select(PROGRAM, F.round(clamp(F.col("flow")), 4).alias("flow"), *[F.greatest(F.lit(0), F.col(f"`{c}`")).alias(c) for c in counts])
+
+
+def canonical_errors(features: DataFrame) -> DataFrame:
+    """Error features in canonical form: sorted distinct names, counts not below 0, coverage between 0 and 1."""
+    counts = [c for c, t in features.dtypes if t == "bigint"]
+    kept = {"raised": F.array_sort(F.array_distinct("raised")), "caught": F.array_sort(F.array_distinct("caught")), "coverage": clamp(F.col("coverage"))} | {c: F.greatest(F.lit(0), F.col(c)) for c in counts}
+    return features.select(*[kept[c].alias(c) if c in kept else F.col(c) for c in features.columns])
 
 
 def control_distance(tree: DataFrame, pairs: DataFrame) -> DataFrame:
