@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.operators.ordering import running
+from traceloom.sources.staging import Workspace
+
 
 def assign_splits(items: DataFrame, category: str, key: str, seed: int = 42) -> DataFrame:
     """key, category, split: train, dev, val and test by 50, 15, 15, 20 per cent of each category, in the order of a hash.
 
     Sizes are rounded half to even. A category of fewer than five goes to train, but for one item each to test and dev as far as there are.
     """
-    order = Window.partitionBy(category).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key)
-    n = F.count("*").over(Window.partitionBy(category))
-    rows = items.select(key, category, (F.row_number().over(order) - 1).alias("at"), n.alias("n"))
+    order = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)]
+    with Workspace(items.sparkSession, "splits") as work:
+        places = running(items.select(key, category), [category], order, {"at": F.lit(1).cast("long")}, work)
+        sizes = items.groupBy(category).agg(F.count("*").alias("n"))
+        rows = work.keep(places.withColumn("at", F.col("at") - 1).join(sizes, category), "places")
     train, dev, val = (F.bround(F.col("n") * x) for x in (0.50, 0.15, 0.15))
     large = F.when(F.col("at") < train, "train").when(F.col("at") < train + dev, "dev").when(F.col("at") < train + dev + val, "val").otherwise("test")
     small = F.when(F.col("at") < F.col("n") - 2, "train").when(F.col("at") == F.col("n") - 1, "test").otherwise("dev")

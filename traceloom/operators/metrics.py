@@ -13,12 +13,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.measures import chi2_sf_1df, ratio
+from traceloom.operators.ordering import numbered, running
+from traceloom.sources.staging import Workspace
 
 
 def levels(scores: DataFrame, by: list[str]) -> DataFrame:
-    """by, score, pos, neg, and both below the score and in all."""
+    """by, score, pos, neg, and both below the score and in all. Distinct scores are ranked in ranges, so that continuous ones don't meet in one task."""
     grouped = scores.groupBy(*by, "score").agg(F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") == 0).cast("long")).alias("neg"))
-    return ranked_levels(grouped, by)
+    with Workspace(scores.sparkSession, "levels") as work:
+        grouped = work.stage(grouped, "grouped")
+        summed = running(grouped, by, [F.col("score")], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")}, work)
+        whole = grouped.groupBy(*by).agg(F.sum("pos").alias("pos_all"), F.sum("neg").alias("neg_all"))
+        below = summed.withColumn("pos_below", F.col("pos_upto") - F.col("pos")).withColumn("neg_below", F.col("neg_upto") - F.col("neg")).drop("pos_upto", "neg_upto")
+        return work.keep(below.join(whole, by), "levels")
 
 
 def ranked_levels(grouped: DataFrame, by: list[str]) -> DataFrame:
@@ -84,22 +91,26 @@ def best_threshold(scores: DataFrame, by: list[str]) -> DataFrame:
     return best.select(*by, (-F.col("b.low")).alias("threshold"), F.col("b.f1").alias("f1"))
 
 
+def ordered(scores: DataFrame, by: list[str], tie: str, work: Workspace) -> DataFrame:
+    """by, label, k, tp, and p and n of the stratum: rows in order of score and ``tie``, with how many rows and rows of label 1 come so far."""
+    rows = running(scores.select(*by, "score", tie, "label"), by, [F.col("score"), F.col(tie)], {"k": F.lit(1).cast("long"), "tp": F.col("label")}, work)
+    whole = scores.groupBy(*by).agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+    return rows.join(whole, by)
+
+
 def tpr_at_fpr(scores: DataFrame, budget: float, by: list[str], tie: str) -> DataFrame:
-    """by, tpr: the recall reached by the last row, in order of score, whose false positive rate is within the budget. tie: column that orders equal scores."""
-    order = Window.partitionBy(*by).orderBy("score", tie)
-    whole = Window.partitionBy(*by)
-    rows = scores.select(*by, F.sum(F.col("label")).over(order).alias("tp"), F.sum(1 - F.col("label")).over(order).alias("fp"), F.sum(F.col("label")).over(whole).alias("p"), F.sum(1 - F.col("label")).over(whole).alias("n"))
-    within = F.max(F.when(F.col("fp") / F.col("n") <= budget, F.col("tp") / F.col("p")))
-    return rows.where("p > 0 AND n > 0").groupBy(*by).agg(F.coalesce(within, F.lit(0.0)).alias("tpr"))
+    """by, tpr: the recall reached by the last row, in order of score, whose false positive rate is within the budget. tie: column that orders equal scores, without nulls."""
+    with Workspace(scores.sparkSession, "tpr") as work:
+        within = F.max(F.when((F.col("k") - F.col("tp")) / F.col("n") <= budget, F.col("tp") / F.col("p")))
+        return work.keep(ordered(scores, by, tie, work).where("p > 0 AND n > 0").groupBy(*by).agg(F.coalesce(within, F.lit(0.0)).alias("tpr")), "tpr")
 
 
 def auprc(scores: DataFrame, by: list[str], tie: str) -> DataFrame:
     """by, auprc: trapezoids under precision over recall, from precision 1 at recall 0, row by row in order of score and ``tie``."""
-    order = Window.partitionBy(*by).orderBy("score", tie)
-    rows = scores.select(*by, "score", tie, "label", F.sum("label").over(order).alias("tp"), F.row_number().over(order).alias("k"), F.sum("label").over(Window.partitionBy(*by)).alias("p"))
-    rows = rows.where("p > 0").withColumn("precision", F.col("tp") / F.col("k"))
-    before = F.coalesce(F.lag("precision").over(order), F.lit(1.0))
-    return rows.withColumn("area", F.col("label") / F.col("p") * (F.col("precision") + before) / 2).groupBy(*by).agg(F.sum("area").alias("auprc"))
+    with Workspace(scores.sparkSession, "auprc") as work:
+        before = F.when(F.col("k") == 1, 1.0).otherwise((F.col("tp") - F.col("label")) / (F.col("k") - 1))
+        area = F.col("label") / F.col("p") * (F.col("tp") / F.col("k") + before) / 2
+        return work.keep(ordered(scores, by, tie, work).where("p > 0").groupBy(*by).agg(F.sum(area).alias("auprc")), "auprc")
 
 
 def holm(tests: DataFrame, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
@@ -149,9 +160,11 @@ def resampled(scores: DataFrame, rounds: int, seed: int, unit: str) -> DataFrame
     the unit numbered hash(seed, b, i) mod n. A unit's rows are added up by score before it is drawn.
     """
     spark = scores.sparkSession
-    units = scores.select(unit).distinct().withColumn("no", F.row_number().over(Window.orderBy(unit)) - 1)
-    n = max(units.count(), 1)
-    held = scores.join(units, unit).groupBy("no", "score").agg(F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") == 0).cast("long")).alias("neg"))
+    with Workspace(spark, "resampled") as work:
+        units = work.stage(numbered(scores.where(F.col(unit).isNotNull()).select(unit).distinct(), [F.col(unit)], work), "units")
+        n = max(units.count(), 1)
+        held = scores.join(units, unit).groupBy("no", "score").agg(F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") == 0).cast("long")).alias("neg"))
+        held = work.keep(held, "units")
     draws = spark.range(rounds * n).select(F.floor(F.col("id") / n).alias("round"), (F.col("id") % n).alias("i"))
     picked = draws.select("round", (hashed(F.lit(seed), F.col("round"), F.col("i")) % n).alias("no"))
     return picked.join(held, "no").groupBy("round", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -168,11 +181,13 @@ def bootstrap_ci(scores: DataFrame, rounds: int = 200, seed: int = 42, unit: str
 def permuted(scores: DataFrame, rounds: int, seed: int, key: str) -> DataFrame:
     """For each round the labels dealt anew in the order of a hash. Adds ``round``."""
     spark = scores.sparkSession
-    numbered = scores.select("score", "label", key).withColumn("no", F.row_number().over(Window.orderBy(key)))
-    dealt = numbered.select(key, "label").join(F.broadcast(spark.range(rounds).select(F.col("id").alias("round"))))
+    with Workspace(spark, "permuted") as work:
+        rows = numbered(scores.select("score", "label", key), [F.col(key)], work)
+        rows = work.keep(rows.withColumn("no", F.col("no") + 1), "rows")
+    dealt = rows.select(key, "label").join(F.broadcast(spark.range(rounds).select(F.col("id").alias("round"))))
     order = Window.partitionBy("round").orderBy(hashed(F.lit(seed), F.col("round"), F.col(key)), key)
     labels = dealt.select("round", "label", F.row_number().over(order).alias("no"))
-    return labels.join(numbered.select("no", "score"), "no").select("round", "score", "label")
+    return labels.join(rows.select("no", "score"), "no").select("round", "score", "label")
 
 
 def permutation_p(scores: DataFrame, rounds: int = 200, seed: int = 42, key: str = "pair_id") -> DataFrame:

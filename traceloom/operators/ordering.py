@@ -17,3 +17,18 @@ def numbered(rows: DataFrame, order: list[Column], work: Workspace, name: str =
     placed = ranged.join(sizes.select("range", before.alias("before")), "range")
     at = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
     return placed.withColumn(name, F.col("before") + at).drop("range", "before")
+
+
+def running(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], work: Workspace) -> DataFrame:
+    """Adds for each row the sums, within its stratum, over the rows up to it in an order that tells all rows of a stratum apart.
+
+    Strata and order are dealt in ranges; a range adds up its own rows, and what the ranges before it hold of the stratum is added.
+    """
+    named = rows.select("*", *[value.alias(f"own_{name}") for name, value in sums.items()])
+    ranged = work.stage(named.repartitionByRange(*by, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*by, "range").agg(*[F.sum(f"own_{name}").alias(f"all_{name}") for name in sums])
+    parts = parts.select(*by, "range", *[F.coalesce(F.sum(f"all_{name}").over(before), F.lit(0)).alias(f"before_{name}") for name in sums])
+    inner = Window.partitionBy(*by, "range").orderBy(*order)
+    summed = ranged.join(parts, [*by, "range"])
+    return summed.select(*rows.columns, *[(F.col(f"before_{name}") + F.sum(f"own_{name}").over(inner)).alias(name) for name in sums])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.measures import ratio
+from traceloom.sources.staging import Workspace
 
 
 def token_counts(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -99,24 +100,29 @@ def token_edit_similarity(a: Column, b: Column, cap: int | None = None) -> Colum
     return F.when(longest == 0, 1.0).otherwise(1 - F.udf(edit_distance, "long")(a, b) / longest)
 
 
-def near_duplicate_classes(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_classes(sets: DataFrame, percent: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """Classes of equal token sets, and the pairs of classes with 100 * intersection > percent * union.
 
     sets: doc_id, tokens (distinct). Returns (doc_id, class_id) and (a, b, jaccard), a < b, exact: two sets above the bound
-    share a token among the rarest of each, all but as many as any partner must share. Empty sets are left out.
+    share a token among the rarest of each, all but as many as any partner must share. The first token that they share, in order of rarity, has
+    enough tokens behind it in both; the join keeps no other pair. Empty sets are left out. Both tables are staged in ``work``.
     """
-    keyed = sets.where(F.size("tokens") > 0).select("doc_id", F.array_sort("tokens").alias("tokens")).withColumn("key", F.sha2(F.array_join("tokens", " "), 256))
-    classes = keyed.groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    members = keyed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id")
-    heads = keyed.join(classes.select(F.col("class_id").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").select("doc_id", "tokens", F.size("tokens").alias("n"))
+    keyed = sets.where(F.size("tokens") > 0).select("doc_id", F.array_sort("tokens").alias("tokens"))
+    keyed = work.stage(keyed.withColumn("key", F.sha2(F.array_join("tokens", " "), 256)), "sets")
+    classes = work.stage(keyed.groupBy("key").agg(F.min("doc_id").alias("class_id")), "classes")
+    members = work.stage(keyed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id"), "members")
+    heads = work.stage(keyed.join(classes.select(F.col("class_id").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").select("doc_id", "tokens", F.size("tokens").alias("n")), "heads")
     posted = heads.select("doc_id", "n", F.explode("tokens").alias("token"))
     often = posted.groupBy("token").agg(F.count("*").alias("often"))
     rarest = posted.join(often, "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("held"))
     kept = F.col("n") - F.floor(F.col("n") * percent / 100)
-    prefix = rarest.select("doc_id", "n", F.explode(F.slice("held", F.lit(1), kept.cast("int"))).alias("h")).select("doc_id", "n", "h.token")
-    a, b = prefix.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "token"), prefix.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "token")
-    close = a.join(b, "token").where("a < b").where(100 * F.least("na", "nb") > percent * F.greatest("na", "nb")).select("a", "b").distinct()
+    prefix = rarest.select("doc_id", "n", F.posexplode(F.slice("held", F.lit(1), kept.cast("int"))).alias("at", "h")).where("h.often > 1").select("doc_id", "n", "at", F.xxhash64("h.token").alias("token"))
+    prefix = work.stage(prefix, "prefix")
+    side = lambda s: prefix.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "at")])
+    most = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    reach = (100 + percent) * most > percent * (F.col("a_n") + F.col("b_n"))
+    close = side("a").join(side("b"), "token").where("a_doc_id < b_doc_id").where(reach).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct()
     ta, tb = heads.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), heads.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
     both, either = F.size(F.array_intersect("ta", "tb")), F.size(F.array_union("ta", "tb"))
-    found = close.join(ta, "a").join(tb, "b").where(100 * both > percent * either).select("a", "b", (both / either).alias("jaccard"))
-    return members, found
+    found = work.stage(close, "close").join(ta, "a").join(tb, "b").where(100 * both > percent * either).select("a", "b", (both / either).alias("jaccard"))
+    return members, work.stage(found, "pairs")

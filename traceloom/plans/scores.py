@@ -124,7 +124,10 @@ def bootstrap_auroc(spark, sf_dir):
     return metrics.bootstrap_ci(scored(spark, sf_dir), ROUNDS)
 
 
-@query()
+@query(BASE + f""", u AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS no FROM (SELECT DISTINCT source FROM s WHERE source IS NOT NULL)), d AS (SELECT r.range AS round, {HASH.format("'42|' || r.range || '|' || i.range")} % (SELECT count(*) FROM u) AS no FROM range({ROUNDS}) r, range((SELECT count(*) FROM u)) i),
+h AS (SELECT no, score, sum(label) AS pos, sum(1 - label) AS neg FROM s JOIN u USING (source) GROUP BY ALL), g AS (SELECT round, score, sum(pos) AS pos, sum(neg) AS neg FROM d JOIN h USING (no) GROUP BY ALL), w AS (SELECT *, coalesce(sum(pos) OVER (PARTITION BY round ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pb FROM g),
+a AS (SELECT round, CASE WHEN sum(pos) * sum(neg) = 0 THEN 0.5 ELSE sum(neg * (pb + pos / 2)) / (sum(pos) * sum(neg)) END AS auroc FROM w GROUP BY ALL), k AS (SELECT auroc, row_number() OVER (ORDER BY auroc, round) - 1 AS place FROM a)
+SELECT round(max(auroc) FILTER (place = floor(0.025 * {ROUNDS})), 6) AS low, round(max(auroc) FILTER (place = ceil(0.975 * {ROUNDS}) - 1), 6) AS high FROM k""")
 def cluster_bootstrap_auroc(spark, sf_dir):
     """Sources are the clusters."""
     return metrics.bootstrap_ci(scored(spark, sf_dir), ROUNDS, unit="source")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from traceloom.operators import audits, genomes, texts
 from traceloom.plans.registry import query
+from traceloom.sources.staging import Workspace
 from traceloom.sources.tables import read_table
 
 WORDS = "WITH w AS (SELECT item_id AS doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '\\s+')) AS token FROM benchmark), c AS (SELECT doc_id, token, count(*) AS n FROM w WHERE token <> '' GROUP BY ALL)"
@@ -44,9 +45,10 @@ def token_jaccard_neardup(spark, sf_dir):
     """Token-set Jaccard above 0.95, strictly: each document's class of equal sets, and the links of the class to others."""
     docs = read_table(spark, sf_dir, "documents")
     sets = docs.select("doc_id", F.array_distinct(F.filter(texts.words(), lambda t: t != "")).alias("tokens"))
-    members, pairs = texts.near_duplicate_classes(sets, 95)
-    links = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).groupBy("class_id").agg(F.count("*").alias("links"))
-    return members.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    with Workspace(spark, "token-neardup") as work:
+        members, pairs = texts.near_duplicate_classes(sets, 95, work)
+        links = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).groupBy("class_id").agg(F.count("*").alias("links"))
+        return work.keep(members.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links")), "rows")
 
 
 @query("WITH b AS (SELECT DISTINCT trim(text) AS text FROM benchmark), l AS (SELECT source, doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) SELECT source, count(*) AS lines, count(*) FILTER (b.text IS NOT NULL) AS leaked FROM l LEFT JOIN b ON b.text = l.line GROUP BY ALL")
