@@ -186,7 +186,7 @@ class SegmentStore(dict):
     """Segment -> its ids as text with a space before each, in two generations of bounded size.
 
     When the young one is full it becomes the old one; what is asked for again moves back up.
-    odd: decoded text of the segments whose ids decode to another text than their own.
+    odd: decoded text of the segments whose ids decode to another text than their own, bounded too but for those of one text.
     """
 
     def __init__(self, model: PieceModel):
@@ -207,6 +207,12 @@ class SegmentStore(dict):
             self[segment] = told
         return told
 
+    def room(self) -> None:
+        """Between texts: begin anew if there are too many odd segments."""
+        if len(self.odd) >= STORED_SEGMENTS:
+            self.clear()
+            self.old, self.odd = {}, {}
+
     def decoded(self, segments: list[str]) -> str:
         """The text that the segments' ids decode to."""
         if self.odd:
@@ -238,6 +244,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, with_ids: bool = False
         normalise, split, end = store.model.normalise, store.model.segment.findall, f" {store.model.eos}"
         numbers, digests, decoded, all_ids = [], [], [], []
         for text in batch.column("text").to_pylist():
+            store.room()
             segments = split(normalise(text or ""))
             ids = ("".join(map(store.__getitem__, segments)) + end)[1:]
             numbers.append(ids.count(" ") + 1)

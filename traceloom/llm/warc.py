@@ -70,6 +70,10 @@ def gzip_member(data: bytes) -> bytes:
     return head + packed + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
+#: Bytes inflated at once while a record's headers are looked for.
+HEAD_BYTES = 512
+
+
 class Member:
     """A gzip member at a place in a file, inflated only as far as asked."""
 
@@ -92,35 +96,37 @@ class Member:
                 if extra[:2] == b"SL":
                     self.length = struct.unpack_from("<I", extra, 4)[0]
                 extra = extra[4 + n :]
-        self.inflate = zlib.decompressobj(31)
-        self.data = self.inflate.decompress(first)
+        self.inflate, self.packed, self.data = zlib.decompressobj(31), first, bytearray()
 
-    def more(self) -> bool:
-        if self.inflate.eof or not (chunk := self.file.read(1 << 16)):
+    def more(self, most: int) -> bool:
+        """Inflate at most so many bytes; False at the member's or the file's end."""
+        packed = self.packed or self.file.read(1 << 16)
+        if self.inflate.eof or not packed:
             return False
-        self.data += self.inflate.decompress(chunk)
+        self.data += self.inflate.decompress(packed, most)
+        self.packed = self.inflate.unconsumed_tail
         return True
 
     def headers(self) -> dict[str, str]:
-        """The record's headers; ``body`` is where its block starts."""
+        """The record's headers; ``body`` is where its block starts. No more is inflated than a few hundred bytes behind them."""
         while (end := self.data.find(b"\r\n\r\n")) < 0:
-            if not self.more():
+            if not self.more(HEAD_BYTES):
                 raise ValueError(f"the record at byte {self.at} ends early")
         self.body = end + 4
-        return parse_headers(self.data[:end])
+        return parse_headers(bytes(self.data[:end]))
 
     def block(self, size: int) -> bytes:
-        while len(self.data) < self.body + size:
-            if not self.more():
+        while (lacks := self.body + size - len(self.data)) > 0:
+            if not self.more(max(lacks, HEAD_BYTES)):
                 raise ValueError(f"the record at byte {self.at} ends early")
-        return self.data[self.body : self.body + size]
+        return bytes(self.data[self.body : self.body + size])
 
     def next_at(self) -> int:
         if self.length is not None:
             return self.at + self.length
         while not self.inflate.eof:
-            self.data = self.data[-1:]
-            if not self.more():
+            self.data.clear()
+            if not self.more(1 << 20):
                 raise ValueError(f"the member at byte {self.at} ends early")
         return self.file.tell() - len(self.inflate.unused_data)
 
@@ -195,11 +201,16 @@ class WarcReader(DataSourceReader):
 
 
 class WarcWriter(DataSourceArrowWriter):
+    """Files are hidden under the job's name until the whole job is done; what failed or repeated tasks left goes then."""
+
     def __init__(self, options: dict):
-        self.root = options["path"]
+        self.root, self.job = options["path"], uuid.uuid4().hex
         system, root = store(self.root)
         system.create_dir(root, recursive=True)
 
+    def hidden(self, root: str, name: str) -> str:
+        return posixpath.join(root, f".{self.job}-{name}")
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, root = store(self.root)
         files, out, size = [], None, 0
@@ -207,7 +218,7 @@ class WarcWriter(DataSourceArrowWriter):
             for row in batch.to_pylist():
                 if out is None:
                     files.append(f"{uuid.uuid4().hex}.warc.gz")
-                    out, size = system.open_output_stream(posixpath.join(root, f".{files[-1]}"), compression=None), 0
+                    out, size = system.open_output_stream(self.hidden(root, files[-1]), compression=None), 0
                 member = gzip_member(build_record(row))
                 out.write(member)
                 size += len(member)
@@ -218,15 +229,21 @@ class WarcWriter(DataSourceArrowWriter):
             out.close()
         return Written(files)
 
+    def left(self) -> None:
+        """Delete the job's files that are still hidden."""
+        system, root = store(self.root)
+        for x in system.get_file_info(pafs.FileSelector(root)):
+            if x.base_name.startswith(f".{self.job}-"):
+                system.delete_file(x.path)
+
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         system, root = store(self.root)
         for name in (x for m in messages if m for x in m.files):
-            system.move(posixpath.join(root, f".{name}"), posixpath.join(root, name))
+            system.move(self.hidden(root, name), posixpath.join(root, name))
+        self.left()
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, root = store(self.root)
-        for name in (x for m in messages if m for x in m.files):
-            system.delete_file(posixpath.join(root, f".{name}"))
+        self.left()
 
 
 class WarcSource(DataSource):
