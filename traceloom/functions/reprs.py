@@ -24,19 +24,20 @@ TYPES = (
 )
 #: Names of variables that hold resources.
 RESOURCE = r"(?i)^(f$|file|fp$|fd|fh$|lock|mutex|conn|socket|handle|resource)"
-NESTING = 12
+OPENING, CLOSING = ("(", "[", "{"), (")", "]", "}")
 
 
 def elements(r: Column) -> Column:
-    """Elements of a bracketed repr: commas outside inner brackets, plus one; 0 for an empty one.
-
-    Innermost brackets are emptied over and over, NESTING deep.
-    """
+    """Elements of a bracketed repr: commas outside inner brackets of any depth, plus one; 0 for an empty one."""
     inner = F.trim(F.substring(r, 2, 1 << 30).substr(F.lit(1), F.greatest(F.lit(0), F.length(r) - 2)))
-    flat = inner
-    for _ in range(NESTING):
-        flat = F.regexp_replace(flat, r"[(\[{][^()\[\]{}]*[)\]}]", "_")
-    return F.when(inner == "", 0).otherwise(F.regexp_count(flat, F.lit(",")) + 1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("commas"))
+
+    def step(acc: Column, c: Column) -> Column:
+        depth = acc["depth"] + F.when(c.isin(*OPENING), 1).when(c.isin(*CLOSING), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), (acc["commas"] + ((c == ",") & (acc["depth"] == 0)).cast("int")).alias("commas"))
+
+    commas = F.aggregate(F.split(inner, ""), start, step, lambda acc: acc["commas"])
+    return F.when(inner == "", 0).otherwise(commas + 1)
 
 
 def abstract_value(value: Column) -> Column:

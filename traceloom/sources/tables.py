@@ -26,7 +26,7 @@ def read_pairs(spark: SparkSession, path: str, split: str | None = None, toleran
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """One row a source file: path, source."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("source"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("source"))
 
 
 def write_results(rows: DataFrame, path: str, form: str = "json") -> None:
