@@ -4,7 +4,8 @@ import re
 
 import pytest
 
-from traceloom.operators import flow, identity, static
+from traceloom.operators import flow, identity, languages, static
+from traceloom.sources import tables
 
 SOURCE = '''
 def f(a, b=1, *c):
@@ -92,3 +93,30 @@ def test_control_flow_and_dependencies(spark):
     assert (alike["1"], alike["2"], alike["4"]) == (pytest.approx(0.0625), 1.0, 1.0)
     facts = {r.pair_id: r.similarity for r in flow.dependency_similarity(flow.dependency_facts(sources), pairs).collect()}
     assert facts["3"] == pytest.approx(0.40625) and facts["2"] == pytest.approx(1.0)
+
+
+JAVA = '''public class A {
+  public static int fact(int n) {
+    if (n <= 1) { return 1; }
+    for (int i = 0; i < n; i++) { log(i); }
+    return n * fact(n - 1);
+  }
+}
+'''
+
+
+def test_features_across_languages(spark):
+    python = static.nodes(spark.createDataFrame([("py", "def fact(n):\n    if n <= 1:\n        return 1\n    for i in range(n):\n        log(i)\n    return n * fact(n - 1)\n")], "program_id string, source string"))
+    rows = languages.python_features(python).union(languages.java_features(spark.createDataFrame([("java", JAVA)], "program_id string, source string")))
+    found = {r.program_id: tuple(r)[1:] for r in rows.collect()}
+    assert found["py"] == (1, 1, 1, 3, 3, True, True, False) and found["java"] == (1, 1, 1, 2, 3, True, True, False)
+    pairs = spark.createDataFrame([("1", "py", "java"), ("2", "py", "none")], PAIRS)
+    alike = {r.pair_id: r.similarity for r in languages.feature_similarity(rows, pairs).collect()}
+    assert alike == {"1": pytest.approx(0.6 * (1 - (1 / 3) / 5) + 0.4), "2": 0.5}
+
+
+def test_java_program_traces(spark):
+    lines = ["TRACE ENTER foo depth=1", "TRACE ENTER bar depth=2", "TRACE EXCEPTION bar depth=2 E", "TRACE ENTER bar depth=2"]
+    df = spark.createDataFrame([("p", 0, 0, i, x) for i, x in enumerate(lines)], "program_id string, run_idx int, input_idx int, line_no int, value string")
+    r = languages.java_program_traces(tables.java_traces(df)).first()
+    assert (r.n_events, r.coverage, r.max_depth, r.exception) == (4, [1000, 2001], 2, "E")

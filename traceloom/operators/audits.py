@@ -59,3 +59,14 @@ def label_issues(pairs: DataFrame) -> DataFrame:
     labels = pairs.agg(F.lit("label").alias("issue"), F.coalesce(F.sum(wrong.cast("long")), F.lit(0)).alias("n"))
     missing = pairs.agg(F.lit("missing").alias("issue"), F.coalesce(F.sum(F.expr("base_id IS NULL OR variant_id IS NULL OR expected_label IS NULL").cast("long")), F.lit(0)).alias("n"))
     return ids.union(labels).union(missing)
+
+
+def applicability(items: DataFrame, mapping: DataFrame, category: str, target: str) -> DataFrame:
+    """target, n: to how many items each target of a mapping (category, target) applies, those without any included."""
+    counts = items.groupBy(category).agg(F.count("*").alias("held"))
+    return mapping.select(category, target).distinct().join(counts, category, "left").groupBy(target).agg(F.coalesce(F.sum("held"), F.lit(0)).alias("n"))
+
+
+def subsample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """At most n rows, the first in the order of a seeded hash of their key: a sampling operator, the same in any engine."""
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

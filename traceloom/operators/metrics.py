@@ -36,6 +36,17 @@ def ranked_levels(grouped: DataFrame, by: list[str]) -> DataFrame:
     return grouped.select("*", F.coalesce(F.sum("pos").over(below), zero).alias("pos_below"), F.coalesce(F.sum("neg").over(below), zero).alias("neg_below"), F.sum("pos").over(whole).alias("pos_all"), F.sum("neg").over(whole).alias("neg_all"))
 
 
+def encoded_labels(pairs: DataFrame, relation: str = "expected_label") -> DataFrame:
+    """Adds label: 0 for EQUIVALENT, 1 for any other relation."""
+    return pairs.withColumn("label", F.when(F.col(relation) == "EQUIVALENT", 0).otherwise(1))
+
+
+def mid_ranks(scores: DataFrame, by: list[str]) -> DataFrame:
+    """by, score, n, mid_rank: the mean of the ranks, from 1, that equal scores share."""
+    n, below = F.col("pos") + F.col("neg"), F.col("pos_below") + F.col("neg_below")
+    return levels(scores, by).select(*by, "score", n.alias("n"), (below + (n + 1) / 2).alias("mid_rank"))
+
+
 def auroc(scores: DataFrame, by: list[str], empty: float = 0.5) -> DataFrame:
     """by, auroc, n_positive, n_negative, tie_fraction: P(score of 1 < score of 0) with ties as halves; ``empty`` for a lone class."""
     return auroc_of_levels(levels(scores, by), by, empty)

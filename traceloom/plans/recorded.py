@@ -135,3 +135,21 @@ def gram_tfidf_cosine(spark, sf_dir):
     counts = texts.token_counts(docs, texts.word_grams("text", 2))
     weights = texts.idf(counts, docs.agg(F.count("*").alias("n_docs")))
     return texts.cosine_of_pairs(texts.tfidf(counts, weights), next_pairs(docs))
+
+
+@query(scores.BASE + "SELECT lang, score, count(*) AS n, round(min(r) + (count(*) - 1) / 2, 6) AS mid_rank FROM (SELECT *, rank() OVER (PARTITION BY lang ORDER BY score) AS r FROM s) GROUP BY ALL")
+def mid_ranks(spark, sf_dir):
+    return metrics.mid_ranks(scores.scored(spark, sf_dir), ["lang"])
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 100")
+def sampled_orders(spark, sf_dir):
+    """A sampling operator: a hundred orders by a seeded hash."""
+    return audits.subsample(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", 100)
+
+
+@query("WITH m AS (SELECT DISTINCT p_brand, p_type FROM part), b AS (SELECT p_brand, count(*) AS held FROM part GROUP BY ALL) SELECT p_type, CAST(sum(held) AS BIGINT) AS n FROM m JOIN b USING (p_brand) GROUP BY ALL")
+def applicable_parts(spark, sf_dir):
+    """Brands as categories: to how many parts each type applies that some part of the brand has."""
+    parts = read_table(spark, sf_dir, "part")
+    return audits.applicability(parts, parts, "p_brand", "p_type")
