@@ -159,3 +159,24 @@ def test_bundles_survive_json(spark, tmp_path):
     assert tables.round_trips(bundles)
     tables.write_bundles(bundles, str(tmp_path / "b"))
     assert tables.read_bundles(spark, str(tmp_path / "b")).count() == 1
+
+
+@pytest.mark.parametrize("name", ["distance_v5", "distance_hybrid"])
+def test_distances_read_only_staged_tables(spark, sf_dir, name):
+    from traceloom.plans import registry
+
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "parquet" in plan and "events.parquet" not in plan
+
+
+def test_order_crosses_traces(spark):
+    # runs, grams and contexts over three traces, one of them without a call
+    def rows(i, told):
+        return trace(spark, told).withColumn("input_idx", F.lit(i))
+
+    events = rows(0, [("call", "a"), ("call", "a"), ("exception", "E")]).union(rows(1, [("return", "a")])).union(rows(2, [("call", "a"), ("call", "b"), ("exception", "E")])).union(rows(3, [("exception", "F"), ("call", "b")]))
+    assert pairs_of(sequences.run_lengths(events), "idx", "length") == [(0, 3), (1, 2)]
+    assert pairs_of(sequences.call_ngrams(events, 3, by_trace=False), "gram", "n") == [("(0,0,0)", 1), ("(0,0,1)", 1), ("(0,1,1)", 1)]
+    assert pairs_of(sequences.exception_contexts(events), "pre", "type", "post") == [(0, "E", 0), (1, "E", -1), (1, "F", 1)]
+    r = sequences.precedence(events).first()
+    assert (r.n_ij, r.n_ji) == (6, 0)
