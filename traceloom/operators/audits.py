@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.operators.ordering import running
+from traceloom.operators.ordering import joined_on, running
 from traceloom.sources.staging import Workspace
 
 
@@ -18,7 +18,7 @@ def assign_splits(items: DataFrame, category: str, key: str, seed: int = 42) ->
     with Workspace(items.sparkSession, "splits") as work:
         places = running(items.select(key, category), [category], order, {"at": F.lit(1).cast("long")}, work)
         sizes = items.groupBy(category).agg(F.count("*").alias("n"))
-        rows = work.keep(places.withColumn("at", F.col("at") - 1).join(sizes, category), "places")
+        rows = work.keep(joined_on(places.withColumn("at", F.col("at") - 1), sizes, [category]), "places")
     train, dev, val = (F.bround(F.col("n") * x) for x in (0.50, 0.15, 0.15))
     large = F.when(F.col("at") < train, "train").when(F.col("at") < train + dev, "dev").when(F.col("at") < train + dev + val, "val").otherwise("test")
     small = F.when(F.col("at") < F.col("n") - 2, "train").when(F.col("at") == F.col("n") - 1, "test").otherwise("dev")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.measures import chi2_sf_1df, ratio
-from traceloom.operators.ordering import numbered, running
+from traceloom.operators.ordering import joined_on, numbered, running
 from traceloom.sources.staging import Workspace
 
 
@@ -25,7 +25,7 @@ def levels(scores: DataFrame, by: list[str]) -> DataFrame:
         summed = running(grouped, by, [F.col("score")], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")}, work)
         whole = grouped.groupBy(*by).agg(F.sum("pos").alias("pos_all"), F.sum("neg").alias("neg_all"))
         below = summed.withColumn("pos_below", F.col("pos_upto") - F.col("pos")).withColumn("neg_below", F.col("neg_upto") - F.col("neg")).drop("pos_upto", "neg_upto")
-        return work.keep(below.join(whole, by), "levels")
+        return work.keep(joined_on(below, whole, by), "levels")
 
 
 def ranked_levels(grouped: DataFrame, by: list[str]) -> DataFrame:
@@ -106,7 +106,7 @@ def ordered(scores: DataFrame, by: list[str], tie: str, work: Workspace) -> Data
     """by, label, k, tp, and p and n of the stratum: rows in order of score and ``tie``, with how many rows and rows of label 1 come so far."""
     rows = running(scores.select(*by, "score", tie, "label"), by, [F.col("score"), F.col(tie)], {"k": F.lit(1).cast("long"), "tp": F.col("label")}, work)
     whole = scores.groupBy(*by).agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    return rows.join(whole, by)
+    return joined_on(rows, whole, by)
 
 
 def tpr_at_fpr(scores: DataFrame, budget: float, by: list[str], tie: str) -> DataFrame:

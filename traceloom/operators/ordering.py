@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,13 @@ def numbered(rows: DataFrame, order: list[Column], work: Workspace, name: str =
     return placed.withColumn(name, F.col("before") + at).drop("range", "before")
 
 
+def joined_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys, where nulls are equal too."""
+    named = right.select(*[F.col(k).alias(f"other_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"other_{k}")) for k in keys])
+    return left.join(named, same).drop(*[f"other_{k}" for k in keys])
+
+
 def running(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], work: Workspace) -> DataFrame:
     """Adds for each row the sums, within its stratum, over the rows up to it in an order that tells all rows of a stratum apart.
 
@@ -30,5 +39,5 @@ def running(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str,
     parts = ranged.groupBy(*by, "range").agg(*[F.sum(f"own_{name}").alias(f"all_{name}") for name in sums])
     parts = parts.select(*by, "range", *[F.coalesce(F.sum(f"all_{name}").over(before), F.lit(0)).alias(f"before_{name}") for name in sums])
     inner = Window.partitionBy(*by, "range").orderBy(*order)
-    summed = ranged.join(parts, [*by, "range"])
+    summed = joined_on(ranged, parts, [*by, "range"])
     return summed.select(*rows.columns, *[(F.col(f"before_{name}") + F.sum(f"own_{name}").over(inner)).alias(name) for name in sums])
