@@ -148,11 +148,11 @@ def sketches(texts: DataFrame, width: int, coordinates: int, wanted: bytes | Non
 
 
 def prefix_postings(nodes: DataFrame, needed: int) -> DataFrame:
-    """(rid, n, token, central) of each node's prefix, among the tokens that other nodes hold too.
+    """(rid, n, token, often, central) of each node's prefix, among the tokens that other nodes hold too.
 
     With m such tokens, and the others rarer, the prefix has m - needed + 1 of
     them; a node with fewer than ``needed`` has no partner. central: how often
-    the node's tokens are held in all; the original of many edited copies has the most.
+    the node's tokens are held in all; the original of many edited copies has the most. often: how often the token is.
     """
     coordinate = lambda i: F.xxhash64(i, F.get("sig", 2 * i), F.get("sig", 2 * i + 1))
     tokens = F.transform(F.sequence(F.lit(0), (F.size("sig") / 2).cast("int") - 1), coordinate)
@@ -161,7 +161,7 @@ def prefix_postings(nodes: DataFrame, needed: int) -> DataFrame:
     held = posted.join(often, "token").groupBy("rid", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("held"))
     central = F.aggregate("held", F.lit(0).cast("long"), lambda s, h: s + h["often"])
     prefix = F.explode(F.slice("held", F.lit(1), F.size("held") - (needed - 1)))
-    return held.where(F.size("held") >= needed).select("rid", "n", central.alias("central"), prefix.alias("p")).select("rid", "n", F.col("p.token").alias("token"), "central")
+    return held.where(F.size("held") >= needed).select("rid", "n", central.alias("central"), prefix.alias("p")).select("rid", "n", F.col("p.token").alias("token"), F.col("p.often").alias("often"), "central")
 
 
 class Sets:
@@ -287,16 +287,17 @@ def with_bases(state: DataFrame, met: DataFrame, sets: Sets, work: Workspace) ->
 
 
 def open_lists(state: DataFrame) -> DataFrame:
-    """The lists with nodes of several components; minor: the node isn't of the one that has most of the list's."""
+    """The lists with nodes of several components. minor: the node isn't of the one that has most of the list's; minors: how many aren't."""
     sizes = state.groupBy("token", "label").agg(F.count("*").alias("c"))
-    major = sizes.groupBy("token").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    return state.drop("minor").join(major.select("token", F.col("most.label").alias("major")), "token").withColumn("minor", F.col("label") != F.col("major")).drop("major")
+    major = sizes.groupBy("token").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+    major = major.select("token", F.col("most.label").alias("major"), (F.col("all") - F.col("most.c")).alias("minors"))
+    return state.drop("minor", "minors").join(major, "token").withColumn("minor", F.col("label") != F.col("major")).drop("major")
 
 
 def node_labels(posted: DataFrame, sets: Sets, needed: int, work: Workspace) -> DataFrame:
-    """(rid, label): the component of each node in the postings (rid, n, token, central)."""
+    """(rid, label): the component of each node in the postings (rid, n, token, often, central)."""
     none = [F.lit(None).cast("long").alias(c) for c in ("base", "apart", "slack", *BITS)]
-    state = work.stage(posted.select("*", F.col("rid").alias("label"), *none, F.lit(True).alias("minor")), "state")
+    state = work.stage(posted.select("rid", "n", "token", "central", F.col("rid").alias("label"), *none, F.lit(True).alias("minor"), F.col("often").alias("minors")), "state")
     labels = state.select("rid", "label").distinct()
     order = Window.partitionBy("token").orderBy(F.desc("central"), "rid")
     heads_each, first = FIRST_HEADS, True
@@ -306,7 +307,9 @@ def node_labels(posted: DataFrame, sets: Sets, needed: int, work: Workspace) ->
         pairs = work.stage(meeting(state, heads, sets.percent), "pairs")
         met = work.stage(sets.matched(pairs, needed // 2 if first else needed), "met")
         links = work.stage(sets.linked(met.where(F.col("matches") >= needed)), "links")
-        state = state.join(heads.select("token", "rid"), ["token", "rid"], "left_anti")
+        # a list that had no more heads to come is done
+        more = F.col("minors") > heads_each
+        state = state.where(more).join(heads.where(more).select("token", "rid"), ["token", "rid"], "left_anti")
         if not links.isEmpty():
             roots = components(links.select(F.col("x_label").alias("a"), F.col("p_label").alias("b")), work)
             labels = work.stage(relabel(labels, roots), "labels")
