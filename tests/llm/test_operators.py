@@ -266,7 +266,9 @@ def plain_sainte_lague(votes, caps, seats):
     return got
 
 
-def test_sainte_lague_equals_seat_by_seat(spark):
+@pytest.mark.parametrize("by_quotient", [mixing.BY_QUOTIENT, 1])
+def test_sainte_lague_equals_seat_by_seat(spark, monkeypatch, by_quotient):
+    monkeypatch.setattr(mixing, "BY_QUOTIENT", by_quotient)
     rng = np.random.default_rng(3)
     parties, seats, want = [], [], {}
     for g in range(200):

@@ -30,6 +30,8 @@ CYCLE = (5.0, 2.0, 1.0)
 MOST = 2
 #: Divisors that one pass tries, and passes: together they narrow the range of divisors 64^6 times. Seats in what is left of it go by quotient.
 WAYS, PASSES = 64, 6
+#: Seats between two divisors that are few enough to go by quotient.
+BY_QUOTIENT = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -62,16 +64,19 @@ def apportion(parties: DataFrame, seats: DataFrame, work: Workspace) -> DataFram
     """
     live = work.stage(parties.where("votes > 0 AND cap > 0"), "parties")
     room = live.groupBy("grp").agg(F.min(F.col("votes") / (2 * F.col("cap") + 1)).alias("low"), F.max(2.0 * F.col("votes")).alias("high"), F.sum("cap").alias("room"))
-    bounds = work.stage(room.join(seats, "grp"), "bounds")
+    bounds = work.stage(room.join(seats, "grp").withColumn("above", F.col("room")).withColumn("upto", F.lit(0).cast("long")), "bounds")
     awarded = lambda d: F.least(F.col("cap"), F.greatest(F.lit(0).cast("long"), F.ceil((F.col("votes") / d - 1) / 2)))
     divisor = lambda k: F.col("low") * F.pow(F.col("high") / F.col("low"), k / float(WAYS))
+    between = F.max(F.when(F.col("room") > F.col("seats"), F.col("above") - F.col("upto")))
     for _ in range(PASSES):
-        tried = live.join(bounds, "grp").groupBy("grp", "low", "high", "room", "seats").agg(*[F.sum(awarded(divisor(F.lit(k)))).alias(f"a{k}") for k in range(1, WAYS)])
+        if (bounds.agg(between.alias("m")).first()["m"] or 0) <= BY_QUOTIENT:
+            break
+        tried = live.join(bounds, "grp").groupBy(*bounds.columns).agg(*[F.sum(awarded(divisor(F.lit(k)))).alias(f"a{k}") for k in range(1, WAYS)])
         first = F.coalesce(*[F.when(F.col(f"a{k}") <= F.col("seats"), F.lit(k)) for k in range(1, WAYS)], F.lit(WAYS))
-        tried = tried.withColumn("k", first)
-        high = F.when(F.col("k") == WAYS, F.col("high")).otherwise(divisor(F.col("k")))
-        low = F.when(F.col("k") == 1, F.col("low")).otherwise(divisor(F.col("k") - 1))
-        bounds = work.stage(tried.select("grp", low.alias("low"), high.alias("high"), "room", "seats"), "bounds")
+        tried = tried.select(*bounds.columns, first.alias("k"), F.array(*[F.col(f"a{k}") for k in range(1, WAYS)]).alias("sums"))
+        high, low = F.when(F.col("k") == WAYS, F.col("high")).otherwise(divisor(F.col("k"))), F.when(F.col("k") == 1, F.col("low")).otherwise(divisor(F.col("k") - 1))
+        above, upto = F.coalesce(F.get("sums", F.col("k") - 2), F.col("above")), F.coalesce(F.get("sums", F.col("k") - 1), F.col("upto"))
+        bounds = work.stage(tried.select("grp", low.alias("low"), high.alias("high"), "room", "seats", above.alias("above"), upto.alias("upto")), "bounds")
     held = live.join(bounds, "grp").withColumn("got", awarded(F.col("high"))).withColumn("most", awarded(F.col("low")))
     left = held.groupBy("grp").agg((F.first("seats") - F.sum("got")).alias("left"))
     each = held.where("most > got").select("grp", "party", "votes", F.explode(F.sequence("got", F.col("most") - 1)).alias("s"))
