@@ -225,7 +225,8 @@ def sample_texts(docs: DataFrame) -> dict[str, list[bytes]]:
         if r.lang not in held:  # only long texts: the shortest
             chosen = {k: n for k, n in chosen.items() if k[0] != r.lang} | {(r.lang, r.pick): r.bytes}
     wanted = spark.createDataFrame(list(chosen), "lang string, pick long")
-    rows = keyed.join(wanted, ["lang", "pick"], "left_semi").dropDuplicates(["lang", "pick"]).select("lang", "pick", "text").collect()
+    # as many rows as the sample has documents, SAMPLE_ALL at most but for one a language
+    rows = keyed.join(F.broadcast(wanted), ["lang", "pick"], "left_semi").dropDuplicates(["lang", "pick"]).select("lang", "pick", "text").collect()
     found: dict[str, list[bytes]] = {r["lang"]: [] for r in sorted(counts, key=lambda r: r["lang"])}
     for r in sorted(rows, key=lambda r: (r.lang, r.pick)):
         found[r.lang].append(r.text.encode().lower())
