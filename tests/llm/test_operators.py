@@ -99,7 +99,8 @@ def test_hmm_training_raises_the_likelihood():
         *counts, t = hmm.expected_counts(model, ids, lengths, 10)
         model = hmm.normalised(*counts, back)
         told.append(t)
-    assert told == sorted(told) and told[-1] > told[0] + 100
+    # where it has settled, likelihoods differ by rounding alone
+    assert all(b >= a - 1e-9 * abs(a) for a, b in zip(told, told[1:])) and told[-1] > told[0] + 100
 
 
 @pytest.mark.parametrize("lexicon", [hmm.LEXICON, 12, 2])

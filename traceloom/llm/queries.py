@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import chat, fingerprints, hmm, langid, media, mixing, neardup, pieces, secrets, warc
+from traceloom.llm import chat, collocations, fingerprints, hmm, langid, media, mixing, neardup, packing, periods, pieces, secrets, warc
 from traceloom.llm.common import id_crc, table
 
 PIECES = "piece_bpe_32k.model"
@@ -64,8 +64,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periods.report(periods.collapse(docs.withColumn("text", periods.planted(F.col("doc_id"), F.col("text")))))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_hmm, op2_pieces, op3_warc, op4_langid, op5_mixing, op6_neardup, op7_media, op8_secrets, op9_chat, op10_fingerprints)
+    found = (op1_hmm, op2_pieces, op3_warc, op4_langid, op5_mixing, op6_neardup, op7_media, op8_secrets, op9_chat, op10_fingerprints, op11_packing, op12_periods, op13_collocations)
     return {f.__name__: f for f in found}
 
 
