@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ CUT = NEAR, FAR, TRIGGER = 8, 64, 8
 FILTER_BITS = 1 << 26
 #: Entries of pair counts that a task holds before it gives them away.
 HELD = 1 << 20
+#: Rows and bytes of chunks that are counted together.
+GATHERED = 1 << 17, 8 << 20
 U = np.uint64
 #: Bytes that end a piece, and what they become.
 PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
@@ -72,6 +74,24 @@ def parse(docs: DataFrame, longest: int, cut: tuple[int, int, int] = CUT) -> Dat
     return map_batches(texts, run, "lang string, chunk string, owned int, times long")
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of chunks put together up to GATHERED rows or bytes a batch, as chunks are short and words repeat."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= GATHERED[0] or size >= GATHERED[1]:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows, size = [], 0, 0
+    if rows:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def map_gathered(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    small_batches(df.sparkSession)
+    return df.mapInArrow(lambda batches: map(function, gathered(batches)), schema)
+
+
 class Words:
     """The words of a batch of chunks as numbers, with what belongs to each place."""
 
@@ -144,7 +164,7 @@ def word_counts(dictionary: DataFrame) -> DataFrame:
         lang, code = np.divmod(keys, max(1, len(w.vocabulary)))
         return pa.RecordBatch.from_arrays([w.langs.take(pa.array(lang)), w.vocabulary.take(pa.array(code)).cast(pa.string()), pa.array(total)], ["lang", "phrase", "f"])
 
-    return map_batches(dictionary, run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return map_gathered(dictionary, run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def word_spots(words: DataFrame) -> DataFrame:
@@ -165,7 +185,7 @@ def pair_spots(dictionary: DataFrame, words: bytes, least: int) -> DataFrame:
         def rows() -> tuple[np.ndarray, np.ndarray]:
             return summed(np.concatenate(keys), np.concatenate(counts))
 
-        for batch in batches:
+        for batch in gathered(batches):
             w = Words(batch)
             h = w.hashes()
             good = told(words, h)
@@ -218,7 +238,7 @@ def phrase_counts(dictionary: DataFrame, words: bytes, pairs: bytes, longest: in
         columns = [pa.concat_arrays(c) if c else pa.array([], t) for c, t in ((langs, pa.string()), (phrases, pa.string()), (totals, pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
 
-    return map_batches(dictionary, run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return map_gathered(dictionary, run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def n_words(phrase: Column) -> Column:
