@@ -8,7 +8,10 @@ Windows run over distinct scores of a stratum, which grouping has added up befor
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,3 +219,92 @@ def swap_p(pairs: DataFrame, rounds: int = 200, seed: int = 42, key: str = "pair
     rounds_table = spark.range(rounds).select(F.col("id").alias("round"))
     each = pairs.join(F.broadcast(rounds_table)).groupBy("round").agg(F.avg(coin * (F.col("a") - F.col("b"))).alias("dealt"))
     return each.join(F.broadcast(real)).groupBy("delta").agg(F.avg((F.abs("dealt") >= F.abs("delta")).cast("int")).alias("p_value"))
+
+
+#: Rows that a split of labels can tell apart, by the bound of numpy's draws.
+MOST_ROWS = 10**9
+
+
+def in_score_ranges(rows: DataFrame, work: Workspace) -> DataFrame:
+    """Distinct scores dealt in ranges: adds ``range``, whose numbers grow with the score."""
+    return work.stage(rows.repartitionByRange("score").withColumn("range", F.spark_partition_id()), "ranges")
+
+
+def split_labels(sizes: np.ndarray, ones: np.ndarray, seed: list[int]) -> np.ndarray:
+    """How many of ``ones[b]`` labels fall on each level in round b, if all ways to deal them to the rows are alike: (rounds, levels). sizes: rows of each level."""
+    dealt = np.empty((len(ones), len(sizes)), np.int64)
+    for b, n in enumerate(ones.tolist()):
+        dealt[b] = np.random.default_rng([*seed, b]).multivariate_hypergeometric(sizes, n, method="marginals")
+    return dealt
+
+
+def dealt_wins(sizes: dict[int, int], ones: int, rounds: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """For a range of levels, twice the pairs that each round's dealt labels win there: round, twice.
+
+    Every task splits the labels over the ranges alike, by the seed; then it splits its range's share over its levels. sizes: rows of each range.
+    """
+    names = sorted(sizes)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        here = names.index(int(group["range"].iloc[0]))
+        shares = split_labels(np.array([sizes[r] for r in names]), np.full(rounds, ones), [seed, 0])
+        n = group.sort_values("score")["n"].to_numpy()
+        twice, below = np.empty(rounds, np.int64), shares[:, :here].sum(axis=1)
+        for b in range(rounds):
+            x = np.random.default_rng([seed, 1 + here, b]).multivariate_hypergeometric(n, shares[b, here], method="marginals")
+            twice[b] = ((n - x) * (2 * (below[b] + np.cumsum(x) - x) + x)).sum()
+        return pd.DataFrame({"round": np.arange(rounds), "twice": twice})
+
+    return run
+
+
+def permutation_p_of_levels(scores: DataFrame, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """auroc, p_value, rounds: share of the rounds of dealt labels whose AUROC is at least the real one.
+
+    Rows of equal score are alike, so no row is dealt: a round splits the labels over the distinct scores by the multivariate hypergeometric distribution, first over ranges of
+    scores and then, in each range on its own, over its scores. Work is rounds times distinct scores, spread by ranges. Without rows of both labels
+    the AUROC is 0.5 and p is 1. At most MOST_ROWS rows can be dealt; more raise.
+    """
+    with Workspace(scores.sparkSession, "dealt") as work:
+        grouped = scores.where("label IN (0, 1)").groupBy("score").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("pos"))
+        ranged = in_score_ranges(grouped, work)
+        told = ranged.groupBy("range").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).collect()  # as many rows as there are ranges
+        sizes, ones = {r["range"]: r["n"] for r in told}, sum(r["pos"] for r in told)
+        total = sum(sizes.values())
+        if total > MOST_ROWS:
+            raise ValueError(f"{total} rows: labels of at most {MOST_ROWS} can be dealt")
+        upto = running(ranged.drop("range").withColumn("all", F.lit(0)), ["all"], [F.col("score")], {"upto": F.col("pos")}, work)
+        real = upto.withColumn("pos_below", F.col("upto") - F.col("pos")).withColumn("neg", F.col("n") - F.col("pos"))
+        won = real.agg(F.coalesce(F.sum(F.col("neg") * (2 * F.col("pos_below") + F.col("pos"))), F.lit(0)).alias("real"))
+        if not ones or ones == total:
+            return work.keep(won.select(F.lit(0.5).alias("auroc"), F.lit(1.0).alias("p_value"), F.lit(rounds).cast("long").alias("rounds")), "p")
+        each = ranged.groupBy("range").applyInPandas(dealt_wins(sizes, ones, rounds, seed), "round long, twice long").groupBy("round").agg(F.sum("twice").alias("twice"))
+        p = each.join(F.broadcast(won)).groupBy("real").agg(F.avg((F.col("twice") >= F.col("real")).cast("int")).alias("p_value"), F.count("*").alias("rounds"))  # one row beside the rounds
+        return work.keep(p.select((F.col("real") / (2.0 * ones * (total - ones))).alias("auroc"), "p_value", "rounds"), "p")
+
+
+def swap_p_of_levels(pairs: DataFrame, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """delta, p_value, rounds of paired scores a, b: share of the rounds of fair coins that swap pairs with as large a mean difference.
+
+    Pairs of equal difference are alike: a round draws how many of them keep their order. Work is rounds times distinct differences, spread by ranges. Pairs that lack a score are left out.
+    """
+    with Workspace(pairs.sparkSession, "swapped") as work:
+        gap = F.col("a") - F.col("b")
+        grouped = pairs.select(F.abs(gap).alias("score"), gap.alias("gap")).where("score IS NOT NULL").groupBy("score").agg(F.count("*").alias("n"), F.sum("gap").alias("sum"))
+        ranged = in_score_ranges(grouped, work)
+        real = ranged.agg(F.sum("n").alias("pairs"), (F.sum("sum") / F.sum("n")).alias("delta"))
+
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            levels = group.sort_values("score")
+            n, size = levels["n"].to_numpy(), levels["score"].to_numpy()
+            at, sums = int(group["range"].iloc[0]), np.empty(rounds)
+            for b in range(rounds):
+                kept = np.random.default_rng([seed, at, b]).binomial(n, 0.5)
+                sums[b] = (size * (2 * kept - n)).sum()
+            return pd.DataFrame({"round": np.arange(rounds), "sum": sums})
+
+        each = ranged.groupBy("range").applyInPandas(run, "round long, sum double").groupBy("round").agg(F.sum("sum").alias("sum"))
+        # sums of the same differences in another order differ by rounding
+        as_large = F.abs(F.col("sum") / F.col("pairs")) >= F.abs("delta") * (1 - 1e-12)
+        p = each.join(F.broadcast(real)).groupBy("delta").agg(F.avg(as_large.cast("int")).alias("p_value"), F.count("*").alias("rounds"))  # one row beside the rounds
+        return work.keep(p, "p")

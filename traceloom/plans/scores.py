@@ -140,6 +140,18 @@ def permutation_test(spark, sf_dir):
     return metrics.permutation_p(scored(spark, sf_dir), ROUNDS)
 
 
+@query()
+def permutation_test_levels(spark, sf_dir):
+    """Labels split over distinct scores by the hypergeometric distribution; numpy's draws have no twin in SQL."""
+    return metrics.permutation_p_of_levels(scored(spark, sf_dir), ROUNDS)
+
+
+@query()
+def swap_test_levels(spark, sf_dir):
+    rows = scored(spark, sf_dir)
+    return metrics.swap_p_of_levels(rows.select(F.col("score").alias("a"), F.col("other").alias("b")), ROUNDS)
+
+
 @query(BASE + f""", d AS (SELECT r.range AS round, avg((CASE WHEN {HASH.format("'42|' || r.range || '|' || pair_id")} % 2 = 0 THEN 1 ELSE -1 END) * (score - other)) AS dealt FROM s, range({ROUNDS}) r GROUP BY ALL), m AS (SELECT avg(score - other) AS delta FROM s)
 SELECT round(delta, 6) AS delta, round(avg(CASE WHEN abs(dealt) >= abs(delta) THEN 1 ELSE 0 END), 6) AS p_value FROM d, m GROUP BY delta""")
 def swap_test(spark, sf_dir):

@@ -159,6 +159,30 @@ def hot_path_top5(spark, sf_dir):
     return sequences.hot_path(inputs(spark, sf_dir)[0])
 
 
+def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as one trace of calls that return: views, clicks and signups call, purchases and errors return, and k names one of three functions."""
+    log = read_table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    k = F.coalesce(F.nullif(F.regexp_extract("props", r'"k": *(-?[0-9]+)', 1), F.lit("")).cast("long"), F.lit(0))
+    kind = F.when(F.col("event_type").isin("purchase", "error"), "return").otherwise("call")
+    ordered = sources.in_order(log, ["user_id"], "day", ["ts", "event_id"])
+    return ordered.select(F.col("user_id").cast("string").alias("program_id"), F.lit(0).alias("run_idx"), F.lit(0).alias("input_idx"), "seq", kind.alias("event_type"), F.concat(F.lit("f"), (k % 3).cast("string")).alias("function_name"))
+
+
+NESTED = """
+WITH RECURSIVE ne AS (SELECT CAST(user_id AS VARCHAR) AS program_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_type NOT IN ('purchase', 'error') AS opens,
+    'f' || (coalesce(TRY_CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT), 0) % 3) AS fn FROM events),
+st AS (SELECT program_id, CAST(-1 AS BIGINT) AS seq, CAST([] AS STRUCT(fn VARCHAR, p BIGINT)[]) AS stack, CAST(NULL AS VARCHAR) AS fn, CAST(NULL AS BIGINT) AS took FROM (SELECT DISTINCT program_id FROM ne)
+  UNION ALL SELECT e.program_id, e.seq, CASE WHEN e.opens THEN list_append(stack, {'fn': e.fn, 'p': e.seq}) WHEN len(stack) > 0 AND stack[-1].fn = e.fn THEN stack[1:len(stack) - 1] ELSE stack END,
+    CASE WHEN NOT e.opens AND len(stack) > 0 AND stack[-1].fn = e.fn THEN e.fn END, CASE WHEN NOT e.opens AND len(stack) > 0 AND stack[-1].fn = e.fn THEN e.seq - stack[-1].p END
+  FROM st JOIN ne e ON e.program_id = st.program_id AND e.seq = st.seq + 1)
+"""
+
+
+@query(NESTED + "SELECT program_id, fn AS function_name, round(avg(took), 6) AS latency FROM st WHERE took IS NOT NULL GROUP BY ALL")
+def call_latency(spark, sf_dir):
+    return sequences.call_latency(nested_events(spark, sf_dir))
+
+
 @query(BASE + "SELECT program_id, count(*) AS n_traces, round(avg(CASE WHEN exception IS NOT NULL THEN 1 ELSE 0 END), 6) AS exception_rate, coalesce(string_agg(DISTINCT split_part(exception, ':', 1), ',' ORDER BY split_part(exception, ':', 1)), '') AS types FROM tr GROUP BY ALL")
 def exception_rate(spark, sf_dir):
     from traceloom.functions.reprs import exception_class

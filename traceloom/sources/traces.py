@@ -16,11 +16,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceloom.operators.ordering import joined_on
+
 START = "2024-01-01"
 SPLIT_DAY = 15
 TRACE = ["program_id", "run_idx", "input_idx"]
 
 
+def in_order(rows: DataFrame, by: list[str], slice_: str, order: list[str]) -> DataFrame:
+    """The rows with seq, their number in order among those of one ``by``, from 0.
+
+    slice_: a column that grows with the order. Rows are numbered within their slice, and slices are counted, so what has very many rows is spread over tasks.
+    """
+    counts = rows.groupBy(*by, slice_).agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy(*by).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(*by, slice_, F.coalesce(earlier, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy(*by, slice_).orderBy(*order)) - 1
+    return joined_on(rows.withColumn("own", own), before, [*by, slice_]).withColumn("seq", (F.col("before") + F.col("own")).cast("int")).drop("own", "before", slice_)
+
+
 def event_traces(log: DataFrame, start: str = START, cap: int | None = None) -> DataFrame:
     """A user's events of a day are a trace; days before SPLIT_DAY belong to version A of the user, later ones to B.
 
@@ -30,14 +44,13 @@ def event_traces(log: DataFrame, start: str = START, cap: int | None = None) ->
     day = F.datediff(F.to_date("ts"), F.lit(start).cast("date"))
     k = F.nullif(F.regexp_extract("props", r'"k": *(-?[0-9]+)', 1), F.lit("")).cast("long")
     kind = F.when(F.col("event_type") == "error", "exception").when(F.col("event_type") == "purchase", "return").otherwise("call")
-    order = Window.partitionBy("program_id", "input_idx").orderBy("ts", "event_id")
     value = F.when(F.col("k") % 10 == 0, "None").otherwise(F.col("value").cast("string"))
     snapshot = F.map_filter(
         F.create_map(F.lit("value"), value, F.lit("k"), F.col("k").cast("string"), F.lit("handle"), F.when(F.col("event_type") == "view", "<view>")),
         lambda name, r: r.isNotNull(),
     )
     named = log.withColumn("input_idx", day).withColumn("k", k).withColumn("program_id", F.concat(F.col("user_id").cast("string"), F.when(day < SPLIT_DAY, ":A").otherwise(":B")))
-    ranked = named.withColumn("seq", F.row_number().over(order) - 1)
+    ranked = in_order(named.withColumn("minute", F.date_trunc("minute", "ts")), ["program_id", "input_idx"], "minute", ["ts", "event_id"])
     if cap is not None:
         ranked = ranked.where(F.col("seq") < cap)
     return ranked.select("program_id", F.lit(0).alias("run_idx"), "input_idx", "seq", kind.alias("event_type"), F.col("event_type").alias("function_name"), snapshot.alias("snapshot"), "ts", "value", "k")
