@@ -12,6 +12,7 @@ match costs time, and never a result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
@@ -26,6 +27,8 @@ class Rule:
     """A secret's pattern in the common syntax of Java, RE2 and Python.
 
     least: the fewest characters of ``group`` in a match that counts. A match too short is dropped, and its text stays consumed.
+    java: a pattern in Java's syntax for the same matches, where the common one takes time that grows with the square of a text. Its matches may begin earlier: they count from
+    the first ``lead`` on.
     """
 
     kind: str
@@ -33,6 +36,16 @@ class Rule:
     group: int
     least: int
     base: bool = True
+    java: str | None = None
+    lead: str = ""
+
+    @property
+    def found_by(self) -> str:
+        return self.java or self.pattern
+
+
+#: A web token's characters. A token begins at the first eyJ of a stretch of these or nowhere in it, so a stretch is gone through once, from where it begins.
+B64 = "[A-Za-z0-9_-]"
 
 
 RULES = (
@@ -41,12 +54,12 @@ RULES = (
     Rule("hex", r"[0-9a-f]+", 0, 32),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, base=False),
     Rule("repo_token", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, base=False),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, base=False),
+    Rule("web_token", rf"eyJ{B64}+\.eyJ{B64}+\.{B64}+", 0, 40, base=False, java=rf"(?<!{B64})(?>{B64}*?eyJ){B64}++\.eyJ{B64}++\.{B64}++", lead="eyJ"),
 )
 #: Bits of one mask of trigrams; more trigrams take more masks.
 MASK_BITS = 63
-#: Spans or pieces that are appended one by one before they join the others.
-RUN = 128
+#: Spans that are summed up one by one before blocks of them are.
+RUN = 64
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -84,11 +97,20 @@ def candidates(posted: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return held.select("row_key", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
-def appended(acc: Column, item: Column) -> list[Column]:
-    """An accumulator's next ``run`` and ``found``: items go to a short run, and full runs to what is found, so appending n takes n * n / RUN steps and not n * n."""
-    full = F.size(acc["run"]) >= RUN
-    one = F.array(item)
-    return [F.when(full, one).otherwise(F.concat(acc["run"], one)).alias("run"), F.when(full, F.concat(acc["found"], acc["run"])).otherwise(acc["found"]).alias("found")]
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with a value that is computed once: what stands in a lambda is computed at each of its uses."""
+    return F.transform(F.array(value), body)[0]
+
+
+def in_blocks(items: Column) -> Column:
+    """Items in blocks of RUN. An accumulator is copied at each step, so prefixes are summed up in blocks and then over blocks: n items take n * RUN steps and n * n / RUN^2 copies, not n * n."""
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / RUN).cast("int") - 1), lambda b: F.slice(items, b * RUN + 1, RUN))
+
+
+def prefixes(totals: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each total, what the ones before it merge to, from 0."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("told"))
+    return F.aggregate(totals, start, lambda acc, t: F.struct(merge(acc["at"], t).alias("at"), F.concat(acc["told"], F.array(acc["at"])).alias("told")), lambda acc: acc["told"])
 
 
 def find_spans(text: Column, rule: Rule) -> Column:
@@ -97,25 +119,40 @@ def find_spans(text: Column, rule: Rule) -> Column:
     Splitting at the matches gives the pieces between them; lengths of pieces
     and matches, summed up, give the places.
     """
-    pieces, matches = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    value = matches if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    pieces, matches = F.split(text, rule.found_by, -1), F.regexp_extract_all(text, F.lit(rule.found_by), F.lit(0))
+    value = matches if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.found_by), F.lit(rule.group))
+    # characters of a match before it counts
+    early = (lambda m: F.instr(m, rule.lead) - 1) if rule.lead else (lambda m: F.lit(0))
     # one step a match: its gap before, its own length, and the length that counts
-    steps = F.zip_with(F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("n"))), value, lambda s, v: F.struct(s["gap"].alias("gap"), s["n"].alias("n"), F.length(v).alias("counts")))
-    none = F.array().cast(SPANS)
-    start = F.struct(F.lit(0).alias("at"), none.alias("run"), none.alias("found"))
+    steps = F.zip_with(F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda a, b: F.struct((F.length(a) + early(b)).alias("gap"), (F.length(b) - early(b)).alias("n"))), value, lambda s, v: F.struct(s["gap"].alias("gap"), s["n"].alias("n"), (s["n"] if rule.group == 0 else F.length(v)).alias("counts")))
+    taken = lambda block: F.aggregate(block, F.lit(0), lambda at, s: at + s["gap"] + s["n"])
+
+    def spans(block: Column, before: Column) -> Column:
+        end = lambda i: before + taken(F.slice(block, 1, i + 1))
+        return F.transform(block, lambda s, i: let(end(i), lambda e: F.struct((e - s["n"]).alias("start"), e.alias("end"), s["counts"].alias("counts"))))
+
+    whole = let(steps, lambda all_: F.when(F.size(all_) > 0, let(in_blocks(all_), lambda blocks: F.flatten(F.zip_with(blocks, prefixes(F.transform(blocks, taken), lambda x, y: x + y), spans)))))
+    counted = F.filter(F.coalesce(whole, F.array().cast("array<struct<start:int,end:int,counts:int>>")), lambda s: s["counts"] >= rule.least)
+    return F.transform(counted, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
 
-    def step(acc: Column, s: Column) -> Column:
-        begin = acc["at"] + s["gap"]
-        end = (begin + s["n"]).alias("at")
-        hit = F.struct(begin.alias("start"), (begin + s["n"]).alias("end"))
-        return F.when(s["counts"] >= rule.least, F.struct(end, *appended(acc, hit))).otherwise(F.struct(end, acc["run"].alias("run"), acc["found"].alias("found")))
+def masked(text: Column, spans: Column, mark: str) -> Column:
+    """The text with a mark for each span; spans (sorted) that overlap become one. A block's stretch of the text is cut out once, and its pieces from that."""
+    last = lambda block: F.array_max(F.transform(block, lambda s: s["end"]))
 
-    return F.aggregate(steps, start, step, lambda acc: F.concat(acc["found"], acc["run"]))
+    def pieces(block: Column, before: Column) -> Column:
+        stretch = text.substr(before + 1, F.greatest(F.lit(0), F.array_max(F.transform(block, lambda s: s["start"])) - before))
+        at = lambda i: F.when(i == 0, before).otherwise(F.greatest(before, last(F.slice(block, 1, i))))
+        one = lambda held: F.transform(block, lambda s, i: let(at(i), lambda a: F.when(s["start"] >= a, F.concat(held.substr(a - before + 1, s["start"] - a), F.lit(mark))).otherwise("")))
+        return F.array_join(let(stretch, one), "")
+
+    told = let(in_blocks(spans), lambda blocks: F.array_join(F.zip_with(blocks, prefixes(F.transform(blocks, last), F.greatest), pieces), ""))
+    return F.when(F.size(spans) > 0, F.concat(told, text.substr(last(spans) + 1, F.length(text)))).otherwise(text)
 
 
 def prefilter(rule: Rule) -> str:
     """A pattern that every counted match meets, to leave alone the texts without one."""
-    return f"[0-9a-f]{{{rule.least}}}" if rule.kind == "hex" else rule.pattern
+    return f"[0-9a-f]{{{rule.least}}}" if rule.kind == "hex" else rule.found_by
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -131,7 +168,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     none = F.array().cast(SPANS)
     text = F.coalesce(F.col("text"), F.lit(""))
     for rule in rules:
-        due = F.array_contains("found_kinds", rule.kind) & text.rlike(rule.pattern) if trigram_query(rule.pattern) else text.rlike(prefilter(rule))
+        due = F.array_contains("found_kinds", rule.kind) & text.rlike(rule.found_by) if trigram_query(rule.pattern) else text.rlike(prefilter(rule))
         joined = joined.withColumn(f"spans_{rule.kind}", F.when(due, find_spans(text, rule)).otherwise(none))
     return joined.drop("scan_key", "found_key", "found_kinds")
 
@@ -159,16 +196,6 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
     columns = docs.columns
     scanned = scan(docs.select("doc_id", "text", F.struct("*").alias("row")), rules)
     spans = F.array_sort(F.concat(*[F.col(f"spans_{r.kind}") for r in rules]))
-    none = F.array().cast("array<string>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("run"), none.alias("found"))
-
-    def step(acc: Column, s: Column) -> Column:
-        end = F.greatest(acc["at"], s["end"]).alias("at")
-        piece = F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.when(s["start"] >= acc["at"], F.struct(end, *appended(acc, piece))).otherwise(F.struct(end, acc["run"].alias("run"), acc["found"].alias("found")))
-
-    rest = lambda acc: F.concat(F.array_join(acc["found"], ""), F.array_join(acc["run"], ""), F.col("text").substr(acc["at"] + 1, F.length("text")))
-    text = F.when(F.size("all_spans") > 0, F.aggregate("all_spans", start, step, rest)).otherwise(F.col("text"))
-    told = scanned.withColumn("all_spans", spans).select("row", "all_spans", text.alias("text"))
+    told = scanned.withColumn("all_spans", spans).select("row", "all_spans", masked(F.col("text"), F.col("all_spans"), mark).alias("text"))
     new = {"text": F.col("text"), "n_chars": F.when(F.size("all_spans") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in columns else None}
     return told.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in columns])
