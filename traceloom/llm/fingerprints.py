@@ -128,7 +128,7 @@ def fingerprint(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
     Edge cases: a null text is empty; an empty text has the empty fingerprint;
     a null doc_id comes last; rows with equal doc_id are ordered by a hash of
     their text; rows equal in both count as one document and come out as often
-    as they went in; an only document is its own next; an empty table gives no rows.
+    as they went in; an only document is its own next; an empty table gives no rows. doc_id is a whole number; the least long stands for null, and is shown as null.
     """
     with Workspace(docs.sparkSession, "fingerprints") as work:
         both = edited_texts(docs, work)
@@ -137,12 +137,10 @@ def fingerprint(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
         minima = counts.groupBy("id", "h").agg(*[F.min(s).alias(f"o{j}") for j, s in enumerate(own)], *[F.min(s).alias(f"e{j}") for j, s in enumerate(edited)])
         told = minima.select("id", "h", *[F.when(F.col(f"{c}0").isNotNull(), identities([F.col(f"{c}{j}") for j in range(coordinates)])).alias(name) for c, name in (("o", "own"), ("e", "edited"))])
         shown = both.select("id", "h", "n", "copies", "prev", F.unhex(F.sha2("edited", 256)).alias("sha"))
-        rows = work.stage(shown.join(told, ["id", "h"], "left"), "samples")
-        following = rows.select(F.col("prev.id").alias("id"), F.col("prev.h").alias("h"), F.col("own").alias("following"))
-        joined = rows.drop("prev").join(following, ["id", "h"])
-        return work.keep(joined.select(
-            F.when(F.col("id") != LEAST, F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"),
-            hexed(F.col("own")).alias("fingerprint"), hexed(F.col("edited")).alias("edited_fingerprint"),
-            likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
-            F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-        ).drop("copy"), "fingerprints")
+        rows = work.keep(shown.join(told, ["id", "h"], "left"), "samples")
+    following = rows.select(F.col("prev.id").alias("id"), F.col("prev.h").alias("h"), F.col("own").alias("following"))
+    joined = rows.drop("prev").join(following, ["id", "h"])
+    return joined.select(
+        F.when(F.col("id") != LEAST, F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"), hexed(F.col("own")).alias("fingerprint"), hexed(F.col("edited")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
+    ).drop("copy")
