@@ -17,11 +17,12 @@ from traceloom.operators.genomes import histogram
 PROGRAM = "program_id"
 NODES = (
     "program_id string, node_id int, parent_id int, kind string, name string, function string, control_depth int, extra int, "
-    "detail string, path string, top int, in_body boolean, nested int, loops int, in_handler int"
+    "detail string, path string, top int, in_body boolean, nested int, loops int, in_handler int, level int, docstring boolean"
 )
 LOOPS = ("For", "AsyncFor", "While")
 BRANCHES = (*LOOPS, "If", "Try", "TryStar")
 FUNCTIONS = ("FunctionDef", "AsyncFunctionDef")
+DOCUMENTED = ("Module", *FUNCTIONS, "ClassDef")
 #: What counts as control in a function's fingerprint.
 CONTROL = ("If", "For", "While", "Try", "ExceptHandler", "With", "AsyncFor", "AsyncWith")
 COMPREHENSIONS = ("ListComp", "SetComp", "DictComp", "GeneratorExp")
@@ -89,6 +90,12 @@ class Around:
     nested: int = 0
     loops: int = 0
     handlers: int = 0
+    level: int = 0
+    docstring: bool = False
+
+
+def is_text(node: ast.AST) -> bool:
+    return isinstance(node, ast.Expr) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str)
 
 
 def node_rows(program_id: str, source: str | None) -> list[tuple]:
@@ -104,15 +111,18 @@ def node_rows(program_id: str, source: str | None) -> list[tuple]:
         if kind in FUNCTIONS and at.parent == 0:
             at, tops = replace(at, top=tops, nested=0, loops=0), tops + 1
         nested, loops = at.nested + (kind in CONTROL), at.loops + (kind in LOOPS)
-        rows.append((program_id, len(rows), at.parent, kind, name, at.function, at.control, extra, detail, at.path, at.top, at.in_body, nested, loops, at.handlers))
-        inner = replace(at, parent=len(rows) - 1, control=at.control + (kind in BRANCHES), nested=nested, loops=loops)
+        rows.append((program_id, len(rows), at.parent, kind, name, at.function, at.control, extra, detail, at.path, at.top, at.in_body, nested, loops, at.handlers, at.level, at.docstring))
+        inner = replace(at, parent=len(rows) - 1, control=at.control + (kind in BRANCHES), nested=nested, loops=loops, level=at.level + 1)
         if kind in FUNCTIONS:
             inner = replace(inner, function=name, path=f"{at.path}/{name}")
         own_body = kind in FUNCTIONS and at.parent == 0
         children = []
         for field, value in ast.iter_fields(node):
             into = replace(inner, in_body=at.in_body or own_body and field == "body", handlers=at.handlers + (kind == "ExceptHandler" and field == "body"))
-            children += [(c, into) for c in (value if isinstance(value, list) else [value]) if isinstance(c, ast.AST)]
+            below = [(c, into) for c in (value if isinstance(value, list) else [value]) if isinstance(c, ast.AST)]
+            if field == "body" and kind in DOCUMENTED and below and is_text(below[0][0]):
+                below[0] = (below[0][0], replace(into, docstring=True))
+            children += below
         todo += reversed(children)
     return rows
 
@@ -262,3 +272,20 @@ def node_type_similarity(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     alike = F.sum(((F.col("a") > 0) & (F.col("b") > 0)).cast("int")) / F.count("*")
     l1 = F.sum(F.abs(F.col("a") - F.col("b"))) / F.sum(F.col("a") + F.col("b"))
     return rows.groupBy("pair_id").agg((0.5 * alike + 0.5 * (1 - l1)).alias("similarity"))
+
+
+def linearised(tree: DataFrame) -> DataFrame:
+    """program_id, kinds: the kinds of a program's nodes level by level, from left to right, without docstrings."""
+    held = F.array_sort(F.collect_list(F.struct("level", "node_id", "kind")))
+    return tree.where(~F.col("docstring")).groupBy(PROGRAM).agg(F.transform(held, lambda n: n["kind"]).alias("kinds"))
+
+
+def tree_edit_similarity(tree: DataFrame, pairs: DataFrame, cap: int | None = None) -> DataFrame:
+    """pair_id, similarity: 1 - edit distance of the linearised trees over the longer one's length; 1 if both are empty. cap: compare the first so many nodes only, as a limited tool would."""
+    from traceloom.operators.texts import token_edit_similarity
+
+    kinds = linearised(tree)
+    side = lambda name, key: kinds.select(F.col(PROGRAM).alias(key), F.col("kinds").alias(name))
+    none = F.array().cast("array<string>")
+    rows = pairs.join(side("a", "left"), "left", "left").join(side("b", "right"), "right", "left")
+    return rows.select("pair_id", token_edit_similarity(F.coalesce("a", none), F.coalesce("b", none), cap).alias("similarity"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from traceloom.functions.measures import ratio
 from traceloom.sources.staging import Workspace
@@ -29,6 +31,27 @@ def char_grams(text: str, n: int) -> Column:
     return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: c.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def joint_features(tokens: Column) -> Column:
+    """The features of a text in one list: words (W1), pairs of words (W2), and runs of 3 and 4 characters (C3, C4) of the words joined by a space."""
+    runs = lambda n, made: F.when(n > 0, F.transform(F.sequence(F.lit(1), n), made)).otherwise(F.array().cast("array<string>"))
+    joined = F.array_join(tokens, " ")
+    words_ = F.transform(tokens, lambda t: F.concat(F.lit("W1:"), t))
+    pairs = runs(F.size(tokens) - 1, lambda i: F.concat(F.lit("W2:"), F.element_at(tokens, i), F.lit("_"), F.element_at(tokens, i + 1)))
+    chars = lambda n: runs(F.length(joined) - (n - 1), lambda i: F.concat(F.lit(f"C{n}:"), joined.substr(i, F.lit(n))))
+    return F.concat(words_, pairs, chars(3), chars(4))
+
+
+def hashed_features(features: Column) -> Column:
+    """Features as numbers of 60 bits from md5, the same in any engine: so a vector's keys are longs, and two features share one only by chance."""
+    return F.transform(features, lambda f: F.conv(F.substring(F.md5(f), 1, 15), 16, 10).cast("long"))
+
+
+def joint_counts(lists: DataFrame) -> DataFrame:
+    """doc_id, token (a hashed feature), n of doc_id, tokens: what ``idf``, ``tfidf`` and ``cosine_of_pairs`` take."""
+    held = lists.select("doc_id", F.explode(hashed_features(joint_features(F.col("tokens")))).alias("token"))
+    return held.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
 def idf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
     """token, idf = ln((N + 1) / (df + 1)) + 1. n_docs: one row, one column n_docs."""
     df = counts.groupBy("token").agg(F.count("*").alias("df"))
@@ -92,12 +115,19 @@ def edit_distance(a: list | None, b: list | None) -> int | None:
     return told
 
 
+@F.pandas_udf(LongType())
+def edit_distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edit distances of batches of lists."""
+    found = [None if x is None or y is None else edit_distance(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)]
+    return pd.Series(found, dtype="Int64")
+
+
 def token_edit_similarity(a: Column, b: Column, cap: int | None = None) -> Column:
     """1 - edit distance / longer length of two whole token lists; with a cap, of their first ``cap`` tokens."""
     if cap is not None:
         a, b = F.slice(a, 1, cap), F.slice(b, 1, cap)
     longest = F.greatest(F.size(a), F.size(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.udf(edit_distance, "long")(a, b) / longest)
+    return F.when(longest == 0, 1.0).otherwise(1 - edit_distances(a, b) / longest)
 
 
 def near_duplicate_classes(sets: DataFrame, percent: int, work: Workspace) -> tuple[DataFrame, DataFrame]:

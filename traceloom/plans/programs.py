@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.operators import dimensions, genomes, identity, sequences, static
+from traceloom.operators import dimensions, genomes, identity, lexer, sequences, static, texts
 from traceloom.plans.registry import query
 from traceloom.plans.traces import BASE, FIRST, met_sql
 from traceloom.sources import traces as sources
@@ -160,3 +160,58 @@ def distance_of_two_dimensions(spark, sf_dir):
     """Only what two dimensions need is computed."""
     with Workspace(spark, "two-dimensions") as work:
         return work.keep(dimensions.distance_of(both_inputs(spark, sf_dir, work), only=["CONTROL", "TEMPORAL"]), "result")
+
+
+#: The kinds of all nodes level by level: the module, its functions, their arguments and statements, then what is below those.
+LEVELS = {
+    "view": ("Expr", "Call", "Name/Constant", "Load"), "click": ("If", "Call/Assign", "Name/Constant/Name/BinOp", "Load/Store/Name/Add/Constant", "Load"),
+    "signup": ("For", "Name/Call/Pass", "Store/Name/Constant", "Load"), "purchase": ("Return", "Constant"), "error": ("Raise", "Call", "Name", "Load"),
+}
+LETTERS = {k: chr(65 + i) for i, k in enumerate(sorted({x for n in LEVELS.values() for p in n for x in p.split("/")} | {"Module", "FunctionDef", "arguments", "arg"}))}
+SPELLED = {n: ["".join(LETTERS[k] for k in p.split("/")) for p in levels] for n, levels in LEVELS.items()}
+
+
+def level_sql(depth: int) -> str:
+    told = " ".join(f"WHEN '{n}' THEN '{s[depth]}'" for n, s in SPELLED.items() if len(s) > depth)
+    first = f"'{LETTERS['arguments']}' || " if depth == 0 else f"'{LETTERS['arg']}' || " if depth == 1 else ""
+    return f"coalesce(string_agg({first}m{depth}, '' ORDER BY input_idx), '') AS l{depth}" if told else ""
+
+
+TREES = ", lv AS (SELECT program_id, input_idx, " + ", ".join(f"""string_agg(CASE fn {' '.join(f"WHEN '{n}' THEN '{s[d]}'" for n, s in SPELLED.items() if len(s) > d)} ELSE '' END, '' ORDER BY seq) AS m{d}""" for d in range(5)) + f""" FROM ev GROUP BY ALL),
+ln AS (SELECT program_id, '{LETTERS['Module']}' || repeat('{LETTERS['FunctionDef']}', count(*)) || """ + " || ".join(level_sql(d).removesuffix(f" AS l{d}") for d in range(5)) + " AS t FROM lv GROUP BY ALL)"
+
+
+@query(BASE + TREES + " SELECT pair_id, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 6) AS similarity FROM vp JOIN ln a ON a.program_id = vp.l JOIN ln b ON b.program_id = vp.r")
+@on_nodes
+def tree_edit_similarity(tree, pairs):
+    """Edit similarity of linearised trees."""
+    return static.tree_edit_similarity(tree, pairs)
+
+
+#: Tokens of a statement, as numbers of words; {k} is the number in it, {e} the exception.
+TOKENS = {
+    "view": ["view", "(", "{k}", ")"], "click": ["click", "(", "{k}", ")", ":", "x", "=", "x", "+", "{k}"], "signup": ["y", "signup", "(", "{k}", ")", ":"], "purchase": ["{k}"], "error": ["{e}", "(", ")"],
+}
+
+
+def list_sql(items: list[str]) -> str:
+    return "[" + ", ".join({"{k}": "CAST(kk AS VARCHAR)", "{e}": "'e' || (kk % 3)"}.get(t, f"'{t}'") for t in items) + "]"
+
+
+LEXED = STATEMENTS + ", tk AS (SELECT program_id, unnest(CASE fn " + " ".join(f"WHEN '{n}' THEN {list_sql(t)}" for n, t in TOKENS.items()) + """ END) AS token FROM snip
+  UNION ALL SELECT program_id, unnest(['day_' || input_idx, '(', 'x', ')', ':']) FROM tr)"""
+
+
+@query(BASE + LEXED + " SELECT program_id, token, count(*) AS n FROM tk GROUP BY ALL")
+def source_tokens(spark, sf_dir):
+    """Tokens of rendered sources, without keywords."""
+    found = lexer.tokens(event_sources(canonical(spark, sf_dir))).where("kind != 'keyword'")
+    return found.groupBy("program_id", "token").agg(F.count("*").alias("n"))
+
+
+@query(BASE + LEXED + ", sets AS (SELECT program_id, list_distinct(list(token)) AS t FROM tk GROUP BY ALL) SELECT l AS \"left\", r AS \"right\", round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM vp JOIN sets a ON a.program_id = l JOIN sets b ON b.program_id = r")
+def source_token_jaccard(spark, sf_dir):
+    with Workspace(spark, "source-tokens") as work:
+        sources_ = work.stage(event_sources(canonical(spark, sf_dir)), "sources")
+        sets = lexer.token_lists(lexer.tokens(sources_)).select("doc_id", F.array_distinct("tokens").alias("tokens"))
+        return work.keep(texts.jaccard_of_pairs(sets, sources.version_pairs(sources_).drop("pair_id")), "result")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from traceloom.operators import audits, genomes, texts
+from traceloom.operators import audits, genomes, texts, vectors
 from traceloom.plans.registry import query
 from traceloom.sources.staging import Workspace
 from traceloom.sources.tables import read_table
@@ -119,3 +119,40 @@ def token_edit_similarity(spark, sf_dir):
 def char_gram_counts(spark, sf_dir):
     counts = texts.token_counts(items(spark, sf_dir), texts.char_grams("text", 3))
     return counts.groupBy("doc_id").agg(F.sum("n").alias("grams"), F.count("*").alias("distinct_grams"))
+
+
+JOINT = """WITH w AS (SELECT item_id AS doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS t FROM benchmark), j AS (SELECT *, array_to_string(t, ' ') AS s FROM w),
+f AS (SELECT doc_id, unnest(list_concat(list_transform(t, lambda x: 'W1:' || x), list_transform(range(1, len(t)), lambda i: 'W2:' || t[i] || '_' || t[i + 1]),
+  list_transform(range(1, length(s) - 1), lambda i: 'C3:' || substr(s, i, 3)), list_transform(range(1, length(s) - 2), lambda i: 'C4:' || substr(s, i, 4)))) AS token FROM j),
+c AS (SELECT doc_id, token, count(*) AS n FROM f GROUP BY ALL)"""
+
+
+@query(JOINT + TFIDF.removeprefix(WORDS) + " SELECT l AS \"left\", r AS \"right\", round(coalesce(dot, 0) / (a.norm * b.norm), 6) AS cosine FROM p LEFT JOIN d USING (l, r) JOIN nr a ON a.doc_id = l JOIN nr b ON b.doc_id = r")
+def joint_ngram_cosine(spark, sf_dir):
+    """TF-IDF over words, word pairs and runs of characters in one vector."""
+    docs = items(spark, sf_dir)
+    counts = texts.joint_counts(docs.select("doc_id", F.filter(texts.words(), lambda t: t != "").alias("tokens")))
+    weights = texts.idf(counts, docs.agg(F.count("*").alias("n_docs")))
+    return texts.cosine_of_pairs(texts.tfidf(counts, weights), next_pairs(docs))
+
+
+#: Neighbours of a vector that are told.
+NEAREST = 10
+
+
+def asked_vectors(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return rows, rows.where("vec_id % 20 = 0")
+
+
+@query()
+def embedding_cosine_topk(spark, sf_dir):
+    """Every vector whose id is divisible by 20 against all, through the inverted file; its recall is tested against the exact search."""
+    return vectors.nearest(*asked_vectors(spark, sf_dir), NEAREST)
+
+
+@query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v), c AS (SELECT q.vec_id AS query, m.vec_id, round(list_dot_product(q.e, m.e) / (q.n * m.n), 6) AS cosine FROM u q JOIN u m ON q.vec_id % 20 = 0 AND q.vec_id <> m.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank FROM c) SELECT query, rank, cosine FROM r WHERE rank <= 10")
+def embedding_cosine_exact(spark, sf_dir):
+    """The exact search: all cells are probed, in blocks."""
+    rows, asked = asked_vectors(spark, sf_dir)
+    return vectors.nearest(rows, asked, NEAREST, cells=16, probes=16).drop("vec_id")
