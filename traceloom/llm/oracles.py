@@ -21,6 +21,23 @@ c AS (SELECT id, min(root) AS component_id FROM r GROUP BY ALL)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id"""
 
 
+COLLOCATIONS = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY ALL),
+t AS (SELECT lang, piece, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM w),
+e AS (SELECT lang, w, lead(w, 1) OVER v AS w2, lead(w, 2) OVER v AS w3, lead(w, 3) OVER v AS w4, lead(w, 4) OVER v AS w5 FROM t WINDOW v AS (PARTITION BY piece ORDER BY i)),
+g AS (SELECT lang, unnest([w, w || ' ' || w2, w || ' ' || w2 || ' ' || w3, w || ' ' || w2 || ' ' || w3 || ' ' || w4, w || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5]) AS phrase FROM e),
+c AS (SELECT lang, phrase, count(*) AS f FROM g WHERE phrase IS NOT NULL GROUP BY ALL),
+k AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS p FROM c WHERE f >= 100 AND contains(phrase, ' ')),
+x AS (SELECT *, unnest(range(1, len(p))) AS cut FROM k),
+y AS (SELECT x.lang, x.phrase, a, cut, l.f AS l, r.f AS r, n, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score FROM x JOIN n ON n.lang = x.lang
+  JOIN c l ON l.lang = x.lang AND l.phrase = array_to_string(p[1 : cut], ' ') JOIN c r ON r.lang = x.lang AND r.phrase = array_to_string(p[cut + 1 : len(p)], ' ')),
+b AS (SELECT DISTINCT ON (lang, phrase) * FROM y ORDER BY lang, phrase, score, cut),
+i AS (SELECT lang, array_to_string(p[s : s + m - 1], ' ') AS phrase, max(a) AS most FROM (SELECT lang, p, a, unnest(range(1, len(p) + 1)) AS s FROM k), range(2, 5) t(m) WHERE m < len(p) AND s + m - 1 <= len(p) GROUP BY ALL)
+SELECT * FROM (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE most IS NULL OR most < a) WHERE rank <= 2000"""
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -55,4 +72,4 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_char
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": WARC, "op6_neardup": NEARDUP, "op8_secrets": secrets_sql(), "op9_chat": chat_sql()}
+    return {"op3_warc": WARC, "op6_neardup": NEARDUP, "op8_secrets": secrets_sql(), "op9_chat": chat_sql(), "op13_collocations": COLLOCATIONS}
