@@ -162,3 +162,25 @@ def flat_distance(features: DataFrame, pairs: DataFrame) -> DataFrame:
     for c in names:
         gaps, sizes = gaps + F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")), sizes + F.abs(f"a_{c}") + F.abs(f"b_{c}")
     return rows.select("pair_id", F.least(F.lit(1.0), gaps / F.greatest(sizes, F.lit(1.0))).alias("distance"))
+
+
+def shortcut_verdicts(sides: DataFrame) -> DataFrame:
+    """pair_id, truth, label and, for three shortcuts, verdict and whether it is right: what a tool that looks at mere size would say of each pair.
+
+    sides: pair_id, truth (EQUIV or CHANGED), agree (all outputs of both sides), and of both sides (a_*, b_*) the share of outputs that are exceptions, the number of output items, and of functions.
+    label: EQUIV if all outputs agree. Shares count as equal if they differ by less than 0.01. A missing number counts as 0.
+    """
+    of = lambda s, c: F.coalesce(F.col(f"{s}_{c}"), F.lit(0))
+    told = lambda same: F.when(same, "EQUIV").otherwise("CHANGED")
+    verdicts = {
+        "label": told(F.coalesce("agree", F.lit(False))), "exception_fraction": told(F.abs(of("a", "exceptions") - of("b", "exceptions")) < 0.01),
+        "volume": told(of("a", "items") == of("b", "items")), "functions": told(of("a", "functions") == of("b", "functions")),
+    }
+    return sides.select("pair_id", "truth", *[v.alias(n) for n, v in verdicts.items()], *[(v == F.col("truth")).alias(f"{n}_right") for n, v in verdicts.items()])
+
+
+def shortcut_summary(verdicts: DataFrame) -> DataFrame:
+    """method, pairs, right, accuracy of the label and of each shortcut."""
+    methods = ("label", "exception_fraction", "volume", "functions")
+    rows = verdicts.select(F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"{m}_right").cast("long").alias("right")) for m in methods])).alias("r")).select("r.*")
+    return rows.groupBy("method").agg(F.count("*").alias("pairs"), F.sum("right").alias("right"), F.avg("right").alias("accuracy"))

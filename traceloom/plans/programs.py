@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.operators import dimensions, genomes, identity, lexer, sequences, static, texts
+from traceloom.operators import canonical as canon
+from traceloom.operators import distances, dimensions, genomes, identity, lexer, recorded, sequences, states, static, texts
 from traceloom.plans.registry import query
-from traceloom.plans.traces import BASE, FIRST, met_sql
+from traceloom.plans.traces import BASE, FIRST, OUTPUTS, SNAPS, TIMING, inputs, met_sql
 from traceloom.sources import traces as sources
 from traceloom.sources.programs import event_sources
 from traceloom.sources.staging import Workspace
@@ -215,3 +216,51 @@ def source_token_jaccard(spark, sf_dir):
         sources_ = work.stage(event_sources(canonical(spark, sf_dir)), "sources")
         sets = lexer.token_lists(lexer.tokens(sources_)).select("doc_id", F.array_distinct("tokens").alias("tokens"))
         return work.keep(texts.jaccard_of_pairs(sets, sources.version_pairs(sources_).drop("pair_id")), "result")
+
+
+@query(BASE + NODES + LEXED.removeprefix(STATEMENTS) + met_sql("mn", "nk", "kind", "n") + """, kw AS (SELECT program_id, token FROM tk UNION ALL SELECT program_id, unnest(CASE fn WHEN 'click' THEN ['if'] WHEN 'signup' THEN ['for', 'in', 'pass'] WHEN 'purchase' THEN ['return'] WHEN 'error' THEN ['raise'] ELSE [] END) FROM snip UNION ALL SELECT program_id, 'def' FROM tr),
+ks AS (SELECT program_id, list_distinct(list(token)) AS t FROM kw GROUP BY ALL), vol AS (SELECT program_id, sum(ms) AS w FROM tr GROUP BY ALL), nc AS (SELECT program_id, count(*) FILTER (et = 'call') AS c FROM ev GROUP BY ALL)
+SELECT pair_id, 'ast_cosine' AS method, round(sum(a * b) / sqrt(sum(a * a)) / sqrt(sum(b * b)), 6) AS similarity FROM mn GROUP BY ALL
+UNION ALL SELECT pair_id, 'token_jaccard', round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) FROM vp JOIN ks a ON a.program_id = l JOIN ks b ON b.program_id = r
+UNION ALL SELECT pair_id, 'volume', round(1 - least(1.0, 0.5 * abs(a.w - b.w) / greatest(a.w, b.w, 1.0) + 0.5 * abs(c.c - d.c) / greatest(c.c, d.c, 1)), 6) FROM vp JOIN vol a ON a.program_id = l JOIN vol b ON b.program_id = r JOIN nc c ON c.program_id = l JOIN nc d ON d.program_id = r""")
+def equal_conditions(spark, sf_dir):
+    """Three plain methods on the same pairs: cosine of node kinds, Jaccard of all tokens, and sizes of what runs."""
+    with Workspace(spark, "equal-conditions") as work:
+        events = work.stage(canonical(spark, sf_dir), "events")
+        told = work.stage(event_sources(events), "sources")
+        pairs = sources.version_pairs(events)
+        kinds = static.nodes(told).groupBy("program_id", "kind").agg(F.count("*").alias("n"))
+        cosine = distances.kernels(genomes.histogram(kinds, "kinds", "kind", "n"), pairs).select("pair_id", F.lit("ast_cosine").alias("method"), F.col("cosine").alias("similarity"))
+        sets = lexer.token_lists(lexer.tokens(told), ("name", "number", "operator", "string", "keyword")).select("doc_id", F.array_distinct("tokens").alias("tokens"))
+        jaccard = texts.jaccard_of_pairs(sets, pairs.select("left", "right")).join(pairs, ["left", "right"]).select("pair_id", F.lit("token_jaccard").alias("method"), F.col("jaccard").alias("similarity"))
+        sizes = distances.both_rows(pairs, genomes.volume(events, sources.trace_table(events)))
+        gaps = 0.5 * distances.relative_gap("wall_ms") + 0.5 * distances.relative_gap("n_calls")
+        volume = sizes.select("pair_id", F.lit("volume").alias("method"), (1 - F.least(F.lit(1.0), gaps)).alias("similarity"))
+        return work.keep(cosine.union(jaccard).union(volume), "result")
+
+
+@query(BASE + """, o AS (SELECT program_id, list(coalesce(exception, return_repr) ORDER BY input_idx) AS outs, avg(CASE WHEN exception IS NOT NULL THEN 1.0 ELSE 0.0 END) AS x, count(*) AS items, count(*) AS functions FROM tr GROUP BY ALL),
+b AS (SELECT pair_id, CASE WHEN CAST(pair_id AS BIGINT) % 2 = 0 THEN 'EQUIV' ELSE 'CHANGED' END AS truth, a.outs = b.outs AS agree, abs(a.x - b.x) < 0.01 AS same_x, a.items = b.items AS same_n FROM vp JOIN o a ON a.program_id = l JOIN o b ON b.program_id = r),
+v AS (SELECT unnest([{'method': 'label', 'r': agree = (truth = 'EQUIV')}, {'method': 'exception_fraction', 'r': same_x = (truth = 'EQUIV')}, {'method': 'volume', 'r': same_n = (truth = 'EQUIV')}, {'method': 'functions', 'r': same_n = (truth = 'EQUIV')}], recursive := true) FROM b)
+SELECT method, count(*) AS pairs, count(*) FILTER (r) AS "right", round(count(*) FILTER (r) / count(*), 6) AS accuracy FROM v GROUP BY ALL""")
+def hard_negative_shortcuts(spark, sf_dir):
+    """What mere size tells of pairs whose truth is given: the ids' parity stands for it."""
+    events, traces, pairs = inputs(spark, sf_dir)
+    output = F.coalesce("exception", "return_repr")
+    held = F.array_sort(F.collect_list(F.struct("input_idx", output.alias("o"))))
+    sides = traces.groupBy("program_id").agg(F.transform(held, lambda x: x["o"]).alias("outputs"), F.avg(F.col("exception").isNotNull().cast("int")).alias("exceptions"), F.count("*").alias("items"), F.count("*").alias("functions"))
+    rows = distances.both_rows(pairs, sides).withColumn("agree", F.col("a_outputs") == F.col("b_outputs")).withColumn("truth", F.when(F.col("pair_id").cast("long") % 2 == 0, "EQUIV").otherwise("CHANGED"))
+    return recorded.shortcut_summary(recorded.shortcut_verdicts(rows))
+
+
+@query(BASE + SNAPS + TIMING + OUTPUTS.replace("CAST(return_repr", "TRY_CAST(return_repr") + """, rt AS (SELECT program_id, avg(CASE WHEN exception IS NOT NULL THEN 1.0 ELSE 0.0 END) AS x FROM tr GROUP BY ALL)
+SELECT program_id, 'scalar' AS family, 'mutation_rate' AS key, round(coalesce(mutation_rate, 0.0), 4) AS weight FROM spaces LEFT JOIN muts USING (program_id) UNION ALL SELECT program_id, 'scalar', 'exception_rate', round(x, 6) FROM rt
+UNION ALL SELECT program_id, 'timing', fn, round(least(1.0, share), 6) FROM timing WHERE share > 0 UNION ALL SELECT program_id, 'outputs', category, n FROM outs""")
+def canonical_features(spark, sf_dir):
+    """Canonical scalars and histograms of every program, in the long form."""
+    events, traces, _ = inputs(spark, sf_dir)
+    rates = traces.groupBy("program_id").agg(F.avg(F.col("exception").isNotNull().cast("int")).alias("exception_rate"))
+    scalars = canon.canonical_scalars(states.state_summary(events).join(rates, "program_id"))
+    told = scalars.select("program_id", F.lit("scalar").alias("family"), F.explode(F.create_map(*[x for c in ("mutation_rate", "exception_rate") for x in (F.lit(c), F.col(c))])).alias("key", "weight"))
+    rows = genomes.histogram(sequences.phase_timing(events), "timing", "function_name", "share").union(genomes.histogram(genomes.output_histogram(traces), "outputs", "category", "n"))
+    return told.union(canon.canonical_histograms(rows).select("program_id", "family", "key", "weight"))

@@ -93,6 +93,20 @@ def cross_split_nations(spark, sf_dir):
     return audits.shared_keys(rows, "c_nationkey")
 
 
+@query(SPLITS + ", n AS (SELECT CAST(floor(c_acctbal / 50) AS BIGINT) AS bin, split FROM customer JOIN sp USING (c_custkey)) SELECT DISTINCT bin FROM n WHERE split = 'train' AND bin NOT IN (SELECT bin FROM n WHERE split = 'dev')")
+def balances_of_one_split(spark, sf_dir):
+    """Balances, in steps of 50, in train that dev lacks."""
+    customers = read_table(spark, sf_dir, "customer").select("c_custkey", F.floor(F.col("c_acctbal") / 50).cast("long").alias("bin"))
+    return audits.only_in(customer_splits(spark, sf_dir).join(customers, "c_custkey"), "bin", "train", "dev")
+
+
+@query(SPLITS + ", f AS (SELECT split, o_orderpriority, count(*) AS n FROM orders JOIN sp ON o_custkey = c_custkey GROUP BY ALL) SELECT o_orderpriority, CAST(coalesce(sum(n) FILTER (split = 'train'), 0) AS BIGINT) AS train, CAST(coalesce(sum(n) FILTER (split = 'dev'), 0) AS BIGINT) AS dev, CAST(coalesce(sum(n) FILTER (split = 'val'), 0) AS BIGINT) AS val, CAST(coalesce(sum(n) FILTER (split = 'test'), 0) AS BIGINT) AS test FROM f GROUP BY ALL")
+def split_family_distribution(spark, sf_dir):
+    """How the kinds of rows (priorities for transformations) are dealt over splits."""
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+    return audits.split_counts(orders.join(customer_splits(spark, sf_dir), "c_custkey"), "o_orderpriority")
+
+
 @query("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def repeated_texts(spark, sf_dir):
     return audits.repeated(read_table(spark, sf_dir, "documents"), ["text"])
