@@ -21,22 +21,27 @@ def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return events, traces, sources.version_pairs(events)
 
 
-def staged(*families: str):
+#: Families that look across the traces of a program.
+ACROSS = {"flat2", "trigrams", "triples", "runs", "phases"}
+
+
+def staged(*families: str, with_traces: bool = True):
     """Turn a function of (events, traces, pairs, counted) into a query that reads ``events`` once.
 
-    The canonical events with all that order tells of them, the traces and, of the families named, the occurrences are staged tables.
-    The result is staged too, and the others are deleted.
+    The canonical events with all that order tells of them, the traces and, of the families named, the occurrences are staged tables, as far as they are needed: only families
+    across traces look along programs, and without ``with_traces`` there is no table of traces. The result is staged too, and the others are deleted.
     """
 
     def register(function):
         @wraps(function)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             with Workspace(spark, function.__name__) as work:
-                placed = work.stage(sequences.in_traces(sources.event_traces(read_table(spark, sf_dir, "events"))), "placed")
-                traces = work.stage(sources.trace_table(placed).join(sequences.trace_order(placed), sources.TRACE), "traces")
-                events = work.stage(sequences.in_programs(placed, traces), "events")
+                events = work.stage(sequences.in_traces(sources.event_traces(read_table(spark, sf_dir, "events"))), "placed")
+                traces = work.stage(sources.trace_table(events).join(sequences.trace_order(events), sources.TRACE), "traces") if with_traces or ACROSS & {*families} else None
+                if ACROSS & {*families}:
+                    events = work.stage(sequences.in_programs(events, traces), "events")
                 counted = work.stage(genomes.occurrences(events, families), "occurrences") if families else None
-                return work.keep(function(events, traces, sources.version_pairs(traces), counted), "result")
+                return work.keep(function(events, traces, sources.version_pairs(events if traces is None else traces), counted), "result")
 
         return run
 
@@ -329,14 +334,14 @@ def volume_stats(spark, sf_dir):
 
 
 @query(BASE + GRAMS2 + met_sql("m", "big", "gram", "share") + f" SELECT pair_id, round({L1}, 6) AS distance FROM m GROUP BY ALL")
-@staged("bigrams")
+@staged("bigrams", with_traces=False)
 def version_l1_distance(events, traces, pairs, counted):
     """Flagship: half the L1 distance of the call bigrams of both versions of a user."""
     return distances.kernels(genomes.weighted_occurrences(counted), pairs).select("pair_id", F.col("l1").alias("distance"))
 
 
 @query(BASE + ", g AS (SELECT program_id, et || '/' || fn || '→' || lead(et || '/' || fn) OVER (PARTITION BY program_id, input_idx ORDER BY seq) AS gram FROM ev), gg AS (SELECT program_id, gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY ALL)" + met_sql("m", "gg", "gram", "n") + f" SELECT pair_id, round({JACCARD}, 6) AS distance FROM m GROUP BY ALL")
-@staged("event_bigrams")
+@staged("event_bigrams", with_traces=False)
 def version_jaccard(events, traces, pairs, counted):
     return distances.kernels(genomes.weighted_occurrences(counted), pairs).select("pair_id", F.col("jaccard").alias("distance"))
 
@@ -354,7 +359,7 @@ def version_jsd(spark, sf_dir):
 
 
 @query(BASE + STATES + met_sql("m", "trans", "func_idx || '|' || pre || '|' || kind || '|' || post", "n") + f" SELECT pair_id, round(coalesce(d, 0.0), 6) AS distance FROM vp LEFT JOIN (SELECT pair_id, {WEIGHTED} AS d FROM m GROUP BY ALL) USING (pair_id)")
-@staged()
+@staged(with_traces=False)
 def weighted_jaccard(events, traces, pairs, counted):
     return distances.distance_state(events, pairs)
 
