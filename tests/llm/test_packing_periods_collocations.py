@@ -244,8 +244,7 @@ def shown(df):
     return {(r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in df.collect()}
 
 
-@pytest.mark.parametrize("cut", [collocations.CUT, (1, 3, 2)])
-@pytest.mark.parametrize("bits", [collocations.FILTER_BITS, 1 << 16])
+@pytest.mark.parametrize("cut, bits", [(collocations.CUT, collocations.FILTER_BITS), ((1, 3, 2), 1 << 16)])
 def test_collocations_equal_plain_ones(spark, monkeypatch, cut, bits):
     monkeypatch.setattr(collocations, "FILTER_BITS", bits)
     rng = random.Random(2)
