@@ -31,7 +31,7 @@ def rounded(rows: DataFrame) -> DataFrame:
 
 
 def load() -> None:
-    from traceloom.plans import programs, recorded, scores, texts, traces  # noqa: F401  they register themselves
+    from traceloom.plans import flows, programs, recorded, scores, texts, traces  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:
