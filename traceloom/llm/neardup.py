@@ -165,14 +165,17 @@ def prefix_postings(nodes: DataFrame, needed: int) -> DataFrame:
 
 
 class Sets:
-    """Signatures and shingle sets of the posted nodes, in a table bucketed by node, so that joins don't move it."""
+    """Signatures and shingle sets of the posted nodes, in a table bucketed by node, so that joins don't move it.
 
-    def __init__(self, features: DataFrame, percent: int):
+    Its files lie in the shared folder with the other staged tables and go with them; the catalogue has its name and buckets only.
+    """
+
+    def __init__(self, features: DataFrame, percent: int, work: Workspace):
         spark = features.sparkSession
         self.percent = percent
         self.name = f"neardup_{uuid.uuid4().hex}"
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        features.repartition(buckets, "rid").write.format("parquet").bucketBy(buckets, "rid").saveAsTable(self.name)
+        features.repartition(buckets, "rid").write.format("parquet").bucketBy(buckets, "rid").option("path", f"{work.path}/{self.name}").saveAsTable(self.name)
         self.table = spark.table(self.name)
 
     def drop(self) -> None:
@@ -347,7 +350,7 @@ def component_rows(docs: DataFrame, width: int, percent: int, coordinates: int,
     features = sketches(texts, width, coordinates, id_filter(wanted), with_set=True).join(wanted, ["id", "h"], "left_semi")
     if not each.where("copies > 1 AND n > 0").isEmpty():
         features = features.dropDuplicates(["id", "h"])
-    sets = Sets(features.withColumnRenamed("h", "rid").drop("id", "key"), percent)
+    sets = Sets(features.withColumnRenamed("h", "rid").drop("id", "key"), percent, work)
     try:
         labels = node_labels(posted, sets, needed_matches(percent / 100, coordinates), work)
     finally:
