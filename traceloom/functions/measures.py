@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 from pyspark.sql import Column
@@ -100,9 +101,14 @@ def least_effect(n: int, alpha: float = 0.05, power: float = 0.8) -> float:
     return round(smallest(lambda d: mann_whitney_power(n, d, alpha) >= power, 0.01, 5.0), 4)
 
 
+#: The numbers of pairs within which one is sought.
+PAIRS = range(10, 20_001)
+
+
 def least_pairs(power: float, discordant: float, alpha: float = 0.05) -> int:
-    """The least number of pairs, from 10 to 20,000, that reach a power."""
-    return next((n for n in range(10, 20_001) if mcnemar_power(n, discordant, alpha) >= power), 20_000)
+    """The least number of pairs that reach a power, by bisection, as power grows with them; the greatest if none does."""
+    at = bisect.bisect_left(PAIRS, power, key=lambda n: mcnemar_power(n, discordant, alpha))
+    return PAIRS[min(at, len(PAIRS) - 1)]
 
 
 def normal_cdf_of(x: Column) -> Column:

@@ -70,3 +70,24 @@ def applicability(items: DataFrame, mapping: DataFrame, category: str, target: s
 def subsample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """At most n rows, the first in the order of a seeded hash of their key: a sampling operator, the same in any engine."""
     return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
+
+
+def leakage_audit(rows: DataFrame, corpus: DataFrame) -> DataFrame:
+    """check, subject, splits, n: what the splits of pairs share, in one grouping.
+
+    rows: program, pair_id, family, category, split. corpus: program of all programs there are.
+    program and pair: those that stand in several splits. family: those of both dev and test, which is no leak but is shown.
+    category: those of test that dev lacks, so that a threshold is chosen without them. orphan: programs of the corpus without a split.
+    n: rows of the subject. Nulls are no subject; rows without a split aren't assigned.
+    """
+    told = {"program": "program", "pair": "pair_id", "family": "family", "category": "category"}
+    subjects = F.array(*[F.struct(F.lit(check).alias("check"), F.col(c).cast("string").alias("subject")) for check, c in told.items()])
+    counts = rows.where("split IS NOT NULL").select("split", F.explode(subjects).alias("s")).select("split", "s.*").where("subject IS NOT NULL").groupBy("check", "subject", "split").agg(F.count("*").alias("n"))
+    held = counts.groupBy("check", "subject").agg(F.array_sort(F.collect_list("split")).alias("splits"), F.sum("n").alias("n"))
+    within = lambda split: F.array_contains("splits", split)
+    several = F.col("check").isin("program", "pair") & (F.size("splits") > 1)
+    found = held.where(several | ((F.col("check") == "family") & within("dev") & within("test")) | ((F.col("check") == "category") & within("test") & ~within("dev")))
+    assigned = rows.where("split IS NOT NULL").select(F.col("program").cast("string").alias("subject"))
+    orphans = corpus.select(F.col("program").cast("string").alias("subject")).where("subject IS NOT NULL").distinct().join(assigned, "subject", "left_anti")
+    shown = found.select("check", "subject", F.array_join("splits", ",").alias("splits"), "n")
+    return shown.unionByName(orphans.select(F.lit("orphan").alias("check"), "subject", F.lit("").alias("splits"), F.lit(0).cast("long").alias("n")))

@@ -37,6 +37,13 @@ def label_confidence(spark, sf_dir):
     return recorded.calibrated(recorded.oracle_labels(*outputs(spark, sf_dir)), preserving, F.lit(False)).drop("label")
 
 
+@query(ORACLE + " SELECT pair_id, CASE WHEN label = 'LIKELY_EQUIVALENT' THEN 0 ELSE 1 END AS label FROM labelled")
+def encoded_labels(spark, sf_dir):
+    """Relations as numbers, the likely ones counting as certain."""
+    told = recorded.oracle_labels(*outputs(spark, sf_dir)).select("pair_id", F.regexp_replace("label", "LIKELY_", "").alias("expected_label"))
+    return metrics.encoded_labels(told).drop("expected_label")
+
+
 REGRESSION = OUTPUTS + """, sides AS (SELECT program_id, avg(CASE WHEN x IS NULL THEN 0.0 ELSE 1.0 END) AS rate, coalesce(list_distinct(list(x) FILTER (x IS NOT NULL)), []) AS types, avg(ms) AS ms FROM outs GROUP BY ALL),
 dv AS (SELECT pair_id, avg(CASE WHEN coalesce('EXC:' || ax, ar) IS DISTINCT FROM coalesce('EXC:' || bx, br) THEN 1.0 ELSE 0.0 END) AS output_divergence FROM zip GROUP BY ALL),
 reg AS (SELECT pair_id, abs(a.rate - b.rate) AS exception_fraction, CASE WHEN len(list_distinct(list_concat(a.types, b.types))) = 0 THEN 0.0 ELSE 1 - len(list_intersect(a.types, b.types)) / len(list_distinct(list_concat(a.types, b.types))) END AS exception_types,

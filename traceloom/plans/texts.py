@@ -107,6 +107,19 @@ def split_family_distribution(spark, sf_dir):
     return audits.split_counts(orders.join(customer_splits(spark, sf_dir), "c_custkey"), "o_orderpriority")
 
 
+@query(SPLITS + """, r AS (SELECT o_custkey AS program, o_orderdate AS pair_id, o_orderpriority AS family, floor(c_acctbal / 50) AS category, split FROM orders JOIN sp ON o_custkey = c_custkey JOIN customer USING (c_custkey)),
+h AS (SELECT "check", subject, list_sort(list(DISTINCT split)) AS s, count(*) AS n FROM (SELECT 'program' AS "check", CAST(program AS VARCHAR) AS subject, split FROM r UNION ALL SELECT 'pair', strftime(pair_id, '%Y-%m-%d'), split FROM r
+  UNION ALL SELECT 'family', family, split FROM r UNION ALL SELECT 'category', CAST(CAST(category AS BIGINT) AS VARCHAR), split FROM r) GROUP BY ALL)
+SELECT "check", subject, array_to_string(s, ',') AS splits, n FROM h WHERE CASE "check" WHEN 'family' THEN list_contains(s, 'dev') AND list_contains(s, 'test') WHEN 'category' THEN list_contains(s, 'test') AND NOT list_contains(s, 'dev') ELSE len(s) > 1 END
+UNION ALL SELECT 'orphan', CAST(c_custkey AS VARCHAR), '', 0 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def leakage_audit(spark, sf_dir):
+    """Orders as pairs: days stand for their ids, customers for programs, priorities for families, balances in steps of 50 for categories."""
+    customers = read_table(spark, sf_dir, "customer").select("c_custkey", F.floor(F.col("c_acctbal") / 50).cast("long").alias("category"))
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("pair_id"), F.col("o_orderpriority").alias("family"))
+    rows = orders.join(customer_splits(spark, sf_dir), "c_custkey").join(customers, "c_custkey").withColumnRenamed("c_custkey", "program")
+    return audits.leakage_audit(rows, customers.select(F.col("c_custkey").alias("program")))
+
+
 @query("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def repeated_texts(spark, sf_dir):
     return audits.repeated(read_table(spark, sf_dir, "documents"), ["text"])
