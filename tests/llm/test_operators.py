@@ -347,6 +347,22 @@ def test_taken_equals_plain_form(spark, monkeypatch, shard_tokens):
     assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == plain_taken(rows, shard_tokens)
 
 
+def test_wordless_rows_take_nothing_and_change_nothing(spark):
+    """A source of null and empty texts alone, and such rows beside others: the rest of the mix is as without them."""
+    words = [(i, "w " * (i % 7 + 1), "en", f"s{i % 3}", 0) for i in range(60)]
+    bare = [(1000 + i, None if i % 2 else "", "en", f"s{i % 4}" if i % 5 else "zzz", 0) for i in range(200) if i % 4 != 3 or i % 5 == 0]
+    alone = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(words, DOCS)).collect()}
+    mixed = mixing.mix(spark.createDataFrame(words + bare, DOCS)).collect()
+    assert len(mixed) == len(words) + len(bare)
+    for r in mixed:
+        assert (r.taken, r.size) == ((alone[r.doc_id].taken, alone[r.doc_id].size) if r.doc_id < 1000 else (0, 0))
+        assert r.doc_id < 1000 or r.source_size == (0 if r.target == 0 else alone[{"s0": 0, "s1": 1, "s2": 2}[bare_source(r, bare)]].source_size)
+
+
+def bare_source(row, bare):
+    return next(s for i, _, _, s, _ in bare if i == row.doc_id)
+
+
 def test_mixture_meets_its_targets(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_TOKENS", 700)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

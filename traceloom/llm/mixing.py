@@ -123,7 +123,10 @@ def mix(docs: DataFrame, *, seed: int = 7, share: float = 1.5, cycle: Sequence[f
         spread = lambda n: F.xxhash64(F.lit(seed + n), F.coalesce(F.col("doc_id").cast("string"), F.col("text")))
         sized = work.stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), spread(0).alias("rank"), spread(1).alias("deal")), "sized")
         recipes = recipe(sized, share, cycle, work)
-        ranked = sized.join(recipes, sized["source"].eqNullSafe(recipes["of_source"])).drop("source", "of_source")
+        held = sized.join(recipes, sized["source"].eqNullSafe(recipes["of_source"])).drop("source", "of_source")
+        # rows without words take none and fill no shard, however many a source has
+        wordless = held.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        ranked = held.where("size > 0")
         ranked = ranked.withColumn("shard", F.pmod(F.col("deal"), F.col("shards"))).drop("deal")
         shards = work.stage(ranked.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("block").alias("block"), F.first("quota").alias("quota")), "shards")
         blocks = F.when(F.col("shard_size") > 0, F.greatest(F.lit(1).cast("long"), F.expr("(shard_size + block DIV 2) DIV block"))).otherwise(F.lit(0).cast("long"))
@@ -143,4 +146,4 @@ def mix(docs: DataFrame, *, seed: int = 7, share: float = 1.5, cycle: Sequence[f
         placed = placed.withColumn("e0", edge("b0")).withColumn("e1", edge("least(b0 + extra, blocks)")).withColumn("e2", edge("greatest(b0 + extra - blocks, 0L)"))
         whole = F.expr("CASE WHEN blocks = 0 THEN 0L ELSE seats DIV blocks END")
         taken = whole * F.col("size") + overlap(F.col("e0"), F.col("e1")) + overlap(F.lit(0), F.col("e2"))
-        return work.keep(placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken")), "rows")
+        return work.keep(placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken")).unionByName(wordless), "rows")
