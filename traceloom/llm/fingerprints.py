@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from traceloom.llm.common import Workspace
 
 COORDINATES = 64
+REACH = 20.0
 SPACE = r"[\x20\x09-\x0D]"
 LEAST = -(1 << 63)
 
@@ -30,30 +31,54 @@ def uniform(h: Column, at: int, bits: int) -> Column:
     return (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) / float(1 << bits)
 
 
-def offers(term: Column, logs: list[Column], coordinates: int) -> list[list[Column]]:
-    """For each log weight, the term's offers: price (high half) and identity (low half); null where the log is null.
+def near_offers(counts: DataFrame, coordinates: int, reach: float | None) -> DataFrame:
+    """(..., coordinate, own, edited): the offers of each term for each coordinate: price (high half) and identity (low half); null for a weight of 0.
 
-    What doesn't depend on the weight stands once in the expressions of all weights, so Spark computes it once.
+    With a reach, offers that are surely dearer than ln(reach / words) are left out before a logarithm is taken: with c = -ln v and
+    e^-r = x, the exponential of a price is c x^(t - b + 1), at least c x / w; for w = 1, where t is 0, at least c x / (1 - b + b x).
+    And c is at least 2 (1 - v) / (1 + v).
     """
     rng = random.Random(20)
-    found: list[list[Column]] = [[] for _ in logs]
-    for _ in range(coordinates):
-        h = F.xxhash64(term.bitwiseXOR(F.lit(rng.getrandbits(63))))
-        g = F.xxhash64(h)
-        r = -F.log(uniform(g, 0, 21) * uniform(g, 21, 21))
-        b = uniform(g, 42, 21)
-        log_c = F.log(-F.log(uniform(h, 0, 32) * uniform(h, 32, 32)))
-        for out, log_weight in zip(found, logs, strict=True):
-            t = F.floor(log_weight / r + b)
-            price = log_c - r * (t - b + 1)
-            high = F.shiftleft(((price + 128.0) * float(1 << 22)).cast("long"), 32)
-            out.append(high.bitwiseOR(h.bitwiseXOR(t * 0x9E3779B1).bitwiseAND(F.lit((1 << 32) - 1))))
-    return found
-
-
-def identities(samples: list[Column]) -> Column:
-    """The samples' identities as an array of int."""
-    return F.array(*[F.shiftright(F.shiftleft(s, 32), 32).cast("int") for s in samples])
+    most = [(reach or 0.0) * F.col(c) / F.greatest(f"{c}_words", F.lit(1)) for c in ("own", "edited")]
+    told = counts.withColumn("limit", F.greatest(*most)).withColumn("single", (F.greatest("own", "edited") == 1).cast("double"))
+    told = told.withColumn("own", F.log("own")).withColumn("edited", F.log("edited"))
+    told = told.select("*", F.posexplode(F.array(*[F.lit(rng.getrandbits(63)) for _ in range(coordinates)])).alias("coordinate", "seed"))
+    h = F.xxhash64(F.col("term").bitwiseXOR(F.col("seed")))
+    g = F.xxhash64(h)
+    v, x, b = uniform(h, 0, 32) * uniform(h, 32, 32), uniform(g, 0, 21) * uniform(g, 21, 21), uniform(g, 42, 21)
+    if reach is not None:
+        told = told.where(2.0 * (1.0 - v) * x <= F.col("limit") * (1.0 + v) * (1.0 - F.col("single") * b * (1.0 - x)))
+    r, log_c = -F.log(x), F.log(-F.log(v))
+
+    def offer(log_weight: Column) -> Column:
+        t = F.floor(log_weight / r + b)
+        high = fixed(log_c - r * (t - b + 1))
+        return high.bitwiseOR(h.bitwiseXOR(t * 0x9E3779B1).bitwiseAND(F.lit((1 << 32) - 1)))
+
+    return told.select("id", "h", "own_words", "edited_words", "coordinate", offer(F.col("own")).alias("own"), offer(F.col("edited")).alias("edited"))
+
+
+def fixed(price: Column) -> Column:
+    """A price in the high half of a long."""
+    return F.shiftleft(((price + 128.0) * float(1 << 22)).cast("long"), 32)
+
+
+def samples(both: DataFrame, coordinates: int, reach: float | None) -> DataFrame:
+    """(id, h, own, edited): the identities of all coordinates' lowest offers; null where that of a coordinate isn't sure to be the lowest.
+
+    The lowest price is exponential with the number of words as its rate, so it is above the reach with a chance of e^-reach.
+    """
+    least = near_offers(weights(both), coordinates, reach).groupBy("id", "h", "own_words", "edited_words", "coordinate").agg(F.min("own").alias("own"), F.min("edited").alias("edited"))
+    if reach is not None:  # what was left out is no cheaper than this, to the last digit of a price
+        sure = lambda c: F.col(c) < fixed(F.log(reach / F.greatest(f"{c}_words", F.lit(1))) - 2.0**-21)
+        least = least.select("id", "h", "coordinate", *[F.when(sure(c), F.col(c)).alias(c) for c in ("own", "edited")])
+    told = least.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("coordinate", "own", "edited"))).alias("all"), *[F.count(c).alias(f"n_{c}") for c in ("own", "edited")])
+    return told.select("id", "h", *[F.when(F.col(f"n_{c}") == coordinates, identities(F.col(f"all.{c}"))).alias(c) for c in ("own", "edited")])
+
+
+def identities(offers: Column) -> Column:
+    """The offers' identities as an array of int."""
+    return F.transform(offers, lambda s: F.shiftright(F.shiftleft(s, 32), 32).cast("int"))
 
 
 def likeness(left: Column, right: Column) -> Column:
@@ -103,23 +128,34 @@ def edited_texts(docs: DataFrame, work: Workspace) -> DataFrame:
 
 
 def weights(both: DataFrame) -> DataFrame:
-    """(id, h, term, own, edited): counts of the words, by hash, in a text and in its edited text.
+    """(id, h, own_words, edited_words, term, own, edited): counts of the words, by hash, in a text and in its edited text; all of them in each.
 
     The words up to the last white space before the cut are counted once for both.
     """
     shared = F.regexp_extract("kept", f"(?s)^.*{SPACE}", 0)
     parts = both.withColumn("shared", shared).withColumn("from", F.length("shared") + 1)
     rest = lambda c: F.col(c).substr(F.col("from"), F.length(c))
-    rows = parts.select("id", "h", F.explode(F.array(
-        F.struct(F.lit(1).alias("own"), F.lit(1).alias("edited"), F.col("shared").alias("part")),
-        F.struct(F.lit(1).alias("own"), F.lit(0).alias("edited"), rest("text").alias("part")),
-        F.struct(F.lit(0).alias("own"), F.lit(1).alias("edited"), rest("edited").alias("part")),
-    )).alias("p")).select("id", "h", "p.*")
-    words = rows.select("id", "h", "own", "edited", F.explode(F.split("part", f"{SPACE}+")).alias("word")).where("word != ''")
-    return words.groupBy("id", "h", F.xxhash64("word").alias("term")).agg(F.sum("own").alias("own"), F.sum("edited").alias("edited"))
-
-
-def fingerprint(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
+    words = lambda part: F.array_remove(F.split(part, f"{SPACE}+"), "")
+    split = parts.select("id", "h", words(F.col("shared")).alias("s"), words(rest("text")).alias("o"), words(rest("edited")).alias("e"))
+    rows = split.select("id", "h", (F.size("s") + F.size("o")).alias("own_words"), (F.size("s") + F.size("e")).alias("edited_words"), F.explode(F.array(
+        F.struct(F.lit(1).alias("own"), F.lit(1).alias("edited"), F.col("s").alias("words")),
+        F.struct(F.lit(1).alias("own"), F.lit(0).alias("edited"), F.col("o").alias("words")),
+        F.struct(F.lit(0).alias("own"), F.lit(1).alias("edited"), F.col("e").alias("words")),
+    )).alias("p")).select("id", "h", "own_words", "edited_words", "p.*")
+    told = rows.select("id", "h", "own_words", "edited_words", "own", "edited", F.explode("words").alias("word"))
+    return told.groupBy("id", "h", "own_words", "edited_words", F.xxhash64("word").alias("term")).agg(F.sum("own").alias("own"), F.sum("edited").alias("edited"))
+
+
+def sampled(both: DataFrame, coordinates: int, reach: float | None) -> DataFrame:
+    """What the result shows of each text, its samples, and whether they are sure: there where there are words."""
+    word = "[^\\x20\\x09-\\x0D]"
+    shown = both.select("id", "h", "n", "copies", "prev", F.unhex(F.sha2("edited", 256)).alias("sha"), F.col("text").rlike(word).alias("any_own"), F.col("edited").rlike(word).alias("any_edited"))
+    told = shown.join(samples(both, coordinates, reach), ["id", "h"], "left")
+    sure = [F.col(c).isNotNull() | ~F.col(f"any_{c}") for c in ("own", "edited")]
+    return told.withColumn("sure", sure[0] & sure[1]).drop("any_own", "any_edited")
+
+
+def fingerprint(docs: DataFrame, coordinates: int = COORDINATES, reach: float = REACH) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likeness.
 
     The edited text has its last third (rounded down) replaced by the first as
@@ -132,14 +168,13 @@ def fingerprint(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
     """
     with Workspace(docs.sparkSession, "fingerprints") as work:
         both = edited_texts(docs, work)
-        counts = weights(both).select("id", "h", "term", F.log("own").alias("own"), F.log("edited").alias("edited"))
-        own, edited = offers(F.col("term"), [F.col("own"), F.col("edited")], coordinates)
-        minima = counts.groupBy("id", "h").agg(*[F.min(s).alias(f"o{j}") for j, s in enumerate(own)], *[F.min(s).alias(f"e{j}") for j, s in enumerate(edited)])
-        told = minima.select("id", "h", *[F.when(F.col(f"{c}0").isNotNull(), identities([F.col(f"{c}{j}") for j in range(coordinates)])).alias(name) for c, name in (("o", "own"), ("e", "edited"))])
-        shown = both.select("id", "h", "n", "copies", "prev", F.unhex(F.sha2("edited", 256)).alias("sha"))
-        rows = work.keep(shown.join(told, ["id", "h"], "left"), "samples")
+        rows = work.keep(sampled(both, coordinates, reach), "samples")
+        late = rows.where("not sure")
+        if not late.isEmpty():  # these few are done anew with all offers
+            again = both.join(late.select("id", "h"), ["id", "h"], "left_semi")
+            rows = rows.where("sure").unionByName(work.keep(sampled(again, coordinates, None), "late-samples"))
     following = rows.select(F.col("prev.id").alias("id"), F.col("prev.h").alias("h"), F.col("own").alias("following"))
-    joined = rows.drop("prev").join(following, ["id", "h"])
+    joined = rows.drop("prev", "sure").join(following, ["id", "h"])
     return joined.select(
         F.when(F.col("id") != LEAST, F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"), hexed(F.col("own")).alias("fingerprint"), hexed(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
