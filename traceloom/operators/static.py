@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Collection, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +18,11 @@ NODES = (
     "program_id string, node_id int, parent_id int, kind string, name string, function string, control_depth int, extra int, "
     "detail string, path string, top int, in_body boolean, nested int, loops int, in_handler int, level int, docstring boolean"
 )
+TYPES = dict(c.split() for c in NODES.split(", "))
+COLUMNS = tuple(TYPES)
+ARROW = [{"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[t] for t in TYPES.values()]
+#: Rows of a batch of nodes, at least, but for the last one.
+ROWS = 50_000
 LOOPS = ("For", "AsyncFor", "While")
 BRANCHES = (*LOOPS, "If", "Try", "TryStar")
 FUNCTIONS = ("FunctionDef", "AsyncFunctionDef")
@@ -37,107 +41,134 @@ def exception_name(node: ast.AST) -> str:
     return getattr(node, "id", None) or getattr(node, "attr", None) or ""
 
 
-def describe(node: ast.AST) -> tuple[str | None, int, str | None]:
-    """A node's name (function, called name, identifier, exception), a count (operands beyond the first, filters, whether there is a value or a finally) and a detail (type of a constant, operators, form of a call, return or signature)."""
-    match node:
-        case ast.FunctionDef() | ast.AsyncFunctionDef():
-            a = node.args
-            told = (len(a.args) + len(a.posonlyargs) + len(a.kwonlyargs), int(bool(a.defaults or a.kw_defaults)), int(a.vararg is not None or a.kwarg is not None))
-            return node.name, 0, ",".join(map(str, told))
-        case ast.ClassDef():
-            return node.name, 0, None
-        case ast.Call(func=ast.Name(id=name)):
+def signature(node: ast.AST) -> tuple[str | None, int, str | None]:
+    a = node.args
+    told = (len(a.args) + len(a.posonlyargs) + len(a.kwonlyargs), int(bool(a.defaults or a.kw_defaults)), int(a.vararg is not None or a.kwarg is not None))
+    return node.name, 0, ",".join(map(str, told))
+
+
+def called(node: ast.AST) -> tuple[str | None, int, str | None]:
+    match node.func:
+        case ast.Name(id=name):
             return name, 0, "name"
-        case ast.Call(func=ast.Attribute(attr=name)):
+        case ast.Attribute(attr=name):
             return name, 0, "attribute"
-        case ast.Call():
-            return "<expr>", 0, "expression"
-        case ast.BoolOp():
-            return type(node.op).__name__, len(node.values) - 1, None
-        case ast.comprehension():
-            return None, len(node.ifs), None
-        case ast.ExceptHandler():
-            return (exception_name(node.type) if node.type else None), 0, None
-        case ast.Raise():
-            return (exception_name(node.exc) if node.exc else "<re-raise>"), 0, None
-        case ast.Constant():
-            return None, 0, type(node.value).__name__
-        case ast.BinOp() | ast.AugAssign():
-            return None, 0, type(node.op).__name__
-        case ast.Compare():
-            return None, 0, ",".join(type(op).__name__ for op in node.ops)
-        case ast.Return(value=None):
-            return None, 0, "bare"
-        case ast.Return():
-            return None, 0, "none" if isinstance(node.value, ast.Constant) and node.value.value is None else "value"
-        case ast.AnnAssign():
-            return None, int(node.value is not None), None
-        case ast.Try():
-            return None, int(bool(node.finalbody)), None
-    return getattr(node, "id", None), 0, None
-
-
-@dataclass(frozen=True)
-class Around:
-    """What encloses a node: its parent, function and path of functions, top-level function and whether in its body, depths of control, loops and handlers."""
-
-    parent: int = -1
-    function: str = "<module>"
-    path: str = ""
-    top: int | None = None
-    in_body: bool = False
-    control: int = 0
-    nested: int = 0
-    loops: int = 0
-    handlers: int = 0
-    level: int = 0
-    docstring: bool = False
+    return "<expr>", 0, "expression"
+
+
+def returned(node: ast.AST) -> tuple[str | None, int, str | None]:
+    if node.value is None:
+        return None, 0, "bare"
+    return None, 0, "none" if isinstance(node.value, ast.Constant) and node.value.value is None else "value"
+
+
+def operator(node: ast.AST) -> tuple[str | None, int, str | None]:
+    return None, 0, type(node.op).__name__
+
+
+#: A node's name (function, called name, identifier, exception), a count (operands beyond the first, filters, whether there is a value or a finally) and a detail (type of a constant, operators, form of a call, return or signature). Other kinds have none of these.
+DESCRIBED: dict[type, Callable[[ast.AST], tuple[str | None, int, str | None]]] = {
+    ast.FunctionDef: signature, ast.AsyncFunctionDef: signature, ast.ClassDef: lambda n: (n.name, 0, None), ast.Call: called,
+    ast.BoolOp: lambda n: (type(n.op).__name__, len(n.values) - 1, None), ast.comprehension: lambda n: (None, len(n.ifs), None),
+    ast.ExceptHandler: lambda n: ((exception_name(n.type) if n.type else None), 0, None), ast.Raise: lambda n: ((exception_name(n.exc) if n.exc else "<re-raise>"), 0, None),
+    ast.Constant: lambda n: (None, 0, type(n.value).__name__), ast.BinOp: operator, ast.AugAssign: operator,
+    ast.Compare: lambda n: (None, 0, ",".join(type(op).__name__ for op in n.ops)), ast.Return: returned,
+    ast.AnnAssign: lambda n: (None, int(n.value is not None), None), ast.Try: lambda n: (None, int(bool(n.finalbody)), None), ast.Name: lambda n: (n.id, 0, None),
+}
+PLAIN = (None, 0, None)
 
 
 def is_text(node: ast.AST) -> bool:
     return isinstance(node, ast.Expr) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str)
 
 
-def node_rows(program_id: str, source: str | None) -> list[tuple]:
-    """The nodes of a source in preorder; a source that doesn't parse has none."""
+def parsed(source: str | None) -> ast.Module | None:
+    """The tree of a source; one that doesn't parse has none."""
     try:
-        tree = ast.parse(source or "")
+        return ast.parse(source or "")
     except (SyntaxError, ValueError):
+        return None
+
+
+def node_rows(program_id: str | int, source: str | None, kinds: frozenset[str] | None = None) -> list[tuple]:
+    """The nodes of a source in preorder, or those of some kinds; a source that doesn't parse has none.
+
+    What encloses a node is told to all children of one field at once: parent, function, path of functions, top-level function, whether in its body, depths of control, nesting, loops and handlers, level, whether in a docstring.
+    """
+    tree = parsed(source)
+    if tree is None:
         return []
-    rows, todo, tops = [], [(tree, Around())], 0
+    rows, todo, tops, number = [], [(tree, (-1, "<module>", "", None, False, 0, 0, 0, 0, 0, False))], 0, 0
     while todo:
-        node, at = todo.pop()
-        kind, (name, extra, detail) = type(node).__name__, describe(node)
-        if kind in FUNCTIONS and at.parent == 0:
-            at, tops = replace(at, top=tops, nested=0, loops=0), tops + 1
-        nested, loops = at.nested + (kind in CONTROL), at.loops + (kind in LOOPS)
-        rows.append((program_id, len(rows), at.parent, kind, name, at.function, at.control, extra, detail, at.path, at.top, at.in_body, nested, loops, at.handlers, at.level, at.docstring))
-        inner = replace(at, parent=len(rows) - 1, control=at.control + (kind in BRANCHES), nested=nested, loops=loops, level=at.level + 1)
-        if kind in FUNCTIONS:
-            inner = replace(inner, function=name, path=f"{at.path}/{name}")
-        own_body = kind in FUNCTIONS and at.parent == 0
-        children = []
-        for field, value in ast.iter_fields(node):
-            into = replace(inner, in_body=at.in_body or own_body and field == "body", handlers=at.handlers + (kind == "ExceptHandler" and field == "body"))
-            below = [(c, into) for c in (value if isinstance(value, list) else [value]) if isinstance(c, ast.AST)]
-            if field == "body" and kind in DOCUMENTED and below and is_text(below[0][0]):
-                below[0] = (below[0][0], replace(into, docstring=True))
-            children += below
-        todo += reversed(children)
+        node, (parent, function, path, top, in_body, control, nested, loops, handlers, level, docstring) = todo.pop()
+        cls = type(node)
+        kind = cls.__name__
+        own = kind in FUNCTIONS
+        own_top = own and parent == 0
+        if own_top:
+            top, nested, loops, tops = tops, 0, 0, tops + 1
+        if kind in CONTROL:
+            nested, loops = nested + 1, loops + (kind in LOOPS)
+        if kinds is None or kind in kinds:
+            describe = DESCRIBED.get(cls)
+            name, extra, detail = describe(node) if describe else PLAIN
+            rows.append((program_id, number, parent, kind, name, function, control, extra, detail, path, top, in_body, nested, loops, handlers, level, docstring))
+        if fields := cls._fields:
+            if own:
+                function, path = node.name, f"{path}/{node.name}"
+            control += kind in BRANCHES
+            level += 1
+            around = (number, function, path, top, in_body, control, nested, loops, handlers, level, docstring)
+            children = []
+            for field in fields:
+                value = getattr(node, field, None)
+                if isinstance(value, ast.AST):
+                    children.append((value, around))
+                elif value and isinstance(value, list):
+                    into = around
+                    if field == "body" and (own_top or kind == "ExceptHandler"):
+                        into = (number, function, path, top, True if own_top else in_body, control, nested, loops, handlers + (not own_top), level, docstring)
+                    children += [(c, into) for c in value if isinstance(c, ast.AST)]
+                    if field == "body" and kind in DOCUMENTED and is_text(value[0]):
+                        at = len(children) - len(value)
+                        children[at] = (value[0], (*into[:-1], True))
+            children.reverse()
+            todo += children
+        number += 1
     return rows
 
 
-def nodes(sources: DataFrame) -> DataFrame:
-    """The node table of program_id, source."""
-    names = [c.split()[0] for c in NODES.split(", ")]
+def node_batches(batches: Iterable[pa.RecordBatch], kept: list[str], kinds: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
+    """The nodes of batches of program_id, source. Programs share batches of ROWS nodes or a little more, so that a program costs what its nodes do."""
+    places = [COLUMNS.index(c) for c in kept]
+
+    def table(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        told = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(told[0], pa.int64())) if i == 0 else pa.array(told[i], ARROW[i]) for i in places], kept)
+
+    for batch in batches:
+        ids, rows = batch.column(PROGRAM), []
+        for place, source in enumerate(batch.column("source")):
+            rows += node_rows(place, source.as_py(), kinds)
+            if len(rows) >= ROWS:
+                yield table(ids, rows)
+                rows = []
+        if rows:
+            yield table(ids, rows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for program_id, source in zip(batch["program_id"], batch["source"], strict=True):
-                if rows := node_rows(program_id, source):
-                    yield pd.DataFrame(rows, columns=names).astype({"top": "Int32"})
 
-    return sources.select("program_id", "source").mapInPandas(run, NODES)
+def nodes(sources: DataFrame, columns: Collection[str] = COLUMNS, kinds: Iterable[str] | None = None) -> DataFrame:
+    """The node table of program_id, source, or those of its columns and kinds of nodes that are read.
+
+    Every tree has one ``Module``: with it among the kinds, no program that parses is left out.
+    """
+    wanted, kept = None if kinds is None else frozenset(kinds), [c for c in COLUMNS if c in columns or c == PROGRAM]
+    rows = sources.select(F.col(PROGRAM).cast("string"), F.col("source").cast("string"))
+    return rows.mapInArrow(lambda batches: node_batches(batches, kept, wanted), ", ".join(f"{c} {TYPES[c]}" for c in kept))
+
+
+#: Kinds of nodes that the features of control, besides calls, are about; ``Module`` stands for programs without any other.
+CONTROL_KINDS = ("Module", *BRANCHES, "IfExp", "BoolOp", "comprehension")
 
 
 def branch_profile(tree: DataFrame) -> DataFrame:
@@ -176,6 +207,10 @@ STATEMENTS = (
 )
 
 
+#: Kinds of nodes that the features of data are about.
+DATA_KINDS = ("Module", "Constant", "BinOp", "Compare", *(k for kinds in CONTAINERS.values() for k in kinds), *STATEMENTS)
+
+
 def data_features(tree: DataFrame) -> DataFrame:
     """program_id, flow (share of assignments among the statements) and a count for each key of the data histograms, ``<family>:<key>``."""
     kind, detail = F.col("kind"), F.col("detail")
@@ -211,6 +246,10 @@ def data_distance(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     return flow.join(roots, "pair_id").join(l1, "pair_id").select("pair_id", ((F.col("roots") + F.col("l1") + F.col("flow")) / 6).alias("distance"))
 
 
+#: Kinds of nodes that the features of errors are about.
+ERROR_KINDS = ("Module", "Try", "TryStar", "ExceptHandler", "Raise", "Assert", "Return", *FUNCTIONS)
+
+
 def error_summary(tree: DataFrame) -> DataFrame:
     """program_id, counts of try statements, handlers, bare handlers, raises, finally clauses and assertions; the sets raised and caught; the pattern by which handlers go on; the share of functions with a try.
 

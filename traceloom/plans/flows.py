@@ -106,7 +106,7 @@ step AS (SELECT pair_id, CAST([] AS BIGINT[]) AS ua, CAST([] AS BIGINT[]) AS ub,
 
 
 @query(BASE.replace("WITH", "WITH RECURSIVE", 1) + MATCHED + " SELECT pair_id, a, b, round(l, 6) AS likeness FROM step WHERE a IS NOT NULL")
-@on_nodes
+@on_nodes()
 def matched_functions(tree, pairs):
     """Functions of two versions, matched greedily by what renaming leaves."""
     return identity.matched_functions(identity.fingerprints(tree), pairs)
@@ -116,7 +116,7 @@ LANGUAGE = COUNTS + ", lf AS (SELECT program_id, f AS n_functions, s AS n_loops,
 
 
 @query(BASE + LANGUAGE + " SELECT program_id, n_functions, n_loops, n_conditions, n_calls, complexity, false AS recursion, returns, false AS exceptions FROM lf")
-@on_nodes
+@on_nodes()
 def language_features(tree, pairs):
     """Features that programs of any language have."""
     return languages.python_features(tree)
@@ -124,6 +124,6 @@ def language_features(tree, pairs):
 
 @query(BASE + LANGUAGE + f""" SELECT pair_id, round(0.6 * (1 - ({' + '.join(f'abs(a.{n} - b.{n}) / greatest(a.{n}, b.{n}, 1)' for n in languages.NUMBERS)}) / 5) + 0.4 * (2 + CAST(a.returns = b.returns AS INT)) / 3, 6) AS similarity
 FROM vp JOIN lf a ON a.program_id = l JOIN lf b ON b.program_id = r""")
-@on_nodes
+@on_nodes()
 def language_similarity(tree, pairs):
     return languages.feature_similarity(languages.python_features(tree), pairs)

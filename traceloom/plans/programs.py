@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,70 +53,78 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.event_traces(read_table(spark, sf_dir, "events"))
 
 
-def node_table(spark: SparkSession, sf_dir: str, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """The staged node table of all programs, and the pairs of versions."""
-    texts = work.stage(event_sources(canonical(spark, sf_dir)), "sources")
-    return work.stage(static.nodes(texts), "nodes"), sources.version_pairs(texts)
+def rendered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The sources of all programs, and the pairs of versions. Sources need the order of events only, not their numbers."""
+    rows = sources.event_rows(read_table(spark, sf_dir, "events"))
+    return event_sources(rows, ("ts", "event_id")), sources.version_pairs(rows)
+
+
+def on_nodes(*columns: str, kinds: Iterable[str] | None = None, once: bool = False):
+    """Turn a function of (tree, pairs) into a query that renders and parses every source once.
 
+    The node table has the columns and kinds of nodes named, or all; it is staged unless it is read ``once``.
+    """
 
-def on_nodes(function):
-    """Turn a function of (tree, pairs) into a query that renders and parses every source once."""
+    def decorate(function):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with Workspace(spark, function.__name__) as work:
+                texts, pairs = rendered(spark, sf_dir)
+                tree = static.nodes(texts, columns or static.COLUMNS, kinds)
+                return work.keep(function(tree if once else work.stage(tree, "nodes"), pairs), "result")
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        with Workspace(spark, function.__name__) as work:
-            return work.keep(function(*node_table(spark, sf_dir, work)), "result")
+        run.__name__, run.__doc__ = function.__name__, function.__doc__
+        return run
 
-    run.__name__, run.__doc__ = function.__name__, function.__doc__
-    return run
+    return decorate
 
 
 @query(BASE + NODES + " SELECT program_id, kind, n FROM nk")
-@on_nodes
+@on_nodes("kind", once=True)
 def source_nodes(tree, pairs):
     return tree.groupBy("program_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query(BASE + COUNTS + " SELECT program_id, caller, callee, n FROM edges")
-@on_nodes
+@on_nodes("kind", "function", "name", kinds=["Call"], once=True)
 def source_calls(tree, pairs):
     return static.call_edges(tree)
 
 
 @query(BASE + COUNTS + " SELECT program_id, 1 + c + s AS complexity, round(CASE WHEN c = 0 OR s = 0 THEN 0.0 ELSE -(c / (c + s)) * log2(c / (c + s)) - (s / (c + s)) * log2(s / (c + s)) END, 6) AS branch_entropy FROM pc")
-@on_nodes
+@on_nodes("kind", "extra", kinds=static.CONTROL_KINDS)
 def source_control(tree, pairs):
     return static.control_summary(tree)
 
 
 @query(BASE + COUNTS + f" SELECT program_id, round({FLOW}, 4) AS flow, v + 2 * c + s + p AS ints, c AS additions, 0 AS lists FROM pc")
-@on_nodes
+@on_nodes()
 def source_data(tree, pairs):
     rows = static.canonical_data(static.data_features(tree))
     return rows.select("program_id", "flow", F.col("`types:int`").alias("ints"), F.col("`arithmetic:Add`").alias("additions"), F.col("`containers:list`").alias("lists"))
 
 
 @query(BASE + COUNTS + " SELECT program_id, x AS raises, 0 AS tries, array_to_string(coalesce(es, []), ',') AS raised, 'none' AS pattern, CAST(0 AS DOUBLE) AS coverage FROM pc LEFT JOIN raised USING (program_id)")
-@on_nodes
+@on_nodes()
 def source_errors(tree, pairs):
     rows = static.canonical_errors(static.error_summary(tree))
     return rows.select("program_id", "raises", "tries", F.array_join("raised", ",").alias("raised"), "pattern", F.col("coverage").cast("double").alias("coverage"))
 
 
 @query(BASE + PARTS + " SELECT pair_id, round(CONTROL, 6) AS CONTROL, round(DATA, 6) AS DATA, round(ERROR, 6) AS ERROR FROM st3")
-@on_nodes
+@on_nodes()
 def static_dimensions(tree, pairs):
     """The three dimensions that sources alone tell."""
     return dimensions.distances_of(dimensions.Inputs(pairs, tree=tree))
 
 
 @query(BASE + PARTS + " SELECT pair_id, round((0.20 * CONTROL + 0.15 * DATA + 0.10 * ERROR) / 0.45, 6) AS distance FROM st3")
-@on_nodes
+@on_nodes()
 def static_distance(tree, pairs):
     return dimensions.distance_of(dimensions.Inputs(pairs, tree=tree))
 
 
 @query(BASE + NODES + met_sql("mn", "nk", "kind", "n") + " SELECT pair_id, round(0.5 * count(*) FILTER (a > 0 AND b > 0) / count(*) + 0.5 * (1 - sum(abs(a - b)) / sum(a + b)), 6) AS similarity FROM mn GROUP BY ALL")
-@on_nodes
+@on_nodes()
 def node_type_similarity(tree, pairs):
     return static.node_type_similarity(tree, pairs)
 
@@ -124,13 +134,13 @@ PRINTS = STATEMENTS + """, fp AS (SELECT program_id, row_number() OVER (PARTITIO
 
 
 @query(BASE + PRINTS + " SELECT program_id, top, 1 AS params, branches, has_return_value, has_loop, false AS has_nested_loop, nesting_depth, literal_types, '' AS builtin_calls, body_hash, 0 AS module_calls FROM fp")
-@on_nodes
+@on_nodes()
 def function_fingerprints(tree, pairs):
     return identity.fingerprints(tree).select("program_id", "top", "params", "branches", "has_return_value", "has_loop", "has_nested_loop", "nesting_depth", "literal_types", "builtin_calls", "body_hash", "module_calls")
 
 
 @query(BASE + PRINTS + " SELECT program_id, arg_min(top, branches * 1000000 + top) AS root, substr(sha256(string_agg(body_hash, '|' ORDER BY body_hash)), 1, 16) AS program_hash FROM fp GROUP BY ALL")
-@on_nodes
+@on_nodes()
 def program_identity(tree, pairs):
     return identity.program_identity(tree)
 
@@ -183,7 +193,7 @@ ln AS (SELECT program_id, '{LETTERS['Module']}' || repeat('{LETTERS['FunctionDef
 
 
 @query(BASE + TREES + " SELECT pair_id, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 6) AS similarity FROM vp JOIN ln a ON a.program_id = vp.l JOIN ln b ON b.program_id = vp.r")
-@on_nodes
+@on_nodes()
 def tree_edit_similarity(tree, pairs):
     """Edit similarity of linearised trees."""
     return static.tree_edit_similarity(tree, pairs)

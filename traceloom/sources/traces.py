@@ -35,11 +35,10 @@ def in_order(rows: DataFrame, by: list[str], slice_: str, order: list[str]) -> D
     return joined_on(rows.withColumn("own", own), before, [*by, slice_]).withColumn("seq", (F.col("before") + F.col("own")).cast("int")).drop("own", "before", slice_)
 
 
-def event_traces(log: DataFrame, start: str = START, cap: int | None = None) -> DataFrame:
-    """A user's events of a day are a trace; days before SPLIT_DAY belong to version A of the user, later ones to B.
+def event_rows(log: DataFrame, start: str = START) -> DataFrame:
+    """The canonical events without their number in the trace, and with event_id: ts and event_id are their order.
 
-    Errors are exceptions, purchases returns, all others calls. All events are kept; with a cap those beyond it are cut,
-    as by a tracer that records live.
+    A user's events of a day are a trace; days before SPLIT_DAY belong to version A of the user, later ones to B. Errors are exceptions, purchases returns, all others calls.
     """
     day = F.datediff(F.to_date("ts"), F.lit(start).cast("date"))
     k = F.nullif(F.regexp_extract("props", r'"k": *(-?[0-9]+)', 1), F.lit("")).cast("long")
@@ -50,10 +49,19 @@ def event_traces(log: DataFrame, start: str = START, cap: int | None = None) ->
         lambda name, r: r.isNotNull(),
     )
     named = log.withColumn("input_idx", day).withColumn("k", k).withColumn("program_id", F.concat(F.col("user_id").cast("string"), F.when(day < SPLIT_DAY, ":A").otherwise(":B")))
-    ranked = in_order(named.withColumn("minute", F.date_trunc("minute", "ts")), ["program_id", "input_idx"], "minute", ["ts", "event_id"])
+    return named.select("program_id", F.lit(0).alias("run_idx"), "input_idx", kind.alias("event_type"), F.col("event_type").alias("function_name"), snapshot.alias("snapshot"), "ts", "value", "k", "event_id")
+
+
+def event_traces(log: DataFrame, start: str = START, cap: int | None = None) -> DataFrame:
+    """The canonical events of ``event_rows``, numbered in each trace.
+
+    All events are kept; with a cap those beyond it are cut, as by a tracer that records live.
+    """
+    rows = event_rows(log, start)
+    ranked = in_order(rows.withColumn("minute", F.date_trunc("minute", "ts")), ["program_id", "input_idx"], "minute", ["ts", "event_id"])
     if cap is not None:
         ranked = ranked.where(F.col("seq") < cap)
-    return ranked.select("program_id", F.lit(0).alias("run_idx"), "input_idx", "seq", kind.alias("event_type"), F.col("event_type").alias("function_name"), snapshot.alias("snapshot"), "ts", "value", "k")
+    return ranked.select("program_id", "run_idx", "input_idx", "seq", "event_type", "function_name", "snapshot", "ts", "value", "k")
 
 
 def trace_table(events: DataFrame, cap: int | None = None) -> DataFrame:
