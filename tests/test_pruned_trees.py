@@ -18,6 +18,7 @@ def test_programs_share_batches_of_nodes():
 #: Columns that each query reads of the node table, beside program_id, and some kind of node that it doesn't.
 READ = {
     "source_calls": (["kind", "name", "function"], "Constant"),
+    "source_data": (["kind", "detail", "extra"], "Call"),
 }
 
 

@@ -97,7 +97,7 @@ def source_control(tree, pairs):
 
 
 @query(BASE + COUNTS + f" SELECT program_id, round({FLOW}, 4) AS flow, v + 2 * c + s + p AS ints, c AS additions, 0 AS lists FROM pc")
-@on_nodes()
+@on_nodes("kind", "detail", "extra", kinds=static.DATA_KINDS, once=True)
 def source_data(tree, pairs):
     rows = static.canonical_data(static.data_features(tree))
     return rows.select("program_id", "flow", F.col("`types:int`").alias("ints"), F.col("`arithmetic:Add`").alias("additions"), F.col("`containers:list`").alias("lists"))
