@@ -19,6 +19,7 @@ def test_programs_share_batches_of_nodes():
 READ = {
     "source_calls": (["kind", "name", "function"], "Constant"),
     "source_data": (["kind", "detail", "extra"], "Call"),
+    "source_errors": (["kind", "name", "detail", "extra", "path", "in_handler"], "Call"),
 }
 
 

@@ -104,7 +104,7 @@ def source_data(tree, pairs):
 
 
 @query(BASE + COUNTS + " SELECT program_id, x AS raises, 0 AS tries, array_to_string(coalesce(es, []), ',') AS raised, 'none' AS pattern, CAST(0 AS DOUBLE) AS coverage FROM pc LEFT JOIN raised USING (program_id)")
-@on_nodes()
+@on_nodes("kind", "name", "detail", "extra", "path", "in_handler", kinds=static.ERROR_KINDS, once=True)
 def source_errors(tree, pairs):
     rows = static.canonical_errors(static.error_summary(tree))
     return rows.select("program_id", "raises", "tries", F.array_join("raised", ",").alias("raised"), "pattern", F.col("coverage").cast("double").alias("coverage"))
