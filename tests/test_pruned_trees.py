@@ -20,6 +20,7 @@ READ = {
     "source_calls": (["kind", "name", "function"], "Constant"),
     "source_data": (["kind", "detail", "extra"], "Call"),
     "source_errors": (["kind", "name", "detail", "extra", "path", "in_handler"], "Call"),
+    "node_type_similarity": (["kind"], None),
 }
 
 
