@@ -21,6 +21,7 @@ READ = {
     "source_data": (["kind", "detail", "extra"], "Call"),
     "source_errors": (["kind", "name", "detail", "extra", "path", "in_handler"], "Call"),
     "node_type_similarity": (["kind"], None),
+    "static_dimensions": (["kind", "name", "function", "detail", "extra", "path", "in_handler"], "Name"),
 }
 
 
@@ -38,3 +39,13 @@ def test_queries_parse_for_what_they_read(spark, sf_dir, monkeypatch, name):
     assert [sorted(c) for c, _ in asked] == [sorted(columns)] and (unread is None or unread not in asked[0][1])
     monkeypatch.setattr(static, "nodes", lambda sources, *_: nodes(sources))
     assert found == sorted(map(repr, registry.queries()[name](spark, sf_dir).collect()))
+
+
+def test_fixed_keys_meet_without_a_long_table(spark):
+    sources = [("p", "x = 1 + 2.5\ny = [None, 'a' in 'ab']\n"), ("q", "x = 1 * 2\n"), ("e", "")]
+    tree = static.nodes(spark.createDataFrame(sources, "program_id string, source string"), ["kind", "detail", "extra"], static.DATA_KINDS)
+    pairs = spark.createDataFrame([("1", "p", "q"), ("2", "p", "p"), ("3", "e", "e"), ("4", "e", "p")], "pair_id string, left string, right string")
+    rows = static.data_distance(tree, pairs)
+    assert "Generate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.pair_id: r.distance for r in rows.collect()}
+    assert found["2"] == 0.0 and found["3"] == 0.0 and 0 < found["1"] < 1 and 0 < found["4"] < 1

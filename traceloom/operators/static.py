@@ -6,11 +6,11 @@ import ast
 from collections.abc import Callable, Collection, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.measures import clamp, entropy_parts, ratio
-from traceloom.operators.distances import both_rows, gap, kernels, relative_gap, rooted_jsd
+from traceloom.operators.distances import both_rows, gap, met, relative_gap
 from traceloom.operators.genomes import histogram
 
 PROGRAM = "program_id"
@@ -90,8 +90,20 @@ def parsed(source: str | None) -> ast.Module | None:
         return None
 
 
-def node_rows(program_id: str | int, source: str | None, kinds: frozenset[str] | None = None) -> list[tuple]:
-    """The nodes of a source in preorder, or those of some kinds; a source that doesn't parse has none.
+#: Classes of nodes that no other node can be below, but for a name's context.
+LEAVES = frozenset(c for c in vars(ast).values() if isinstance(c, type) and issubclass(c, ast.AST) and not c._fields) | {ast.Name, ast.Constant}
+
+
+def unread(columns: Collection[str], kinds: Collection[str] | None) -> frozenset[type]:
+    """The leaves that need not be visited, if neither they nor the numbers of nodes are read."""
+    if kinds is None or {"node_id", "parent_id"} & {*columns}:
+        return frozenset()
+    contexts = {"Load", "Store", "Del"} & {*kinds}
+    return frozenset(c for c in LEAVES if c.__name__ not in kinds and not (c is ast.Name and contexts))
+
+
+def node_rows(program_id: str | int, source: str | None, kinds: Collection[str] | None = None, passed: Collection[type] = ()) -> list[tuple]:
+    """The nodes of a source in preorder, or those of some kinds; a source that doesn't parse has none. passed: leaves that aren't visited, nor numbered.
 
     What encloses a node is told to all children of one field at once: parent, function, path of functions, top-level function, whether in its body, depths of control, nesting, loops and handlers, level, whether in a docstring.
     """
@@ -123,15 +135,16 @@ def node_rows(program_id: str | int, source: str | None, kinds: frozenset[str] |
             for field in fields:
                 value = getattr(node, field, None)
                 if isinstance(value, ast.AST):
-                    children.append((value, around))
+                    if type(value) not in passed:
+                        children.append((value, around))
                 elif value and isinstance(value, list):
                     into = around
                     if field == "body" and (own_top or kind == "ExceptHandler"):
                         into = (number, function, path, top, True if own_top else in_body, control, nested, loops, handlers + (not own_top), level, docstring)
-                    children += [(c, into) for c in value if isinstance(c, ast.AST)]
-                    if field == "body" and kind in DOCUMENTED and is_text(value[0]):
-                        at = len(children) - len(value)
-                        children[at] = (value[0], (*into[:-1], True))
+                    told = [(c, into) for c in value if isinstance(c, ast.AST) and type(c) not in passed]
+                    if field == "body" and kind in DOCUMENTED and is_text(value[0]) and told[0][0] is value[0]:
+                        told[0] = (value[0], (*into[:-1], True))
+                    children += told
             children.reverse()
             todo += children
         number += 1
@@ -140,7 +153,7 @@ def node_rows(program_id: str | int, source: str | None, kinds: frozenset[str] |
 
 def node_batches(batches: Iterable[pa.RecordBatch], kept: list[str], kinds: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
     """The nodes of batches of program_id, source. Programs share batches of ROWS nodes or a little more, so that a program costs what its nodes do."""
-    places = [COLUMNS.index(c) for c in kept]
+    places, passed = [COLUMNS.index(c) for c in kept], unread(kept, kinds)
 
     def table(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
         told = list(zip(*rows, strict=True))
@@ -149,7 +162,7 @@ def node_batches(batches: Iterable[pa.RecordBatch], kept: list[str], kinds: froz
     for batch in batches:
         ids, rows = batch.column(PROGRAM), []
         for place, source in enumerate(batch.column("source")):
-            rows += node_rows(place, source.as_py(), kinds)
+            rows += node_rows(place, source.as_py(), kinds, passed)
             if len(rows) >= ROWS:
                 yield table(ids, rows)
                 rows = []
@@ -226,24 +239,29 @@ def data_features(tree: DataFrame) -> DataFrame:
     )
 
 
-def data_histograms(features: DataFrame) -> DataFrame:
-    """Families types, arithmetic, comparisons, containers, with zeros, and constants: the shares of the scalar types, without None."""
-    keys = [c for c in features.columns if ":" in c]
-    scalars = [c for c in keys if c.startswith("types:") and c != "types:None"]
-    total = sum((F.col(f"`{c}`") for c in scalars), F.lit(0))
-    rows = [F.struct(F.lit(c.split(":")[0]).alias("family"), F.lit(c.split(":")[1]).alias("key"), F.col(f"`{c}`").cast("double").alias("weight")) for c in keys]
-    rows += [F.struct(F.lit("constants").alias("family"), F.lit(c.split(":")[1]).alias("key"), ratio(F.col(f"`{c}`"), total).cast("double").alias("weight")) for c in scalars]
-    return features.select(PROGRAM, F.explode(F.array(*rows)).alias("h")).select(PROGRAM, "h.*")
+def root_divergence(a: list[Column], b: list[Column]) -> Column:
+    """Root of the base-2 divergence of two histograms over fixed keys; an empty side is uniform over them."""
+    total = lambda side: F.aggregate(F.array(*side), F.lit(0.0), lambda s, x: s + x)
+    shares = lambda side: F.transform(F.array(*side), lambda x: F.when(total(side) > 0, x / total(side)).otherwise(1 / len(side)))
+    part = lambda p, q: F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
+    parts = F.zip_with(shares(a), shares(b), lambda p, q: part(p, q) + part(q, p))
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
 def data_distance(tree: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pair_id, distance: mean of the root divergences of types, arithmetic, comparisons and containers, of half the L1 of the constants' shares, and of the gap of flow."""
+    """pair_id, distance: mean of the root divergences of types, arithmetic, comparisons and containers, of half the L1 of the constants' shares, and of the gap of flow.
+
+    Constants are the scalar types without None. Keys are fixed, so both sides meet in one row.
+    """
     features = data_features(tree)
-    rows = data_histograms(features)
-    roots = rooted_jsd(rows.where("family != 'constants'"), pairs).groupBy("pair_id").agg(F.sum("jsd_root").alias("roots"))
-    l1 = kernels(rows.where("family = 'constants'"), pairs).select("pair_id", "l1")
-    flow = both_rows(pairs, features.select(PROGRAM, "flow")).select("pair_id", gap("flow").alias("flow"))
-    return flow.join(roots, "pair_id").join(l1, "pair_id").select("pair_id", ((F.col("roots") + F.col("l1") + F.col("flow")) / 6).alias("distance"))
+    rows = both_rows(pairs, features)
+    side = lambda s, keys: [F.col(f"`{s}_{c}`").cast("double") for c in keys]
+    of = lambda family: [c for c in features.columns if c.startswith(f"{family}:")]
+    roots = sum((root_divergence(side("a", of(f)), side("b", of(f))) for f in ("types", "arithmetic", "comparisons", "containers")), F.lit(0.0))
+    scalars = [c for c in of("types") if c != "types:None"]
+    shares = lambda s: [ratio(x, sum(side(s, scalars), F.lit(0.0))) for x in side(s, scalars)]
+    l1 = F.least(F.lit(1.0), sum((F.abs(x - y) for x, y in zip(shares("a"), shares("b"), strict=True)), F.lit(0.0)) / 2)
+    return rows.select("pair_id", ((roots + l1 + gap("flow")) / 6).alias("distance"))
 
 
 #: Kinds of nodes that the features of errors are about.
@@ -264,7 +282,7 @@ def error_summary(tree: DataFrame) -> DataFrame:
         count(tried).alias("tries"), count(kind == "ExceptHandler").alias("handlers"), count((kind == "ExceptHandler") & name.isNull()).alias("bare_handlers"), count(kind == "Raise").alias("raises"),
         count((kind == "Try") & (F.col("extra") == 1)).alias("finals"), count(kind == "Assert").alias("assertions"), names(kind == "Raise").alias("raised"), names(kind == "ExceptHandler").alias("caught"),
         any_of(kind == "Raise").alias("r"), any_of((kind == "Return") & F.col("detail").isin("bare", "none")).alias("n"), any_of((kind == "Return") & (F.col("detail") == "value")).alias("s"),
-        count(kind.isin(*FUNCTIONS)).alias("functions"), F.count_distinct(F.when(tried & (F.col("path") != ""), F.col("path"))).alias("covered"),
+        count(kind.isin(*FUNCTIONS)).alias("functions"), F.size(F.collect_set(F.when(tried & (F.col("path") != ""), F.col("path")))).alias("covered"),
     )
     pattern = F.when(F.col("r") + F.col("n") + F.col("s") > 1, "mixed").when(F.col("r") == 1, "raise").when(F.col("n") == 1, "return_none").when(F.col("s") == 1, "return_sentinel").otherwise("none")
     return rows.withColumn("pattern", pattern).withColumn("coverage", ratio(F.col("covered"), F.col("functions"))).drop("r", "n", "s", "functions", "covered")
@@ -297,15 +315,16 @@ def control_distance(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     """pair_id, distance: half the branch profiles' distance and half that of the call edges as sets."""
     edge = F.concat_ws("→", "caller", "callee")
     told = histogram(branch_profile(tree), "branches", "kind", "share").union(histogram(call_edges(tree).withColumn("edge", edge), "edges", "edge", "n"))
-    found = kernels(told, pairs).groupBy("pair_id").agg(*[F.coalesce(F.max(F.when(F.col("family") == f, F.col(m))), F.lit(0.0)).alias(f) for f, m in (("branches", "l1"), ("edges", "jaccard"))])
+    branch, both = F.col("family") == "branches", (F.col("a") > 0) & (F.col("b") > 0)
+    found = met(told, pairs).groupBy("pair_id").agg(
+        F.least(F.lit(1.0), F.sum(F.when(branch, F.abs(F.col("a") - F.col("b")))) / 2).alias("branches"), (1 - F.sum(F.when(~branch, both.cast("int"))) / F.sum(F.when(~branch, 1))).alias("edges")
+    )
     rows = pairs.select("pair_id").join(found, "pair_id", "left").na.fill(0.0)
     return rows.select("pair_id", (0.5 * F.col("branches") + 0.5 * F.col("edges")).alias("distance"))
 
 
 def node_type_similarity(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     """pair_id, similarity: half the Jaccard similarity of the node kinds, half 1 - L1 of their counts over all nodes."""
-    from traceloom.operators.distances import met
-
     counts = tree.groupBy(PROGRAM, "kind").agg(F.count("*").alias("n"))
     rows = met(histogram(counts, "kinds", "kind", "n"), pairs)
     alike = F.sum(((F.col("a") > 0) & (F.col("b") > 0)).cast("int")) / F.count("*")

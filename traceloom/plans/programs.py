@@ -111,14 +111,14 @@ def source_errors(tree, pairs):
 
 
 @query(BASE + PARTS + " SELECT pair_id, round(CONTROL, 6) AS CONTROL, round(DATA, 6) AS DATA, round(ERROR, 6) AS ERROR FROM st3")
-@on_nodes()
+@on_nodes("kind", "name", "function", "detail", "extra", "path", "in_handler", kinds={"Call", *static.CONTROL_KINDS, *static.DATA_KINDS, *static.ERROR_KINDS})
 def static_dimensions(tree, pairs):
     """The three dimensions that sources alone tell."""
     return dimensions.distances_of(dimensions.Inputs(pairs, tree=tree))
 
 
 @query(BASE + PARTS + " SELECT pair_id, round((0.20 * CONTROL + 0.15 * DATA + 0.10 * ERROR) / 0.45, 6) AS distance FROM st3")
-@on_nodes()
+@on_nodes("kind", "name", "function", "detail", "extra", "path", "in_handler", kinds={"Call", *static.CONTROL_KINDS, *static.DATA_KINDS, *static.ERROR_KINDS})
 def static_distance(tree, pairs):
     return dimensions.distance_of(dimensions.Inputs(pairs, tree=tree))
 
