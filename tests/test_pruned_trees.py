@@ -1,9 +1,11 @@
 """Node tables hold what a query reads, and programs share batches."""
 
+import hashlib
+
 import pyarrow as pa
 import pytest
 
-from traceloom.operators import static
+from traceloom.operators import identity, static
 from traceloom.plans import registry
 
 
@@ -22,6 +24,7 @@ READ = {
     "source_errors": (["kind", "name", "detail", "extra", "path", "in_handler"], "Call"),
     "node_type_similarity": (["kind"], None),
     "static_dimensions": (["kind", "name", "function", "detail", "extra", "path", "in_handler"], "Name"),
+    "function_fingerprints": (["kind", "name", "detail", "path", "top", "nested", "loops", "callee", "body"], "Name"),
 }
 
 
@@ -49,3 +52,15 @@ def test_fixed_keys_meet_without_a_long_table(spark):
     assert "Generate" not in rows._jdf.queryExecution().optimizedPlan().toString()
     found = {r.pair_id: r.distance for r in rows.collect()}
     assert found["2"] == 0.0 and found["3"] == 0.0 and 0 < found["1"] < 1 and 0 < found["4"] < 1
+
+
+def test_fingerprints_take_one_shuffle(spark):
+    source = "def f(x, y=1):\n    def g():\n        return f(x) + h(y) + len([y])\n    for i in x:\n        while i: pass\n\ndef h(x):\n    pass\n\ndef h(x):\n    f(f)(x)\n\nclass C:\n    def f(self): h(1)\n"
+    tree = static.nodes(spark.createDataFrame([("p", source)], "program_id string, source string"))
+    prints = identity.fingerprints(tree)
+    assert prints._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    f, empty, h = prints.orderBy("top").collect()
+    assert (f.recursive_calls, f.module_calls, f.params, f.has_defaults, f.has_nested_loop, f.builtin_calls, f.literal_types) == (1, 2, 2, True, True, "len", "int,list")
+    assert (empty.module_calls, h.module_calls, h.recursive_calls, h.literal_types) == (0, 1, 0, "")
+    assert empty.body_hash == hashlib.sha256(b"Pass").hexdigest()[:8]
+    assert {tuple(r) for r in identity.module_calls(tree).collect()} == {("p", 0, 0, 1), ("p", 0, 2, 1), ("p", 2, 0, 1)}

@@ -26,13 +26,15 @@ def top_functions(tree: DataFrame) -> DataFrame:
 
 def module_calls(tree: DataFrame) -> DataFrame:
     """program_id, caller, callee, n: calls by plain name of functions of the module, by their places; of two functions of one name the last is meant."""
-    named = top_functions(tree).groupBy(PROGRAM, F.col("function").alias("name")).agg(F.max("top").alias("callee"))
-    calls = tree.where("kind = 'Call' AND detail = 'name' AND top IS NOT NULL").groupBy(PROGRAM, F.col("top").alias("caller"), "name").agg(F.count("*").alias("n"))
-    return calls.join(named, [PROGRAM, "name"]).select(PROGRAM, "caller", "callee", "n")
+    return tree.where("callee IS NOT NULL AND top IS NOT NULL").groupBy(PROGRAM, F.col("top").alias("caller"), "callee").agg(F.count("*").alias("n"))
+
+
+#: Kinds of nodes that fingerprints are about, besides the kinds in a function's body, which its own node tells.
+PRINTED = (*FUNCTIONS, *CONTROL, *COMPREHENSIONS, *LITERALS, "Return", "Call", "Constant")
 
 
 def fingerprints(tree: DataFrame) -> DataFrame:
-    """program_id, top and fifteen features of each function of a module that renaming leaves as they are."""
+    """program_id, top and fifteen features of each function of a module that renaming leaves as they are, in one grouping."""
     kind, name = F.col("kind"), F.col("name")
     some = lambda c: F.coalesce(F.max(c.cast("int")), F.lit(0)) == 1
     count = lambda c: F.sum(c.cast("long"))
@@ -41,18 +43,18 @@ def fingerprints(tree: DataFrame) -> DataFrame:
     for node, told in LITERALS.items():
         literal = literal.when(kind == node, told)
     called = F.when((kind == "Call") & name.isin(*dir(builtins)), name)
-    heads = top_functions(tree)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("in_body"), F.struct("node_id", "kind")))), lambda x: x["kind"]), "/")
-    inside = tree.where("top IS NOT NULL").join(heads.select(PROGRAM, "top", F.col("function").alias("own")), [PROGRAM, "top"])
-    rows = inside.groupBy(PROGRAM, "top").agg(
-        some((kind == "Return") & (F.col("detail") != "bare")).alias("has_return_value"), count(kind.isin(*CONTROL)).alias("branches"), count((kind == "Call") & (F.col("detail") == "name") & (name == F.col("own"))).alias("recursive_calls"),
+    # the path of a node begins with the function of the module that it is in
+    own = F.split_part("path", F.lit("/"), F.lit(2))
+    head = kind.isin(*FUNCTIONS) & (F.col("path") == "")
+    rows = tree.where("top IS NOT NULL").groupBy(PROGRAM, "top").agg(
+        some((kind == "Return") & (F.col("detail") != "bare")).alias("has_return_value"), count(kind.isin(*CONTROL)).alias("branches"), count((kind == "Call") & (F.col("detail") == "name") & (name == own)).alias("recursive_calls"),
         some(kind.isin(*LOOPS)).alias("has_loop"), some(kind.isin(*LOOPS) & (F.col("loops") > 1)).alias("has_nested_loop"), some(kind.isin("Try", "ExceptHandler")).alias("has_handler"), F.max("nested").alias("nesting_depth"),
-        count(kind.isin(*COMPREHENSIONS)).alias("comprehensions"), csv(literal).alias("literal_types"), csv(called).alias("builtin_calls"), F.substring(F.sha2(body, 256), 1, 8).alias("body_hash"),
+        count(kind.isin(*COMPREHENSIONS)).alias("comprehensions"), csv(literal).alias("literal_types"), csv(called).alias("builtin_calls"), F.substring(F.sha2(F.max("body"), 256), 1, 8).alias("body_hash"),
+        F.split(F.max(F.when(head, F.col("detail"))), ",").alias("signature"), F.count("callee").alias("module_calls"),
     )
-    calls = module_calls(tree).groupBy(PROGRAM, F.col("caller").alias("top")).agg(F.sum("n").alias("module_calls"))
     signature = lambda i: F.col("signature")[i].cast("int")
-    told = heads.select(PROGRAM, "top", signature(0).alias("params"), (signature(1) == 1).alias("has_defaults"), (signature(2) == 1).alias("has_varargs"))
-    return rows.join(told, [PROGRAM, "top"]).join(calls, [PROGRAM, "top"], "left").na.fill(0, ["module_calls"])
+    told = {"params": signature(0), "has_defaults": signature(1) == 1, "has_varargs": signature(2) == 1}
+    return rows.select(*[c for c in rows.columns if c not in ("signature", "module_calls")], *[c.alias(n) for n, c in told.items()], "module_calls")
 
 
 def likeness(a: str = "a", b: str = "b") -> Column:

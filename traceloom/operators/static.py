@@ -16,7 +16,7 @@ from traceloom.operators.genomes import histogram
 PROGRAM = "program_id"
 NODES = (
     "program_id string, node_id int, parent_id int, kind string, name string, function string, control_depth int, extra int, "
-    "detail string, path string, top int, in_body boolean, nested int, loops int, in_handler int, level int, docstring boolean"
+    "detail string, path string, top int, in_body boolean, nested int, loops int, in_handler int, level int, docstring boolean, callee int, body string"
 )
 TYPES = dict(c.split() for c in NODES.split(", "))
 COLUMNS = tuple(TYPES)
@@ -95,22 +95,25 @@ LEAVES = frozenset(c for c in vars(ast).values() if isinstance(c, type) and issu
 
 
 def unread(columns: Collection[str], kinds: Collection[str] | None) -> frozenset[type]:
-    """The leaves that need not be visited, if neither they nor the numbers of nodes are read."""
-    if kinds is None or {"node_id", "parent_id"} & {*columns}:
+    """The leaves that need not be visited, if neither they nor the numbers of nodes nor the kinds in bodies are read."""
+    if kinds is None or {"node_id", "parent_id", "body"} & {*columns}:
         return frozenset()
     contexts = {"Load", "Store", "Del"} & {*kinds}
     return frozenset(c for c in LEAVES if c.__name__ not in kinds and not (c is ast.Name and contexts))
 
 
-def node_rows(program_id: str | int, source: str | None, kinds: Collection[str] | None = None, passed: Collection[type] = ()) -> list[tuple]:
+def node_rows(program_id: str | int, source: str | None, kinds: frozenset[str] | None = None, passed: Collection[type] = ()) -> list[tuple]:
     """The nodes of a source in preorder, or those of some kinds; a source that doesn't parse has none. passed: leaves that aren't visited, nor numbered.
 
     What encloses a node is told to all children of one field at once: parent, function, path of functions, top-level function, whether in its body, depths of control, nesting, loops and handlers, level, whether in a docstring.
+    callee: of a call by plain name, the place of the module's function of that name, of several the last. body: of a module's function, the kinds of the nodes in its body, in order; it is told if functions of both kinds are among the kinds.
     """
     tree = parsed(source)
     if tree is None:
         return []
     rows, todo, tops, number = [], [(tree, (-1, "<module>", "", None, False, 0, 0, 0, 0, 0, False))], 0, 0
+    places = {f.name: i for i, f in enumerate(f for f in tree.body if type(f).__name__ in FUNCTIONS)}
+    heads, bodies = [], []
     while todo:
         node, (parent, function, path, top, in_body, control, nested, loops, handlers, level, docstring) = todo.pop()
         cls = type(node)
@@ -119,12 +122,17 @@ def node_rows(program_id: str | int, source: str | None, kinds: Collection[str]
         own_top = own and parent == 0
         if own_top:
             top, nested, loops, tops = tops, 0, 0, tops + 1
+            heads.append(len(rows))
+            bodies.append([])
+        elif in_body:
+            bodies[top].append(kind)
         if kind in CONTROL:
             nested, loops = nested + 1, loops + (kind in LOOPS)
         if kinds is None or kind in kinds:
             describe = DESCRIBED.get(cls)
             name, extra, detail = describe(node) if describe else PLAIN
-            rows.append((program_id, number, parent, kind, name, function, control, extra, detail, path, top, in_body, nested, loops, handlers, level, docstring))
+            callee = places.get(name) if detail == "name" and cls is ast.Call else None
+            rows.append((program_id, number, parent, kind, name, function, control, extra, detail, path, top, in_body, nested, loops, handlers, level, docstring, callee, None))
         if fields := cls._fields:
             if own:
                 function, path = node.name, f"{path}/{node.name}"
@@ -148,6 +156,9 @@ def node_rows(program_id: str | int, source: str | None, kinds: Collection[str]
             children.reverse()
             todo += children
         number += 1
+    if kinds is None or kinds.issuperset(FUNCTIONS):
+        for at, body in zip(heads, bodies, strict=True):
+            rows[at] = (*rows[at][:-1], "/".join(body))
     return rows
 
 

@@ -134,7 +134,7 @@ PRINTS = STATEMENTS + """, fp AS (SELECT program_id, row_number() OVER (PARTITIO
 
 
 @query(BASE + PRINTS + " SELECT program_id, top, 1 AS params, branches, has_return_value, has_loop, false AS has_nested_loop, nesting_depth, literal_types, '' AS builtin_calls, body_hash, 0 AS module_calls FROM fp")
-@on_nodes()
+@on_nodes("kind", "name", "detail", "path", "top", "nested", "loops", "callee", "body", kinds=identity.PRINTED, once=True)
 def function_fingerprints(tree, pairs):
     return identity.fingerprints(tree).select("program_id", "top", "params", "branches", "has_return_value", "has_loop", "has_nested_loop", "nesting_depth", "literal_types", "builtin_calls", "body_hash", "module_calls")
 
