@@ -64,3 +64,20 @@ def test_fingerprints_take_one_shuffle(spark):
     assert (empty.module_calls, h.module_calls, h.recursive_calls, h.literal_types) == (0, 1, 0, "")
     assert empty.body_hash == hashlib.sha256(b"Pass").hexdigest()[:8]
     assert {tuple(r) for r in identity.module_calls(tree).collect()} == {("p", 0, 0, 1), ("p", 0, 2, 1), ("p", 2, 0, 1)}
+
+
+SOURCES = ['"""Doc."""\ndef f(x):\n    "doc"\n    return x\n\nclass C:\n    \'c\'\n    async def g(self): "d"\n', "def f(x):\n    return [y for y in x if y]\n", "x = f'{x!r}' + 'a'\nif x: pass\nelse: y()", "def f(", None, ""]
+
+
+def test_linear_texts_are_linearised_trees(spark):
+    sources = spark.createDataFrame([(f"p{i}", s) for i, s in enumerate(SOURCES)], "program_id string, source string")
+    names = {character: c.__name__ for c, character in static.CHARACTERS.items()}
+    texts_ = static.linear_texts(sources)
+    lists = static.linearised(static.nodes(sources))
+    assert {r.program_id: [names[c] for c in r.kinds] for r in texts_.collect()} == {r.program_id: r.kinds for r in lists.collect()}
+    pairs = spark.createDataFrame([(f"{a}{b}", f"p{a}", f"p{b}") for a in range(6) for b in range(a, 6)], "pair_id string, left string, right string")
+    for cap in (None, 5):
+        rows = static.linear_similarity(texts_, pairs, cap)
+        assert {tuple(r) for r in rows.collect()} == {tuple(r) for r in static.linear_similarity(lists, pairs, cap).collect()}
+    assert rows.rdd.getNumPartitions() == 4
+

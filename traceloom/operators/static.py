@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from traceloom.functions.measures import clamp, entropy_parts, ratio
 from traceloom.operators.distances import both_rows, gap, met, relative_gap
 from traceloom.operators.genomes import histogram
+from traceloom.sources.staging import dealt
 
 PROGRAM = "program_id"
 NODES = (
@@ -349,12 +350,50 @@ def linearised(tree: DataFrame) -> DataFrame:
     return tree.where(~F.col("docstring")).groupBy(PROGRAM).agg(F.transform(held, lambda n: n["kind"]).alias("kinds"))
 
 
+def linear_texts(sources: DataFrame) -> DataFrame:
+    """program_id, kinds: what ``linearised`` tells of a source, as a text of one character a node, in one row a source; kinds have the characters of their places among all of Python's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, tree) for i, x in enumerate(batch.column("source")) if (tree := parsed(x.as_py())) is not None]
+            yield pa.RecordBatch.from_arrays([batch.column(PROGRAM).take(pa.array([i for i, _ in found], pa.int64())), pa.array([linear_text(tree) for _, tree in found], pa.string())], [PROGRAM, "kinds"])
+
+    return sources.select(F.col(PROGRAM).cast("string"), F.col("source").cast("string")).mapInArrow(run, f"{PROGRAM} string, kinds string")
+
+
+#: A character for each class of nodes; the first is that of code point 256.
+CHARACTERS = {c: chr(256 + i) for i, c in enumerate(sorted((c for c in vars(ast).values() if isinstance(c, type) and issubclass(c, ast.AST)), key=lambda c: c.__name__))}
+
+
+def linear_text(tree: ast.Module) -> str:
+    """The classes of a tree's nodes level by level, from left to right, without docstrings, as characters."""
+    told, row = [], [tree]
+    while row:
+        told += [CHARACTERS[type(n)] for n in row]
+        after = []
+        for node in row:
+            documented = type(node).__name__ in DOCUMENTED
+            for field in node._fields:
+                value = getattr(node, field, None)
+                if isinstance(value, ast.AST):
+                    after.append(value)
+                elif value and isinstance(value, list):
+                    after += [c for c in (value[1:] if documented and field == "body" and is_text(value[0]) else value) if isinstance(c, ast.AST)]
+        row = after
+    return "".join(told)
+
+
 def tree_edit_similarity(tree: DataFrame, pairs: DataFrame, cap: int | None = None) -> DataFrame:
     """pair_id, similarity: 1 - edit distance of the linearised trees over the longer one's length; 1 if both are empty. cap: compare the first so many nodes only, as a limited tool would."""
+    return linear_similarity(linearised(tree), pairs, cap)
+
+
+def linear_similarity(kinds: DataFrame, pairs: DataFrame, cap: int | None = None) -> DataFrame:
+    """``tree_edit_similarity`` of trees that are linearised already, by ``linearised`` or ``linear_texts``."""
     from traceloom.operators.texts import token_edit_similarity
 
-    kinds = linearised(tree)
     side = lambda name, key: kinds.select(F.col(PROGRAM).alias(key), F.col("kinds").alias(name))
-    none = F.array().cast("array<string>")
+    text = dict(kinds.dtypes)["kinds"] == "string"
+    none = F.lit("") if text else F.array().cast("array<string>")
     rows = pairs.join(side("a", "left"), "left", "left").join(side("b", "right"), "right", "left")
-    return rows.select("pair_id", token_edit_similarity(F.coalesce("a", none), F.coalesce("b", none), cap).alias("similarity"))
+    return dealt(rows).select("pair_id", token_edit_similarity(F.coalesce("a", none), F.coalesce("b", none), cap, text).alias("similarity"))

@@ -93,7 +93,7 @@ def dense_cosine(a: Column, b: Column) -> Column:
     return ratio(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def edit_distance(a: list | None, b: list | None) -> int | None:
+def edit_distance(a: list | str | None, b: list | str | None) -> int | None:
     """Levenshtein distance of two lists of any length: rows of the table as bits of one number (Myers, Hyyrö)."""
     if a is None or b is None:
         return None
@@ -117,16 +117,18 @@ def edit_distance(a: list | None, b: list | None) -> int | None:
 
 @F.pandas_udf(LongType())
 def edit_distances(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edit distances of batches of lists."""
-    found = [None if x is None or y is None else edit_distance(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)]
+    """Edit distances of batches of lists, or of texts by their characters."""
+    listed = lambda x: x if isinstance(x, str) else x.tolist()
+    found = [None if x is None or y is None else edit_distance(listed(x), listed(y)) for x, y in zip(a, b, strict=True)]
     return pd.Series(found, dtype="Int64")
 
 
-def token_edit_similarity(a: Column, b: Column, cap: int | None = None) -> Column:
-    """1 - edit distance / longer length of two whole token lists; with a cap, of their first ``cap`` tokens."""
+def token_edit_similarity(a: Column, b: Column, cap: int | None = None, text: bool = False) -> Column:
+    """1 - edit distance / longer length of two whole token lists; with a cap, of their first ``cap`` tokens. text: of two texts, whose tokens are characters."""
     if cap is not None:
-        a, b = F.slice(a, 1, cap), F.slice(b, 1, cap)
-    longest = F.greatest(F.size(a), F.size(b))
+        a, b = (F.left(x, F.lit(cap)) if text else F.slice(x, 1, cap) for x in (a, b))
+    length = F.length if text else F.size
+    longest = F.greatest(length(a), length(b))
     return F.when(longest == 0, 1.0).otherwise(1 - edit_distances(a, b) / longest)
 
 

@@ -193,10 +193,11 @@ ln AS (SELECT program_id, '{LETTERS['Module']}' || repeat('{LETTERS['FunctionDef
 
 
 @query(BASE + TREES + " SELECT pair_id, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 6) AS similarity FROM vp JOIN ln a ON a.program_id = vp.l JOIN ln b ON b.program_id = vp.r")
-@on_nodes()
-def tree_edit_similarity(tree, pairs):
+def tree_edit_similarity(spark, sf_dir):
     """Edit similarity of linearised trees."""
-    return static.tree_edit_similarity(tree, pairs)
+    with Workspace(spark, "tree-edit") as work:
+        texts_, pairs = rendered(spark, sf_dir)
+        return work.keep(static.linear_similarity(work.stage(static.linear_texts(texts_), "kinds"), pairs), "result")
 
 
 #: Tokens of a statement, as numbers of words; {k} is the number in it, {e} the exception.

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.sources.staging import dealt
 from traceloom.sources.traces import TRACE
 
 PROGRAM = "program_id"
@@ -29,13 +30,11 @@ def statement() -> Column:
 def event_sources(events: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
     """program_id, source: a module with a function for each trace, in order, and in it a statement for each event. order: the columns that order the events of a trace.
 
-    A source is one row, as a file is, so a program's statements meet in one row, those of a trace first. Programs are dealt once, in as many parts as there are cores or shuffle
-    partitions: what reads their sources takes far more time than their bytes tell.
+    A source is one row, as a file is, so a program's statements meet in one row, those of a trace first. Programs are dealt once,
+    in parts that parsers can share out.
     """
-    spark = events.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     told = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["text"]), "")
-    dealt = events.select(*TRACE, *order, statement().alias("text")).repartition(parts, PROGRAM)
-    bodies = dealt.groupBy(*TRACE).agg(told(F.struct(*order, "text")).alias("body"))
+    rows = dealt(events.select(*TRACE, *order, statement().alias("text")), PROGRAM)
+    bodies = rows.groupBy(*TRACE).agg(told(F.struct(*order, "text")).alias("body"))
     head = F.concat(F.lit("def day_"), F.col("input_idx").cast("string"), F.lit("(x):\n"), F.col("body"))
     return bodies.groupBy(PROGRAM).agg(told(F.struct("run_idx", "input_idx", head.alias("text"))).alias("source"))
