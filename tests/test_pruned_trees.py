@@ -5,7 +5,7 @@ import hashlib
 import pyarrow as pa
 import pytest
 
-from traceloom.operators import identity, static
+from traceloom.operators import identity, lexer, static
 from traceloom.plans import registry
 
 
@@ -81,3 +81,11 @@ def test_linear_texts_are_linearised_trees(spark):
         assert {tuple(r) for r in rows.collect()} == {tuple(r) for r in static.linear_similarity(lists, pairs, cap).collect()}
     assert rows.rdd.getNumPartitions() == 4
 
+
+def test_token_sets_are_token_lists_without_repeats(spark):
+    sources = spark.createDataFrame([(f"p{i}", s) for i, s in enumerate([*SOURCES, "if X is None or x is True: x = (1"])], "program_id string, source string")
+    for kinds in (("name", "number", "operator", "string"), ("name", "keyword")):
+        sets = lexer.token_sets(sources, kinds)
+        assert "Exchange" not in sets._jdf.queryExecution().executedPlan().toString()
+        whole = lexer.token_lists(lexer.tokens(sources), kinds)
+        assert {r.doc_id: r.tokens for r in sets.collect()} == {r.doc_id: list(dict.fromkeys(r.tokens)) for r in whole.collect()}

@@ -53,3 +53,18 @@ def token_lists(table: DataFrame, kinds: tuple[str, ...] = ("name", "number", "o
     """doc_id, tokens: each program's tokens of some kinds, in order; without ``keyword`` among the kinds, keywords are left out."""
     held = F.array_sort(F.collect_list(F.struct("at", "token")))
     return table.where(F.col("kind").isin(*kinds)).groupBy(F.col(PROGRAM).alias("doc_id")).agg(F.transform(held, lambda t: t["token"]).alias("tokens"))
+
+
+def token_sets(sources: DataFrame, kinds: tuple[str, ...] = ("name", "number", "operator", "string")) -> DataFrame:
+    """doc_id, tokens: the distinct tokens of some kinds of program_id, source, in the order in which they are met, one row a source; as of ``token_lists``, a source without any has none."""
+    kind = sources.schema[PROGRAM].dataType.simpleString()
+
+    def told(source: str | None) -> list[str]:
+        return list(dict.fromkeys(t for k, t in lexed(source) if ("keyword" if k == "name" and t in KEYWORDS else k) in kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(i, tokens) for i, source in enumerate(batch.column("source")) if (tokens := told(source.as_py()))]
+            yield pa.RecordBatch.from_arrays([batch.column(PROGRAM).take(pa.array([i for i, _ in sets], pa.int64())), pa.array([t for _, t in sets], pa.list_(pa.string()))], ["doc_id", "tokens"])
+
+    return sources.select(PROGRAM, F.col("source").cast("string").alias("source")).mapInArrow(run, f"doc_id {kind}, tokens array<string>")

@@ -237,12 +237,15 @@ UNION ALL SELECT pair_id, 'volume', round(1 - least(1.0, 0.5 * abs(a.w - b.w) /
 def equal_conditions(spark, sf_dir):
     """Three plain methods on the same pairs: cosine of node kinds, Jaccard of all tokens, and sizes of what runs."""
     with Workspace(spark, "equal-conditions") as work:
-        events = work.stage(canonical(spark, sf_dir), "events")
-        told = work.stage(event_sources(events), "sources")
-        pairs = sources.version_pairs(events)
-        kinds = static.nodes(told).groupBy("program_id", "kind").agg(F.count("*").alias("n"))
-        cosine = distances.kernels(genomes.histogram(kinds, "kinds", "kind", "n"), pairs).select("pair_id", F.lit("ast_cosine").alias("method"), F.col("cosine").alias("similarity"))
-        sets = lexer.token_lists(lexer.tokens(told), ("name", "number", "operator", "string", "keyword")).select("doc_id", F.array_distinct("tokens").alias("tokens"))
+        rows = sources.event_rows(read_table(spark, sf_dir, "events"))
+        told = work.stage(event_sources(rows, ("ts", "event_id")), "sources")
+        events = rows.withColumn("seq", F.struct("ts", "event_id"))  # for the last of a trace, an order does as well as numbers
+        pairs = work.stage(sources.version_pairs(told), "pairs")
+        kinds = static.nodes(told, ["kind"]).groupBy("program_id", "kind").agg(F.count("*").alias("n"))
+        norms = [F.sqrt(F.sum(F.col(c) * F.col(c))) for c in ("a", "b")]
+        met = distances.met(genomes.histogram(kinds, "kinds", "kind", "n"), pairs)
+        cosine = met.groupBy("pair_id").agg((F.sum(F.col("a") * F.col("b")) / F.nullif(norms[0] * norms[1], F.lit(0.0))).alias("similarity")).select("pair_id", F.lit("ast_cosine").alias("method"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+        sets = work.stage(lexer.token_sets(told, ("name", "number", "operator", "string", "keyword")), "sets")
         jaccard = texts.jaccard_of_pairs(sets, pairs.select("left", "right")).join(pairs, ["left", "right"]).select("pair_id", F.lit("token_jaccard").alias("method"), F.col("jaccard").alias("similarity"))
         sizes = distances.both_rows(pairs, genomes.volume(events, sources.trace_table(events)))
         gaps = 0.5 * distances.relative_gap("wall_ms") + 0.5 * distances.relative_gap("n_calls")
