@@ -5,7 +5,7 @@ import hashlib
 import pyarrow as pa
 import pytest
 
-from traceloom.operators import identity, lexer, static
+from traceloom.operators import identity, lexer, sequences, static
 from traceloom.plans import registry
 
 
@@ -89,3 +89,23 @@ def test_token_sets_are_token_lists_without_repeats(spark):
         assert "Exchange" not in sets._jdf.queryExecution().executedPlan().toString()
         whole = lexer.token_lists(lexer.tokens(sources), kinds)
         assert {r.doc_id: r.tokens for r in sets.collect()} == {r.doc_id: list(dict.fromkeys(r.tokens)) for r in whole.collect()}
+
+
+def test_two_dimensions_need_neither_traces_nor_other_families(spark, sf_dir, monkeypatch):
+    def never(*_):
+        raise AssertionError
+
+    for name in ("in_traces", "in_programs"):
+        monkeypatch.setattr(sequences, name, never)
+    assert registry.queries()["distance_of_two_dimensions"](spark, sf_dir).count() > 0
+
+
+def test_the_next_event_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "CHUNK", 3)
+    rows = [(p, 0, 0, i, "call" if i % 2 else "return", f"{p}{i}") for p, n in (("a", 8), ("b", 3), ("c", 1), ("d", 7)) for i in range(n)]
+    events = spark.createDataFrame(rows, "program_id string, run_idx int, input_idx int, seq int, event_type string, function_name string")
+    found = {(r.program_id, r.seq): (r.next_type, r.next_name) for r in sequences.with_next(events).collect()}
+    kinds = {(p, i): (t, f) for p, _, _, i, t, f in rows}
+    assert found == {(p, i): kinds.get((p, i + 1), (None, None)) for p, i in kinds}
+    whole = sequences.in_traces(events).select("program_id", "seq", "next_type", "next_name").collect()
+    assert found == {(r.program_id, r.seq): (r.next_type, r.next_name) for r in whole}

@@ -100,7 +100,8 @@ def occurrences(events: DataFrame, families: Iterable[str] = COUNTED) -> DataFra
     calls, bigrams: of a trace; flat2, trigrams: across traces; phases: families phase0 to phase2, of the calls in each third; runs: of calls, weighing their lengths.
     """
     wanted = set(families)
-    rows = (sequences.in_programs if wanted & {"flat2", "trigrams", "triples", "runs", "phases"} else sequences.in_traces)(events)
+    around = sequences.with_next if wanted <= {"names", "event_bigrams"} else sequences.in_programs if wanted & {"flat2", "trigrams", "triples", "runs", "phases"} else sequences.in_traces
+    rows = around(events)
     if "triples" in wanted:
         rows = rows.withColumn("post", sequences.post()).withColumn("raised", F.col("function_name"))
     call = sequences.is_call()

@@ -115,6 +115,21 @@ def clamped() -> Column:
     return F.col("s_before") + F.col("s") - F.least(F.lit(0), F.col("low_before"), F.col("s_before") + F.col("low"))
 
 
+def with_next(events: DataFrame) -> DataFrame:
+    """The events with next_type and next_name, as of ``in_traces``, and nothing else that is around them. Only what lies ahead of a chunk of a long trace comes by a join."""
+    if "next_type" in events.columns:
+        return events
+    unit = [*TRACE, "chunk"]
+    rows, up = in_chunks(events), Window.partitionBy(*unit).orderBy("seq")
+    seen = F.struct("event_type", "function_name")
+    long = events.where(F.col("seq") >= CHUNK).select(*TRACE).distinct()
+    heads = rows.join(long, TRACE, "left_semi").groupBy(*unit).agg(F.min_by(seen, "seq").alias("head"))
+    ahead = F.lead("head").over(Window.partitionBy(*TRACE).orderBy("chunk"))
+    ends = heads.select(*unit, ahead.alias("ahead")).where("ahead IS NOT NULL")
+    found = rows.withColumn("next", F.lead(seen).over(up)).join(ends, unit, "left").withColumn("next", F.coalesce("next", "ahead"))
+    return found.select(*events.columns, F.col("next.event_type").alias("next_type"), F.col("next.function_name").alias("next_name"))
+
+
 def in_traces(events: DataFrame) -> DataFrame:
     """The events with what stands around them in their trace.
 

@@ -170,7 +170,12 @@ def distance_eight_dimensions(spark, sf_dir):
 def distance_of_two_dimensions(spark, sf_dir):
     """Only what two dimensions need is computed."""
     with Workspace(spark, "two-dimensions") as work:
-        return work.keep(dimensions.distance_of(both_inputs(spark, sf_dir, work), only=["CONTROL", "TEMPORAL"]), "result")
+        told, pairs = rendered(spark, sf_dir)
+        tree = work.stage(static.nodes(told, ("kind", "function", "name"), {"Call", *static.CONTROL_KINDS}), "nodes")
+        events = canonical(spark, sf_dir)
+        placed = work.stage(events.select(*sources.TRACE, "seq", "event_type", "function_name"), "events")
+        inputs = dimensions.Inputs(work.stage(pairs, "pairs"), placed, sources.trace_table(events), tree)
+        return work.keep(dimensions.distance_of(inputs, only=["CONTROL", "TEMPORAL"]), "result")
 
 
 #: The kinds of all nodes level by level: the module, its functions, their arguments and statements, then what is below those.
